@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import html_text, topk, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op7_warc": warc.op7_warc,
+    "op8_html_text": html_text.op8_html_text,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.OP1_SQL,
+    "op10_exact_topk": topk.OP10_SQL,
 }
