@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_text, topk, url_filters, warc
+from . import bpe, html_text, topk, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op3_bpe": bpe.op3_bpe,
     "op7_warc": warc.op7_warc,
     "op8_html_text": html_text.op8_html_text,
     "op10_exact_topk": topk.op10_exact_topk,
