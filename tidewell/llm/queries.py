@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, topk, url_filters, warc
+from . import bpe, decontaminate, html_text, topk, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op3_bpe": bpe.op3_bpe,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_warc": warc.op7_warc,
     "op8_html_text": html_text.op8_html_text,
     "op10_exact_topk": topk.op10_exact_topk,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.OP1_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op10_exact_topk": topk.OP10_SQL,
 }
