@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import null_safe_text
 
 #: Bounds of a worker's memory: states of the transducer and pieces whose ids are kept.
-MAX_STATES, MAX_PIECES, SEGMENT = 300_000, 500_000, 1_000_000
+MAX_STATES, MAX_PIECES, SEGMENT = 100_000, 250_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -123,7 +123,7 @@ class Transducer:
             if read in prefixes:
                 live.append((last, read))
         live.append((ended, b""))
-        if len(self.pairs) > 4 * MAX_STATES:
+        if len(self.pairs) > 2 * MAX_STATES:
             self.pairs.clear()
         return self._state(tuple(live)), ended
 
