@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, topk, url_filters, warc
+from . import bpe, decontaminate, html_text, near_dedup, topk, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_warc": warc.op7_warc,
     "op8_html_text": html_text.op8_html_text,
+    "op9_near_duplicates": near_dedup.op9_near_duplicates,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
