@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import null_safe_text
 
-#: Bounds of a worker's memory: states of the transducer and pieces whose ids are kept.
-MAX_STATES, MAX_PIECES, SEGMENT = 100_000, 250_000, 1_000_000
+#: Bounds of a worker's memory: states of the transducer, pairs of tokens and pieces whose ids are kept; code points of a segment.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, SEGMENT = 250_000, 400_000, 400_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,33 +48,31 @@ def merge(piece: bytes, ranks: dict[bytes, int], parts: int = 1) -> list[bytes]:
     return got
 
 
-class _State:
-    """live: (last token, bytes read since) of each hypothesis, most bytes first; the last one has none."""
-
-    __slots__ = ("live", "next")
-
-    def __init__(self, live: tuple):
-        self.live, self.next = live, {}
-
-
 class Transducer:
+    """States are numbers; ``live[state]`` is the longest bytes read since a token, then (last
+    token, number of bytes) of each hypothesis, most bytes first, as one flat tuple.
+    ``moves[state << 8 | byte]`` is next state << 20 | the token that can end there."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.sizes = {v: len(k) for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[tuple[bytes, int], tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict = {}
-        self.start = self._state(((-1, b""),))
+        self.numbers: dict[tuple, int] = {}
+        self.live: list[tuple] = []
+        self.moves: dict[int, int] = {}
+        self._state((b"", -1, 0))
 
-    def _state(self, live: tuple) -> _State:
-        got = self.states.get(live)
+    def _state(self, live: tuple) -> int:
+        got = self.numbers.get(live)
         if got is None:
-            got = self.states[live] = _State(live)
+            got = self.numbers[live] = len(self.live)
+            self.live.append(live)
         return got
 
     def _edge(self, token: bytes, side: int) -> tuple:
@@ -98,34 +96,45 @@ class Transducer:
         """Whether the tokens a, b are what merging their bytes gives."""
         if a < 0:
             return self._edge(self.bytes_of[b], 0) is not None
-        got = self.pairs.get((a, b))
+        key = a << 20 | b
+        got = self.pairs.get(key)
         if got is None:
             left, right = self._edge(self.bytes_of[a], 1), self._edge(self.bytes_of[b], 0)
-            got = left is not None and right is not None
-            if got:
-                for x, x_until in left:
-                    for y, y_until in right:
-                        m = self.ranks.get(x + y)
-                        if m is not None and m < x_until and m <= y_until:  # the pair across merges before either side does
-                            got = False
-            self.pairs[(a, b)] = got
+            got = left is not None and right is not None and not self._crossed(left, right)
+            if len(self.pairs) > MAX_PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = got
         return got
 
-    def _step(self, state: _State, byte: bytes) -> tuple[_State, int]:
+    def _crossed(self, left: list, right: list) -> bool:
+        """Whether a pair across two tokens merges before either side is done with it."""
+        ranks = self.ranks
+        for x, x_until in left:
+            for y, y_until in right:
+                m = ranks.get(x + y)
+                if m is not None and m < x_until and m <= y_until:
+                    return True
+        return False
+
+    def _step(self, state: int, byte: bytes) -> int:
         """The next state, and the one token that can end here."""
-        live, ended, ranks, prefixes = [], -1, self.ranks, self.prefixes
-        for last, rest in state.live:
-            read = rest + byte
+        known = self.live[state]
+        read = known[0] + byte
+        n, ended, longest, live = len(read) - 1, -1, b"", []
+        for i in range(1, len(known), 2):
+            last, size = known[i], known[i + 1]
+            mine = read[n - size :]
             if ended < 0:
-                rank = ranks.get(read)
+                rank = self.ranks.get(mine)
                 if rank is not None and self.may_follow(last, rank):
                     ended = rank
-            if read in prefixes:
-                live.append((last, read))
-        live.append((ended, b""))
-        if len(self.pairs) > 2 * MAX_STATES:
-            self.pairs.clear()
-        return self._state(tuple(live)), ended
+            if mine in self.prefixes:
+                if not live:
+                    longest = mine
+                live += (last, size + 1)
+        to = self._state((longest, *live, ended, 0))
+        self.moves[state << 8 | byte[0]] = move = to << 20 | ended
+        return move
 
     def encode(self, piece: bytes) -> bytes:
         """The ids of one piece as little-endian unsigned 32-bit integers.
@@ -137,15 +146,15 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return struct.pack("<I", whole)
-        if len(self.states) > MAX_STATES:
+        if len(self.live) > MAX_STATES:
             self._reset()
-        state, ends = self.start, []
+        state, ends, moves = 0, [], self.moves
         for byte in piece:
-            step = state.next.get(byte)
-            if step is None:
-                step = state.next[byte] = self._step(state, bytes((byte,)))
-            state = step[0]
-            ends.append(step[1])
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._step(state, bytes((byte,)))
+            state = move >> 20
+            ends.append(move & 0xFFFFF)
         out, at, sizes = [], len(ends), self.sizes
         while at:
             token = ends[at - 1]
