@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, near_dedup, suffix_dedup, topk, url_filters, warc
+from . import bpe, decontaminate, html_text, language_id, licenses, near_dedup, suffix_dedup, topk, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_warc": warc.op7_warc,
     "op8_html_text": html_text.op8_html_text,
     "op9_near_duplicates": near_dedup.op9_near_duplicates,
