@@ -105,9 +105,11 @@ def fourgrams(batches):
         for lang, texts in pdf.groupby("lang", sort=False)["_text"]:
             values = texts.tolist()
             for a, b in steps(values, map(len, values)):
-                data = b"".join(_START + t.encode() for t in values[a:b])
-                x = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+                parts = [t.encode() for t in values[a:b]]
+                x = np.frombuffer(b"".join(_START + t for t in parts), dtype=np.uint8).astype(np.int64)
                 code = (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
+                ends = np.cumsum([len(t) + 3 for t in parts])[:-1] - 3
+                code = np.delete(code, np.add.outer(ends, np.arange(3)).ravel())  # the bytes before a text are no bytes of it
                 code, n = np.unique(code, return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": code, "n": n})
 
