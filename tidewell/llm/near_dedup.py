@@ -4,17 +4,21 @@ Each distinct five-word shingle of a text arrives by a Poisson process whose rat
 shingle's weight; each arrival picks one of the signature's registers, and a register
 keeps the shingle that arrives first. A shingle stops once its next arrival is later than
 the last of all registers. The chance that two texts agree in a register is their
-probability Jaccard similarity. Bands of registers give buckets; within a bucket the
-texts are linked to a leader, and those that the leader does not resemble follow
-another leader in the next round, until none is left, so that a bucket of any size is
-spread over many tasks and never paired with itself. Links count only if the exact
-Jaccard similarity of the shingle sets reaches the threshold. Texts near a leader's
-border that ended in another class are at last compared with that leader's group, as
-far as the triangle inequality of the Jaccard distance allows a link.
+probability Jaccard similarity. Bands of registers give buckets.
+
+A bucket of any size is spread over many tasks and never paired with itself: its texts
+are compared with a leader; those that no leader resembles meet four leaders in the next
+round, then sixteen, and so on until none is left. Signatures of a byte a register tell
+which comparisons can matter (LEAST is nine standard errors below the threshold); those
+are made with the texts, and links count only if the exact Jaccard similarity of the
+shingle sets reaches the threshold. Texts near a leader's border that ended in another
+class are at last compared with that leader's group, as far as the triangle inequality
+of the Jaccard distance allows a link.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -27,6 +31,8 @@ from .common import cut, null_safe_text, steps
 WORDS, THRESHOLD = 5, 0.8
 #: At similarity 0.8, one pair in 20,000 shares none of 25 bands of five registers.
 BANDS, ROWS = 25, 5
+#: Share of agreeing registers from which two texts are compared, and the similarity that still matters for a group's border.
+LEAST, BORDER = 0.4, 2 * THRESHOLD - 1
 _WORD = re.compile(r"\w+")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,7 +100,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.
 
 
 def _bands(batches):
-    """doc_id and _text -> doc_id and bands (array<long>); texts without words give no row."""
+    """id and _text -> id, bands (array<long>) and sig (a byte of each register); texts without words give no row."""
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for pdf in batches:
         texts = pdf["_text"]
@@ -103,44 +109,56 @@ def _bands(batches):
             some = [i for i, (s, _) in enumerate(sets) if len(s)]
             if not some:
                 continue
-            sig = signatures([sets[i] for i in some], BANDS * ROWS).reshape(len(some), BANDS, ROWS)
+            sig = signatures([sets[i] for i in some], BANDS * ROWS)
+            short = (sig & np.uint64(255)).astype(np.uint8)
+            sig = sig.reshape(len(some), BANDS, ROWS)
             h = np.broadcast_to(salt, (len(some), BANDS))
             for r in range(ROWS):
                 h = mix(h * _GOLD + sig[:, :, r])
-            yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy()[some], "bands": list(h.astype(np.int64))})
+            yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy()[some], "bands": list(h.astype(np.int64)), "sig": [x.tobytes() for x in short]})
 
 
-def _sets(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "sh": [shingles(t)[0].tobytes() for t in pdf["_text"]]})
-
-
-def _similar(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def _similar(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct numbers."""
     if len(x) > len(y):
         x, y = y, x
-    if not len(y) or len(x) < 0.3 * len(y):  # further apart than any bound that is asked of the value
-        return len(x) / max(1, len(y)) if not len(x) else 0.0
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    if not len(x):
+        return 0.0
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return both / (len(x) + len(y) - both)
 
 
-def _verify(columns: list[str]):
-    def run(batches):
-        for pdf in batches:
-            out = pdf[columns].copy()
-            out["similarity"] = [_similar(a, b) for a, b in zip(pdf["sh_a"], pdf["sh_b"])]
-            yield out
-
-    return run
+def _plausible(batches):
+    for pdf in batches:
+        side = [np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), -1) for c in ("sig_a", "sig_b")]
+        yield pdf.loc[(side[0] == side[1]).mean(axis=1) >= LEAST, ["a", "b"]]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs with the exact similarity of their shingle sets."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("sh").alias(f"sh_{x}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.mapInPandas(_verify(["a", "b"]), "a long, b long, similarity double")
+def _verify(batches):
+    last: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        out = []
+        for a, b, t, u in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
+            for i, text in ((a, t), (b, u)):
+                if i not in last:
+                    if len(last) > 200:
+                        last.clear()
+                    last[i] = shingles(text)[0]
+            x = last[a] if a in last else shingles(t)[0]
+            out.append((a, b, _similar(x, last[b])))
+        yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+
+def verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the distinct pairs whose signatures are near enough, by their texts' shingle sets."""
+    side = lambda df, x, value, name: df.select(F.col("id").alias(x), F.col(value).alias(f"{name}_{x}"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(side(signs, x, "sig", "sig"), x)
+    pairs = pairs.mapInPandas(_plausible, "a long, b long")
+    for x in "ab":
+        pairs = pairs.join(side(texts, x, "_text", "text"), x)
+    return pairs.mapInPandas(_verify, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,29 +184,35 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between the texts of ``rows`` (id, _text) whose id is in ``ids``, and
-    the component labels of the linked. Rows that repeat an id count with their first shingle set."""
-    bands = cut(rows.mapInPandas(_bands, "id long, bands array<long>").join(ids, "id", "left_semi").select("id", F.explode("bands").alias("band")))
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
-    waiting = cut(bands.join(leaders, "band").where("id <> leader").select("band", F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    involved = waiting.select(F.col("a").alias("id")).union(waiting.select(F.col("b").alias("id"))).distinct()
-    sets = cut(rows.join(involved, "id", "left_semi").mapInPandas(_sets, "id long, sh binary").groupBy("id").agg(F.min("sh").alias("sh")))
-    known, groups = None, None
+    the component labels of the linked. Rows that repeat an id count with their smallest text."""
+    signed = cut(rows.mapInPandas(_bands, "id long, bands array<long>, sig binary").join(ids, "id", "left_semi"))
+    signs = signed.groupBy("id").agg(F.min("sig").alias("sig"))
+    bands = signed.select(F.col("id").alias("a"), F.explode("bands").alias("band"))
+    crowded = bands.groupBy("band").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("band")
+    waiting = cut(bands.join(crowded, "band").distinct())
+    texts = cut(rows.join(waiting.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("_text").alias("_text")))
+    signs = cut(signs.join(texts.select("id"), "id", "left_semi"))
+    found: list[DataFrame] = []
+    groups: list[DataFrame] = []
+    leaders = 1
     while not waiting.isEmpty():
-        pairs = waiting.select("a", "b").distinct()
-        if known is not None:  # the same two may meet again in another bucket
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        fresh = cut(verified(pairs, sets))
-        known = fresh if known is None else cut(known.union(fresh))
-        tried = cut(waiting.join(known, ["a", "b"]))
-        near = tried.where(F.col("similarity") >= 2 * threshold - 1 - 1e-9).withColumnRenamed("b", "leader")
-        groups = near if groups is None else cut(groups.union(near))
-        rest = tried.where(F.col("similarity") < threshold).select("band", "a")
-        again = rest.groupBy("band").agg(F.min("a").alias("b"))
-        waiting = cut(rest.join(again, "band").where("a <> b").select("band", "a", "b"))
-    if known is None:
-        none = rows.sparkSession.createDataFrame([], "a long, b long, similarity double")
-        return none, none.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    links = known.where(F.col("similarity") >= threshold)
+        # the smallest id of each of so many parts of a bucket leads
+        lead = cut(waiting.groupBy("band", F.pmod(F.xxhash64("a"), F.lit(leaders)).alias("part")).agg(F.min("a").alias("b")).drop("part"))
+        pairs = cut(waiting.join(lead, "band").where("a <> b").select("band", "a", "b"))
+        fresh = cut(verified(pairs, signs, texts))
+        found.append(fresh)
+        both = fresh.select("a", "b", "similarity").union(fresh.select("b", "a", "similarity"))
+        near = cut(pairs.join(both, ["a", "b"]).where(F.col("similarity") >= BORDER - 1e-9).select("band", "a", F.col("b").alias("leader"), "similarity"))
+        groups.append(near)
+        done = near.where(F.col("similarity") >= threshold).select("band", "a").union(lead.select("band", F.col("b").alias("a"))).distinct()
+        waiting = cut(waiting.join(done, ["band", "a"], "left_anti"))
+        leaders *= 4
+    none = rows.sparkSession.createDataFrame([], "band long, a long, b long, similarity double")
+    known = functools.reduce(DataFrame.union, found, none.select("a", "b", "similarity")).distinct()
+    groups = functools.reduce(DataFrame.union, groups, none.select("band", "a", F.col("b").alias("leader"), "similarity"))
+    links = cut(known.where(F.col("similarity") >= threshold))
+    if links.isEmpty():
+        return links, links.select(F.col("a").alias("id"), F.col("b").alias("label"))
     labels = components(links)
     # d(a, b) >= |d(a, leader) - d(b, leader)|: only these can still be linked across a group's border
     label = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
@@ -196,10 +220,10 @@ def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) ->
     border = groups.where(F.col("similarity") < threshold).select("band", "leader", F.col("a").alias("x"), F.col("similarity").alias("x_s")).join(label("x"), "x", "left")
     apart = F.coalesce("x_label", "x") != F.coalesce("m_label", "m")
     across = border.join(members, ["band", "leader"]).where(apart & (F.col("m_s") - F.col("x_s") <= 1 - threshold + 1e-9))
-    late = cut(verified(across.select(F.least("x", "m").alias("b"), F.greatest("x", "m").alias("a")), sets).where(F.col("similarity") >= threshold))
+    late = cut(verified(across.select(F.col("x").alias("a"), F.col("m").alias("b")), signs, texts).where(F.col("similarity") >= threshold))
     if late.isEmpty():
         return links, labels
-    links = links.union(late)
+    links = links.union(late).distinct()
     return links, components(links)
 
 
