@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

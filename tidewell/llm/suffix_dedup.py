@@ -315,9 +315,8 @@ def _removed(batches):
             data = np.frombuffer(t.encode(), dtype=np.uint8)
             mark = np.zeros(len(data) + 1, dtype=np.int64)
             for s in segs:
-                if s["gone"]:
-                    mark[s["s0"]] += 1
-                    mark[s["s0"] + s["n"] + LENGTH - 1] -= 1
+                mark[s["s0"]] += 1
+                mark[s["s0"] + s["n"] + LENGTH - 1] -= 1
             for s in spans if spans is not None else ():
                 mark[s["start"]] += 1
                 mark[s["end"]] -= 1
@@ -347,16 +346,16 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_doc = found.groupBy("doc_id").agg(F.collect_list("s").alias("segs"))  # no more than the document's own bytes
     affected = cut(rows.join(by_doc, "doc_id"))
     bodies = affected.where(F.exists("segs", lambda s: ~s["gone"])).mapInPandas(_bodies, "k long, hot boolean, doc_id long, s0 long, body binary")
-    bodies = cut(bodies)
     cool = bodies.where("not hot").drop("hot").repartition(F.col("k")).sortWithinPartitions("k")
     spans = cool.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
-    if not bodies.where("hot").isEmpty():
+    if not affected.where(F.exists("segs", lambda s: s["hot"] & ~s["gone"])).isEmpty():
         windows = cut(bodies.where("hot").mapInPandas(_window_rows, "w1 long, w2 long, doc_id long, start long"))
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
         late = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
         spans = spans.union(late.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return affected.join(spans, "doc_id", "left").mapInPandas(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary")
+    gone = F.transform(F.filter("segs", lambda s: s["gone"]), lambda s: F.struct(s["s0"].alias("s0"), s["n"].alias("n")))
+    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInPandas(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
