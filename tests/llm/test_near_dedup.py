@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -9,10 +10,12 @@ def classes(rows, threshold=0.8):
     """Brute force: components of links between all pairs of distinct texts."""
     first, sets = {}, {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        if t and N._WORD.search(t):
+        if t and re.search(r"\w", t):
             first.setdefault(t, i)
     for t, i in first.items():
-        sets[i] = set(N.shingles(t)[0].tolist())
+        w = re.findall(r"\w+", t.lower())
+        n = min(5, len(w))
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
     parent = {i: i for i in sets}
 
     def top(x):
@@ -73,3 +76,20 @@ def test_components(spark):
     edges = list(zip(path, path[1:])) + [(200, 201), (201, 202), (300, 300)]
     got = {x.id: x.label for x in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(100), 0), 200: 200, 201: 200, 202: 200}
+
+
+def test_shingles_of_words():
+    """Whatever the batch and the pieces, one hash for each distinct run of five words."""
+    texts = ["", "one", "Ünï cödé_ 1_2 x\ny z", "a b c d e a b c d e", "\u0130 \u01c5 \U0001d7d9\U00010428 9\u0663", " ".join(f"w{i % 700}" for i in range(3000)) + " end"]
+    together = N.shingle_sets(texts)
+    before, N.PIECE = N.PIECE, 50
+    try:
+        pieces = [N.shingles(t) for t in texts]
+    finally:
+        N.PIECE = before
+    for t, (s, c), (s2, c2) in zip(texts, together, pieces):
+        w = re.findall(r"\w+", t.lower())
+        n = min(5, len(w))
+        want = [tuple(w[j : j + n]) for j in range(len(w) - n + 1)] if w else []
+        assert len(set(want)) == len(s) and c.sum() == len(want)
+        assert (s == s2).all() and (c == c2).all()

@@ -7,9 +7,9 @@ the last of all registers. The chance that two texts agree in a register is thei
 probability Jaccard similarity. Bands of registers give buckets.
 
 A bucket of any size is spread over many tasks and never paired with itself: its texts
-are compared with a leader; those that no leader resembles meet four leaders in the next
-round, then sixteen, and so on until none is left. Signatures of a byte a register tell
-which comparisons can matter (LEAST is nine standard errors below the threshold); those
+are compared with a leader; those that no leader resembles meet eight leaders in the next
+round, then sixty-four, and so on until none is left. Signatures of a byte a register tell
+which comparisons can matter (LEAST is seven standard errors below the threshold); those
 are made with the texts, and links count only if the exact Jaccard similarity of the
 shingle sets reaches the threshold. Texts near a leader's border that ended in another
 class are at last compared with that leader's group, as far as the triangle inequality
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from .common import cut, null_safe_text, steps
 
 WORDS, THRESHOLD = 5, 0.8
-#: At similarity 0.8, one pair in 20,000 shares none of 25 bands of five registers.
-BANDS, ROWS = 25, 5
+#: At similarity 0.8, one pair in 38,000 shares none of 20 bands of four registers.
+BANDS, ROWS = 20, 4
 #: Share of agreeing registers from which two texts are compared, and the similarity that still matters for a group's border.
 LEAST, BORDER = 0.4, 2 * THRESHOLD - 1
-_WORD = re.compile(r"\w+")
+#: Characters of one text that are hashed at once; bounds a worker's memory.
+PIECE = 1_000_000
+_BREAK = re.compile(r"\W")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,33 +46,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words; kept for a worker's life, up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_HASHES = _WordHashes()
+@functools.lru_cache(1)
+def _word_characters() -> np.ndarray:
+    """Of each code point, whether it is a letter, a digit or '_'."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+@functools.lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (int(_GOLD), pow(int(_GOLD), -1, 1 << 64)):
+        x = np.full(n, np.uint64(base), dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``text`` and where they start: a rolling hash of code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    edge = np.flatnonzero(np.diff(_word_characters()[points].view(np.int8), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(1 << max(21, len(points).bit_length()))
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(mix(points + _GOLD) * up[: len(points)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def _pieces(text: str) -> list[str]:
+    """A text cut between words into pieces of about PIECE characters."""
+    out, a = [], 0
+    while len(text) - a > PIECE:
+        cut_at = _BREAK.search(text, a + PIECE)
+        if cut_at is None:
+            break
+        out.append(text[a : cut_at.start()])
+        a = cut_at.start()
+    return [*out, text[a:]]
+
+
+def shingle_sets(texts: list[str], n: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the sorted distinct shingle hashes of lower-cased words and their counts; a
+    text of fewer words, but not none, is one shingle."""
+    texts = [t.lower() for t in texts]
+    if len(texts) == 1:
+        per_text = [np.concatenate([_word_hashes(p)[0] for p in _pieces(texts[0])])]
+    else:
+        hashes, start = _word_hashes("\n".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        per_text = np.split(hashes, np.searchsorted(start, ends[:-1]))
+    out = []
+    for h in per_text:
+        k = min(n, len(h))
+        if not k:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            continue
+        x = np.full(len(h) - k + 1, np.uint64(k), dtype=np.uint64)
+        for i in range(k):
+            x = mix(x * _GOLD + h[i : len(h) - k + 1 + i])
+        x.sort()
+        head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        out.append((x[head], np.diff(head, append=len(x))))
+    return out
 
 
 def shingles(text: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of lower-cased words and their counts; a text of
-    fewer words, but not none, is one shingle."""
-    found = _WORD.findall(text.lower())
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
-    n = min(n, len(h))
-    out = np.full(len(h) - n + 1, np.uint64(n), dtype=np.uint64)
-    for i in range(n):
-        out = mix(out * _GOLD + h[i : len(h) - n + 1 + i])
-    return np.unique(out, return_counts=True)
+    return shingle_sets([text], n)[0]
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
@@ -79,24 +120,51 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.
     doc = np.repeat(np.arange(len(sets)), sizes)
     item = np.concatenate([s for s, _ in sets])
     rate = 1.0 + np.log(np.concatenate([c for _, c in sets]).astype(np.float64))
-    clock = np.zeros(len(item))
-    first, label = np.full(len(sets) * registers, np.inf), np.zeros(len(sets) * registers, dtype=np.uint64)
-    turn = 0
+    first, label = np.full(len(sets) * registers, np.inf), np.full(len(sets) * registers, np.iinfo(np.uint64).max, dtype=np.uint64)
+    # most registers are taken long before the last shingle has arrived: only a shingle whose
+    # arrival is before its set's horizon is placed, and sets with a free register look further
+    total = np.bincount(doc, weights=rate, minlength=len(sets))
+    horizon = registers * (np.log(registers) + 4.0) / total
+    clock, turn = np.zeros(len(item)), 0
     while len(item):
         turn += 1
         draw = mix(item + np.uint64(turn * int(_GOLD) & (1 << 64) - 1))
         clock = clock - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
+        live = clock < horizon[doc]
+        doc, item, rate, clock, draw = doc[live], item[live], rate[live], clock[live], draw[live]
         place = doc * registers + (mix(draw ^ _M1) % np.uint64(registers)).astype(np.int64)
-        order = np.lexsort((item, clock, place))
-        place_s = place[order]
-        head = order[np.flatnonzero(np.diff(place_s, prepend=-1))]  # the earliest arrival of each register
-        p = place[head]
-        sooner = clock[head] < first[p]
-        p, head = p[sooner], head[sooner]
-        first[p], label[p] = clock[head], item[head]
-        live = clock < first.reshape(len(sets), registers).max(axis=1)[doc]
+        before = first[place]
+        np.minimum.at(first, place, clock)
+        won = np.flatnonzero((clock < before) & (clock == first[place]))
+        label[place[won]] = np.iinfo(np.uint64).max
+        np.minimum.at(label, place[won], item[won])
+        horizon = np.minimum(horizon, first.reshape(len(sets), registers).max(axis=1))
+        live = clock < horizon[doc]
         doc, item, rate, clock = doc[live], item[live], rate[live], clock[live]
-    return label.reshape(len(sets), registers)
+    open_sets = np.flatnonzero(np.isinf(first.reshape(len(sets), registers).max(axis=1)))
+    label = label.reshape(len(sets), registers)
+    if len(open_sets):
+        label[open_sets] = _patient([sets[i] for i in open_sets], registers)
+    return label
+
+
+def _patient(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
+    """As signatures(), without a horizon, for the few sets that one left with free registers."""
+    out = np.zeros((len(sets), registers), dtype=np.uint64)
+    for n, (item, count) in enumerate(sets):
+        rate = 1.0 + np.log(count.astype(np.float64))
+        clock, first, turn = np.zeros(len(item)), np.full(registers, np.inf), 0
+        while len(item):
+            turn += 1
+            draw = mix(item + np.uint64(turn * int(_GOLD) & (1 << 64) - 1))
+            clock = clock - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
+            place = (mix(draw ^ _M1) % np.uint64(registers)).astype(np.int64)
+            for i in np.argsort(clock, kind="stable"):
+                if clock[i] < first[place[i]]:
+                    first[place[i]], out[n, place[i]] = clock[i], item[i]
+            live = clock < first.max()
+            item, rate, clock = item[live], rate[live], clock[live]
+    return out
 
 
 def _bands(batches):
@@ -105,7 +173,7 @@ def _bands(batches):
     for pdf in batches:
         texts = pdf["_text"]
         for a, b in steps(texts, map(len, texts), 1_000_000):
-            sets = [shingles(t) for t in texts.iloc[a:b]]
+            sets = shingle_sets(texts.iloc[a:b].tolist())
             some = [i for i, (s, _) in enumerate(sets) if len(s)]
             if not some:
                 continue
@@ -192,25 +260,23 @@ def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) ->
     waiting = cut(bands.join(crowded, "band").distinct())
     texts = cut(rows.join(waiting.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("_text").alias("_text")))
     signs = cut(signs.join(texts.select("id"), "id", "left_semi"))
-    found: list[DataFrame] = []
-    groups: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     leaders = 1
     while not waiting.isEmpty():
         # the smallest id of each of so many parts of a bucket leads
-        lead = cut(waiting.groupBy("band", F.pmod(F.xxhash64("a"), F.lit(leaders)).alias("part")).agg(F.min("a").alias("b")).drop("part"))
-        pairs = cut(waiting.join(lead, "band").where("a <> b").select("band", "a", "b"))
-        fresh = cut(verified(pairs, signs, texts))
-        found.append(fresh)
-        both = fresh.select("a", "b", "similarity").union(fresh.select("b", "a", "similarity"))
-        near = cut(pairs.join(both, ["a", "b"]).where(F.col("similarity") >= BORDER - 1e-9).select("band", "a", F.col("b").alias("leader"), "similarity"))
-        groups.append(near)
-        done = near.where(F.col("similarity") >= threshold).select("band", "a").union(lead.select("band", F.col("b").alias("a"))).distinct()
-        waiting = cut(waiting.join(done, ["band", "a"], "left_anti"))
-        leaders *= 4
-    none = rows.sparkSession.createDataFrame([], "band long, a long, b long, similarity double")
-    known = functools.reduce(DataFrame.union, found, none.select("a", "b", "similarity")).distinct()
-    groups = functools.reduce(DataFrame.union, groups, none.select("band", "a", F.col("b").alias("leader"), "similarity"))
-    links = cut(known.where(F.col("similarity") >= threshold))
+        lead = waiting.groupBy("band", F.pmod(F.xxhash64("a"), F.lit(leaders)).alias("part")).agg(F.min("a").alias("leader")).drop("part")
+        pairs = cut(waiting.join(lead, "band").select("band", "a", "leader"))
+        fresh = verified(pairs.where("a <> leader").select("a", F.col("leader").alias("b")), signs, texts)
+        fresh = fresh.select("a", F.col("b").alias("leader"), "similarity").union(fresh.select("b", "a", "similarity"))
+        scored = cut(pairs.join(fresh, ["a", "leader"], "left"))
+        rounds.append(scored.where(F.col("similarity") >= BORDER - 1e-9))
+        settled = F.bool_or((F.col("a") == F.col("leader")) | F.coalesce(F.col("similarity") >= threshold, F.lit(False)))
+        waiting = scored.groupBy("band", "a").agg(settled.alias("settled")).where("not settled").drop("settled")
+        leaders *= 8
+    none = rows.sparkSession.createDataFrame([], "a long, leader long, band long, similarity double")
+    groups = functools.reduce(DataFrame.union, rounds, none)
+    strong = groups.where(F.col("similarity") >= threshold)
+    links = cut(strong.select(F.greatest("a", "leader").alias("a"), F.least("a", "leader").alias("b"), "similarity").distinct())
     if links.isEmpty():
         return links, links.select(F.col("a").alias("id"), F.col("b").alias("label"))
     labels = components(links)
@@ -223,8 +289,13 @@ def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) ->
     late = cut(verified(across.select(F.col("x").alias("a"), F.col("m").alias("b")), signs, texts).where(F.col("similarity") >= threshold))
     if late.isEmpty():
         return links, labels
-    links = links.union(late).distinct()
-    return links, components(links)
+    # the late links join components: only the components' labels are labelled again
+    named = late
+    for x in "ab":
+        named = named.join(label(x), x, "left").withColumn(x, F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
+    joined = components(named).withColumnRenamed("label", "joined")
+    known = labels.join(joined.select(F.col("id").alias("label"), "joined"), "label", "left").select("id", F.coalesce("joined", "label").alias("label"))
+    return cut(links.union(late).distinct()), cut(known.union(joined.join(labels.select("id"), "id", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
