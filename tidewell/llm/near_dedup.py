@@ -49,10 +49,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 @functools.lru_cache(1)
 def _word_characters() -> np.ndarray:
     """Of each code point, whether it is a letter, a digit or '_'."""
-    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), dtype=bool, count=0x110000)
+    every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.zeros(0x110000, dtype=bool)
+    for m in re.finditer(r"\w+", every):
+        out[m.start() : m.end()] = True
+    return out
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (int(_GOLD), pow(int(_GOLD), -1, 1 << 64)):
@@ -67,7 +71,7 @@ def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     edge = np.flatnonzero(np.diff(_word_characters()[points].view(np.int8), prepend=0, append=0))
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(21, len(points).bit_length()))
+    up, down = _powers(1 << max(16, len(points).bit_length()))
     sums = np.zeros(len(points) + 1, dtype=np.uint64)
     np.cumsum(mix(points + _GOLD) * up[: len(points)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
