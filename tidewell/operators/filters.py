@@ -60,7 +60,7 @@ def superseded() -> Column:
 def field(value: Column, op: str, want) -> Column:
     """eq, ne, in, nin, gt, gte, lt, lte on a JSON value; numbers compare with numbers only, and a value of another type fails."""
     numbers = [want] if not isinstance(want, list) else want
-    typed = F.expr("try_cast(NULL AS double)") if False else (value.try_cast("double") if all(isinstance(x, (int, float)) for x in numbers) else value)
+    typed = value.try_cast("double") if all(isinstance(x, (int, float)) for x in numbers) else value
     tests = {
         "eq": lambda: typed == want, "ne": lambda: typed != want, "in": lambda: typed.isin(want), "nin": lambda: ~typed.isin(want),
         "gt": lambda: typed > want, "gte": lambda: typed >= want, "lt": lambda: typed < want, "lte": lambda: typed <= want,
