@@ -1,0 +1,100 @@
+"""Rules over conversations and stored memories."""
+
+from __future__ import annotations
+
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: What a user says to confirm or to correct a memory.
+POSITIVE = [
+    r"(?i)\b(perfect|exactly|great|thanks|correct|right|yes)\b",
+    r"(?i)\bthat('s| is| was) (right|correct|helpful|useful|what i needed)\b",
+    r"(?i)\b(good|nice) (memory|recall|find)\b",
+    r"(?i)\byou remembered\b",
+    r"(?i)\bthat helps\b",
+    r"(?i)\bspot on\b",
+]
+NEGATIVE = [
+    r"(?i)\b(wrong|incorrect|no|nope|not right)\b",
+    r"(?i)\bthat('s| is| was) (wrong|incorrect|outdated|old|stale)\b",
+    r"(?i)\b(forget|remove|delete) (that|this|it)\b",
+    r"(?i)\bnot what i (meant|asked|wanted)\b",
+    r"(?i)\btry again\b",
+    r"(?i)\bthat('s| is) (not|no longer) (true|accurate|relevant)\b",
+    r"(?i)\bactually[,.]?\s",
+]
+#: Days and levels of confidence.
+DEEP_STALE, STALE, STRONG, REINFORCED = 180, 90, 45, 14
+
+
+def reaction(text: Column) -> tuple[Column, Column]:
+    """(reaction, confidence): the side with more matching patterns, 0.3 for each; ties are neutral with 0.2, none with 0."""
+    count = lambda ps: functools.reduce(operator.add, [text.rlike(p).cast("int") for p in ps])
+    up, down = count(POSITIVE), count(NEGATIVE)
+    kind = F.when(up > down, "reinforced").when(down > up, "corrected").otherwise("neutral")
+    sure = F.when(up == down, F.when(up > 0, 0.2).otherwise(0.0)).otherwise(F.round(F.least(F.lit(1.0), 0.3 * F.greatest(up, down)), 9))
+    return kind, sure
+
+
+def confidence(current: Column, created: Column, observed: Column, now: Column) -> Column:
+    age, span = F.datediff(now, observed), F.greatest(F.lit(0), F.datediff(observed, created))
+    old = F.when(age >= DEEP_STALE, "low").when(age >= STALE, F.when(current == "high", "medium").otherwise("low"))
+    return F.coalesce(old, F.when(span >= STRONG, "high").when(span >= REINFORCED, F.when(current == "high", "high").otherwise("medium")).otherwise(current))
+
+
+def stem(token: Column) -> Column:
+    """Plural endings off: ies to y, es, s after other than s."""
+    n = F.length(token)
+    cut = lambda k: F.substring(token, F.lit(1), n - k)
+    return (
+        F.when((n > 5) & token.endswith("ies"), F.concat(cut(3), F.lit("y")))
+        .when((n > 5) & token.endswith("es"), cut(2))
+        .when((n > 4) & token.endswith("s") & ~token.endswith("ss"), cut(1))
+        .otherwise(token)
+    )
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: split at line ends and after . ! ? before white space, but not after a title."""
+    parts = F.split(text, r"\n|(?<=[.!?])(?<!\b(?:Dr|Mr|Mrs|Ms|Prof)\.)[ \t]+")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def wikilinks(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, target, is_global) of each distinct [[link]], its display text off, in kebab case."""
+    links = rows.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\[\[([^\]\[]+)\]\]"), F.lit(1))).alias("raw"))
+    name = F.trim(F.substring_index("raw", "|", 1))
+    plain = F.regexp_replace(name, "^global:", "")
+    kebab = F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return links.select(key, kebab.alias("target"), name.startswith("global:").alias("is_global")).distinct()
+
+
+def resolve(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links (key, project, target, is_global) to pages (project or null, slug, path): the project's page first, then the global one."""
+    own = pages.where("project is not null").select("project", F.col("slug").alias("target"), F.col("path").alias("own"))
+    shared = pages.where("project is null").select(F.col("slug").alias("target"), F.col("path").alias("shared"))
+    found = links.join(own, ["project", "target"], "left").join(shared, "target", "left")
+    return found.withColumn("path", F.when(F.col("is_global"), F.col("shared")).otherwise(F.coalesce("own", "shared"))).drop("own", "shared")
+
+
+def newest_half(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """The newest half (rounded up) of each group's rows."""
+    w = Window.partitionBy(group)
+    return rows.withColumns({"_i": F.row_number().over(w.orderBy(F.desc(order))), "_n": F.count("*").over(w)}).where("_i <= ceil(_n / 2)").drop("_i", "_n")
+
+
+def similar_names(rows: DataFrame, key: str, words: Column, least: float = 0.3) -> DataFrame:
+    """Pairs (a, b, similarity) by Jaccard similarity of name words: candidates share a word among each side's
+    rarest, by prefix filtering, so that a word of very many rows makes no pairs."""
+    each = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(words)).alias("w"))
+    rarity = each.groupBy("w").agg(F.count("*").alias("df"))
+    sets = each.join(rarity, "w").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
+    n = F.size("ws")
+    rare = sets.select("id", "ws", F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("w"))
+    pairs = rare.alias("x").join(rare.alias("y"), "w").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ws").alias("s"), F.col("y.ws").alias("t")).distinct()
+    alike = F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))
+    return pairs.select("a", "b", F.round(alike, 9).alias("similarity")).where(F.col("similarity") >= least)

@@ -1 +1,39 @@
+"""Queries of change events; the streams themselves are tested in tests/test_streaming.py."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import table
+from ..streaming import changes
+from .registry import query
+
+
+def change_events(spark, d):
+    kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "created").otherwise("updated")
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("wiki/"), F.col("user_id"), F.lit(".md")).alias("path"), kind.alias("kind"), F.sha2("props", 256).alias("checksum"))
+
+
+EVENTS_SQL = "e AS (SELECT event_id AS seq, 'wiki/' || user_id || '.md' AS path, CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'created' ELSE 'updated' END AS kind, sha256(props) AS checksum FROM events)"
+
+
+@query("w2_latest_event", f"WITH {EVENTS_SQL} SELECT path, seq, kind, checksum FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1")
+def w2(spark, d):
+    return changes.latest(change_events(spark, d))
+
+
+@query("w1_index_after_events", f"WITH {EVENTS_SQL} SELECT path, seq, checksum FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE kind <> 'deleted'")
+def w1(spark, d):
+    events = change_events(spark, d)
+    half = changes.apply(changes.empty(spark), events.where("seq % 2 = 0"))
+    return changes.apply(half, events.where("seq % 2 = 1")).where("not gone").select("path", "seq", "checksum")
+
+
+@query("w5_cursor", "SELECT conv_id, turn FROM conversations QUALIFY turn > (max(turn) OVER (PARTITION BY conv_id)) // 2 AND row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 80")
+def w5(spark, d):
+    """Messages after a session's cursor (here half of its turns), the last eighty."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn")
+    cursors = rows.groupBy("conv_id").agg(F.floor(F.max("turn") / 2).alias("cursor"))
+    fresh = rows.join(cursors, "conv_id").where("turn > cursor")
+    return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("_n <= 80").select("conv_id", "turn")
