@@ -94,7 +94,10 @@ def similar_names(rows: DataFrame, key: str, words: Column, least: float = 0.3)
     rarity = each.groupBy("w").agg(F.count("*").alias("df"))
     sets = each.join(rarity, "w").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
     n = F.size("ws")
-    rare = sets.select("id", "ws", F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("w"))
-    pairs = rare.alias("x").join(rare.alias("y"), "w").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ws").alias("s"), F.col("y.ws").alias("t")).distinct()
+    sets = sets.withColumn("head", F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1))
+    rare = sets.select("id", "ws", "head", F.explode("head").alias("w"))
+    # a pair is made at the first word that its heads share, once
+    first = F.element_at(F.array_intersect("x.head", "y.head"), 1) == F.col("w")
+    pairs = rare.alias("x").join(rare.alias("y"), "w").where((F.col("x.id") < F.col("y.id")) & first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ws").alias("s"), F.col("y.ws").alias("t"))
     alike = F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))
     return pairs.select("a", "b", F.round(alike, 9).alias("similarity")).where(F.col("similarity") >= least)

@@ -50,6 +50,14 @@ def m23(spark, d):
     return memory.similar_names(table(spark, d, "part").where("p_size = 7"), "p_partkey", words, 0.5)
 
 
+@query("m23_similar_names_whole", """WITH w AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS s FROM part)
+SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 9) AS similarity FROM w x JOIN w y ON x.id < y.id) WHERE similarity >= 0.3""")
+def m23_whole(spark, d):
+    """Every part at the surveyed similarity; m23_similar_names compares the parts of one size only, as its SQL does."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z0-9]+"), F.lit(0))
+    return memory.similar_names(table(spark, d, "part"), "p_partkey", words)
+
+
 @query("m25_index_lines", C + " SELECT project, string_agg('- ' || path, chr(10) ORDER BY path) AS lines FROM corpus WHERE scope = 'project_memory' GROUP BY project")
 def m25(spark, d):
     lines = F.array_join(F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit("- "), p)), "\n")
@@ -61,6 +69,12 @@ def m9(spark, d):
     return table(spark, d, "conversations").where("text is not null and not text rlike '(Dr|Mr|Mrs|Ms|Prof)[.]'").select("conv_id", "turn", F.size(memory.sentences(F.col("text"))).alias("n"))
 
 
+@query("m9_sentences_whole", "SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\b(Dr|Mr|Mrs|Ms|Prof)\\.', '\\1' || chr(1), 'g'), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n FROM conversations WHERE text IS NOT NULL")
+def m9_whole(spark, d):
+    """Every text; m9_sentences leaves out those with a title of a person, as its SQL does."""
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.size(memory.sentences(F.col("text"))).alias("n"))
+
+
 LINKS_SQL = """l AS (SELECT doc_id, source AS project, unnest(CASE WHEN doc_id % 3 = 0 THEN ['global:Page ' || (doc_id % 7) || '|shown', 'Page ' || (doc_id % 5)] ELSE ['Page ' || (doc_id % 11)] END) AS raw FROM documents)"""
 
 
