@@ -79,6 +79,15 @@ def t20(spark, d):
     return knowledge.title_pairs(rows, "doc_id", "title")
 
 
+@query("t20_title_pairs_whole", f"""WITH e AS (SELECT title AS t, min(chunk_id) AS id FROM (SELECT doc_id AS chunk_id, split_part(text, '.', 1) AS title FROM documents WHERE text IS NOT NULL) GROUP BY 1), g AS (SELECT id, {GRAMS.format('t')} AS g FROM e)
+SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 9) AS similarity FROM g x JOIN g y ON x.id < y.id WHERE len(x.g) > 0 AND len(y.g) > 0
+  AND len(x.g) >= 0.85 * len(y.g) AND len(y.g) >= 0.85 * len(x.g)) WHERE similarity >= 0.85""")
+def t20_whole(spark, d):
+    """Whole titles; t20_title_pairs compares their first 80 characters, as its SQL does."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", ".", 1).alias("title"))
+    return knowledge.title_pairs(rows, "doc_id", "title")
+
+
 def _redacted(text: str, n: int) -> str:
     for _, pattern, replacement in T.REDACTIONS[:n]:
         text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
