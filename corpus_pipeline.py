@@ -18,19 +18,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; null texts and texts without a letter go."""
+    """Documents whose language can be told stay; null texts and texts without a letter go. Where no
+    language was learned (no row has one), every text with a letter stays."""
     model = language_id.fit(docs.where(~language_id.held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     return language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest doc_id stays."""
-    classes = near_dedup.near_duplicates(docs)
-    stay = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows of one id
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.select(*COLUMNS)
+    """Of each near-duplicate class the document with the smallest doc_id stays.
+
+    Different texts under one doc_id are documents of their own; of rows that repeat both,
+    one stays. Rows with a null doc_id are classes of their own and stay.
+    """
+    unnamed = docs.where("doc_id is null").select(*COLUMNS)
+    named = docs.where("doc_id is not null").withColumn("whole", F.coalesce(F.sha2("text", 256), F.lit("")))
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        stay = near_dedup.near_duplicates(named).where("doc_id = class_id").select("doc_id")
+        return named.join(stay, "doc_id", "left_semi").select(*COLUMNS).unionByName(unnamed)
+    # the first text of an id is numbered by the id, its others above all ids
+    texts = cut(named.select("doc_id", "whole").distinct())
+    first = texts.groupBy("doc_id").agg(F.min("whole").alias("whole"))
+    above = texts.agg(F.max("doc_id")).first()[0] + 1
+    others = texts.join(first, ["doc_id", "whole"], "left_anti").withColumn("number", F.lit(above) + F.monotonically_increasing_id())
+    numbered = cut(first.withColumn("number", F.col("doc_id")).unionByName(others))
+    classes = near_dedup.near_duplicates(named.join(numbered, ["doc_id", "whole"]), "number").select(F.col("doc_id").alias("number"), "class_id").distinct()
+    stay = numbered.join(classes, "number").groupBy("class_id").agg(F.min(F.struct("doc_id", "whole")).alias("r")).select("r.*")
+    kept = named.join(stay, ["doc_id", "whole"], "left_semi").groupBy("doc_id", "whole").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return kept.select("doc_id", "r.*").select(*COLUMNS).unionByName(unnamed)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
