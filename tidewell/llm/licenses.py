@@ -116,7 +116,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def identify(sentence: str) -> tuple[str, dict] | None:
     """Identifier of a normalised sentence, with what its pattern captured."""
-    if len(sentence) > 1500 or not any(k in sentence for k in KEYWORDS):
+    if not any(k in sentence for k in KEYWORDS):
         return None
     for name, pattern in _MATCHERS:
         m = pattern.fullmatch(sentence)
@@ -145,7 +145,7 @@ def find_licenses(text: str) -> list[tuple[str, int, int]]:
         return []
     known = []  # (identifier, captures, number of the sentence, start, end)
     for i, (a, b) in enumerate(sentences(text)):
-        if b - a <= 4000 and (got := identify(normalise(text[a:b]))):
+        if got := identify(normalise(text[a:b])):
             known.append((got[0], got[1] | ({"later": "yes"} if got[0] == "gpl-later-name" else {}), i, a, b))
     out, at = [], 0
     while at < len(known):
