@@ -4,8 +4,10 @@ A page is cut into blocks at block-level tags. The first pass decides each block
 itself: boilerplate containers (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) are bad, link-heavy blocks are bad, blocks of an article or main
 element are good, and elsewhere stop-word density and length decide; short blocks and
-blocks of middling density stay open. The second pass gives open blocks the labels of
-their nearest decided neighbours.
+blocks of middling density stay open. Stop words are known of English, French, German
+and Spanish; where none of these reaches the densities on a page, length and link
+density alone decide. The second pass gives open blocks the labels of their nearest
+decided neighbours.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ SHORT, LONG, DENSE, SPARSE, MAX_LINKS = 70, 200, 0.32, 0.20, 0.33
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters of scripts that write a word in one or two; each is as long as three.
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 
 def _is_bad(name: str, attrs: str, in_main: bool) -> bool:
@@ -168,22 +172,38 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, float]]:
     return out
 
 
+def _density(text: str) -> float:
+    """Share of stop words among the words of ``text``."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _size(text: str) -> int:
+    return len(text) + 2 * len(_WIDE.findall(text))
+
+
 def labelled(page: str) -> list[tuple[str, bool]]:
     """(text, kept) of each block."""
     found = blocks(page)
     has_main = any(main and not bad for _, bad, main, _, _ in found)
+    open_blocks = [not (bad or main or has_main or links > MAX_LINKS) for _, bad, main, _, links in found]
+    density = [_density(text) if x and _size(text) >= SHORT else 0.0 for (text, *_), x in zip(found, open_blocks)]
+    weighed = [(_size(text), d) for (text, *_), d, x in zip(found, density, open_blocks) if x and _size(text) >= SHORT]
+    # a page of a listed language: its text has the density on the whole, and some block has that of running text
+    listed = any(d >= DENSE for _, d in weighed) and sum(n * d for n, d in weighed) >= SPARSE * sum(n for n, _ in weighed)
     first: list[str] = []
-    for text, bad, main, heading, links in found:
+    for (text, bad, main, heading, links), d in zip(found, density):
+        size = len(text) if listed else _size(text)
         if bad or (has_main and not main) or links > (0.9 if main else MAX_LINKS):
             first.append("bad")
         elif main:
             first.append("good")
-        elif len(text) < SHORT:
+        elif size < SHORT:
             first.append("heading" if heading else "short" if links == 0 else "bad")
+        elif listed:
+            first.append(("good" if size > LONG else "near") if d >= DENSE else "near" if d >= SPARSE else "bad")
         else:
-            words = _WORD.findall(text.lower())
-            density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-            first.append(("good" if len(text) > LONG else "near") if density >= DENSE else "near" if density >= SPARSE else "bad")
+            first.append("good" if size > LONG else "near")
     n = len(found)
     before, after = ["bad"] * n, ["bad"] * n  # the nearest decided label on each side; the page's ends are bad
     for i in range(1, n):
