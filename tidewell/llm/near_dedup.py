@@ -4,7 +4,9 @@ Each distinct five-word shingle of a text arrives by a Poisson process whose rat
 shingle's weight; each arrival picks one of the signature's registers, and a register
 keeps the shingle that arrives first. A shingle stops once its next arrival is later than
 the last of all registers. The chance that two texts agree in a register is their
-probability Jaccard similarity. Bands of registers give buckets.
+probability Jaccard similarity; every distinct shingle of a text has weight 1 here,
+whatever its count, so that this is the Jaccard similarity of the shingle sets. Bands of
+registers give buckets.
 
 A bucket of any size is spread over many tasks and never paired with itself: its texts
 are compared with a leader; those that no leader resembles meet eight leaders in the next
@@ -177,7 +179,8 @@ def _bands(batches):
     for pdf in batches:
         texts = pdf["_text"]
         for a, b in steps(texts, map(len, texts), 1_000_000):
-            sets = shingle_sets(texts.iloc[a:b].tolist())
+            # each distinct shingle weighs the same: registers then agree with the chance of the Jaccard similarity that _similar verifies
+            sets = [(s, np.ones(len(s), np.int64)) for s, _ in shingle_sets(texts.iloc[a:b].tolist())]
             some = [i for i, (s, _) in enumerate(sets) if len(s)]
             if not some:
                 continue
