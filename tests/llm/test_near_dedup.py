@@ -51,8 +51,8 @@ def test_against_brute_force(spark):
 
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f!")], "doc_id long, text string")
-    got = sorted(((x.doc_id or 0, x.class_id, x.n_links) for x in N.near_duplicates(df).collect()), key=str)
-    assert got == [(0, None, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
+    got = sorted(((x.doc_id or 0, x.class_id, x.copy_of) for x in N.near_duplicates(df).collect()), key=str)
+    assert got == [(0, None, None), (1, 1, 1), (1, 1, 1), (2, 1, 2)]
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -93,3 +93,43 @@ def test_shingles_of_words():
         want = [tuple(w[j : j + n]) for j in range(len(w) - n + 1)] if w else []
         assert len(set(want)) == len(s) and c.sum() == len(want)
         assert (s == s2).all() and (c == c2).all()
+
+
+def near_copies(n, seed):
+    """Copies of one text of 150 words with up to nine words changed: some are links, some are near misses."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for c in range(n):
+        copy = list(base)
+        for _ in range(r.randrange(10)):
+            copy[r.randrange(len(copy))] = f"new{r.randrange(10**9)}"
+        out.append((c, " ".join(copy)))
+    return out
+
+
+def test_hot_group(spark):
+    """One large group: classes as by all pairs, but for what no band can find, and comparisons that grow with the rows."""
+    compared = {}
+    for n in (150, 600):
+        rows = near_copies(n, n)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        seen, before = [], N.verified
+        N.verified = lambda pairs, texts: seen.append(pairs.distinct().count()) or before(pairs, texts)
+        try:
+            got = {(x.doc_id, x.class_id) for x in N.near_duplicates(df).collect()}
+        finally:
+            N.verified = before
+        want = classes(rows)
+        assert len(got & want) >= 0.99 * len(want)
+        compared[n] = sum(seen)
+    assert compared[600] < 6 * compared[150]
+
+
+def test_recall_on_whole_documents(spark):
+    """Against all pairs of the documents at sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = classes([tuple(x) for x in docs.collect()])
+    got = {(x.doc_id, x.class_id) for x in N.near_duplicates(docs).collect()}
+    copies = {x for x in want if x[0] != x[1]}
+    assert len(copies) > 20 and len(copies & got) >= 0.9 * len(copies) and len(want & got) >= 0.99 * len(want)

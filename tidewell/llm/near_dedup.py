@@ -8,14 +8,15 @@ probability Jaccard similarity; every distinct shingle of a text has weight 1 he
 whatever its count, so that this is the Jaccard similarity of the shingle sets. Bands of
 registers give buckets.
 
-A bucket of any size is spread over many tasks and never paired with itself: its texts
-are compared with a leader; those that no leader resembles meet eight leaders in the next
-round, then sixty-four, and so on until none is left. Signatures of a byte a register tell
-which comparisons can matter (LEAST is seven standard errors below the threshold); those
-are made with the texts, and links count only if the exact Jaccard similarity of the
-shingle sets reaches the threshold. Texts near a leader's border that ended in another
-class are at last compared with that leader's group, as far as the triangle inequality
-of the Jaccard distance allows a link.
+A bucket of any size is spread over many tasks and never paired with itself. Its texts
+are compared with its leader; exact Jaccard similarities that reach the threshold are
+links, and what links connect needs no further comparison. Where a bucket still holds
+several components, each text outside the largest is compared with those that could
+still be linked to it. Three bounds, all exact, say which could: a text shares no more
+shingles than those that some other text of the open buckets has too; similar texts have
+similar sizes; and by the triangle inequality of the Jaccard distance both are about as
+far from the leader. Every candidate pair is thus verified, known to be connected, or
+proved to be below the threshold.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ from .common import cut, null_safe_text, steps
 WORDS, THRESHOLD = 5, 0.8
 #: At similarity 0.8, one pair in 38,000 shares none of 20 bands of four registers.
 BANDS, ROWS = 20, 4
-#: Share of agreeing registers from which two texts are compared, and the similarity that still matters for a group's border.
-LEAST, BORDER = 0.4, 2 * THRESHOLD - 1
-#: Characters of one text that are hashed at once; bounds a worker's memory.
-PIECE = 1_000_000
+#: Characters of one text that are hashed at once, and shingles that a worker keeps; bound its memory.
+PIECE, KEPT = 1_000_000, 2_000_000
+#: Rounding that a bound must allow for.
+EPS = 1e-9
 _BREAK = re.compile(r"\W")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,7 +175,7 @@ def _patient(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.nd
 
 
 def _bands(batches):
-    """id and _text -> id, bands (array<long>) and sig (a byte of each register); texts without words give no row."""
+    """id and _text -> id, bands (array<long>) and size (distinct shingles); texts without words give no row."""
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for pdf in batches:
         texts = pdf["_text"]
@@ -184,13 +185,20 @@ def _bands(batches):
             some = [i for i, (s, _) in enumerate(sets) if len(s)]
             if not some:
                 continue
-            sig = signatures([sets[i] for i in some], BANDS * ROWS)
-            short = (sig & np.uint64(255)).astype(np.uint8)
-            sig = sig.reshape(len(some), BANDS, ROWS)
+            sig = signatures([sets[i] for i in some], BANDS * ROWS).reshape(len(some), BANDS, ROWS)
             h = np.broadcast_to(salt, (len(some), BANDS))
             for r in range(ROWS):
                 h = mix(h * _GOLD + sig[:, :, r])
-            yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy()[some], "bands": list(h.astype(np.int64)), "sig": [x.tobytes() for x in short]})
+            yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy()[some], "bands": list(h.astype(np.int64)), "size": [len(sets[i][0]) for i in some]})
+
+
+def _shingle_rows(batches):
+    """id and _text -> id and shingle, a row for each distinct shingle."""
+    for pdf in batches:
+        texts = pdf["_text"]
+        for a, b in steps(texts, map(len, texts), 1_000_000):
+            sets = [s for s, _ in shingle_sets(texts.iloc[a:b].tolist())]
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].iloc[a:b].to_numpy(), [len(s) for s in sets]), "shingle": np.concatenate(sets).view(np.int64)})
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -203,36 +211,27 @@ def _similar(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _plausible(batches):
-    for pdf in batches:
-        side = [np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), -1) for c in ("sig_a", "sig_b")]
-        yield pdf.loc[(side[0] == side[1]).mean(axis=1) >= LEAST, ["a", "b"]]
-
-
 def _verify(batches):
     last: dict[int, np.ndarray] = {}
+    held = 0
     for pdf in batches:
         out = []
         for a, b, t, u in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
+            if held > KEPT:
+                last, held = {}, 0
             for i, text in ((a, t), (b, u)):
                 if i not in last:
-                    if len(last) > 200:
-                        last.clear()
                     last[i] = shingles(text)[0]
-            x = last[a] if a in last else shingles(t)[0]
-            out.append((a, b, _similar(x, last[b])))
+                    held += len(last[i])
+            out.append((a, b, _similar(last[a], last[b])))
         yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
-def verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the distinct pairs whose signatures are near enough, by their texts' shingle sets."""
-    side = lambda df, x, value, name: df.select(F.col("id").alias(x), F.col(value).alias(f"{name}_{x}"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the distinct pairs, a > b, by their texts' shingle sets."""
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for x in "ab":
-        pairs = pairs.join(side(signs, x, "sig", "sig"), x)
-    pairs = pairs.mapInPandas(_plausible, "a long, b long")
-    for x in "ab":
-        pairs = pairs.join(side(texts, x, "_text", "text"), x)
+        pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")), x)
     return pairs.mapInPandas(_verify, "a long, b long, similarity double")
 
 
@@ -257,71 +256,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def still_open(pairs: DataFrame, sims: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, a, leader_s, label, minor) of the members, besides the leader, of buckets where these have
+    several components; minor: not of the bucket's most frequent one."""
+    beside = pairs.where("a <> leader").join(sims.select("a", F.col("b").alias("leader"), F.col("similarity").alias("leader_s")), ["a", "leader"]).drop("leader")
+    beside = beside.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    mixed = beside.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    beside = beside.join(mixed, "band")
+    most = beside.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    return beside.join(most, "band").select("band", "a", "leader_s", "label", (F.col("label") != F.col("most")).alias("minor"))
+
+
+def could_link(rest: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components within the buckets of ``rest`` that the bounds leave.
+
+    Similar texts x, y share at least t / (1 + t) (|x| + |y|) shingles, and no more than x
+    has that other texts have too: |y| is at most reach(x) = (|x| - (1 + t) alone(x)) / t.
+    """
+    some = texts.join(rest.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "_text")
+    once = some.mapInPandas(_shingle_rows, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n = 1")
+    alone = once.groupBy("a").agg(F.count("*").alias("alone"))
+    reach = (F.col("size") - (1 + threshold) * F.coalesce("alone", F.lit(0))) / threshold + EPS
+    known = rest.join(sizes.select(F.col("id").alias("a"), "size"), "a").join(alone, "a", "left").withColumn("reach", reach).drop("alone")
+    # a text whose reach is below all sizes of its bucket, or whose size is above all reaches, can be linked to none there
+    ends = known.groupBy("band").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
+    known = cut(known.join(ends, "band").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("most"))).drop("least", "most"))
+    x, y = (known.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("a", "leader_s", "label", "minor", "size", "reach")]) for s in "xy")
+    pairs = x.where("minor_x").join(y, "band").where((F.col("label_x") != F.col("label_y")) & (F.col("size_x") <= F.col("reach_y")) & (F.col("size_y") <= F.col("reach_x")))
+    pairs = pairs.where((F.abs(F.col("leader_s_x") - F.col("leader_s_y")) <= 1 - threshold + EPS) & ~(F.col("minor_y") & (F.col("a_x") < F.col("a_y"))))
+    return pairs.select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
+
+
 def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) between the texts of ``rows`` (id, _text) whose id is in ``ids``, and
-    the component labels of the linked. Rows that repeat an id count with their smallest text."""
-    signed = cut(rows.mapInPandas(_bands, "id long, bands array<long>, sig binary").join(ids, "id", "left_semi"))
-    signs = signed.groupBy("id").agg(F.min("sig").alias("sig"))
+    """Links (a, b, similarity) that connect each component of the texts of ``rows`` (id, _text) whose id is in
+    ``ids``, and the component labels of the linked. Rows that repeat an id count with their smallest text."""
+    signed = cut(rows.mapInPandas(_bands, "id long, bands array<long>, size long").join(ids, "id", "left_semi"))
     bands = signed.select(F.col("id").alias("a"), F.explode("bands").alias("band"))
-    crowded = bands.groupBy("band").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("band")
-    waiting = cut(bands.join(crowded, "band").distinct())
-    texts = cut(rows.join(waiting.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("_text").alias("_text")))
-    signs = cut(signs.join(texts.select("id"), "id", "left_semi"))
-    rounds: list[DataFrame] = []
-    leaders = 1
-    while not waiting.isEmpty():
-        # the smallest id of each of so many parts of a bucket leads
-        lead = waiting.groupBy("band", F.pmod(F.xxhash64("a"), F.lit(leaders)).alias("part")).agg(F.min("a").alias("leader")).drop("part")
-        pairs = cut(waiting.join(lead, "band").select("band", "a", "leader"))
-        fresh = verified(pairs.where("a <> leader").select("a", F.col("leader").alias("b")), signs, texts)
-        fresh = fresh.select("a", F.col("b").alias("leader"), "similarity").union(fresh.select("b", "a", "similarity"))
-        scored = cut(pairs.join(fresh, ["a", "leader"], "left"))
-        rounds.append(scored.where(F.col("similarity") >= BORDER - 1e-9))
-        settled = F.bool_or((F.col("a") == F.col("leader")) | F.coalesce(F.col("similarity") >= threshold, F.lit(False)))
-        waiting = scored.groupBy("band", "a").agg(settled.alias("settled")).where("not settled").drop("settled")
-        leaders *= 8
-    none = rows.sparkSession.createDataFrame([], "a long, leader long, band long, similarity double")
-    groups = functools.reduce(DataFrame.union, rounds, none)
-    strong = groups.where(F.col("similarity") >= threshold)
-    links = cut(strong.select(F.greatest("a", "leader").alias("a"), F.least("a", "leader").alias("b"), "similarity").distinct())
-    if links.isEmpty():
-        return links, links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    lead = bands.groupBy("band").agg(F.min("a").alias("leader"), F.max("a").alias("most")).where("leader <> most").drop("most")
+    pairs = cut(bands.join(lead, "band").distinct())
+    texts = cut(rows.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("_text").alias("_text")))
+    sims = cut(verified(pairs.where("a <> leader").select("a", F.col("leader").alias("b")), texts))
+    links = sims.where(F.col("similarity") >= threshold)
     labels = components(links)
-    # d(a, b) >= |d(a, leader) - d(b, leader)|: only these can still be linked across a group's border
-    label = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
-    members = groups.where(F.col("similarity") >= threshold).select("band", "leader", F.col("a").alias("m"), F.col("similarity").alias("m_s")).join(label("m"), "m", "left")
-    border = groups.where(F.col("similarity") < threshold).select("band", "leader", F.col("a").alias("x"), F.col("similarity").alias("x_s")).join(label("x"), "x", "left")
-    apart = F.coalesce("x_label", "x") != F.coalesce("m_label", "m")
-    across = border.join(members, ["band", "leader"]).where(apart & (F.col("m_s") - F.col("x_s") <= 1 - threshold + 1e-9))
-    late = cut(verified(across.select(F.col("x").alias("a"), F.col("m").alias("b")), signs, texts).where(F.col("similarity") >= threshold))
+    rest = cut(still_open(pairs, sims, labels))
+    if rest.isEmpty():
+        return links, labels
+    sizes = signed.groupBy("id").agg(F.min("size").alias("size"))
+    late = cut(verified(could_link(rest, texts, sizes, threshold), texts).where(F.col("similarity") >= threshold))
     if late.isEmpty():
         return links, labels
     # the late links join components: only the components' labels are labelled again
     named = late
     for x in "ab":
-        named = named.join(label(x), x, "left").withColumn(x, F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
+        named = named.join(labels.select(F.col("id").alias(x), "label"), x, "left").withColumn(x, F.coalesce("label", x)).drop("label")
     joined = components(named).withColumnRenamed("label", "joined")
     known = labels.join(joined.select(F.col("id").alias("label"), "joined"), "label", "left").select("id", F.coalesce("joined", "label").alias("label"))
-    return cut(links.union(late).distinct()), cut(known.union(joined.join(labels.select("id"), "id", "left_anti")))
+    return links.union(late), cut(known.union(joined.join(labels.select("id"), "id", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class), copy_of
-    (the smallest doc_id with the same text), and n_links (links of its text to other texts).
+    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class) and copy_of
+    (the smallest doc_id with the same text).
 
     Equal texts are one text with the smallest of their ids; only distinct texts are
     compared. Texts without a word, and nulls, are classes of their own, and so are rows
-    with a null doc_id (class null). A class is what links connect.
+    with a null doc_id (class null). A class is what links connect. Rows that share a
+    doc_id but not a text are compared by their smallest text.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), null_safe_text(text).alias("_text"))
     keyed = rows.select("doc_id", F.sha2("_text", 256).alias("key"), F.col("_text").rlike(r"[\p{L}\p{N}_]").alias("wordy"))
-    copies = keyed.where("wordy and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"))
-    member = cut(keyed.join(copies, "key", "left").select("doc_id", F.when(F.col("wordy"), F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of")))
+    # only texts of several ids need a first one; a very frequent text is spread by salt
+    salts = 16
+    copies = keyed.where("wordy and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    copies = copies.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    member = keyed.join(copies, ["key", "salt"], "left").select("doc_id", F.when(F.col("wordy"), F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("copy_of"))
+    member = cut(member)
     firsts = member.where("copy_of = doc_id").select(F.col("doc_id").alias("id")).distinct()
-    links, labels = near_links(rows.where("doc_id is not null").withColumnRenamed("doc_id", "id"), firsts, threshold)
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
-    found = member.join(labels.select(F.col("id").alias("copy_of"), "label"), "copy_of", "left").join(degree, "copy_of", "left")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "copy_of")).alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    _, labels = near_links(rows.where("doc_id is not null").withColumnRenamed("doc_id", "id"), firsts, threshold)
+    found = member.join(labels.select(F.col("id").alias("copy_of"), "label"), "copy_of", "left")
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "copy_of")).alias("class_id"), "copy_of")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
