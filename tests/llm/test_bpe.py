@@ -26,18 +26,35 @@ def test_equals_the_library(both):
     for t in texts:
         ids = library.encode_ordinary(t)
         assert codec.encode(t) == struct.pack(f"<{len(ids)}I", *ids), t[:80]
-        assert "".join(codec.decode(codec.encode(t), chunk=3)) == t
+        assert "".join(codec.decode(codec.parts(t), chunk=3)) == t
 
 
 def test_segments_and_resets(both, monkeypatch):
     codec, library = both
     text = "The quick brown fox isn't, as 12 say, über  alles \n\n" * 40
     ids = library.encode_ordinary(text)
-    for name, value in (("SEGMENT", 37), ("MAX_STATES", 50), ("MAX_PIECES", 5), ("MAX_PAIRS", 10)):
+    for name, value in (("SEGMENT", 37), ("MAX_STATES", 50), ("MAX_PIECES", 5), ("MAX_PAIRS", 10), ("MAX_EDGES", 10), ("MAX_MOVES", 70), ("KEPT_PIECE", 3)):
         monkeypatch.setattr(B, name, value)
     assert B.Codec(PATH, P.PATTERN).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_tokens_are_emitted_after_bounded_lookahead(both, monkeypatch):
+    """Within one long piece too, and with states that are forgotten on the way."""
+    codec, library = both
+    r = random.Random(3)
+    for name, value in (("LOOKAHEAD", 16), ("MAX_STATES", 40)):
+        monkeypatch.setattr(B, name, value)
+    t = codec.transducer
+    longest = max(t.sizes.values())
+    for piece in ("a" * 3000, "".join(r.choice("etaoinshr") for _ in range(3000)), "漢字仮名" * 500, "é" * 1000, "ab" * 1500):
+        data, out, read = piece.encode(), [], 0
+        for part in t.emit(data):
+            out += part
+            read += 16
+            assert sum(t.sizes[i] for i in out) >= min(read, len(data)) - 2 * longest
+        assert out == library.encode_ordinary(piece) and len(t.live) <= 40 + 17
+
+
 def test_utf8_stream():
     data = "aé漢🙂".encode() * 3
     for size in (1, 2, 3, 5):

@@ -5,8 +5,10 @@ as they are when they are merged alone. Encoding is thus a walk of a nondetermin
 transducer whose states are (last token, bytes read since); a token is completed where
 its bytes are read and it may follow the last one. The subset construction runs lazily,
 a state for each set of live hypotheses, and a transition tells the one token that can
-end there; no hypothesis lives longer than the longest token, so lookahead is bounded.
-States and transitions are kept and shared by all texts of a worker.
+end there. Tokens before the place where all live hypotheses part are certain and are
+emitted after every LOOKAHEAD bytes of a piece, so that only the open end is held. No
+hypothesis lives longer than the longest token. States and transitions are kept and
+shared by all texts of a worker, up to stated numbers.
 
 Decoding maps ids to bytes and feeds them to an incremental UTF-8 state machine that
 holds back an incomplete character until its rest arrives.
@@ -19,6 +21,8 @@ import functools
 import hashlib
 import re
 import struct
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,10 +30,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text
+from .common import null_safe_text, steps
 
-#: Bounds of a worker's memory: states of the transducer, pairs of tokens and pieces whose ids are kept; code points of a segment.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, SEGMENT = 250_000, 400_000, 400_000, 1_000_000
+#: Bounds of a worker's memory: states of the transducer, its transitions, pairs and edges of tokens, and pieces whose ids are kept;
+#: code points of a piece that is kept, of a segment, and of the texts that are encoded before rows are passed on.
+MAX_STATES, MAX_MOVES, MAX_PAIRS, MAX_EDGES, MAX_PIECES = 160_000, 400_000, 300_000, 60_000, 400_000
+KEPT_PIECE, SEGMENT, STEP = 64, 1_000_000, 4_000_000
+#: Bytes of a piece after which tokens that are certain are emitted.
+LOOKAHEAD = 512
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,11 +70,14 @@ class Transducer:
         self.edges: dict[tuple[bytes, int], tuple] = {}
         self._reset()
 
-    def _reset(self) -> None:
+    def _reset(self, state: int = 0) -> int:
+        """Forget all states but the first and ``state``, whose new number is returned."""
+        known = self.live[state] if state else ()
         self.numbers: dict[tuple, int] = {}
         self.live: list[tuple] = []
         self.moves: dict[int, int] = {}
         self._state((b"", -1, 0))
+        return self._state(known) if known else 0
 
     def _state(self, live: tuple) -> int:
         got = self.numbers.get(live)
@@ -89,6 +100,8 @@ class Transducer:
                     chain = None
                     break
                 until, cur = self.ranks[cur], two[side]
+            if len(self.edges) > MAX_EDGES:
+                self.edges.clear()
             self.edges[key] = chain
         return self.edges[key]
 
@@ -136,32 +149,48 @@ class Transducer:
         self.moves[state << 8 | byte[0]] = move = to << 20 | ended
         return move
 
-    def encode(self, piece: bytes) -> bytes:
-        """The ids of one piece as little-endian unsigned 32-bit integers.
+    def emit(self, piece: bytes) -> Iterator[list[int]]:
+        """The ids of one piece, in parts: a part is emitted once it is certain, at most LOOKAHEAD bytes and the open end later.
 
-        Every prefix has one encoding; a transition tells its last token. A token is
-        certain once no live hypothesis began before its end, so the walk emits it at
-        most the longest token's length later (here: by stepping back from the end).
+        Every prefix has one encoding; a transition tells its last token. The encodings of
+        the places where live hypotheses began are one up to where they part.
         """
+        state, ends = 0, []
+        for at in range(0, len(piece), LOOKAHEAD):
+            if len(self.live) > MAX_STATES or len(self.moves) > MAX_MOVES:
+                state = self._reset(state)
+            moves = self.moves
+            for byte in piece[at : at + LOOKAHEAD]:
+                move = moves.get(state << 8 | byte)
+                if move is None:
+                    move = self._step(state, bytes((byte,)))
+                state = move >> 20
+                ends.append(move & 0xFFFFF)
+            sure = len(ends) if at + LOOKAHEAD >= len(piece) else self._parting(state, ends)
+            out, i, sizes = [], sure, self.sizes
+            while i:
+                token = ends[i - 1]
+                out.append(token)
+                i -= sizes[token]
+            del ends[:sure]
+            out.reverse()
+            yield out
+
+    def _parting(self, state: int, ends: list[int]) -> int:
+        """The last place that the encodings of all live hypotheses share."""
+        starts = {len(ends) - size for size in self.live[state][2::2]}
+        while len(starts) > 1:
+            last = max(starts)
+            starts.remove(last)
+            starts.add(last - self.sizes[ends[last - 1]])
+        return starts.pop()
+
+    def encode(self, piece: bytes) -> bytes:
+        """The ids of one piece as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return struct.pack("<I", whole)
-        if len(self.live) > MAX_STATES:
-            self._reset()
-        state, ends, moves = 0, [], self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = self._step(state, bytes((byte,)))
-            state = move >> 20
-            ends.append(move & 0xFFFFF)
-        out, at, sizes = [], len(ends), self.sizes
-        while at:
-            token = ends[at - 1]
-            out.append(token)
-            at -= sizes[token]
-        out.reverse()
-        return struct.pack(f"<{len(out)}I", *out)
+        return b"".join([struct.pack(f"<{len(part)}I", *part) for part in self.emit(piece)])
 
 
 class Utf8Stream:
@@ -214,9 +243,11 @@ class _Pieces(dict):
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MAX_PIECES:
-            self.clear()
-        got = self[piece] = self.transducer.encode(piece.encode())
+        got = self.transducer.encode(piece.encode())
+        if len(piece) <= KEPT_PIECE:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = got
         return got
 
 
@@ -239,16 +270,23 @@ class Codec:
             at = m.end()
         yield text[at:] if at else text
 
+    def parts(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, in parts of some pieces."""
+        for segment in self.segments(text):
+            pieces = (m[0] for m in self.pattern.finditer(segment)) if len(segment) > 2 * SEGMENT else iter(self.pattern.findall(segment))
+            while part := list(islice(pieces, 1 << 16)):
+                yield b"".join(map(self.pieces.__getitem__, part))
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join([b"".join(map(self.pieces.__getitem__, self.pattern.findall(s))) for s in self.segments(text)])
+        return b"".join(self.parts(text))
 
-    def decode(self, ids: bytes, chunk: int = 4096):
+    def decode(self, parts: Iterable[bytes], chunk: int = 4096) -> Iterator[str]:
         """The text of packed ids, in parts."""
         stream, table = Utf8Stream(), self.table
-        for at in range(0, len(ids), 4 * chunk):
-            part = np.frombuffer(ids[at : at + 4 * chunk], dtype="<u4").tolist()
-            yield stream.feed(b"".join([table[i] for i in part]))
+        for ids in parts:
+            for at in range(0, len(ids), 4 * chunk):
+                part = np.frombuffer(ids[at : at + 4 * chunk], dtype="<u4").tolist()
+                yield stream.feed(b"".join([table[i] for i in part]))
         yield stream.feed(b"", final=True)
 
 
@@ -268,17 +306,29 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids:
     docs = docs.drop("_bpe", *names)
     keep = [f for f in docs.schema.fields]
 
+    def row(c: Codec, text: str) -> tuple:
+        n, forth, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
+
+        def seen(parts):
+            nonlocal n
+            for part in parts:
+                n += len(part) // 4
+                forth.update(part)
+                if with_ids:
+                    held.append(part)
+                yield part
+
+        for part in c.decode(seen(c.parts(text))):
+            back.update(part.encode())
+        return (n, forth.hexdigest(), back.hexdigest(), *([b"".join(held)] if with_ids else []))
+
     def run(batches):
         c = codec(path, pattern)
         for pdf in batches:
-            out = []
-            for t in pdf["_bpe"]:
-                ids = c.encode(t)
-                back = hashlib.sha256()
-                for part in c.decode(ids):
-                    back.update(part.encode())
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest(), *([ids] if with_ids else [])))
-            yield pd.concat([pdf.drop(columns="_bpe"), pd.DataFrame(out, columns=names, index=pdf.index)], axis=1)
+            rest = pdf.drop(columns="_bpe")
+            for a, b in steps(pdf["_bpe"], map(len, pdf["_bpe"]), STEP):
+                out = [row(c, t) for t in pdf["_bpe"].iloc[a:b]]
+                yield pd.concat([rest.iloc[a:b], pd.DataFrame(out, columns=names, index=pdf.index[a:b])], axis=1)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), added])
     return docs.withColumn("_bpe", null_safe_text(text)).mapInPandas(run, schema)
