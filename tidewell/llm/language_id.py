@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 from .common import null_safe_text, steps
 
-#: Bound of the labelled sample, in rows for each language, and of the contexts of three bytes that are kept (the most frequent).
-SAMPLE_ROWS, MAX_CONTEXTS = 400, 40_000
+#: Bound of the labelled sample, in rows for each language.
+SAMPLE_ROWS = 400
 UNDETERMINED = "und"
 _START = b"\n\n\n"  # a text begins as if after line ends
 
@@ -32,8 +32,9 @@ _START = b"\n\n\n"  # a text begins as if after line ends
 class Model:
     """Frozen statistics: languages, the class of each byte, the row of each three-byte context, and cost[row, class, language] in bits."""
 
-    def __init__(self, counts: pd.DataFrame, max_contexts: int = MAX_CONTEXTS):
-        """counts: lang, code (four bytes as a number) and n."""
+    def __init__(self, counts: pd.DataFrame, max_contexts: int | None = None):
+        """counts: lang, code (four bytes as a number) and n. All contexts of the sample are kept; ``max_contexts``,
+        for samples of very many languages, keeps only so many contexts of three bytes, the most frequent."""
         self.languages = sorted(counts["lang"].unique())
         n_l = len(self.languages)
         if not n_l:
@@ -123,7 +124,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str
     # first a share of each language that holds three times the rows wanted, then the rows by rank
     share = known.groupBy("lang").agg((F.lit(3.0 * rows) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(11), F.col("key")), F.lit(1 << 30))
-    near = known.withColumn("draw", draw).join(share, "lang").where(F.col("draw") < F.col("share") * float(1 << 30))
+    # share has one row a language, as the model has; broadcast, it filters within the scan, and only about 3 * rows texts of a language are moved
+    near = known.withColumn("draw", draw).join(F.broadcast(share), "lang").where(F.col("draw") < F.col("share") * float(1 << 30))
     best = Window.partitionBy("lang").orderBy("draw", "key", F.xxhash64("_text"))
     sample = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rows).select("lang", "_text")
     counts = sample.mapInPandas(fourgrams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -140,7 +142,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample and MAX_CONTEXTS
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
 
     def run(batches):
         m: Model = pickle.loads(shared.value)
