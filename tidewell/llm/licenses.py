@@ -2,7 +2,9 @@
 
 A text is cut into sentences; each is normalised and mapped to the identifier of a known
 licence sentence, or to none. Ordered rules are sequences of identifiers; at each place
-the first rule that matches is taken and its sentences are used up.
+of the identifier sequence the first rule that matches is taken and its sentences are
+used up. Sentences may be of any length. Identifiers of SPDX lines keep their case, and
+each licence of an expression counts.
 """
 
 from __future__ import annotations
@@ -15,93 +17,205 @@ from pyspark.sql import functions as F
 
 from .common import null_safe_text
 
-#: Licence sentences as normalised by normalise(), as patterns; the first that matches whole names the sentence.
+#: Known licence sentences as normalised by normalise(), '…' for any words; the first that matches whole names the sentence.
 SENTENCES = [
-    ("copyright", r"(copyright|portions copyright)( c)?( \d{4})?.{0,200}"),
-    ("all-rights", r"all rights reserved"),
-    ("spdx", r"spdx license identifier (?P<spdx>[a-z]+( [a-z]{2})?( [0-9.]+)?( clause| only| or later)?)( .*)?"),
-    ("mit-name", r"(released|licensed|distributed|available|this (work|software|project) is (released|licensed)) under the (terms of the )?mit license"),
-    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction.*"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("as-is-mit", r"the software is provided as is without warranty of any kind.*"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("as-is-isc", r"the software is provided as is and the author disclaims all warranties.*"),
-    ("bsd-intro", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-source", r"(1 )?redistributions of source code must retain the above copyright notice.*"),
-    ("bsd-binary", r"(2 )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("bsd-endorse", r"(3 )?neither the name of .{1,120} may be used to endorse or promote products.*"),
-    ("as-is-bsd", r"this software is provided by the copyright holders and contributors as is.*"),
-    ("bsd-name", r"(released|licensed|distributed) under the (bsd (?P<bsd>[23]) clause|(?P<bsdword>simplified|new|revised) bsd)( license)?"),
-    ("apache-name", r"(this (work|software|file|project) is )?(licensed|released|distributed) under the (terms of the )?apache license( version)? 2\.0( the license)?"),
-    ("apache-use", r"you may not use this file except in compliance with the license"),
-    ("apache-copy", r"you may obtain a copy of the license at.*"),
-    ("apache-as-is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("gpl-name", r"(this (work|program|software|project) is )?(licensed|released|distributed) under the (terms of the )?gnu (?P<kind>lesser |affero )?general public license( as published by the free software foundation)? (v|version )?(?P<version>[123])(\.[01])?( only)?"),
-    ("gpl-later-name", r"(this (work|program|software|project) is )?(licensed|released|distributed) under the (terms of the )?gnu (?P<kind>lesser |affero )?general public license( as published by the free software foundation)? (either )?(v|version )?(?P<version>[123])(\.[01])?( of the license)? or (at your option )?(any )?later( version)?"),
-    ("gpl-free", r".{0,80}is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>lesser |affero )?general public license as published by the free software foundation (either version|version) (?P<version>[123])(\.[01])? of the license (?P<later>or at your option any later version)?.*"),
-    ("gpl-hope", r".{0,80}is distributed in the hope that it will be useful but without any warranty.*"),
-    ("gpl-copy", r"(you should have received|see) .{0,60}gnu (lesser |affero )?general public license.*"),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public license v(ersion)? 2\.0"),
-    ("cc", r"(this (work|text|page|article) is )?(licensed|released|available|distributed) under (a |the )?(creative commons|cc) (?P<cc>by( nc)?( nd| sa)?|attribution( noncommercial)?( noderivatives| sharealike)?)( license)?( version)? (?P<ccv>[1-4]\.0)( international| unported)?( license)?"),
-    ("cc0", r".{0,80}(under )?(the )?(cc0|creative commons zero)( 1\.0)?( universal)?( license| public domain dedication)?"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and…"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all…"),
+    ("as-is-mit", "the software is provided as is without warranty of any kind…"),
+    ("x11-name", "except as contained in this notice the name of…shall not be used in advertising…"),
+    ("boost-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation…"),
+    ("font-grant", "permission is hereby granted free of charge to any person obtaining a copy of the font software…"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice…"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice…"),
+    ("0bsd-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted…"),
+    ("postgres-grant", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted…"),
+    ("hpnd-grant", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted…"),
+    ("as-is-isc", "the software is provided as is and the author disclaims all warranties…"),
+    ("bsd-intro", "…redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice…"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice…"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement…"),
+    ("bsd-endorse", "neither the name of…may be used to endorse or promote products…"),
+    ("bsd-endorse", "neither the names of…may be used to endorse or promote products…"),
+    ("bsd-endorse", "the name of the author may not be used to endorse or promote products…"),
+    ("as-is-bsd", "this software is provided by…as is…"),
+    ("ncsa-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction…"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely…"),
+    ("zlib-origin", "the origin of this software must not be misrepresented…"),
+    ("zlib-altered", "altered source versions must be plainly marked as such…"),
+    ("zlib-notice", "this notice may not be removed or altered from any source distribution"),
+    ("apache-use", "you may not use this file except in compliance with the license"),
+    ("apache-copy", "you may obtain a copy of the license at…"),
+    ("apache-as-is", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis…"),
+    ("gpl-hope", "…distributed in the hope that it will be useful but without any warranty…"),
+    ("gpl-copy", "you should have received a copy of the gnu…general public license…"),
+    ("mpl-1.1-header", "the contents of this file are subject to the mozilla public license version 1.1…"),
+    ("mpl-2.0-header", "this source code form is subject to the terms of the mozilla public license v…2.0…"),
+    ("epl-1.0-header", "…made available under the terms of the eclipse public license v1.0…"),
+    ("epl-2.0-header", "…made available under the terms of the eclipse public license…2.0…"),
+    ("cddl-header", "the contents of this file are subject to the terms of the common development and distribution license…"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "anyone is free to copy modify publish use compile sell or distribute this software…"),
+    ("cc0-waiver", "to the extent possible under law…waived all copyright and related or neighboring rights…"),
+    ("wtfpl", "…you just do what the fuck you want to"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("ms-pl", "this license governs use of the accompanying software"),
+    ("all-rights", "all rights reserved"),
+    ("copyright-all-rights", "copyright…all rights reserved"),
+    ("copyright", "copyright…"),
+    ("copyright", "portions copyright…"),
 ]
 
-#: The rules, in their order; longer sequences stand before their parts.
+#: Names of licences as normalised by normalise() and their identifiers; {v} is a version.
+NAMES = [
+    (r"(?:gnu )?(?:(?P<kind>lesser|library|affero) )?(?:gnu )?general public license(?: as published by the free software foundation)?(?: a?l?gpl)?(?:(?: either)? (?:version|v) ?(?P<v1>[123](?:\.[01])?)| ?v?(?P<v2>[123](?:\.[01])?)\b)?(?: of the license)?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?(?P<only> only)?", "gpl"),
+    (r"(?P<short>a|l)?gpl ?(?:version |v)?(?P<v3>[123](?:\.[01])?)(?P<plus>\+| or (?:any )?later(?: version)?)?", "gpl"),
+    (r"apache(?: software)?(?: license)?,?(?: version| v)? ?(?P<va>2\.0|1\.1|1\.0|2)(?: license)?", "Apache-{v}"),
+    (r"mozilla public license(?: version| v)? ?(?P<vm>[12]\.[01])", "MPL-{v}"),
+    (r"mpl ?(?:v|version )?(?P<vm2>[12]\.[01])", "MPL-{v}"),
+    (r"eclipse public license(?: version| v)? ?(?P<ve>[12]\.0)", "EPL-{v}"),
+    (r"eclipse distribution license(?: version| v)? ?1\.0", "BSD-3-Clause"),
+    (r"european union public license(?: version| v)? ?(?P<vu>1\.[012])", "EUPL-{v}"),
+    (r"common development and distribution license(?: version| v)? ?(?P<vc>1\.[01])", "CDDL-{v}"),
+    (r"(?:perl )?artistic license(?: version| v)? ?(?P<vr>[12]\.0)", "Artistic-{v}"),
+    (r"academic free license(?: version| v)? ?(?P<vf>[123]\.[012])", "AFL-{v}"),
+    (r"open software license(?: version| v)? ?(?P<vo>[123]\.[01])", "OSL-{v}"),
+    (r"sil open font license(?: version| v)? ?(?P<vs>1\.[01])", "OFL-{v}"),
+    (r"boost software license(?: version| v)?(?: ?1\.0)?", "BSL-1.0"),
+    (r"business source license(?: version| v)?(?: ?1\.1)?", "BUSL-1.1"),
+    (r"server side public license(?: version| v)?(?: ?1)?", "SSPL-1.0"),
+    (r"(?:open database license|odbl)(?: version| v)?(?: ?1\.0)?", "ODbL-1.0"),
+    (r"python software foundation license(?: version| v)?(?: ?2(?:\.0)?)?", "PSF-2.0"),
+    (r"microsoft public license", "MS-PL"),
+    (r"microsoft reciprocal license", "MS-RL"),
+    (r"university of illinois ncsa open source license", "NCSA"),
+    (r"postgresql license", "PostgreSQL"),
+    (r"do what the f\w* you want to public license", "WTFPL"),
+    (r"wtfpl", "WTFPL"),
+    (r"unlicense", "Unlicense"),
+    (r"zlib(?: libpng)? license", "Zlib"),
+    (r"x11 license", "X11"),
+    (r"mit 0(?: license)?|mit no attribution(?: license)?", "MIT-0"),
+    (r"(?:mit|expat)(?: x11)?(?: license)?", "MIT"),
+    (r"isc(?: license)?", "ISC"),
+    (r"(?:0bsd|bsd zero clause|zero clause bsd)(?: license)?", "0BSD"),
+    (r"(?:bsd (?P<b1>[234]) clause|(?P<b2>[234]) clause bsd|bsd (?P<b3>two|three|four) clause|(?P<b4>two|three|four) clause bsd)(?: license)?", "bsd"),
+    (r"(?P<bw>simplified|new|revised|modified|original) bsd(?: license)?", "bsd"),
+    (r"bsd license", "bsd"),
+    (r"(?:creative commons zero|cc0|cc zero)(?: version| v)?(?: ?1\.0)?(?: universal)?", "CC0-1.0"),
+    (r"(?:creative commons|cc) (?P<cc>by(?: nc)?(?: nd| sa)?|attribution(?: (?:noncommercial|non commercial))?(?: (?:noderivatives|noderivs|no derivatives|sharealike|share alike))?)(?: public)?(?: license)?(?: version| v)? ?(?P<ccv>[1-4]\.[05])", "cc"),
+]
+
+#: The rules, in their order; longer sequences stand before their parts. '{name}' stands for the licences that the sentence names.
 RULES = [
+    ("NCSA", ("ncsa-grant",)),
+    ("OFL-1.1", ("font-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("X11", ("mit-grant", "mit-notice", "as-is-mit", "x11-name")),
     ("MIT", ("mit-grant", "mit-notice", "as-is-mit")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT-0", ("mit-grant", "as-is-mit")),
     ("MIT", ("mit-grant",)),
-    ("MIT", ("mit-name",)),
     ("ISC", ("isc-grant", "as-is-isc")),
     ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "as-is-isc")),
+    ("ISC", ("0bsd-grant",)),
+    ("PostgreSQL", ("postgres-grant",)),
+    ("HPND", ("hpnd-grant",)),
+    ("BSD-4-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "as-is-bsd")),
+    ("BSD-4-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse", "as-is-bsd")),
     ("BSD-3-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-intro", "bsd-source", "bsd-binary", "as-is-bsd")),
     ("BSD-2-Clause", ("bsd-intro", "bsd-source", "bsd-binary")),
-    ("BSD-{bsd}-Clause", ("bsd-name",)),
-    ("Apache-2.0", ("apache-name", "apache-use", "apache-copy", "apache-as-is")),
-    ("Apache-2.0", ("apache-name", "apache-use", "apache-copy")),
-    ("Apache-2.0", ("apache-name",)),
-    ("{gpl}", ("gpl-free", "gpl-hope", "gpl-copy")),
-    ("{gpl}", ("gpl-free", "gpl-hope")),
-    ("{gpl}", ("gpl-free",)),
-    ("{gpl}", ("gpl-later-name",)),
-    ("{gpl}", ("gpl-name",)),
-    ("MPL-2.0", ("mpl",)),
-    ("CC-{cc}", ("cc",)),
-    ("CC0-1.0", ("cc0",)),
-    ("Unlicense", ("unlicense",)),
+    ("BSD-1-Clause", ("bsd-intro", "bsd-source", "as-is-bsd")),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-grant",)),
+    ("{name}", ("name", "apache-use", "apache-copy", "apache-as-is")),
+    ("{name}", ("name", "apache-use", "apache-copy")),
+    ("{name}", ("name", "apache-use")),
+    ("{name}", ("name", "gpl-hope", "gpl-copy")),
+    ("{name}", ("name", "gpl-hope")),
+    ("{name}", ("name",)),
+    ("MPL-1.1", ("mpl-1.1-header",)),
+    ("MPL-2.0", ("mpl-2.0-header",)),
+    ("EPL-1.0", ("epl-1.0-header",)),
+    ("EPL-2.0", ("epl-2.0-header",)),
+    ("CDDL-1.0", ("cddl-header",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-free",)),
+    ("WTFPL", ("wtfpl",)),
+    ("Beerware", ("beerware",)),
+    ("MS-PL", ("ms-pl",)),
     ("{spdx}", ("spdx",)),
     ("Proprietary", ("copyright", "all-rights")),
+    ("Proprietary", ("copyright-all-rights",)),
     ("Proprietary", ("all-rights",)),
-]
+]
+#: Sentences of a rule may have so many unknown ones between them (headings, list marks, lines that were cut).
+BETWEEN = 6
 #: Each known sentence holds one of these (after normalise()); texts without any are passed over.
-KEYWORDS = ("licens", "copyright", "rights reserved", "permission", "redistribut", "warrant", "endorse", "public", "cc0", "zero", "as is", "cc by", "creative commons")
-_RAW_KEYWORDS = ("licens", "licenc", "copyright", "©", "rights", "permission", "redistribut", "warrant", "endorse", "public", "cc0", "zero", "is\"", "cc", "commons", "as is", "\"as")
+KEYWORDS = ("licens", "copyright", "rights reserved", "permission", "redistribut", "warrant", "endorse", "public", "cc0", "cc by", "as is", "gpl", "mpl", "odbl", "advertising", "origin of", "altered", "notice", "under", "waived", "anyone", "person", "do what", "distribut", "subject to")
+_RAW_KEYWORDS = ("licens", "licenc", "copyright", "©", "rights", "permission", "redistribut", "warrant", "endorse", "public", "cc0", "cc", "commons", "as is", "\"as", "gpl", "mpl", "odbl", "advertising", "origin", "altered", "notice", "under", "waived", "anyone", "person", "do what", "distribut", "subject")
+
+#: What leads to a name: its verb and small words; a bare 'uses' needs the word licence behind the name.
+_LEAD = r"(?:^|.*\b)(?:(?:dual )?licensed|sublicensed|released|distributed|redistributed?|redistribute it and or modify it|available|provided|published|covered|governed|offered|placed|shared|made available|license|terms|subject to)(?: (?:under|by|is|are|as|with|the|terms|and|conditions|of|a|an|in|either|your|choice|osi approved|to|version|both))*"
+_USES = r"(?:^|.*\b)(?:uses?|using|adopts|has|carries)(?: (?:the|a|an))*"
+
+
+def _pattern(sentence: str) -> re.Pattern:
+    parts = [re.escape(x.strip()) for x in sentence.split("…")]
+    return re.compile("".join(x if not i else (r"(?:.*\b)?" if not parts[0] and i == 1 else r"\b.*\b" if x else r"\b.*") + x for i, x in enumerate(parts)), re.S)
 
-_MATCHERS = [(name, re.compile(pattern, re.S)) for name, pattern in SENTENCES]
+
+def _alternatives(prefix: str) -> str:
+    """The names as alternatives, their groups made distinct by ``prefix``."""
+    return "|".join(f"(?P<{prefix}{i}>{re.sub(r'[?]P<[a-z0-9]+>', '?:', p)})" for i, (p, _) in enumerate(NAMES))
+
+
+_MATCHERS = [(name, _pattern(s)) for name, s in SENTENCES]
+_NAMED = [re.compile(p) for p, _ in NAMES]
+_FIRST = re.compile(rf"{_LEAD} (?=(?:{_alternatives('n')})(?: |$))", re.S)
+_FIRST_USE = re.compile(rf"{_USES} (?=(?:{_alternatives('n')})(?: |$))", re.S)
+_NEXT = re.compile(r" (?:or|and|and or) (?:the |a |later )*")
 # a sentence ends at a line end that closes a paragraph or follows [.!?:;], or at [.!?] before white space and no small letter
-_ENDS = re.compile(r"(?<=[.!?])[ \t]+(?=[^\sa-z])|(?<=[.!?:;])[ \t]*\n|\n[ \t]*(?:[*#/;-]+[ \t]*)?\n|\n(?=[ \t*#/;-]*[A-Z0-9©])")
-_NUMBER = re.compile(r"[\s#*/;-]*\(?\d{1,2}[.)]")
+_ENDS = re.compile(r"(?<=[.!?])[ \t]+(?=[^\sa-z])|(?<=[.!?:;])[ \t]*\n|\n[ \t]*(?:[*#/;-]+[ \t]*)?\n")
+# and it may end before a line that begins with a capital or a digit
+_LINES = re.compile(r"\n(?=[ \t*#/;-]*[A-Z0-9©])")
+_NUMBER = re.compile(r"[\s#*/;-]*\(?(?:\d{1,2}|[a-z])[.)]")
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:/?\*+/?|#+|//+|;+|--+|<!--)[ \t]*")
-_CC = {"attribution": "by", "noncommercial": "nc", "noderivatives": "nd", "sharealike": "sa"}
+_LIST = re.compile(r"^(?:\d{1,2}|[a-h]) (?=(?:redistributions|neither|all advertising|the name|the origin|altered|this notice)\b)")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.I)
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*|[()]")
+_CC = {"attribution": "BY", "by": "BY", "noncommercial": "NC", "noncommercial2": "NC", "nc": "NC", "noderivatives": "ND", "noderivs": "ND", "nd": "ND", "sharealike": "SA", "sa": "SA"}
+_CLAUSES = {"two": "2", "three": "3", "four": "4", "simplified": "2", "original": "4"}
+#: Identifiers as SPDX writes them, for lines that write them in another case.
+SPDX_IDS = """0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause
+    BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0
+    EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later HPND ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later
+    LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Ruby SSPL-1.0 Unicode-3.0 Unlicense UPL-1.0 Vim
+    W3C WTFPL X11 Zlib ZPL-2.1""".split()
+_CANONICAL = {x.lower(): x for x in SPDX_IDS}
 
 
 def normalise(sentence: str) -> str:
-    """Lower case, no comment marks, single spaces, American spelling; punctuation goes, but for dots within numbers."""
+    """Lower case, no comment or list marks, single spaces, American spelling; punctuation goes, but for dots within numbers."""
     s = _COMMENT.sub(" ", sentence).lower().replace("©", " copyright ").replace("licence", "license").replace("copyright (c)", "copyright")
     s = re.sub(r"(?<=\d)\.(?=\d)", "\0", s)
     s = re.sub(r"[^a-z0-9+\0]+", " ", s).replace("\0", ".")
-    return re.sub(r"\b(copyright )+", "copyright ", s.strip())
+    return _LIST.sub("", re.sub(r"\b(copyright )+", "copyright ", s.strip()))
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence with a letter or digit, without the white space around it."""
-    out, at, number = [], 0, None
-    for m in [*_ENDS.finditer(text), None]:
-        a, b = at, m.start() if m else len(text)
-        if m and _NUMBER.fullmatch(text[a:b]):  # a list number belongs to what it numbers
+def _spans(text: str, ends: re.Pattern, start: int, stop: int) -> list[tuple[int, int]]:
+    out, at, number = [], start, None
+    for m in [*ends.finditer(text, start, stop), None]:
+        a, b = at, m.start() if m else stop
+        if m and _NUMBER.fullmatch(text, a, b):  # a list number belongs to what it numbers
             number, at = a, m.end()
             continue
         a, number = a if number is None else number, None
@@ -114,28 +228,85 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def identify(sentence: str) -> tuple[str, dict] | None:
-    """Identifier of a normalised sentence, with what its pattern captured."""
+def sentences(text: str) -> list[list[tuple[int, int]]]:
+    """Start and end of each sentence with a letter or digit, without the white space around it; where
+    lines within it could be sentences of their own, those first and the whole last."""
+    out = []
+    for a, b in _spans(text, _ENDS, 0, len(text)):
+        lines = _spans(text, _LINES, a, b)
+        out.append(lines if len(lines) == 1 else [*lines, (a, b)])
+    return out
+
+
+def spdx(line: str) -> list[str]:
+    """The licences of an SPDX expression, in its order; an exception stays with its licence, '+' is 'or later'."""
+    out: list[str] = []
+    joined = False
+    for token in _TOKEN.findall(line):
+        if token in ("(", ")", "AND", "OR"):
+            joined = True
+        elif token == "WITH":
+            joined = None
+        elif joined is None and out:
+            out[-1] += f" WITH {token}"
+            joined = False
+        elif not out or joined:
+            name, plus = token.rstrip("+-."), token.endswith("+")
+            if re.fullmatch(r"(?:A|L)?GPL-\d\.\d", name, re.I):
+                name += "-or-later" if plus else "-only"
+            out.append(_CANONICAL.get(name.lower(), name) + ("+" if plus and "or-later" not in name else ""))
+            joined = False
+        else:
+            break  # the expression has ended
+    return out
+
+
+def _named(i: int, m: re.Match) -> str:
+    """The identifier of the name i that ``m`` matched."""
+    template, got = NAMES[i][1], {k: v for k, v in m.groupdict().items() if v}
+    version = next((v for k, v in got.items() if k.startswith("v") and k != "ccv"), "")
+    if template == "gpl":
+        kind = {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL", "l": "LGPL", "a": "AGPL"}.get(got.get("kind", got.get("short", "")), "GPL")
+        if not version:
+            return f"{kind}-1.0-or-later"  # any version
+        return f"{kind}-{version if '.' in version else version + '.0'}-{'or-later' if 'later' in got or 'plus' in got else 'only'}"
+    if template == "bsd":
+        n = next((v for k, v in got.items() if k.startswith("b")), "3")
+        return f"BSD-{_CLAUSES.get(n, n if n.isdigit() else '3')}-Clause"
+    if template == "cc":
+        words = re.sub(r"non commercial", "noncommercial", re.sub(r"no derivatives", "noderivatives", got["cc"].replace("share alike", "sharealike"))).split()
+        return "CC-" + "-".join(_CC[w] for w in words) + "-" + got["ccv"]
+    return template.replace("{v}", {"2": "2.0"}.get(version, version))
+
+
+def named(sentence: str) -> list[str]:
+    """The licences that a normalised sentence says it is under: 'licensed under the x license or y'."""
+    lead = _FIRST.match(sentence)
+    uses = None if lead else _FIRST_USE.match(sentence)
+    found: list[str] = []
+    at = (lead or uses).end() if lead or uses else None
+    while at is not None:
+        # the longest name that stands here
+        best = max(((m.end(), -i, m) for i, p in enumerate(_NAMED) if (m := p.match(sentence, at)) and sentence[m.end() : m.end() + 1] in ("", " ")), default=None)
+        if best is None or uses and "license" not in sentence[at : best[0] + 8]:
+            break
+        found.append(_named(-best[1], best[2]))
+        more = _NEXT.match(sentence, best[0])
+        at = more.end() if more else None
+    return found
+
+
+def identify(sentence: str) -> tuple[str, list[str]] | None:
+    """Identifier of a normalised sentence, with the licences it names."""
     if not any(k in sentence for k in KEYWORDS):
         return None
     for name, pattern in _MATCHERS:
-        m = pattern.fullmatch(sentence)
-        if m:
-            return name, {k: v for k, v in m.groupdict().items() if v}
-    return None
-
-
-def _name(template: str, got: dict) -> str:
-    if template == "{gpl}":
-        kind = {"lesser ": "LGPL", "affero ": "AGPL"}.get(got.get("kind", ""), "GPL")
-        return f"{kind}-{got['version']}.0-{'or-later' if got.get('later') else 'only'}"
-    if template == "BSD-{bsd}-Clause":
-        return f"BSD-{got.get('bsd') or ('2' if got.get('bsdword') == 'simplified' else '3')}-Clause"
-    if template == "CC-{cc}":
-        return "CC-" + "-".join(_CC.get(x, x) for x in got["cc"].split()).upper() + "-" + got["ccv"]
-    if template == "{spdx}":
-        return got["spdx"].strip().replace(" ", "-")
-    return template
+        if pattern.fullmatch(sentence):
+            if name in ("copyright", "copyright-all-rights") and (got := named(sentence)):
+                return "name", got
+            return name, []
+    got = named(sentence)
+    return ("name", got) if got else None
 
 
 def find_licenses(text: str) -> list[tuple[str, int, int]]:
@@ -143,16 +314,27 @@ def find_licenses(text: str) -> list[tuple[str, int, int]]:
     lowered = text.lower()
     if not any(k in lowered for k in _RAW_KEYWORDS):
         return []
-    known = []  # (identifier, captures, number of the sentence, start, end)
-    for i, (a, b) in enumerate(sentences(text)):
-        if got := identify(normalise(text[a:b])):
-            known.append((got[0], got[1] | ({"later": "yes"} if got[0] == "gpl-later-name" else {}), i, a, b))
+    known = []  # (identifier, licences named, number of the sentence, start, end)
+    i = 0
+    for options in sentences(text):
+        before = len(known)
+        for n, (a, b) in enumerate(options):
+            if n and n == len(options) - 1 and len(known) > before:
+                break  # the whole counts where none of its lines does
+            piece = text[a:b]
+            line = _SPDX.search(piece)
+            if line:
+                known.append(("spdx", spdx(line[1]), i, a + line.start(), a + line.end()))
+            elif got := identify(normalise(piece)):
+                known.append((*got, i, a, b))
+            i += 1
     out, at = [], 0
     while at < len(known):
         for licence, sequence in RULES:
             part = known[at : at + len(sequence)]
-            if tuple(x[0] for x in part) == sequence and part[-1][2] - part[0][2] == len(sequence) - 1:
-                out.append((_name(licence, {k: v for x in part for k, v in x[1].items()}), part[0][3], part[-1][4]))
+            if tuple(x[0] for x in part) == sequence and all(y[2] - x[2] <= BETWEEN + 1 for x, y in zip(part, part[1:])):
+                names = part[0][1] if licence in ("{name}", "{spdx}") else [licence]
+                out += [(n, part[0][3], part[-1][4]) for n in names]
                 at += len(sequence)
                 break
         else:
