@@ -12,10 +12,11 @@ A bucket of any size is spread over many tasks and never paired with itself. Its
 are compared with its leader; exact Jaccard similarities that reach the threshold are
 links, and what links connect needs no further comparison. Where a bucket still holds
 several components, each text outside the largest is compared with those that could
-still be linked to it. Three bounds, all exact, say which could: a text shares no more
-shingles than those that some other text of the open buckets has too; similar texts have
-similar sizes; and by the triangle inequality of the Jaccard distance both are about as
-far from the leader. Every candidate pair is thus verified, known to be connected, or
+still be linked to it. Exact bounds of what two texts can share say which could: neither
+shares the shingles that no other text of the open buckets has, nor those of the leader
+that the other has lost; and by the triangle inequality of the Jaccard distance both are
+about as far from the leader.
+Every candidate pair is thus verified, known to be connected, or
 proved to be below the threshold.
 """
 
@@ -36,6 +37,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Characters of one text that are hashed at once, and shingles that a worker keeps; bound its memory.
 PIECE, KEPT = 1_000_000, 2_000_000
+#: Columns with the bits of what a text has lost of its leader.
+LOST = ["lost0", "lost1", "lost2", "lost3"]
 #: Rounding that a bound must allow for.
 EPS = 1e-9
 _BREAK = re.compile(r"\W")
@@ -223,16 +226,24 @@ def _verify(batches):
                 if i not in last:
                     last[i] = shingles(text)[0]
                     held += len(last[i])
-            out.append((a, b, _similar(last[a], last[b])))
-        yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+            out.append((a, b, _similar(last[a], last[b]), *_lost(last[b], last[a])))
+        yield pd.DataFrame(out, columns=["a", "b", "similarity", *LOST])
+
+
+def _lost(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Bits of the hashes of what ``x`` has and ``y`` has not."""
+    gone = mix(x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x]) & np.uint64(64 * len(LOST) - 1)
+    bits = np.zeros(len(LOST), dtype=np.uint64)
+    np.bitwise_or.at(bits, (gone >> np.uint64(6)).astype(np.int64), np.uint64(1) << (gone & np.uint64(63)))
+    return bits.view(np.int64).tolist()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the distinct pairs, a > b, by their texts' shingle sets."""
+    """(a, b, similarity) of the distinct pairs, a > b, by their texts' shingle sets, and bits of what a lacks of b."""
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("_text").alias(f"text_{x}")), x)
-    return pairs.mapInPandas(_verify, "a long, b long, similarity double")
+    return pairs.mapInPandas(_verify, f"a long, b long, similarity double, {', '.join(f'{c} long' for c in LOST)}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,32 +268,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_open(pairs: DataFrame, sims: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, a, leader_s, label, minor) of the members, besides the leader, of buckets where these have
-    several components; minor: not of the bucket's most frequent one."""
-    beside = pairs.where("a <> leader").join(sims.select("a", F.col("b").alias("leader"), F.col("similarity").alias("leader_s")), ["a", "leader"]).drop("leader")
+    """(band, a, leader, leader_s, lost, label, minor) of the members, besides the leader, of buckets where
+    these have several components; minor: not of the bucket's most frequent one."""
+    beside = pairs.where("a <> leader").join(sims.select("a", F.col("b").alias("leader"), F.col("similarity").alias("leader_s"), *LOST), ["a", "leader"])
     beside = beside.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     mixed = beside.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
     beside = beside.join(mixed, "band")
     most = beside.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    return beside.join(most, "band").select("band", "a", "leader_s", "label", (F.col("label") != F.col("most")).alias("minor"))
+    return beside.join(most, "band").select("band", "a", "leader", "leader_s", *LOST, "label", (F.col("label") != F.col("most")).alias("minor"))
 
 
 def could_link(rest: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components within the buckets of ``rest`` that the bounds leave.
 
-    Similar texts x, y share at least t / (1 + t) (|x| + |y|) shingles, and no more than x
-    has that other texts have too: |y| is at most reach(x) = (|x| - (1 + t) alone(x)) / t.
+    Similar texts x, y share at least t / (1 + t) (|x| + |y|) shingles. Of x they cannot
+    share what x alone has, nor what of the leader y has lost and x has not; a text with
+    the first of these is similar to none larger than (|x| - (1 + t) alone(x)) / t.
     """
-    some = texts.join(rest.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "_text")
-    once = some.mapInPandas(_shingle_rows, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n = 1")
+    ids = rest.select(F.col("a").alias("id")).union(rest.select("leader")).distinct()
+    once = texts.join(ids, "id", "left_semi").select("id", "_text").mapInPandas(_shingle_rows, "id long, shingle long")
+    once = once.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n = 1")
     alone = once.groupBy("a").agg(F.count("*").alias("alone"))
-    reach = (F.col("size") - (1 + threshold) * F.coalesce("alone", F.lit(0))) / threshold + EPS
-    known = rest.join(sizes.select(F.col("id").alias("a"), "size"), "a").join(alone, "a", "left").withColumn("reach", reach).drop("alone")
+    known = rest.drop("leader").join(sizes.select(F.col("id").alias("a"), "size"), "a").join(alone, "a", "left")
+    known = known.withColumn("most", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    known = known.withColumn("reach", ((1 + threshold) * F.col("most") - threshold * F.col("size")) / threshold + EPS)
     # a text whose reach is below all sizes of its bucket, or whose size is above all reaches, can be linked to none there
-    ends = known.groupBy("band").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
-    known = cut(known.join(ends, "band").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("most"))).drop("least", "most"))
-    x, y = (known.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("a", "leader_s", "label", "minor", "size", "reach")]) for s in "xy")
-    pairs = x.where("minor_x").join(y, "band").where((F.col("label_x") != F.col("label_y")) & (F.col("size_x") <= F.col("reach_y")) & (F.col("size_y") <= F.col("reach_x")))
+    ends = known.groupBy("band").agg(F.min("size").alias("least"), F.max("reach").alias("furthest"))
+    known = cut(known.join(ends, "band").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("furthest"))).drop("least", "furthest"))
+    x, y = (known.select("band", *[F.col(c).alias(f"{c}_{s}") for c in known.columns if c != "band"]) for s in "xy")
+    share = lambda a, b: F.col(f"most_{a}") - sum(F.bit_count(F.col(f"{c}_{b}").bitwiseAND(F.bitwise_not(f"{c}_{a}"))) for c in LOST)
+    enough = F.least(share("x", "y"), share("y", "x")) >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - EPS
+    pairs = x.where("minor_x").join(y, "band").where((F.col("label_x") != F.col("label_y")) & (F.col("size_x") <= F.col("reach_y")) & (F.col("size_y") <= F.col("reach_x")) & enough)
     pairs = pairs.where((F.abs(F.col("leader_s_x") - F.col("leader_s_y")) <= 1 - threshold + EPS) & ~(F.col("minor_y") & (F.col("a_x") < F.col("a_y"))))
     return pairs.select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
 
@@ -296,13 +312,13 @@ def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) ->
     pairs = cut(bands.join(lead, "band").distinct())
     texts = cut(rows.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("_text").alias("_text")))
     sims = cut(verified(pairs.where("a <> leader").select("a", F.col("leader").alias("b")), texts))
-    links = sims.where(F.col("similarity") >= threshold)
+    links = sims.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
     labels = components(links)
     rest = cut(still_open(pairs, sims, labels))
     if rest.isEmpty():
         return links, labels
     sizes = signed.groupBy("id").agg(F.min("size").alias("size"))
-    late = cut(verified(could_link(rest, texts, sizes, threshold), texts).where(F.col("similarity") >= threshold))
+    late = cut(verified(could_link(rest, texts, sizes, threshold), texts).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
     if late.isEmpty():
         return links, labels
     # the late links join components: only the components' labels are labelled again
