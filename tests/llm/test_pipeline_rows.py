@@ -36,3 +36,19 @@ def test_all_stages_keep_them(spark, tmp_path):
     spark.createDataFrame([(1, words("bench"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = C.run(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None", "None"] and len({r.ids_sha256 for r in got}) == 4
+
+
+def test_extra_columns_and_marks_stay(spark, tmp_path):
+    """Columns with the stages' own names, an array, a null date, and U+FFFD characters of a text that loses bytes."""
+    shared = "the shared passage is long enough to be removed from all of the documents but the first one, as it is over one hundred bytes"
+    rows = [(1, words("a") + shared + " \ufffd é", "en", "s", 1, 1.5, "x", [1], None), (2**60 + 1, words("b") + " \ufffd ü " + shared, "en", "s", 1, None, None, None, None), (3, "", None, "s", None, 0.0, "y", [], None)]
+    spark.createDataFrame(rows, SCHEMA + ", score double, `lang_pred` string, _kept array<int>, `at it` date").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words("bench"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs = C.cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 2**60 + 1} and got[1]["text"] == rows[0][1] and got[1]["_kept"] == [1] and got[1]["score"] == 1.5
+    assert got[2**60 + 1]["text"] == words("b") + " \ufffd ü " and got[2**60 + 1]["lang_pred"] is None

@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text, steps
+from .common import HELD, null_safe_text, steps
 
 #: Bounds of a worker's memory: states of the transducer, its transitions, pairs and edges of tokens, and pieces whose ids are kept;
 #: code points of a piece that is kept, of a segment, and of the texts that are encoded before rows are passed on.
@@ -303,8 +303,6 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids:
     """
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     names = [x.split()[0] for x in added.split(", ")]
-    docs = docs.drop("_bpe", *names)
-    keep = [f for f in docs.schema.fields]
 
     def row(c: Codec, text: str) -> tuple:
         n, forth, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
@@ -322,24 +320,22 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids:
             back.update(part.encode())
         return (n, forth.hexdigest(), back.hexdigest(), *([b"".join(held)] if with_ids else []))
 
-    def run(batches):
+    @F.pandas_udf(added)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
-        for pdf in batches:
-            rest = pdf.drop(columns="_bpe")
-            for a, b in steps(pdf["_bpe"], map(len, pdf["_bpe"]), STEP):
-                out = [row(c, t) for t in pdf["_bpe"].iloc[a:b]]
-                yield pd.concat([rest.iloc[a:b], pd.DataFrame(out, columns=names, index=pdf.index[a:b])], axis=1)
+        for texts in batches:
+            for a, b in steps(texts, map(len, texts), STEP):
+                yield pd.DataFrame([row(c, t) for t in texts.iloc[a:b]], columns=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), added])
-    return docs.withColumn("_bpe", null_safe_text(text)).mapInPandas(run, schema)
+    done = docs.withColumn(HELD, run(null_safe_text(text)))
+    return done.drop(*names).withColumns({n: F.col(f"{HELD}.{n}") for n in names}).drop(HELD)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    with_text = docs.withColumn("t", null_safe_text()).select("doc_id", "t")
-    return bpe(with_text, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "t").drop("t")
+    return bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
 OP3_SQL = None  # not expressible; tested against the tiktoken library and by the exact round trip

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; bounds a worker's memory.
 STEP_BYTES = 4_000_000
+#: Column that holds an operator's results until they have their own names.
+HELD = "__held"
 
 
 def shared_dir(spark: SparkSession) -> str:

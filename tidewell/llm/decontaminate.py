@@ -4,8 +4,8 @@ Documents are the shards of the index: each task stores the positions of every t
 term of its documents, takes for each test window the term with the shortest list in
 the shard, and intersects its list, shifted by the term's offset, with the lists of
 the other terms from the rarest up. What remains are exact phrase occurrences. Only
-the test windows travel, in blocks of a checked size; further blocks are further
-passes over the documents, which carry their hits along.
+the test windows travel, in blocks of a checked size; each block is a column of the
+same pass over the documents.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text, steps
+from .common import HELD, null_safe_text, steps
 
 WINDOW = 13
 #: Text bytes of test items that are broadcast at once.
@@ -102,19 +103,15 @@ def search(docs: list[list[bytes]], test: TestWindows, near: int | None = None):
     return found, alive[which], starts, close
 
 
-_ADDED = "n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>"
+def _pass(test, near: int | None):
+    """Hits of one block of test windows: n_words, (start, end) of hit words, items and, if asked, near_items."""
 
-
-def _pass(columns: list[str], test, near: int | None):
-    """A pass over the documents that adds the hits of one block of test windows to what earlier passes found."""
-
-    def run(batches):
+    @F.pandas_udf("n_words long, hits array<struct<s:int,e:int>>, items array<string>, near_items array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         windows: TestWindows = pickle.loads(test.value)
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            out = []
-            for a, b in steps(pdf["_text"], map(len, pdf["_text"])):
-                docs = [words(t) for t in pdf["_text"][a:b]]
+        for texts in batches:
+            for a, b in steps(texts, map(len, texts)):
+                docs = [words(t) for t in texts.iloc[a:b]]
                 found, which, starts, close = search(docs, windows, near)
                 doc = np.searchsorted(starts, found, side="right") - 1
                 items: dict[int, set] = {}
@@ -125,21 +122,22 @@ def _pass(columns: list[str], test, near: int | None):
                 beside: dict[int, set] = {}
                 for d, w in zip((np.searchsorted(starts, close[0], side="right") - 1).tolist(), close[1].tolist()):
                     beside.setdefault(d, set()).update(windows.items[w])
-                for i in range(b - a):
-                    r = a + i
-                    merged: list[list[int]] = []
-                    for s, e in sorted([*zip(pdf["hit_starts"][r], pdf["hit_ends"][r]), *spans.get(i, ())]):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        else:
-                            merged.append([s, e])
-                    out.append((len(docs[i]), [x[0] for x in merged], [x[1] for x in merged], sorted({*pdf["items"][r], *items.get(i, ())}), *([sorted({*pdf["near_items"][r], *beside.get(i, ())})] if near is not None else [])))
-            names = ["n_words", "hit_starts", "hit_ends", "items", *(["near_items"] if near is not None else [])]
-            yield pd.concat([pdf[columns], pd.DataFrame(out, columns=names, index=pdf.index)], axis=1)
+                out = [(len(w), _joined(spans.get(i, [])), sorted(items.get(i, ())), sorted(beside.get(i, ()))) for i, w in enumerate(docs)]
+                yield pd.DataFrame(out, columns=["n_words", "hits", "items", "near_items"])
 
     return run
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[dict]:
+    merged: list[dict] = []
+    for s, e in sorted(spans):
+        if merged and s <= merged[-1]["e"]:
+            merged[-1]["e"] = max(merged[-1]["e"], e)
+        else:
+            merged.append({"s": s, "e": e})
+    return merged
+
+
 def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int | None = None, text: str = "text") -> DataFrame:
     """Add n_words, n_hit, hit_starts and hit_ends (maximal runs of hit words), items,
     n_items and contaminated to ``docs``; ``near`` adds near_items, items with a window
@@ -151,22 +149,27 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, near
     empty table of items hits nothing. Columns of the names above are replaced.
     """
     spark = docs.sparkSession
-    added = _ADDED + ", near_items array<string>" * (near is not None)
-    docs = docs.drop("_text", "n_hit", "n_items", "contaminated", "near_items", *[x.split()[0] for x in _ADDED.split(", ")])
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    columns = docs.columns
     tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), null_safe_text().alias("text")).distinct()
     blocks = max(1, math.ceil((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
-    empty = F.array().cast("array<int>")
-    got = docs.withColumns({"_text": null_safe_text(text), "n_words": F.lit(0).cast("long"), "hit_starts": empty, "hit_ends": empty, "items": F.array().cast("array<string>")})
-    if near is not None:
-        got = got.withColumn("near_items", F.array().cast("array<string>"))
+    found = []
     for i in range(blocks):
         mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about BLOCK_BYTES
         test = spark.sparkContext.broadcast(pickle.dumps(TestWindows([(r[0], r[1]) for r in mine], window)))
-        last = i == blocks - 1
-        schema = ", ".join([*kept, *([] if last else ["`_text` string"]), added])
-        got = got.mapInPandas(_pass(columns if last else [*columns, "_text"], test, near), schema)
+        found.append(_pass(test, near)(null_safe_text(text)).alias(f"of{i}"))
+    got = docs.withColumn(HELD, F.struct(*found))
+    every = lambda name: F.flatten(F.array(*[F.col(f"{HELD}.of{i}.{name}") for i in range(blocks)]))
+    hits = every("hits")
+    if blocks > 1:  # runs of several blocks are joined
+        start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(None).cast("struct<s:int,e:int>").alias("open"))
+        add = lambda x, y: F.when(x["open"].isNull(), F.struct(x["done"].alias("done"), y.alias("open"))).when(
+            y["s"] <= x["open"]["e"], F.struct(x["done"].alias("done"), F.struct(x["open"]["s"].alias("s"), F.greatest(x["open"]["e"], y["e"]).alias("e")).alias("open"))
+        ).otherwise(F.struct(F.concat(x["done"], F.array(x["open"])).alias("done"), y.alias("open")))
+        hits = F.aggregate(F.array_sort(hits), start, add, lambda x: F.when(x["open"].isNull(), x["done"]).otherwise(F.concat(x["done"], F.array(x["open"]))))
+    own = {"n_words": F.col(f"{HELD}.of0.n_words"), "hit_starts": hits["s"], "hit_ends": hits["e"], "items": F.array_sort(F.array_distinct(every("items")))}
+    if near is not None:
+        own["near_items"] = F.array_sort(F.array_distinct(every("near_items")))
+    names = [*own, "n_hit", "n_items", "contaminated"]
+    got = got.drop("near_items", *names).withColumns(own).drop(HELD)
     hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     got = got.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
     return got.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))

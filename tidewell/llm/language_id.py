@@ -14,6 +14,7 @@ two look-ups a byte for all languages together.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import null_safe_text, steps
+from .common import HELD, null_safe_text, steps
 
 #: Bound of the labelled sample, in rows for each language.
 SAMPLE_ROWS = 400
@@ -140,28 +141,27 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     with score 0, and so is every text if nothing was learned. Columns of those names
     are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "_text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m: Model = pickle.loads(shared.value)
-        for pdf in batches:
-            names, scores = np.full(len(pdf), UNDETERMINED, dtype=object), np.zeros(len(pdf))
+        for texts in batches:
+            names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
             if m.languages:
                 languages = np.array(m.languages, dtype=object)
-                for a, b in steps(pdf["_text"], map(len, pdf["_text"]), 1_000_000):
-                    bits = m.code_lengths([t.encode() for t in pdf["_text"].iloc[a:b]])
+                for a, b in steps(texts, map(len, texts), 1_000_000):
+                    bits = m.code_lengths([t.encode() for t in texts.iloc[a:b]])
                     best = bits.argmin(axis=1)
                     names[a:b] = languages[best]
                     scores[a:b] = 1.0 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-            yield pdf.drop(columns="_text").assign(lang_pred=names, score=scores)
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    scored = docs.withColumns({"_text": null_safe_text(text), "_lettered": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))})
-    out = scored.mapInPandas(run, f"{fields}{', ' if fields else ''}_lettered boolean, lang_pred string, score double")
-    return out.withColumns(
-        {"lang_pred": F.when(F.col("_lettered"), F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(F.col("_lettered") & (F.col("lang_pred") != UNDETERMINED), F.col("score")).otherwise(0.0)}
-    ).drop("_lettered")
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    out = docs.withColumn(HELD, F.struct(guess(null_safe_text(text)).alias("of"), lettered.alias("lettered"))).drop("lang_pred", "score")
+    of = F.col(f"{HELD}.of")
+    told = F.col(f"{HELD}.lettered") & (of["lang_pred"] != UNDETERMINED)
+    return out.withColumns({"lang_pred": F.when(told, of["lang_pred"]).otherwise(UNDETERMINED), "score": F.when(told, of["score"]).otherwise(0.0)}).drop(HELD)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

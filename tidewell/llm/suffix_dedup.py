@@ -322,13 +322,16 @@ def _removed(batches):
                 mark[s["end"]] -= 1
             gone = np.cumsum(mark[:-1]) > 0
             if gone.any():
-                out.append((i, hashlib.sha256(data.tobytes()).hexdigest(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "whole", "n_removed", "n_spans", "kept"])
+                # a character that loses a byte goes whole from the text
+                character = np.cumsum((data & 0xC0) != 0x80) - 1
+                text = data[np.bincount(character, weights=gone)[character] == 0].tobytes().decode()
+                out.append((i, hashlib.sha256(data.tobytes()).hexdigest(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes(), text))
+        yield pd.DataFrame(out, columns=["doc_id", "whole", "n_removed", "n_spans", "kept", "kept_text"])
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, whole (SHA-256 of the text), n_removed, n_spans and kept (the remaining bytes) of the
-    documents that lose bytes: those covered by a 100-byte string that also starts earlier, in a
+    """doc_id, whole (SHA-256 of the text), n_removed, n_spans, kept (the remaining bytes) and kept_text (the
+    remaining characters: one that is cut in two goes whole) of the documents that lose bytes: those covered by a 100-byte string that also starts earlier, in a
     smaller doc_id or earlier in the same document.
 
     Nulls and texts under 100 bytes lose nothing, and rows with a null doc_id take no part.
@@ -355,7 +358,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         spans = spans.union(late.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     gone = F.transform(F.filter("segs", lambda s: s["gone"]), lambda s: F.struct(s["s0"].alias("s0"), s["n"].alias("n")))
-    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInPandas(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary")
+    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInPandas(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
