@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from tidewell.llm import bpe, decontaminate, language_id, near_dedup, suffix_dedup
 from tidewell.llm.common import cut, null_safe_text
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+#: Columns that the stages use beside those of their documents.
+KEPT, WHOLE, NUMBER = "__kept", "__whole", "__number"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; null texts and texts without a letter go. Where no
     language was learned (no row has one), every text with a letter stays."""
     model = language_id.fit(docs.where(~language_id.held_out()))
     if not model.languages:
-        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs.select(F.struct(*docs.columns).alias(KEPT), "text"), model)
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(f"{KEPT}.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,37 +33,41 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Different texts under one doc_id are documents of their own; of rows that repeat both,
     one stays. Rows with a null doc_id are classes of their own and stay.
     """
-    unnamed = docs.where("doc_id is null").select(*COLUMNS)
-    named = docs.where("doc_id is not null").withColumn("whole", F.coalesce(F.sha2("text", 256), F.lit("")))
+    columns = docs.columns
+    unnamed = docs.where("doc_id is null")
+    named = docs.where("doc_id is not null").withColumn(WHOLE, F.coalesce(F.sha2("text", 256), F.lit("")))
     if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         stay = near_dedup.near_duplicates(named).where("doc_id = class_id").select("doc_id")
-        return named.join(stay, "doc_id", "left_semi").select(*COLUMNS).unionByName(unnamed)
+        return named.join(stay, "doc_id", "left_semi").select(*columns).unionByName(unnamed)
     # the first text of an id is numbered by the id, its others above all ids
-    texts = cut(named.select("doc_id", "whole").distinct())
-    first = texts.groupBy("doc_id").agg(F.min("whole").alias("whole"))
+    texts = cut(named.select("doc_id", WHOLE).distinct())
+    first = texts.groupBy("doc_id").agg(F.min(WHOLE).alias(WHOLE))
     above = texts.agg(F.max("doc_id")).first()[0] + 1
-    others = texts.join(first, ["doc_id", "whole"], "left_anti").withColumn("number", F.lit(above) + F.monotonically_increasing_id())
-    numbered = cut(first.withColumn("number", F.col("doc_id")).unionByName(others))
-    classes = near_dedup.near_duplicates(named.join(numbered, ["doc_id", "whole"]), "number").select(F.col("doc_id").alias("number"), "class_id").distinct()
-    stay = numbered.join(classes, "number").groupBy("class_id").agg(F.min(F.struct("doc_id", "whole")).alias("r")).select("r.*")
-    kept = named.join(stay, ["doc_id", "whole"], "left_semi").groupBy("doc_id", "whole").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return kept.select("doc_id", "r.*").select(*COLUMNS).unionByName(unnamed)
+    others = texts.join(first, ["doc_id", WHOLE], "left_anti").withColumn(NUMBER, F.lit(above) + F.monotonically_increasing_id())
+    numbered = cut(first.withColumn(NUMBER, F.col("doc_id")).unionByName(others))
+    classes = near_dedup.near_duplicates(named.join(numbered, ["doc_id", WHOLE]), NUMBER).select(F.col("doc_id").alias(NUMBER), "class_id").distinct()
+    stay = numbered.join(classes, NUMBER).groupBy("class_id").agg(F.min(F.struct("doc_id", WHOLE)).alias("r")).select("r.*")
+    kept = named.join(stay, ["doc_id", WHOLE], "left_semi").dropDuplicates(["doc_id", WHOLE])
+    return kept.select(*columns).unionByName(unnamed)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that also start earlier go; characters that are cut in two go whole."""
-    removed = suffix_dedup.repeated_bytes(docs).select("doc_id", "whole", F.expr("try_validate_utf8(cast(kept as string))").alias("_ok"), F.expr("cast(kept as string)").alias("_raw"))
-    clean = F.coalesce("_ok", F.regexp_replace(F.expr("make_valid_utf8(_raw)"), "�", ""))
-    docs = docs.withColumn("whole", F.sha2(null_safe_text(), 256))
-    joined = docs.join(removed.withColumn("_kept", clean).drop("_ok", "_raw"), ["doc_id", "whole"], "left")
-    text = F.coalesce("_kept", "text")
-    return joined.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*COLUMNS)
+    """Bytes of 100-byte strings that also start earlier go; characters that are cut in two go whole.
+
+    Rows with a null doc_id take no part, and where rows of one doc_id differ, only its smallest text does.
+    """
+    columns = docs.columns
+    removed = suffix_dedup.repeated_bytes(docs).select("doc_id", F.col("whole").alias(WHOLE), F.col("kept_text").alias(KEPT))
+    joined = docs.withColumn(WHOLE, F.sha2(null_safe_text(), 256)).join(removed, ["doc_id", WHOLE], "left")
+    if "n_chars" in columns:
+        joined = joined.withColumn("n_chars", F.when(F.col(KEPT).isNotNull(), F.length(KEPT).cast("long")).otherwise(F.col("n_chars")))
+    return joined.withColumn("text", F.coalesce(KEPT, "text")).select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go, by the contamination rule of op4."""
-    found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(*COLUMNS)
+    found = decontaminate.find_benchmark(docs.select(F.struct(*docs.columns).alias(KEPT), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not contaminated").select(f"{KEPT}.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
