@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
-from tidewell.operators import intervals, knowledge, memory, search, stats
+from tidewell.operators import conversations, intervals, knowledge, search, stats
 
 
 def test_match_and_phrase_of_nulls(spark):
@@ -32,13 +32,13 @@ def test_jaccard_of_empty_sets(spark):
 
 
 def test_sentences_keep_titles_of_persons(spark):
-    row = spark.range(1).select(memory.sentences(F.lit("I saw Dr. Who. It was fun!\nReally?  Yes")).alias("s")).first()
+    row = spark.range(1).select(conversations.sentences(F.lit("I saw Dr. Who. It was fun!\nReally?  Yes")).alias("s")).first()
     assert row.s == ["I saw Dr. Who.", "It was fun!", "Really?", "Yes"]
 
 
 def test_reaction(spark):
     texts = ["Perfect, that helps", "No, that's wrong", "yes and no", "the weather"]
-    kind, sure = memory.reaction(F.col("t"))
+    kind, sure = conversations.reaction(F.col("t"))
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", kind.alias("k"), sure.alias("c")).orderBy("i").collect()
     assert [(r.k, r.c) for r in got] == [("reinforced", 0.6), ("corrected", 0.6), ("neutral", 0.2), ("neutral", 0.0)]
 

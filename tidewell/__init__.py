@@ -1 +1 @@
-"""Tidewell: hybrid retrieval and memory analytics as Spark DataFrame jobs."""
+"""Tidewell: hybrid retrieval and conversation analytics as Spark DataFrame jobs."""

@@ -1,4 +1,4 @@
-"""Rules over conversations and stored memories."""
+"""Rules over conversations and stored notes."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: What a user says to confirm or to correct a memory.
+#: What a user says to confirm or to correct a note.
 POSITIVE = [
     r"(?i)\b(perfect|exactly|great|thanks|correct|right|yes)\b",
     r"(?i)\bthat('s| is| was) (right|correct|helpful|useful|what i needed)\b",
@@ -87,17 +87,41 @@ def newest_half(rows: DataFrame, group: str, order: str) -> DataFrame:
     return rows.withColumns({"_i": F.row_number().over(w.orderBy(F.desc(order))), "_n": F.count("*").over(w)}).where("_i <= ceil(_n / 2)").drop("_i", "_n")
 
 
+def index_lines(rows: DataFrame, group: str, path: str) -> DataFrame:
+    """(group, line, pos): an index line for each path, numbered within its group in the order of paths.
+
+    Positions come from a sort by range and counts of the ranges before, so that no group
+    is gathered in one task.
+    """
+    placed = rows.select(group, path).repartitionByRange(F.col(group), F.col(path)).sortWithinPartitions(group, path)
+    placed = placed.select(group, path, F.spark_partition_id().alias("_part"))
+    within = placed.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_part").orderBy(path)))
+    counts = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    lines = within.join(before, [group, "_part"])
+    return lines.select(group, F.concat(F.lit("- "), path).alias("line"), (F.col("_before") + F.col("_i")).alias("pos"))
+
+
 def similar_names(rows: DataFrame, key: str, words: Column, least: float = 0.3) -> DataFrame:
-    """Pairs (a, b, similarity) by Jaccard similarity of name words: candidates share a word among each side's
-    rarest, by prefix filtering, so that a word of very many rows makes no pairs."""
-    each = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(words)).alias("w"))
+    """(id, class_id, n_links) of each row: the smallest id with the same set of name words, and the number of
+    other rows whose sets are alike by Jaccard similarity. Rows without a word have no links.
+
+    Only distinct sets are compared. Candidates share a word among each side's rarest, by
+    prefix filtering, so that a word of very many sets makes no pairs.
+    """
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("set"))
+    sets = named.where(F.size("set") > 0).groupBy("set").agg(F.min("id").alias("class_id"), F.count("*").alias("rows"))
+    each = sets.select("class_id", F.size("set").alias("n"), F.explode("set").alias("w"))
     rarity = each.groupBy("w").agg(F.count("*").alias("df"))
-    sets = each.join(rarity, "w").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
-    n = F.size("ws")
-    sets = sets.withColumn("head", F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1))
-    rare = sets.select("id", "ws", "head", F.explode("head").alias("w"))
-    # a pair is made at the first word that its heads share, once
-    first = F.element_at(F.array_intersect("x.head", "y.head"), 1) == F.col("w")
-    pairs = rare.alias("x").join(rare.alias("y"), "w").where((F.col("x.id") < F.col("y.id")) & first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ws").alias("s"), F.col("y.ws").alias("t"))
-    alike = F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))
-    return pairs.select("a", "b", F.round(alike, 9).alias("similarity")).where(F.col("similarity") >= least)
+    order = Window.partitionBy("class_id").orderBy("df", "w")  # a set's own words
+    placed = each.join(rarity, "w").withColumn("place", F.row_number().over(order))
+    rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("class_id", "n", "w")
+    x, y = (rare.select("w", F.col("class_id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
+    near = (F.col("a") < F.col("b")) & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
+    pairs = x.join(y, "w").where(near).select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("class_id").alias(side), F.col("set").alias(f"set_{side}"), F.col("rows").alias(f"rows_{side}")), side)
+    alike = pairs.where(F.size(F.array_intersect("set_a", "set_b")) >= least * F.size(F.array_union("set_a", "set_b")) - 1e-9)
+    links = alike.select(F.inline(F.array(*[F.struct(F.col(s).alias("class_id"), F.col(f"rows_{o}").alias("rows")) for s, o in ("ab", "ba")]))).groupBy("class_id").agg(F.sum("rows").alias("links"))
+    counted = sets.join(links, "class_id", "left").select("set", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    return named.join(counted, "set", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

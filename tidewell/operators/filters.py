@@ -8,7 +8,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Names under which a scope may be asked for.
 ALIASES = {
@@ -82,11 +81,10 @@ def list_flat(rows: DataFrame, folder: str) -> DataFrame:
     return under.groupBy(entry.alias("path")).agg(F.bool_or(F.instr("rest", "/") > 0).alias("is_dir"), F.count("*").alias("n"))
 
 
-def glob(rows: DataFrame, pattern: str, digits_only: bool = False) -> DataFrame:
-    """Rows whose file name fits a glob of *, ? and [..]; ``digits_only`` lets * stand for digits only."""
+def glob(rows: DataFrame, pattern: str) -> DataFrame:
+    """Rows whose file name fits a glob of *, ? and [..]."""
     parts = re.findall(r"\[[^\]]*\]|.", pattern, re.S)
-    star = "[0-9]*" if digits_only else "[^/]*"
-    regex = "".join(star if p == "*" else "." if p == "?" else p if p.startswith("[") and len(p) > 1 else re.escape(p) for p in parts)
+    regex = "".join("[^/]*" if p == "*" else "." if p == "?" else p if p.startswith("[") and len(p) > 1 else re.escape(p) for p in parts)
     return rows.where(F.substring_index("path", "/", -1).rlike(f"^{regex}$"))
 
 
@@ -100,4 +98,16 @@ def index_changes(now: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def upsert_latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row of the highest version for each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).where("_n = 1").drop("_n")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), version).alias("_best")).select("_best.*")
+
+
+def staleness(on_disk: DataFrame, indexed: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row (indexed, on_disk, stale): an index that holds less than ``least`` of the ids on disk is built anew."""
+    held = on_disk.join(indexed.select("id").distinct().withColumn("_held", F.lit(1)), "id", "left")
+    return held.agg(F.count("_held").alias("indexed"), F.count("*").alias("on_disk")).withColumn("stale", F.col("indexed") < least * F.col("on_disk"))
+
+
+def drift(now: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, status) by checksum: missing (not stored), stale (no longer there), changed or fresh."""
+    both = now.select("id", F.col("checksum").alias("is"), F.lit(True).alias("there")).join(stored.select("id", F.col("checksum").alias("was"), F.lit(True).alias("held")), "id", "full")
+    return both.select("id", F.when(F.col("held").isNull(), "missing").when(F.col("there").isNull(), "stale").when(F.col("is") != F.col("was"), "changed").otherwise("fresh").alias("status"))

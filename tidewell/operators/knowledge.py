@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, trigrams
 
@@ -36,12 +37,14 @@ def looks_like_markdown(text: Column) -> Column:
 
 
 def frontmatter(text: Column) -> Column:
-    """Map of the keys in a block fenced by --- lines at the start; null without a closing fence."""
+    """Map of the keys in a block fenced by --- lines at the start, the last of repeated keys; null without a closing fence."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_]+:"))
     unquote = lambda v: F.regexp_replace(F.trim(v), r"^([\"'])(.*)\1$", "$2")
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([A-Za-z_]+):", 1), unquote(F.regexp_extract(x, r"^[A-Za-z_]+:(.*)$", 1))))
-    return F.when(text.rlike(r"(?s)\A---\n.*?\n---(?:\n|\z)"), F.map_from_entries(F.array_distinct(pairs)))
+    keys = F.transform(pairs, lambda p: p["col1"])
+    last = F.filter(pairs, lambda p, i: F.array_position(F.reverse(keys), p["col1"]) == F.size(keys) - i)
+    return F.when(text.rlike(r"(?s)\A---\n.*?\n---(?:\n|\z)"), F.map_from_entries(last))
 
 
 def windows(rows: DataFrame, key: str, text: str, size: int = 2048, stride: int = 1792) -> DataFrame:
@@ -80,15 +83,21 @@ def lint(rows: DataFrame, stub: int = 200) -> DataFrame:
 
 def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85) -> DataFrame:
     """Pairs (a, b, similarity) of distinct titles by trigram Jaccard similarity: candidates share one of the few
-    rarest trigrams that two such titles must share (prefix filtering)."""
-    each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).select("id", "t", trigrams(F.col("t")).alias("g")).where(F.size("g") > 0)
-    rarity = each.select(F.explode("g").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = each.select("id", "t", F.explode("g").alias("w")).join(rarity, "w").groupBy("id", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("g"))
-    n = F.size("g")
-    rare = ranked.select("id", "g", F.explode(F.slice("g", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("w"))
-    near = rare.alias("x").join(rare.alias("y"), "w").where((F.col("x.id") < F.col("y.id")) & (F.size("x.g") >= least * F.size("y.g")) & (F.size("y.g") >= least * F.size("x.g")))
-    pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.g").alias("s"), F.col("y.g").alias("u")).distinct()
-    return pairs.select("a", "b", F.round(jaccard(F.col("s"), F.col("u")), 9).alias("similarity")).where(F.col("similarity") >= least)
+    rarest trigrams that two such titles must share (prefix filtering). Only ids and sizes go through the
+    candidates' join; the sets come to the distinct pairs."""
+    each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).select("id", trigrams(F.col("t")).alias("g")).where(F.size("g") > 0)
+    grams = each.select("id", F.size("g").alias("n"), F.explode("g").alias("w"))
+    rarity = grams.groupBy("w").agg(F.count("*").alias("df"))
+    placed = grams.join(rarity, "w").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))  # a title's own grams
+    rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    x, y = (rare.select("w", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}")) for s in "ab")
+    # what stands before and after the shared gram bounds what two titles can share
+    most = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    enough = most >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(each.select(F.col("id").alias(side), F.col("g").alias(f"g_{side}")), side)
+    return pairs.select("a", "b", F.round(jaccard(F.col("g_a"), F.col("g_b")), 9).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def isolate(text: Column, tag: str) -> Column:

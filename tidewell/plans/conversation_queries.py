@@ -1,4 +1,4 @@
-"""Queries of the memory stages."""
+"""Queries over conversations and stored notes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import memory
+from ..operators import conversations
 from ..session import table
 from ..sources.corpus import corpus
 from .registry import query
@@ -17,11 +17,11 @@ def _count(patterns: list[str]) -> str:
     return " + ".join("CAST(regexp_matches(text, '{}') AS INT)".format(p.replace("'", "''")) for p in patterns)
 
 
-@query("m28_feedback", f"""WITH x AS (SELECT conv_id, turn, {_count(memory.POSITIVE)} AS up, {_count(memory.NEGATIVE)} AS down FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+@query("m28_feedback", f"""WITH x AS (SELECT conv_id, turn, {_count(conversations.POSITIVE)} AS up, {_count(conversations.NEGATIVE)} AS down FROM conversations WHERE role = 'user' AND text IS NOT NULL)
 SELECT conv_id, turn, CASE WHEN up > down THEN 'reinforced' WHEN down > up THEN 'corrected' ELSE 'neutral' END AS reaction,
   CASE WHEN up <> down THEN round(least(1.0::DOUBLE, 0.3::DOUBLE * greatest(up, down)), 9) WHEN up > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM x""")
 def m28(spark, d):
-    kind, sure = memory.reaction(F.col("text"))
+    kind, sure = conversations.reaction(F.col("text"))
     return table(spark, d, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", kind.alias("reaction"), sure.alias("confidence"))
 
 
@@ -35,7 +35,7 @@ SELECT id, CASE WHEN age >= 180 THEN 'low' WHEN age >= 90 THEN CASE WHEN cur = '
 def m21(spark, d):
     n, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     cur = F.when(n % 3 == 0, "low").when(n % 3 == 1, "medium").otherwise("high")
-    return table(spark, d, "orders").select(n.alias("id"), memory.confidence(cur, day, F.date_add(day, (n % 70).cast("int")), F.lit(NOW).cast("date")).alias("confidence"))
+    return table(spark, d, "orders").select(n.alias("id"), conversations.confidence(cur, day, F.date_add(day, (n % 70).cast("int")), F.lit(NOW).cast("date")).alias("confidence"))
 
 
 @query("m22_stale", C + " SELECT scope, count(*) AS n FROM corpus WHERE modified < DATE '2024-12-31' - 90 GROUP BY scope")
@@ -43,36 +43,23 @@ def m22(spark, d):
     return corpus(spark, d).where(F.col("modified") < F.date_sub(F.lit("2024-12-31").cast("date"), 90)).groupBy("scope").agg(F.count("*").alias("n"))
 
 
-@query("m23_similar_names", """WITH w AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS s FROM part WHERE p_size = 7)
-SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 9) AS similarity FROM w x JOIN w y ON x.id < y.id) WHERE similarity >= 0.5""")
+@query("m23_similar_names", """WITH w AS (SELECT p_partkey AS id, list_sort(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'))) AS s FROM part WHERE p_partkey IS NOT NULL),
+l AS (SELECT x.id, count(*) AS n FROM w x JOIN w y ON x.id <> y.id WHERE len(x.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.3 * len(list_distinct(list_concat(x.s, y.s))) - 1e-9 GROUP BY x.id)
+SELECT id, CASE WHEN len(s) > 0 THEN min(id) OVER (PARTITION BY s) ELSE id END AS class_id, coalesce(n, 0) AS n_links FROM w LEFT JOIN l USING (id)""")
 def m23(spark, d):
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z0-9]+"), F.lit(0))
-    return memory.similar_names(table(spark, d, "part").where("p_size = 7"), "p_partkey", words, 0.5)
+    return conversations.similar_names(table(spark, d, "part"), "p_partkey", words)
 
 
-@query("m23_similar_names_whole", """WITH w AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS s FROM part)
-SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 9) AS similarity FROM w x JOIN w y ON x.id < y.id) WHERE similarity >= 0.3""")
-def m23_whole(spark, d):
-    """Every part at the surveyed similarity; m23_similar_names compares the parts of one size only, as its SQL does."""
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z0-9]+"), F.lit(0))
-    return memory.similar_names(table(spark, d, "part"), "p_partkey", words)
-
-
-@query("m25_index_lines", C + " SELECT project, string_agg('- ' || path, chr(10) ORDER BY path) AS lines FROM corpus WHERE scope = 'project_memory' GROUP BY project")
+@query("m25_index_lines", C + " SELECT project, '- ' || path AS line, row_number() OVER (PARTITION BY project ORDER BY path) AS pos FROM corpus WHERE scope = 'project_memory'")
 def m25(spark, d):
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit("- "), p)), "\n")
-    return corpus(spark, d).where("scope = 'project_memory'").groupBy("project").agg(lines.alias("lines"))
+    rows = corpus(spark, d).where("scope = 'project_memory'")
+    return conversations.index_lines(rows, "project", "path")
 
 
-@query("m9_sentences", "SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '(Dr|Mr|Mrs|Ms|Prof)\\.')")
+@query("m9_sentences", "SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\b(Dr|Mr|Mrs|Ms|Prof)\\.', '\\1' || chr(1), 'g'), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n FROM conversations WHERE text IS NOT NULL")
 def m9(spark, d):
-    return table(spark, d, "conversations").where("text is not null and not text rlike '(Dr|Mr|Mrs|Ms|Prof)[.]'").select("conv_id", "turn", F.size(memory.sentences(F.col("text"))).alias("n"))
-
-
-@query("m9_sentences_whole", "SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\b(Dr|Mr|Mrs|Ms|Prof)\\.', '\\1' || chr(1), 'g'), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n FROM conversations WHERE text IS NOT NULL")
-def m9_whole(spark, d):
-    """Every text; m9_sentences leaves out those with a title of a person, as its SQL does."""
-    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.size(memory.sentences(F.col("text"))).alias("n"))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.size(conversations.sentences(F.col("text"))).alias("n"))
 
 
 LINKS_SQL = """l AS (SELECT doc_id, source AS project, unnest(CASE WHEN doc_id % 3 = 0 THEN ['global:Page ' || (doc_id % 7) || '|shown', 'Page ' || (doc_id % 5)] ELSE ['Page ' || (doc_id % 11)] END) AS raw FROM documents)"""
@@ -86,24 +73,24 @@ def m27(spark, d):
     n = F.col("doc_id")
     text = F.when(n % 3 == 0, F.concat(F.lit("[[global:Page "), n % 7, F.lit("|shown]] and [[Page "), n % 5, F.lit("]]"))).otherwise(F.concat(F.lit("[[Page "), n % 11, F.lit("]]")))
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("project"), text.alias("text"))
-    links = memory.wikilinks(docs, "doc_id", "text").join(docs.select("doc_id", "project"), "doc_id")
+    links = conversations.wikilinks(docs, "doc_id", "text").join(docs.select("doc_id", "project"), "doc_id")
     slug = F.concat(F.lit("page-"), F.col("id") % 10)
     own = spark.range(200).where("id % 10 < 6").select(F.concat(F.lit("src"), F.floor(F.col("id") / 10)).alias("project"), slug.alias("slug"))
     own = own.select("project", "slug", F.concat_ws("/", F.lit("memory/project"), "project", "slug").alias("path"))
     shared = spark.range(3, 9).select(F.lit(None).cast("string").alias("project"), slug.alias("slug"), F.concat(F.lit("memory/global/"), slug).alias("path"))
-    return memory.resolve(links, own.union(shared)).select("doc_id", "project", "target", "is_global", "path")
+    return conversations.resolve(links, own.union(shared)).select("doc_id", "project", "target", "is_global", "path")
 
 
 @query("m29_compact", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= ceil(count(*) OVER (PARTITION BY conv_id) / 2)")
 def m29(spark, d):
-    return memory.newest_half(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+    return conversations.newest_half(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
 @query("m31_stem", f"""WITH w AS (SELECT DISTINCT unnest({TOK.format('text')}) AS t FROM benchmark)
 SELECT t AS term, CASE WHEN length(t) > 5 AND ends_with(t, 'ies') THEN left(t, length(t) - 3) || 'y' WHEN length(t) > 5 AND ends_with(t, 'es') THEN left(t, length(t) - 2)
   WHEN length(t) > 4 AND ends_with(t, 's') AND NOT ends_with(t, 'ss') THEN left(t, length(t) - 1) ELSE t END AS stem FROM w""")
 def m31(spark, d):
-    return table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct().select("term", memory.stem(F.col("term")).alias("stem"))
+    return table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct().select("term", conversations.stem(F.col("term")).alias("stem"))
 
 
 @query("m20_preceding_user_turn", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations")

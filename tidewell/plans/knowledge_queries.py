@@ -59,7 +59,7 @@ def t16(spark, d):
     return table(spark, d, "part").select("p_partkey", knowledge.frontmatter(text).alias("m")).where("m is not null").select("p_partkey", m["name"].alias("name"), m["brand"].alias("brand"), m["size"].alias("size"))
 
 
-@query("t19_lint", C + """, r AS (SELECT path, CASE WHEN chunk_id % 29 = 0 THEN '' ELSE title END AS title, coalesce(content, '') || CASE WHEN chunk_id % 4 = 0 THEN ' [[memory/global/' || (chunk_id + 4) || '.md]]' ELSE '' END AS body, chunk_id FROM corpus WHERE scope <> 'wiki')
+@query("t19_lint", C + """, r AS (SELECT path, CASE WHEN chunk_id % 29 = 0 THEN '' ELSE title END AS title, coalesce(content, '') || CASE WHEN chunk_id % 4 = 0 THEN ' [[memory/global/' || (chunk_id + 4) || '.md]]' ELSE '' END AS body, chunk_id FROM corpus)
 SELECT path, 'missing_field' AS issue FROM r WHERE trim(title) = '' UNION ALL SELECT path, 'empty_body' FROM r WHERE NOT regexp_matches(body, '\\S')
 UNION ALL SELECT path, 'stub' FROM r WHERE len(regexp_extract_all(body, '\\S+')) BETWEEN 1 AND 199 UNION ALL SELECT path, 'zero_links' FROM r WHERE strpos(body, '[[') = 0
 UNION ALL SELECT path, 'broken_link' FROM r WHERE chunk_id % 4 = 0 AND 'memory/global/' || (chunk_id + 4) || '.md' NOT IN (SELECT path FROM r)
@@ -67,23 +67,14 @@ UNION ALL SELECT path, 'duplicate_title' FROM r WHERE lower(trim(title)) IN (SEL
 def t19(spark, d):
     n = F.col("chunk_id")
     link = F.when(n % 4 == 0, F.concat(F.lit(" [[memory/global/"), n + 4, F.lit(".md]]"))).otherwise("")
-    rows = corpus(spark, d).where("scope <> 'wiki'").select("path", F.when(n % 29 == 0, "").otherwise(F.col("title")).alias("title"), F.concat(F.coalesce("content", F.lit("")), link).alias("body"))
+    rows = corpus(spark, d).select("path", F.when(n % 29 == 0, "").otherwise(F.col("title")).alias("title"), F.concat(F.coalesce("content", F.lit("")), link).alias("body"))
     return knowledge.lint(rows)
 
 
-@query("t20_title_pairs", f"""WITH e AS (SELECT title AS t, min(chunk_id) AS id FROM (SELECT doc_id AS chunk_id, left(split_part(text, '.', 1), 80) AS title FROM documents WHERE text IS NOT NULL) GROUP BY 1), g AS (SELECT id, {GRAMS.format('t')} AS g FROM e)
+@query("t20_title_pairs", f"""WITH e AS (SELECT title AS t, min(chunk_id) AS id FROM (SELECT doc_id AS chunk_id, split_part(text, '.', 1) AS title FROM documents WHERE text IS NOT NULL) GROUP BY 1), g AS (SELECT id, {GRAMS.format('t')} AS g FROM e)
 SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 9) AS similarity FROM g x JOIN g y ON x.id < y.id WHERE len(x.g) > 0 AND len(y.g) > 0
   AND len(x.g) >= 0.85 * len(y.g) AND len(y.g) >= 0.85 * len(x.g)) WHERE similarity >= 0.85""")
 def t20(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.substring(F.substring_index("text", ".", 1), 1, 80).alias("title"))
-    return knowledge.title_pairs(rows, "doc_id", "title")
-
-
-@query("t20_title_pairs_whole", f"""WITH e AS (SELECT title AS t, min(chunk_id) AS id FROM (SELECT doc_id AS chunk_id, split_part(text, '.', 1) AS title FROM documents WHERE text IS NOT NULL) GROUP BY 1), g AS (SELECT id, {GRAMS.format('t')} AS g FROM e)
-SELECT * FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 9) AS similarity FROM g x JOIN g y ON x.id < y.id WHERE len(x.g) > 0 AND len(y.g) > 0
-  AND len(x.g) >= 0.85 * len(y.g) AND len(y.g) >= 0.85 * len(x.g)) WHERE similarity >= 0.85""")
-def t20_whole(spark, d):
-    """Whole titles; t20_title_pairs compares their first 80 characters, as its SQL does."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", ".", 1).alias("title"))
     return knowledge.title_pairs(rows, "doc_id", "title")
 

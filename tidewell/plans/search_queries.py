@@ -33,9 +33,9 @@ def s3(spark, d):
     return filters.list_flat(corpus(spark, d), "memory/")
 
 
-@query("s4_glob", C + " SELECT path FROM corpus WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '^[12].[0-9]*\\.md$')")
+@query("s4_glob", C + " SELECT path FROM corpus WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '^[12].[^/]*\\.md$')")
 def s4(spark, d):
-    return filters.glob(corpus(spark, d), "[12]?*.md", digits_only=True).select("path")
+    return filters.glob(corpus(spark, d), "[12]?*.md").select("path")
 
 
 @query("s6_incremental_diff", C + """, old AS (SELECT path, CASE WHEN chunk_id % 5 = 0 THEN 'stale' ELSE sha256(content) END AS checksum FROM corpus WHERE chunk_id % 7 <> 0
@@ -51,10 +51,9 @@ def s6(spark, d):
     return filters.index_changes(now, old)
 
 
-@query("s9_stale_index", C + " SELECT count(*) FILTER (WHERE scope = 'wiki' AND chunk_id % 3 = 0) AS indexed, count(*) FILTER (WHERE scope = 'wiki') AS on_disk, count(*) FILTER (WHERE scope = 'wiki' AND chunk_id % 3 = 0) < 0.5 * count(*) FILTER (WHERE scope = 'wiki') AS stale FROM corpus")
+@query("s9_stale_index", C + " SELECT count(v.vec_id) AS indexed, count(*) AS on_disk, count(v.vec_id) < 0.5 * count(*) AS stale FROM corpus LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON vec_id = chunk_id WHERE scope = 'wiki'")
 def s9(spark, d):
-    rows = corpus(spark, d).where("scope = 'wiki'")
-    return rows.agg(F.count_if(F.col("chunk_id") % 3 == 0).alias("indexed"), F.count("*").alias("on_disk")).withColumn("stale", F.col("indexed") < 0.5 * F.col("on_disk"))
+    return filters.staleness(corpus(spark, d).where("scope = 'wiki'").select(F.col("chunk_id").alias("id")), vectors(spark, d).select("id"))
 
 
 @query("s10_lookup_rows", C + " SELECT c.path, title, session_id FROM corpus c JOIN (SELECT DISTINCT path FROM corpus WHERE chunk_id % 17 = 0) w ON c.path = w.path")
@@ -88,12 +87,14 @@ def s15(spark, d):
     return v.join(v.where("id % 4 = 1").select("id"), "id", "left_anti").select("id")
 
 
-@query("s16_vector_drift", """SELECT CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'stale' WHEN d.doc_id % 9 = 0 THEN 'changed' ELSE 'fresh' END AS status, count(*) AS n
-FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY 1""")
+@query("s16_vector_drift", """WITH now AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS checksum FROM documents),
+old AS (SELECT vec_id AS id, sha256(trim(coalesce(text, ''))) AS checksum FROM embeddings LEFT JOIN documents ON doc_id = vec_id)
+SELECT CASE WHEN old.id IS NULL THEN 'missing' WHEN now.id IS NULL THEN 'stale' WHEN now.checksum <> old.checksum THEN 'changed' ELSE 'fresh' END AS status, count(*) AS n FROM now FULL JOIN old ON now.id = old.id GROUP BY 1""")
 def s16(spark, d):
-    docs, v = table(spark, d, "documents").select("doc_id"), vectors(spark, d).select("id")
-    status = F.when(F.col("id").isNull(), "missing").when(F.col("doc_id").isNull(), "stale").when(F.col("doc_id") % 9 == 0, "changed").otherwise("fresh")
-    return docs.join(v, docs.doc_id == v.id, "full").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """Vectors that were made from trimmed texts, against the texts as they are."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    stored = vectors(spark, d).select("id").join(docs, "id", "left").select("id", F.sha2(F.trim(F.coalesce("text", F.lit(""))), 256).alias("checksum"))
+    return filters.drift(docs.select("id", F.sha2("text", 256).alias("checksum")), stored).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("s19_delete_by_path", C + " SELECT path FROM corpus WHERE chunk_id % 6 <> 0")
