@@ -47,6 +47,14 @@ def test_code_lengths_are_those_of_a_plain_ppm():
         assert np.allclose(row, [plain_bits(t, "xx"), plain_bits(t, "yy")], rtol=1e-5), t
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    m = model()
+    texts = [t.encode() for t in ("abba cd é" * 30, "", "cdd é", "a" * 200)]
+    whole = m.code_lengths(texts)
+    monkeypatch.setattr(L, "PIECE", 7)
+    assert np.allclose(m.code_lengths(texts), whole, rtol=1e-6)
+
+
 def test_predictions_and_edges(spark):
     rows = [(1, "abab ab", 0.5), (2, "cd cd", 0.5), (3, None, 0.5), (4, "", 0.5), (5, "123 !?", 0.5), (6, "ab ab " * 50_000, 0.5), (6, "ab ab", 0.5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")

@@ -25,17 +25,16 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD, null_safe_text, steps
+from .common import with_columns
 
 #: Bounds of a worker's memory: states of the transducer, its transitions, pairs and edges of tokens, and pieces whose ids are kept;
-#: code points of a piece that is kept, of a segment, and of the texts that are encoded before rows are passed on.
+#: code points of a piece that is kept and of a segment.
 MAX_STATES, MAX_MOVES, MAX_PAIRS, MAX_EDGES, MAX_PIECES = 160_000, 400_000, 300_000, 60_000, 400_000
-KEPT_PIECE, SEGMENT, STEP = 64, 1_000_000, 4_000_000
+KEPT_PIECE, SEGMENT = 64, 1_000_000
 #: Bytes of a piece after which tokens that are certain are emitted.
 LOOKAHEAD = 512
 
@@ -295,14 +294,13 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False, keep_text: bool = True) -> DataFrame:
     """Add n_tokens, ids_sha256, decoded_sha256 (and ids: binary, if asked) to ``docs``.
 
     The whole of every text is encoded, a null as an empty one, and the ids are decoded
-    again. Columns of those names are replaced.
+    again. Columns of those names are replaced; without ``keep_text`` the text stays behind.
     """
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    names = [x.split()[0] for x in added.split(", ")]
 
     def row(c: Codec, text: str) -> tuple:
         n, forth, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
@@ -320,22 +318,18 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids:
             back.update(part.encode())
         return (n, forth.hexdigest(), back.hexdigest(), *([b"".join(held)] if with_ids else []))
 
-    @F.pandas_udf(added)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(path, pattern)
-        for texts in batches:
-            for a, b in steps(texts, map(len, texts), STEP):
-                yield pd.DataFrame([row(c, t) for t in texts.iloc[a:b]], columns=names)
+        return lambda texts: list(zip(*[row(c, t) for t in texts]))
 
-    done = docs.withColumn(HELD, run(null_safe_text(text)))
-    return done.drop(*names).withColumns({n: F.col(f"{HELD}.{n}") for n in names}).drop(HELD)
+    return with_columns(docs, text, added, make, keep_text=keep_text)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+    return bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
 
 
 OP3_SQL = None  # not expressible; tested against the tiktoken library and by the exact round trip

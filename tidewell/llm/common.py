@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Text bytes that one vectorised step works on; bounds a worker's memory.
 STEP_BYTES = 4_000_000
-#: Column that holds an operator's results until they have their own names.
+#: Column that carries an operator's texts.
 HELD = "__held"
 
 
@@ -43,6 +47,33 @@ def null_safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def with_columns(docs: DataFrame, text: str, added: str, make: Callable[[], Callable[[list[str]], list[list]]], limit: int = STEP_BYTES, keep_text: bool = True) -> DataFrame:
+    """Add the columns ``added`` (DDL) to ``docs``, which replace columns of their names.
+
+    make(), called once a task, gives the function from some texts (null: empty) to the
+    lists of the added columns; it sees about ``limit`` characters at once. All other
+    columns pass through as Arrow data, so that their values stay as they are.
+    """
+    new = StructType.fromDDL(added)
+    names = [f.name for f in new]
+    kept = [f for f in docs.schema if f.name not in names and (keep_text or f.name != text)]
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            values = batch.column(0)
+            sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
+            rest = batch.select(list(range(1, batch.num_columns)))
+            for a, b in steps(sizes, sizes, limit):
+                columns = f([v or "" for v in values.slice(a, b - a).to_pylist()])
+                own = [pa.array(c, type=t.type) for c, t in zip(columns, arrow)]
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *own], names=[*rest.schema.names, *names])
+
+    into = docs.select(F.col(text).alias(HELD), *[F.col(f"`{x.name}`") for x in kept])
+    return into.mapInArrow(run, StructType([*kept, *new]))
+
+
 def steps(values: Iterable, sizes: Iterable[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose sizes sum to about ``limit``; a larger row is a range alone."""
     start, total, i = 0, 0, -1

@@ -4,8 +4,8 @@ Documents are the shards of the index: each task stores the positions of every t
 term of its documents, takes for each test window the term with the shortest list in
 the shard, and intersects its list, shifted by the term's offset, with the lists of
 the other terms from the rarest up. What remains are exact phrase occurrences. Only
-the test windows travel, in blocks of a checked size; each block is a column of the
-same pass over the documents.
+the test windows travel, in blocks of a checked size; all blocks are
+searched in one pass over the documents.
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD, null_safe_text, steps
+from .common import null_safe_text, with_columns
 
 WINDOW = 13
 #: Text bytes of test items that are broadcast at once.
@@ -103,42 +101,35 @@ def search(docs: list[list[bytes]], test: TestWindows, near: int | None = None):
     return found, alive[which], starts, close
 
 
-def _pass(test, near: int | None):
-    """Hits of one block of test windows: n_words, (start, end) of hit words, items and, if asked, near_items."""
-
-    @F.pandas_udf("n_words long, hits array<struct<s:int,e:int>>, items array<string>, near_items array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        windows: TestWindows = pickle.loads(test.value)
-        for texts in batches:
-            for a, b in steps(texts, map(len, texts)):
-                docs = [words(t) for t in texts.iloc[a:b]]
-                found, which, starts, close = search(docs, windows, near)
-                doc = np.searchsorted(starts, found, side="right") - 1
-                items: dict[int, set] = {}
-                spans: dict[int, list] = {}
-                for d, f, w in zip(doc.tolist(), (found - starts[doc]).tolist(), which.tolist()):
-                    items.setdefault(d, set()).update(windows.items[w])
-                    spans.setdefault(d, []).append((f, f + int(windows.lengths[w])))
-                beside: dict[int, set] = {}
-                for d, w in zip((np.searchsorted(starts, close[0], side="right") - 1).tolist(), close[1].tolist()):
-                    beside.setdefault(d, set()).update(windows.items[w])
-                out = [(len(w), _joined(spans.get(i, [])), sorted(items.get(i, ())), sorted(beside.get(i, ()))) for i, w in enumerate(docs)]
-                yield pd.DataFrame(out, columns=["n_words", "hits", "items", "near_items"])
-
-    return run
-
-
-def _joined(spans: list[tuple[int, int]]) -> list[dict]:
-    merged: list[dict] = []
+_ADDED = "n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>"
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
     for s, e in sorted(spans):
-        if merged and s <= merged[-1]["e"]:
-            merged[-1]["e"] = max(merged[-1]["e"], e)
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
         else:
-            merged.append({"s": s, "e": e})
+            merged.append([s, e])
     return merged
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int | None = None, text: str = "text") -> DataFrame:
+def _hits(docs: list[list[bytes]], blocks: list[TestWindows], near: int | None) -> list[tuple]:
+    """Of each document its words, its runs of hit words, and the items whose windows occur (and are near)."""
+    spans, items, beside = ([[] for _ in docs] for _ in range(3))
+    for windows in blocks:
+        found, which, starts, close = search(docs, windows, near)
+        doc = np.searchsorted(starts, found, side="right") - 1
+        for d, f, w in zip(doc.tolist(), (found - starts[doc]).tolist(), which.tolist()):
+            items[d] += windows.items[w]
+            spans[d].append((f, f + int(windows.lengths[w])))
+        for d, w in zip((np.searchsorted(starts, close[0], side="right") - 1).tolist(), close[1].tolist()):
+            beside[d] += windows.items[w]
+    runs = [_joined(x) for x in spans]
+    return [(len(d), [x[0] for x in r], [x[1] for x in r], sorted(set(i)), sorted(set(n))) for d, r, i, n in zip(docs, runs, items, beside)]
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add n_words, n_hit, hit_starts and hit_ends (maximal runs of hit words), items,
     n_items and contaminated to ``docs``; ``near`` adds near_items, items with a window
     whose three rarest terms stand within that many words.
@@ -151,33 +142,24 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, near
     spark = docs.sparkSession
     tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), null_safe_text().alias("text")).distinct()
     blocks = max(1, math.ceil((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
-    found = []
+    shared = []
     for i in range(blocks):
         mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about BLOCK_BYTES
-        test = spark.sparkContext.broadcast(pickle.dumps(TestWindows([(r[0], r[1]) for r in mine], window)))
-        found.append(_pass(test, near)(null_safe_text(text)).alias(f"of{i}"))
-    got = docs.withColumn(HELD, F.struct(*found))
-    every = lambda name: F.flatten(F.array(*[F.col(f"{HELD}.of{i}.{name}") for i in range(blocks)]))
-    hits = every("hits")
-    if blocks > 1:  # runs of several blocks are joined
-        start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(None).cast("struct<s:int,e:int>").alias("open"))
-        add = lambda x, y: F.when(x["open"].isNull(), F.struct(x["done"].alias("done"), y.alias("open"))).when(
-            y["s"] <= x["open"]["e"], F.struct(x["done"].alias("done"), F.struct(x["open"]["s"].alias("s"), F.greatest(x["open"]["e"], y["e"]).alias("e")).alias("open"))
-        ).otherwise(F.struct(F.concat(x["done"], F.array(x["open"])).alias("done"), y.alias("open")))
-        hits = F.aggregate(F.array_sort(hits), start, add, lambda x: F.when(x["open"].isNull(), x["done"]).otherwise(F.concat(x["done"], F.array(x["open"]))))
-    own = {"n_words": F.col(f"{HELD}.of0.n_words"), "hit_starts": hits["s"], "hit_ends": hits["e"], "items": F.array_sort(F.array_distinct(every("items")))}
-    if near is not None:
-        own["near_items"] = F.array_sort(F.array_distinct(every("near_items")))
-    names = [*own, "n_hit", "n_items", "contaminated"]
-    got = got.drop("near_items", *names).withColumns(own).drop(HELD)
+        shared.append(spark.sparkContext.broadcast(pickle.dumps(TestWindows([(r[0], r[1]) for r in mine], window))))
+
+    def make():
+        known = [pickle.loads(b.value) for b in shared]
+        return lambda texts: [list(c) for c in zip(*_hits([words(t) for t in texts], known, near))][: 4 + (near is not None)]
+
+    got = with_columns(docs.drop("near_items", "n_hit", "n_items", "contaminated"), text, _ADDED + ", near_items array<string>" * (near is not None), make, keep_text=keep_text)
     hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     got = got.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
     return got.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumnRenamed("text", "t")
-    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="t")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 

@@ -14,7 +14,7 @@ two look-ups a byte for all languages together.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pandas as pd
@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HELD, null_safe_text, steps
+from .common import steps, with_columns
 
 #: Bound of the labelled sample, in rows for each language.
 SAMPLE_ROWS = 400
+#: Bytes that are scored at once; bounds a worker's memory.
+PIECE = 1_000_000
 UNDETERMINED = "und"
+_LETTER = re.compile(r"[^\W\d_]")
 _START = b"\n\n\n"  # a text begins as if after line ends
 
 
@@ -82,22 +85,22 @@ class Model:
         return cost, None
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text under each language: an exact sum over all its bytes."""
+        """Bits of each text under each language: an exact sum over all its bytes, a long text piece by piece."""
         out = np.zeros((len(texts), len(self.languages)))
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        some = np.flatnonzero(sizes)
-        if not len(some):
-            return out
-        buf = np.frombuffer(b"".join(_START + texts[i] for i in some), dtype=np.uint8)
-        c = self.of_byte[buf]
-        context = (c[:-3] * self.size + c[1:-2]) * self.size + c[2:-1]
-        first = np.concatenate([[0], np.cumsum(sizes[some] + 3)[:-1]])
-        last = first + sizes[some]
-        bits = self.cost[self.row[context], c[3:]]
-        # between two texts stand three places that count for none
-        out[some] = np.add.reduceat(bits, np.stack([first, np.minimum(last, len(bits) - 1)], axis=1).ravel(), axis=0, dtype=np.float64)[::2]
-        tail = some[-1]
-        out[tail] = bits[first[-1] :].sum(axis=0, dtype=np.float64)
+        pieces = [(i, t[at - 3 : at] if at else _START, t[at : at + PIECE]) for i, t in enumerate(texts) for at in range(0, len(t), PIECE)]
+        for a, b in steps(pieces, (len(p[2]) for p in pieces), PIECE):
+            some = pieces[a:b]
+            sizes = np.array([len(p[2]) for p in some], dtype=np.int64)
+            buf = np.frombuffer(b"".join(x + y for _, x, y in some), dtype=np.uint8)
+            c = self.of_byte[buf]
+            context = (c[:-3] * self.size + c[1:-2]) * self.size + c[2:-1]
+            first = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]])
+            last = first + sizes
+            bits = self.cost[self.row[context], c[3:]]
+            # between two texts stand three places that count for none
+            sums = np.add.reduceat(bits, np.stack([first, np.minimum(last, len(bits) - 1)], axis=1).ravel(), axis=0, dtype=np.float64)[::2]
+            sums[-1] = bits[first[-1] :].sum(axis=0, dtype=np.float64)
+            np.add.at(out, [p[0] for p in some], sums)
         return out
 
 
@@ -133,35 +136,32 @@ def fit(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str
     return Model(counts.toPandas())
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add lang_pred and score to ``docs``.
 
     lang_pred is the language with the shortest code, ties to the smaller name; score is
     its posterior under equal priors. Null texts and texts without a letter are 'und'
     with score 0, and so is every text if nothing was learned. Columns of those names
-    are replaced.
+    are replaced; without ``keep_text`` the text stays behind.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         m: Model = pickle.loads(shared.value)
-        for texts in batches:
-            names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-            if m.languages:
-                languages = np.array(m.languages, dtype=object)
-                for a, b in steps(texts, map(len, texts), 1_000_000):
-                    bits = m.code_lengths([t.encode() for t in texts.iloc[a:b]])
-                    best = bits.argmin(axis=1)
-                    names[a:b] = languages[best]
-                    scores[a:b] = 1.0 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
-
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn(HELD, F.struct(guess(null_safe_text(text)).alias("of"), lettered.alias("lettered"))).drop("lang_pred", "score")
-    of = F.col(f"{HELD}.of")
-    told = F.col(f"{HELD}.lettered") & (of["lang_pred"] != UNDETERMINED)
-    return out.withColumns({"lang_pred": F.when(told, of["lang_pred"]).otherwise(UNDETERMINED), "score": F.when(told, of["score"]).otherwise(0.0)}).drop(HELD)
+
+        def guess(texts: list[str]) -> list[list]:
+            names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            some = [i for i, t in enumerate(texts) if m.languages and _LETTER.search(t)]
+            if some:
+                bits = m.code_lengths([texts[i].encode() for i in some])
+                sure = 1.0 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+                for i, best, score in zip(some, bits.argmin(axis=1).tolist(), sure.tolist()):
+                    names[i], scores[i] = m.languages[best], score
+            return [names, scores]
+
+        return guess
+
+    return with_columns(docs, text, "lang_pred string, score double", make, 1_000_000, keep_text)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -172,7 +172,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep_text=False)
 
 
 OP2_SQL = None  # a trained model; tested by held-out accuracy and against a plain PPM

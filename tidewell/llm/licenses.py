@@ -10,13 +10,11 @@ each licence of an expression counts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD, null_safe_text
+from .common import with_columns
 
 #: Known licence sentences as normalised by normalise(), '…' for any words; the first that matches whole names the sentence.
 SENTENCES = [
@@ -349,17 +347,12 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has none. Columns of those names are replaced.
     """
     added = "licenses array<string>, n_licenses long, license_spans array<struct<license:string,start:long,end:long>>"
-    names = ["licenses", "n_licenses", "license_spans"]
 
-    @F.pandas_udf(added)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [find_licenses(t) for t in texts]
-            rows = [(sorted({x[0] for x in f}), len(f), [{"license": n, "start": a, "end": b} for n, a, b in f]) for f in found]
-            yield pd.DataFrame(rows, columns=names)
+    def scan(texts: list[str]) -> list[list]:
+        found = [find_licenses(t) for t in texts]
+        return [[sorted({x[0] for x in f}) for f in found], [len(f) for f in found], [[{"license": n, "start": a, "end": b} for n, a, b in f] for f in found]]
 
-    done = docs.withColumn(HELD, run(null_safe_text(text)))
-    return done.drop(*names).withColumns({n: F.col(f"{HELD}.{n}") for n in names}).drop(HELD)
+    return with_columns(docs, text, added, lambda: scan)
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
