@@ -17,14 +17,24 @@ from tidewell.llm.common import cut, null_safe_text
 #: Columns that the stages use beside those of their documents.
 KEPT, WHOLE, NUMBER = "__kept", "__whole", "__number"
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns that an operator might replace under other names."""
+    return docs.select("text", *[F.col(f"`{c}`").alias(f"__{c}") for c in docs.columns if c != "text"])
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``found`` with the columns of ``docs``."""
+    return found.select(*["text" if c == "text" else F.col(f"`__{c}`").alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; null texts and texts without a letter go. Where no
     language was learned (no row has one), every text with a letter stays."""
     model = language_id.fit(docs.where(~language_id.held_out()))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs.select(F.struct(*docs.columns).alias(KEPT), "text"), model)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(f"{KEPT}.*")
+    found = language_id.predict(_aside(docs), model)
+    return _back(found.where(F.col("lang_pred") != language_id.UNDETERMINED), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,14 +76,14 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go, by the contamination rule of op4."""
-    found = decontaminate.find_benchmark(docs.select(F.struct(*docs.columns).alias(KEPT), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(f"{KEPT}.*")
+    found = decontaminate.find_benchmark(_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _back(found.where("not contaminated"), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as token ids (little-endian unsigned 32-bit), with their number and digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.bpe(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN, with_ids=True).drop("text")
+    return bpe.bpe(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN, with_ids=True, keep_text=False)
 
 
 STAGES = [
