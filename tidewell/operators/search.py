@@ -5,15 +5,19 @@ from __future__ import annotations
 import functools
 import operator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
+from ..functions.stem import fnv1a64, porter, porter_stem
 from ..functions.text import jaccard, tokens, trigrams
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Weight of an occurrence in each field.
-FIELDS = {"path": 3.0, "title": 10.0, "content": 1.0}
+#: Weight of an occurrence in each field.
+FIELDS = {"path": 3.0, "title": 10.0, "summary": 5.0, "tag_text": 4.0, "content": 1.0}
 
 
 def postings(rows: DataFrame, fields: dict[str, float] = FIELDS, terms: list[str] | None = None) -> DataFrame:
@@ -49,26 +53,66 @@ def prefix(rows: DataFrame, start: str) -> DataFrame:
     return rows.where(functools.reduce(operator.or_, [F.exists(tokens(F.col(f)), lambda t: t.startswith(start)) for f in FIELDS]))
 
 
-def bm25(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
-    """(chunk_id, score) of the rows that hold any of ``terms``; higher is better.
+def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str, float] = FIELDS, variants: DataFrame | None = None) -> DataFrame:
+    """(query_no, chunk_id, score) of the rows that hold any term of a query; higher is better.
 
-    One pass counts rows and tokens, one gathers the query's occurrences; only those are
-    shuffled. The inverse document frequency is floored at 1e-6.
+    All queries share two passes over ``rows``: one counts rows and tokens, the other
+    gathers the occurrences of all their terms; only those are shuffled. The inverse
+    document frequency is floored at 1e-6. ``variants`` (token, term) maps tokens to the
+    terms they stand for, such as stems; without it tokens are terms.
     """
-    length = functools.reduce(operator.add, [F.size(tokens(F.col(f))) for f in fields])
-    stats = rows.agg(F.count("*").alias("n_rows"), F.avg(length).alias("avg_len"))  # one row
-    sized = rows.select("chunk_id", *fields, length.alias("len"))
+    terms = sorted({t for q in queries.values() for t in q})
+    wanted = rows.sparkSession.createDataFrame([(n, t) for n, q in queries.items() for t in sorted(set(q))], "query_no int, term string")
+    toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields])
+    length = functools.reduce(operator.add, [F.size(f) for f in fields])
+    stats = toks.agg(F.count("*").alias("n_rows"), F.avg(length).alias("avg_len"))  # one row
 
     def part(f: str, w: float) -> Column:
-        return F.transform(F.filter(tokens(F.col(f)), lambda t: t.isin(terms)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+        own = F.filter(f, lambda t: t.isin(terms)) if variants is None else F.col(f)
+        return F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    parts = [part(f, w) for f, w in fields.items()]
-    tf = sized.select("chunk_id", "len", F.inline(F.concat(*parts))).groupBy("chunk_id", "len", "term").agg(F.sum("w").alias("f"))
+    found = toks.select("chunk_id", length.alias("len"), F.inline(F.concat(*[part(f, w) for f, w in fields.items()])))
+    if variants is not None:
+        found = found.withColumnRenamed("term", "token").join(variants, "token")
+    tf = found.groupBy("chunk_id", "len", "term").agg(F.sum("w").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     one = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weights = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")
-    return tf.join(F.broadcast(weights), "term").groupBy("chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
+    weights = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len").join(F.broadcast(wanted), "term")
+    return tf.join(F.broadcast(weights), "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
+
+
+def bm25(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
+    """(chunk_id, score) of the rows that hold any of ``terms``; higher is better."""
+    return bm25_many(rows, {0: terms}, fields).drop("query_no")
+
+
+def stem_variants(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """(token, term): the distinct tokens of ``rows`` whose Porter stem is that of a term, with the stem."""
+    vocabulary = rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[tokens(F.col(f)) for f in fields])))).alias("token")).distinct()
+    return vocabulary.withColumn("term", porter(F.col("token"))).where(F.col("term").isin(sorted({porter_stem(t) for t in terms})))
+
+
+def best_of_each(scored: DataFrame, k: int, group: str = "query_no", key: str = "chunk_id") -> DataFrame:
+    """The best ``k`` of each query with ranks from 1, ties to the smaller key; Spark keeps k rows a group before the shuffle."""
+    order = Window.partitionBy(group).orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def fanout(rows: DataFrame, queries: dict[int, list[str]], k: int = 10) -> DataFrame:
+    """(list_no, chunk_id, score, rank): the best ``k`` of every query, from one pass for all."""
+    return best_of_each(bm25_many(rows, queries), k).withColumnRenamed("query_no", "list_no")
+
+
+def admitted(lists: DataFrame, queries: dict[int, list[str]], primary: int = 0) -> DataFrame:
+    """The primary list and those others that may join it: where the primary is empty, where the query has a digit
+    or two to four terms, or where two of its best ten are in the primary's. Sizes are those of a query's lists."""
+    first = lists.where(F.col("list_no") == primary).select("chunk_id", F.lit(1).alias("_in"))
+    beside = lists.join(first, "chunk_id", "left").groupBy("list_no").agg(F.count("_in").alias("overlap"))
+    plain = [n for n, q in queries.items() if n == primary or 2 <= len(q) <= 4 or any(c.isdigit() for t in q for c in t)]
+    none = lists.where(F.col("list_no") == primary).agg((F.count("*") == 0).alias("none"))
+    ok = beside.join(F.broadcast(none)).where(F.col("list_no").isin(plain) | (F.col("overlap") >= 2) | F.col("none")).select("list_no")
+    return lists.join(ok, "list_no", "left_semi")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -113,8 +157,71 @@ def hybrid(rows: DataFrame, terms: list[str], vecs: DataFrame, query: list[float
 
 
 def fuzzy(entries: DataFrame, text: str, query: str, k: int = 10, least: float = 0.3, key: str = "chunk_id") -> DataFrame:
-    """(key, similarity) by trigram Jaccard over an inverted list of grams, so that only entries that share one are compared."""
-    mine = entries.select(key, trigrams(F.col(text)).alias("grams"))
-    wanted = mine.sparkSession.range(1).select(trigrams(F.lit(query)).alias("q"))
-    shared = mine.join(F.broadcast(wanted)).where(F.arrays_overlap("grams", "q"))
+    """(key, similarity) by trigram Jaccard in one pass: the query's grams are a literal, and entries that share none go before any set is built."""
+    mine = entries.select(key, trigrams(F.col(text)).alias("grams"), trigrams(F.lit(query)).alias("q"))
+    shared = mine.where(F.arrays_overlap("grams", "q"))
     return shared.select(key, F.round(jaccard(F.col("grams"), F.col("q")), 9).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(k)
+
+
+def rung(entries: DataFrame, text: str, words: list[str], k: int = 10, least: float = 0.3, key: str = "chunk_id") -> DataFrame:
+    """(key, similarity) by the best trigram Jaccard similarity that any of ``words`` has with the text."""
+    mine = entries.select(key, trigrams(F.col(text)).alias("grams"))
+    best = F.greatest(*[jaccard(F.col("grams"), trigrams(F.lit(w))) for w in words], F.lit(0.0))
+    return mine.select(key, F.round(best, 9).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(k)
+
+
+def hash_embed(words: Column, dim: int = 1024) -> Column:
+    """Unit vector of signed feature hashing: a word's 64-bit FNV-1a hash gives a sign (low bit) and a bucket; all zeros without words."""
+    return _hash_embed(words, F.lit(dim))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _hash_embed(words: pd.Series, dim: pd.Series) -> pd.Series:
+    n = int(dim.iloc[0]) if len(dim) else 1
+    known: dict[str, tuple[int, float]] = {}
+
+    def one(tokens) -> np.ndarray:
+        out = np.zeros(n)
+        for w in tokens if tokens is not None else ():
+            at = known.get(w)
+            if at is None:
+                h = fnv1a64(w.encode())
+                at = known[w] = ((h >> 1) % n, 1.0 if h & 1 else -1.0)
+            out[at[0]] += at[1]
+        norm = np.sqrt((out * out).sum())
+        return out / norm if norm else out
+
+    return words.map(one)
+
+
+def fallback_score(text: Column, query: str, similarity: Column) -> Column:
+    """Ten for each occurrence of the whole query in the text, and the similarity if it is positive."""
+    needle = query.lower()
+    times = (F.length(F.lower(text)) - F.length(F.replace(F.lower(text), F.lit(needle), F.lit("")))) / len(needle)
+    return F.round(10 * times + F.greatest(similarity, F.lit(0.0)), 9)
+
+
+def presence_score(fields: dict[str, float], terms: list[str]) -> Column:
+    """Sum over terms and fields of the field's weight where its tokens hold the term."""
+    hits = [F.array_contains(tokens(F.col(f)), t).cast("double") * w for f, w in fields.items() for t in terms]
+    return functools.reduce(operator.add, hits).cast("long")
+
+
+def occurrence_score(fields: dict[str, float], terms: list[str]) -> Column:
+    """Sum over terms and fields of the field's weight times the substring's occurrences."""
+
+    def times(f: str, t: str) -> Column:
+        text = F.lower(F.coalesce(F.col(f), F.lit("")))
+        return (F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)
+
+    return functools.reduce(operator.add, [w * times(f, t) for f, w in fields.items() for t in terms]).cast("long")
+
+
+def snippet(text: Column, terms: list[str], width: int = 64) -> Column:
+    """``width`` words that begin a few before the first of ``terms``, each occurrence marked; cut ends show '…'."""
+    words = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
+    hit = F.array_position(F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "").isin([t.lower() for t in terms])), True)
+    start = F.greatest(F.lit(1), hit - width // 4).cast("int")
+    body = F.array_join(F.slice(words, start, F.lit(width)), " ")
+    marked = F.regexp_replace(body, rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])", "<mark>$1</mark>")
+    return F.concat(F.when(start > 1, "… ").otherwise(""), marked, F.when(F.size(words) >= start + width, " …").otherwise(""))

@@ -13,7 +13,7 @@ from .registry import query
 
 C = "WITH " + CORPUS_SQL
 TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
-ALLTOK = "list_distinct(list_concat(list_concat({}, {}), {}))".format(TOK.format("path"), TOK.format("title"), TOK.format("content"))
+ALLTOK = "list_distinct(flatten([" + ", ".join(TOK.format(f) for f in search.FIELDS) + "]))"
 TERMS = ["the", "that", "licensed"]
 
 
@@ -145,7 +145,7 @@ def bm25_sql(terms: list[str], where: str = "true") -> str:
     lists = [f"SELECT chunk_id, unnest({TOK.format(f)}) AS term, {w} AS w FROM rows_" for f, w in search.FIELDS.items()]
     length = " + ".join(f"len({TOK.format(f)})" for f in search.FIELDS)
     return f"""{C}, rows_ AS (SELECT * FROM corpus WHERE {where}), st AS (SELECT count(*) AS n, avg({length}) AS avg_len FROM rows_), ln AS (SELECT chunk_id, {length} AS len FROM rows_),
-tf AS (SELECT chunk_id, term, sum(w) AS f FROM ({' UNION ALL '.join(lists)}) WHERE term IN ({', '.join(repr(t) for t in terms)}) GROUP BY ALL),
+tf AS (SELECT chunk_id, term, sum(w) AS f FROM ({' UNION ALL '.join(lists)}) WHERE term IN ({', '.join(repr(t) for t in terms) or 'NULL'}) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
   FROM tf JOIN df USING (term) JOIN ln USING (chunk_id), st GROUP BY chunk_id)"""
@@ -162,18 +162,62 @@ def f7(spark, d):
     return search.ranked(search.bm25(rows, TERMS), 20).drop("rank")
 
 
-@query("f12_score_document", C + """ SELECT path, (3 * (length(lower(title)) - length(replace(lower(title), 'the', ''))) + (length(lower(content)) - length(replace(lower(content), 'the', '')))) // 3 AS score
-FROM corpus WHERE scope = 'raw_document' AND (strpos(lower(title), 'the') > 0 OR strpos(lower(content), 'the') > 0)""")
+def occurrence_sql(fields: dict[str, float], terms: list[str]) -> str:
+    times = "{w} * ((length(lower(coalesce({f}, ''))) - length(replace(lower(coalesce({f}, '')), '{t}', ''))) // {n})"
+    return " + ".join(times.format(w=int(w), f=f, t=t, n=len(t)) for f, w in fields.items() for t in terms)
+
+
+BODY_FIELDS = {"title": 3.0, "summary": 2.0, "tag_text": 2.0, "content": 1.0}
+
+
+@query("f12_score_document", C + f" SELECT path, CAST({occurrence_sql(BODY_FIELDS, TERMS)} AS BIGINT) AS score FROM corpus WHERE scope = 'raw_document' AND {occurrence_sql(BODY_FIELDS, TERMS)} > 0")
 def f12(spark, d):
-    count = lambda c: ((F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.lit("the"), F.lit("")))) / 3).cast("long")
-    score = count(F.col("title")) * 3 + count(F.col("content"))
-    return corpus(spark, d).where("scope = 'raw_document'").select("path", score.alias("score")).where("score > 0")
+    return corpus(spark, d).where("scope = 'raw_document'").select("path", search.occurrence_score(BODY_FIELDS, TERMS).alias("score")).where("score > 0")
+
+
+@query("f13_in_memory", C + f" SELECT path, CAST({occurrence_sql(BODY_FIELDS, TERMS)} AS BIGINT) AS score, left(content, 140) AS snippet FROM corpus WHERE scope = 'raw_document' AND {occurrence_sql(BODY_FIELDS, TERMS)} > 0 ORDER BY score DESC, path LIMIT 10")
+def f13(spark, d):
+    rows = corpus(spark, d).where("scope = 'raw_document'").select("path", search.occurrence_score(BODY_FIELDS, TERMS).alias("score"), F.substring("content", 1, 140).alias("snippet"))
+    return rows.where("score > 0").orderBy(F.desc("score"), "path").limit(10)
+
 
+ARTICLE_FIELDS = {"title": 8.0, "summary": 4.0, "content": 1.0}
 
-@query("f14_score_article", C + f" SELECT chunk_id, 8 * CAST(list_contains({TOK.format('title')}, 'and') AS INT) + CAST(list_contains({TOK.format('content')}, 'and') AS INT) AS score FROM corpus")
+
+@query("f14_score_article", C + " SELECT chunk_id, " + " + ".join(f"{int(w)} * CAST(list_contains({TOK.format(f)}, '{t}') AS INT)" for f, w in ARTICLE_FIELDS.items() for t in TERMS) + " AS score FROM corpus")
 def f14(spark, d):
-    has = lambda c: F.array_contains(T.tokens(F.col(c)), "and").cast("int")
-    return corpus(spark, d).select("chunk_id", (8 * has("title") + has("content")).alias("score"))
+    return corpus(spark, d).select("chunk_id", search.presence_score(ARTICLE_FIELDS, TERMS).alias("score"))
+
+
+@query("f15_fallback", C + ", q AS (SELECT embedding FROM embeddings WHERE vec_id = 7) SELECT chunk_id, round(10 * ((length(lower(content)) - length(replace(lower(content), 'the license', ''))) / 11) + greatest(0, coalesce(round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9), 0)), 9) AS score FROM corpus LEFT JOIN embeddings e ON vec_id = chunk_id, q WHERE content IS NOT NULL")
+def f15(spark, d):
+    v = vectors(spark, d)
+    q = F.array(*[F.lit(float(x)) for x in search.vector_of(v, 7)])
+    near = v.select(F.col("id").alias("chunk_id"), F.round(search.cosine(F.col("embedding"), q), 9).alias("similarity"))
+    rows = corpus(spark, d).where("content is not null").join(near, "chunk_id", "left")
+    return rows.select("chunk_id", search.fallback_score(F.col("content"), "The license", F.coalesce("similarity", F.lit(0.0))).alias("score"))
+
+
+@query("f1_stemmed")
+def f1_stemmed(spark, d):
+    """BM25 over Porter stems: tokens whose stem is a query term's stem count for it. Tested against a plain count."""
+    rows = corpus(spark, d)
+    terms = ["licensing", "copyrights", "licensed"]
+    stems = sorted({search.porter_stem(t) for t in terms})
+    return search.bm25_many(rows, {0: stems}, variants=search.stem_variants(rows, terms)).drop("query_no")
+
+
+@query("f9_snippet", C + """, w AS (SELECT chunk_id, regexp_split_to_array(trim(coalesce(content, '')), '\\s+') AS w FROM corpus),
+h AS (SELECT chunk_id, w, greatest(1, coalesce(list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g') IN ('licensed', 'mit')), true), 0) - 16) AS s FROM w)
+SELECT chunk_id, CASE WHEN s > 1 THEN '… ' ELSE '' END || regexp_replace(regexp_replace(' ' || array_to_string(w[s : s + 63], ' ') || ' ', '(?i)([^\\p{L}\\p{N}])(licensed|mit)([^\\p{L}\\p{N}])', '\\1<mark>\\2</mark>\\3', 'g'), '^ | $', '', 'g') || CASE WHEN len(w) >= s + 64 THEN ' …' ELSE '' END AS snippet FROM h""")
+def f9(spark, d):
+    return corpus(spark, d).select("chunk_id", search.snippet(F.col("content"), ["licensed", "mit"]).alias("snippet"))
+
+
+@query("v8_hash_embedding")
+def v8(spark, d):
+    """Feature-hashed vectors of every document. No SQL: tested against a plain version."""
+    return table(spark, d, "documents").select("doc_id", search.hash_embed(T.tokens(F.col("text")), 256).alias("embedding"))
 
 
 COS = "round(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 9)"
@@ -215,6 +259,13 @@ def v10(spark, d):
     return search.fuzzy(corpus(spark, d), "title", "The that", least=0.2)
 
 
+@query("v11_trigram_rung", C + f""", g AS (SELECT chunk_id, {GRAMS.format('title')} AS a, {GRAMS.format("'then'")} AS b, {GRAMS.format("'nation'")} AS c FROM corpus),
+s AS (SELECT chunk_id, round(greatest(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, c)) / len(list_distinct(list_concat(a, c))) END), 9) AS similarity FROM g)
+SELECT * FROM s WHERE similarity >= 0.05 ORDER BY similarity DESC, chunk_id LIMIT 10""")
+def v11(spark, d):
+    return search.rung(corpus(spark, d), "title", ["then", "nation"], least=0.05)
+
+
 @query("v12_word_jaccard", f"SELECT item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS similarity FROM (SELECT item_id, list_distinct({TOK.format('text')}) AS a, ['the', 'that', 'of', 'and'] AS b FROM benchmark)")
 def v12(spark, d):
     words = F.array(*[F.lit(x) for x in ("the", "that", "of", "and")])
@@ -269,23 +320,33 @@ def j2(spark, d):
     return search.hybrid(corpus(spark, d), TERMS, v, search.vector_of(v, 7))
 
 
+#: Three queries: the first is the primary one.
+QUERIES = {0: TERMS, 1: ["the", "that"], 2: ["mit", "license"], 3: ["on", "in", "of", "and", "with"]}
+
+
 def fanout(spark, d):
-    """Three expressions' lists of ten: the first is the primary one."""
-    rows = corpus(spark, d)
-    lists = [search.ranked(search.bm25(rows, t), 10).withColumn("list_no", F.lit(i)) for i, t in enumerate((TERMS, ["the", "that"], ["mit", "license"]))]
-    return lists[0].union(lists[1]).union(lists[2])
+    return search.fanout(corpus(spark, d), QUERIES)
+
+
+FAN_SQL = bm25_sql([]).split("tf AS (")[0] + """q AS (SELECT * FROM (VALUES {values}) AS q(list_no, term)),
+tf AS (SELECT chunk_id, term, sum(w) AS f FROM ({lists}) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT list_no, chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+  FROM tf JOIN df USING (term) JOIN ln USING (chunk_id) JOIN q USING (term), st GROUP BY list_no, chunk_id),
+l AS (SELECT *, row_number() OVER (PARTITION BY list_no ORDER BY score DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 10)""".format(
+    values=", ".join(f"({n}, '{t}')" for n, q in QUERIES.items() for t in q),
+    lists=" UNION ALL ".join(f"SELECT chunk_id, unnest({TOK.format(f)}) AS term, {w} AS w FROM rows_" for f, w in search.FIELDS.items()),
+)
 
 
 def fanout_sql() -> str:
-    parts = [bm25_sql(t).removeprefix(C + ", ") for t in (TERMS, ["the", "that"], ["mit", "license"])]
-    out = C
-    for i, p in enumerate(parts):
-        for name in ("rows_", "st AS", "ln AS", "tf AS", "df AS", "bm AS"):
-            p = p.replace(name, name.replace(" AS", f"{i} AS") if " AS" in name else f"rows{i}")
-        for name in ("tf", "df", "ln", "st"):
-            p = p.replace(f"FROM {name} ", f"FROM {name}{i} ").replace(f"JOIN {name} ", f"JOIN {name}{i} ").replace(f", {name} GROUP", f", {name}{i} GROUP")
-        out += ", " + p
-    return out + ", l AS (" + " UNION ALL ".join(f"SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, {i} AS list_no FROM bm{i} QUALIFY rank <= 10" for i in range(3)) + ")"
+    return FAN_SQL
+
+
+@query("j5_admitted_lists", FAN_SQL + """, o AS (SELECT b.list_no, count(a.chunk_id) AS overlap FROM l b LEFT JOIN (SELECT chunk_id FROM l WHERE list_no = 0) a USING (chunk_id) GROUP BY b.list_no),
+ok AS (SELECT list_no FROM o WHERE list_no IN (0, 1, 2) OR overlap >= 2 OR NOT EXISTS (SELECT 1 FROM l WHERE list_no = 0))
+SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM l WHERE list_no IN (SELECT list_no FROM ok) GROUP BY chunk_id""")
+def j5(spark, d):
+    return search.rrf(search.admitted(fanout(spark, d), QUERIES))
 
 
 @query("j1_rrf_lists", fanout_sql() + " SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM l GROUP BY chunk_id")

@@ -37,6 +37,8 @@ def corpus(spark, sf_dir: str) -> DataFrame:
         n.alias("chunk_id"),
         path.alias("path"),
         F.substring_index("text", ".", 1).alias("title"),
+        F.split_part("text", F.lit("."), F.lit(2)).alias("summary"),
+        F.concat_ws(" ", "lang", "source").alias("tag_text"),
         F.col("text").alias("content"),
         F.array("lang", "source").alias("tags"),
         F.concat(F.lit("s"), n % 50).alias("session_id"),
@@ -48,7 +50,7 @@ def corpus(spark, sf_dir: str) -> DataFrame:
 
 #: The same view in SQL, to stand behind WITH.
 CORPUS_SQL = """corpus AS (
-  SELECT doc_id AS chunk_id, path, split_part(text, '.', 1) AS title, text AS content, [lang, source] AS tags, 's' || (doc_id % 50) AS session_id,
+  SELECT doc_id AS chunk_id, path, split_part(text, '.', 1) AS title, split_part(text, '.', 2) AS summary, concat_ws(' ', lang, source) AS tag_text, text AS content, [lang, source] AS tags, 's' || (doc_id % 50) AS session_id,
     CASE WHEN doc_id % 11 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 365 AS INT) END AS modified,
     CASE WHEN doc_id % 13 = 0 THEN (doc_id + 1) || '.md' ELSE '' END AS superseded_by, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS source_role,
     CASE doc_id % 4 WHEN 0 THEN 'global_memory' WHEN 1 THEN 'project_memory' WHEN 2 THEN 'wiki' ELSE 'raw_document' END AS scope,
