@@ -289,7 +289,7 @@ class Codec:
         yield stream.feed(b"", final=True)
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
@@ -322,7 +322,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids:
         c = codec(path, pattern)
         return lambda texts: list(zip(*[row(c, t) for t in texts]))
 
-    return with_columns(docs, text, added, make, keep_text=keep_text)
+    return with_columns(docs, text, added, make, keep_text=keep_text, release=lambda: codec.cache_clear())
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

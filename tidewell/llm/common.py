@@ -47,12 +47,14 @@ def null_safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def with_columns(docs: DataFrame, text: str, added: str, make: Callable[[], Callable[[list[str]], list[list]]], limit: int = STEP_BYTES, keep_text: bool = True) -> DataFrame:
+def with_columns(docs: DataFrame, text: str, added: str, make: Callable[[], Callable[[list[str]], list[list]]], limit: int = STEP_BYTES, keep_text: bool = True, release: Callable[[], None] = lambda: None) -> DataFrame:
     """Add the columns ``added`` (DDL) to ``docs``, which replace columns of their names.
 
     make(), called once a task, gives the function from some texts (null: empty) to the
     lists of the added columns; it sees about ``limit`` characters at once. All other
     columns pass through as Arrow data, so that their values stay as they are.
+    release() is called when a task ends: a worker that waits for its next task holds
+    no more of an operator than that keeps.
     """
     new = StructType.fromDDL(added)
     names = [f.name for f in new]
@@ -69,6 +71,8 @@ def with_columns(docs: DataFrame, text: str, added: str, make: Callable[[], Call
                 columns = f([v or "" for v in values.slice(a, b - a).to_pylist()])
                 own = [pa.array(c, type=t.type) for c, t in zip(columns, arrow)]
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *own], names=[*rest.schema.names, *names])
+        del f
+        release()
 
     into = docs.select(F.col(text).alias(HELD), *[F.col(f"`{x.name}`") for x in kept])
     return into.mapInArrow(run, StructType([*kept, *new]))

@@ -13,7 +13,6 @@ two look-ups a byte for all languages together.
 
 from __future__ import annotations
 
-import pickle
 import re
 
 import numpy as np
@@ -27,7 +26,7 @@ from .common import steps, with_columns
 #: Bound of the labelled sample, in rows for each language.
 SAMPLE_ROWS = 400
 #: Bytes that are scored at once; bounds a worker's memory.
-PIECE = 1_000_000
+PIECE = 250_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _START = b"\n\n\n"  # a text begins as if after line ends
@@ -144,10 +143,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
     with score 0, and so is every text if nothing was learned. Columns of those names
     are replaced; without ``keep_text`` the text stays behind.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def make():
-        m: Model = pickle.loads(shared.value)
+        m: Model = shared.value
 
         def guess(texts: list[str]) -> list[list]:
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -161,7 +160,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
 
         return guess
 
-    return with_columns(docs, text, "lang_pred string, score double", make, 1_000_000, keep_text)
+    return with_columns(docs, text, "lang_pred string, score double", make, PIECE, keep_text)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
