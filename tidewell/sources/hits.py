@@ -64,3 +64,14 @@ def hits(spark, sf_dir: str) -> DataFrame:
 #: The same view in SQL, to stand behind WITH.
 HITS_SQL = f"""{CORPUS_SQL}, hits AS (SELECT chunk_id // 40 AS query_no, {_literals(QUESTIONS)}[1 + (chunk_id // 40) % {len(QUESTIONS)}] AS question, chunk_id, path, source_role, session_id, modified, superseded_by,
   {_literals(NOTES)}[1 + chunk_id % {len(NOTES)}] || ' ' || coalesce(title, '') AS text, 1.0::DOUBLE / (1 + chunk_id % 40) AS score, CAST(chunk_id % 40 + 1 AS INT) AS rank FROM corpus)"""
+
+
+def talk(spark, sf_dir: str) -> DataFrame:
+    """Turns (conv_id, turn, role, text) whose texts begin with a note."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    note = F.element_at(F.array(*[F.lit(v) for v in NOTES + SAID]), ((F.col("conv_id") * 7 + F.col("turn")) % len(NOTES + SAID) + 1).cast("int"))
+    return c.select("conv_id", "turn", "role", F.concat(note, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+SAID = ["Thanks, that looks good.", "That's wrong, please revert it.", "I have run 12 miles on Monday at 7:30.", "Error: the build failed. Let me retry", "Yesterday I paid £5 for tea."]
+TALK_SQL = f"talk AS (SELECT conv_id, turn, role, {_literals(NOTES + SAID)}[1 + (conv_id * 7 + turn) % {len(NOTES + SAID)}] || chr(10) || coalesce(text, '') AS text FROM conversations)"
