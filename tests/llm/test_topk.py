@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidewell.llm import topk as K
 
 
@@ -30,3 +32,17 @@ def test_scaled_drops_and_large_values(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, v array<long>")
     assert K.exact_topk(df, df).count() == 0
+
+
+def test_terms_become_non_essential():
+    """Skewed dimensions, so that bounds split the terms; small steps; and numbers beyond doubles."""
+    r = random.Random(9)
+    for scale in (1, 2**40):
+        rows = [[r.randrange(-(4**d), 4**d) * scale for d in range(10)] for _ in range(400)]
+        ids = list(range(0, 800, 2))
+        r.shuffle(ids)
+        for n in range(20):
+            q = [r.choice([0, 1, -3, 2]) * scale for _ in range(10)] if n else [0] * 10
+            want = sorted((-sum(a * b for a, b in zip(q, x)), i) for i, x in zip(ids, rows) if i != 4)[:5]
+            got = K.maxscore(np.array(ids), np.array(rows, dtype=np.int64), 4, np.array(q, dtype=np.int64), 5, step=16)
+            assert got == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in want]

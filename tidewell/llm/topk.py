@@ -1,14 +1,17 @@
 """Exact top-k inner products by MaxScore over blocks of vectors.
 
-A dimension is a query's term, the components along it are its postings, and within a
-block the largest product that a dimension can add is its bound. Terms are split by
-bound: the essential ones are traversed for every vector of the block, the others only
-for vectors whose score so far, plus all that the remaining terms could add, reaches
-the k-th best score known. Blocks are shards; their lists are merged by rank.
+A dimension is a query's term. Within a block what a term can add above its least is its
+bound. While the k-th best score known is high enough, the terms of the smallest bounds
+are non-essential: together they lift no vector to it. The essential terms are traversed
+for all vectors of a step, the others are probed, the largest bounds first, only for
+vectors that can still reach the k-th best score. That score rises with every step, and
+with it the number of non-essential terms; where no term is essential the rest of the
+block is passed over. Blocks are shards; their lists are merged by rank.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -27,36 +30,43 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def maxscore(ids: np.ndarray, rows: np.ndarray, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (vec_id, score) of a block for one query, ties to the smaller id. Exact in integers."""
+def maxscore(ids: np.ndarray, rows: np.ndarray, query_id: int, q: np.ndarray, k: int, step: int = 256) -> list[tuple[int, int]]:
+    """The k best (vec_id, score) of a block for one query, ties to the smaller id. Exact: doubles hold the sums
+    while these are below 2^53, else whole numbers of any size, which at the end are held within a long."""
     others = ids != query_id
     if not others.all():
         ids, rows = ids[others], rows[others]
-    n = len(ids)
-    if not n:
+    if not len(ids):
         return []
-    biggest = float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q))
-    if biggest >= 2.0**53:  # beyond exact doubles: whole numbers of any size, clamped to a long at the end
-        scores = np.array([sum(int(a) * int(b) for a, b in zip(r, q)) for r in rows], dtype=object)
-        order = sorted(range(n), key=lambda i: (-scores[i], ids[i]))[:k]
-        return [(int(ids[i]), max(_LONG[0], min(_LONG[1], int(scores[i])))) for i in order]
-    qf, rf = q.astype(np.float64), rows.astype(np.float64)
-    bound = np.maximum(qf * rf.max(axis=0), qf * rf.min(axis=0))  # per term
-    spread = bound - np.minimum(qf * rf.max(axis=0), qf * rf.min(axis=0))
-    terms = np.argsort(-spread, kind="stable")
-    terms = terms[qf[terms] != 0]
-    rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0.0]])
-    seen = np.argpartition(-(rf[:, terms[:8]] @ qf[terms[:8]]), min(k, n) - 1)[:k]
-    known = -np.inf if n < k else float((rf[seen] @ qf).min())  # k vectors reach this
-    live, score, at = np.arange(n), np.zeros(n), 0
-    while at < len(terms):
-        some = terms[at : at + 16]
-        score = score + rf[np.ix_(live, some)] @ qf[some]
-        at += 16
-        keep = score + rest[min(at, len(terms))] >= known
-        live, score = live[keep], score[keep]
-    order = np.lexsort((ids[live], -score))[:k]
-    return [(int(ids[live[i]]), int(score[i])) for i in order]
+    biggest = float(np.abs(rows.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(1, len(q))
+    kind = np.float64 if biggest < 2.0**53 else object
+    terms = np.flatnonzero(q)
+    q, rows = q[terms].astype(kind), rows[:, terms].astype(kind)
+    ends = np.stack([q * rows.max(axis=0), q * rows.min(axis=0)])
+    least, bound = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
+    by_bound = np.array(sorted(range(len(terms)), key=bound.__getitem__), dtype=np.int64)  # the smallest first
+    q, rows, least = q[by_bound], rows[:, by_bound], least[by_bound]
+    upto = np.concatenate([np.zeros(1, kind), np.cumsum(bound[by_bound])])  # what the first terms can add together
+    floor = least.sum() if len(least) else 0
+    best: list[tuple] = []  # (-score, id), at most k
+    for a in range(0, len(ids), step):
+        known = -best[-1][0] if len(best) == k else None
+        split = 0 if known is None else int(np.searchsorted(upto, known - floor, side="left")) - 1  # floor + upto[split] < known
+        if split >= len(terms) and len(terms):
+            break
+        split = max(0, split)
+        live, part = np.arange(len(ids[a : a + step])), rows[a : a + step]
+        score = part[:, split:] @ q[split:] + (floor - least[split:].sum())
+        while split:
+            live_now = score + upto[split] >= known
+            live, score = live[live_now], score[live_now]
+            low = max(0, split - 8)
+            score = score + part[live, low:split] @ q[low:split] - least[low:split].sum()
+            split = low
+        if known is not None:
+            live, score = live[score >= known], score[score >= known]
+        best = heapq.nsmallest(k, [*best, *zip((-score).tolist(), ids[a + live].tolist())])
+    return [(i, max(_LONG[0], min(_LONG[1], int(-s)))) for s, i in best]
 
 
 def _shard(k: int):
