@@ -35,3 +35,14 @@ def test_reader_takes_members_and_plain(spark):
 def test_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.assemble(warc.read_warc(spark, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_large_pages_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", [(10, 6), (100, 3), (1 << 31, 3)])
+    rows = [(i, f"u{i}", "x" * (i % 3 * 60) + str(i % 5)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/w").select("content").collect()
+    counts = sorted(sum(1 for _ in warc.records(bytes(f.content))) for f in files)
+    assert sum(counts) == 90 and counts.count(3) == 20
+    assert warc.assemble(warc.read_warc(spark, f"file://{tmp_path}/w")).count() == 30

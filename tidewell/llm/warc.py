@@ -3,7 +3,7 @@ read archives; assemble the records of one capture through their concurrent-to i
 
 Writing needs no Python: a WARC record ends with CR LF CR LF, so Spark's text writer,
 given that as its line separator, writes valid archives on any file system it knows.
-Files hold at most ``records_per_file`` records. Reading parses by Content-Length,
+Files hold so many records as their pages' sizes allow. Reading parses by Content-Length,
 streaming through the compressed bytes, and keeps payloads only where asked.
 """
 
@@ -52,8 +52,25 @@ def _record(kind: Column, rid: Column, uri: Column, date: str, headers: list[tup
     )
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0, records_per_file: int = 3000) -> None:
-    """Write three records for each row of ``pages`` (page_id, url, html) under ``path``.
+#: Payloads up to so many bytes, and so many records in a file: no file has much over 64 MB but for one larger page.
+SIZES = [(1 << 16, 3000), (1 << 20, 180), (1 << 31, 3)]
+
+
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> None:
+    """Write three records for each row of ``pages`` (page_id, url, html) under ``path``, pages of each class of SIZES in files of their own.
+
+    Equal payloads have equal sizes, so that each class finds its revisits by itself.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    bounds = [0, *[b + 1 for b, _ in SIZES]]
+    held = pages.agg(*[F.count_if((size >= lo) & (size <= hi)) for lo, (hi, _) in zip(bounds, SIZES)]).first()
+    for n, lo, (hi, records_per_file) in zip(held, bounds, SIZES):
+        if n or (hi == SIZES[0][0] and not sum(held)):
+            _write(pages.where((size >= lo) & (size <= hi)), path, date, min_revisit_bytes, records_per_file)
+
+
+def _write(pages: DataFrame, path: str, date: str, min_revisit_bytes: int, records_per_file: int) -> None:
+    """Write the records of pages of one class of sizes.
 
     Of payloads that are equal and at least ``min_revisit_bytes`` long, the one with the
     smallest page_id is a response and the others revisit it; shorter payloads are all
@@ -89,7 +106,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         ),
         _record(F.lit("metadata"), _id(rid, F.lit("metadata")), uri, date, [("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/json"))], note),
     ]
-    p.select(F.explode(F.array(*kinds)).alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    p.select(F.explode(F.array(*kinds)).alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("append").text(path)
 
 
 class _Bytes(io.RawIOBase):
