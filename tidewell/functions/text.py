@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def tokens(text: Column) -> Column:
@@ -83,3 +87,15 @@ def tolerant_date(text: Column) -> Column:
     layouts = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy/MM/dd HH:mm")
     plain = F.trim(F.regexp_replace(text, r" ?\([A-Za-z]{3}\)", ""))
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(x)) for x in layouts])
+
+
+def web_url(text: Column) -> Column:
+    """An http or https address, https where no scheme is given; null without a host or with another scheme."""
+    full = F.when(text.contains("://"), F.trim(text)).otherwise(F.concat(F.lit("https://"), F.trim(text)))
+    return F.when(full.rlike(r"^https?://[^/?#\s]+"), full)
+
+
+@F.pandas_udf(StringType())
+def plain(text: pd.Series) -> pd.Series:
+    """NFKC without format characters (zero-width marks, soft hyphens, direction marks)."""
+    return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"), na_action="ignore")

@@ -111,3 +111,10 @@ def drift(now: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, status) by checksum: missing (not stored), stale (no longer there), changed or fresh."""
     both = now.select("id", F.col("checksum").alias("is"), F.lit(True).alias("there")).join(stored.select("id", F.col("checksum").alias("was"), F.lit(True).alias("held")), "id", "full")
     return both.select("id", F.when(F.col("held").isNull(), "missing").when(F.col("there").isNull(), "stale").when(F.col("is") != F.col("was"), "changed").otherwise("fresh").alias("status"))
+
+
+def index_rows(rows: DataFrame) -> DataFrame:
+    """What the index holds of each row: keys, scope, checksum and the words of its date."""
+    f = lambda p: F.date_format("modified", p)
+    words = F.when(F.col("modified").isNull(), F.array().cast("array<string>")).otherwise(F.array(f("yyyy-MM-dd"), f("yyyy/MM/dd"), f("yyyy"), F.lower(f("EEEE")), F.lower(f("MMMM"))))
+    return rows.select("chunk_id", "path", "scope", F.lower("title").alias("title_key"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("checksum"), words.alias("date_tokens"))

@@ -33,3 +33,10 @@ def supersession(claims: DataFrame) -> DataFrame:
         .otherwise("same-key-different-value")
     )
     return claims.withColumns(prev).where("p_id is not null").select("id", F.col("p_id").alias("old_id"), reason.alias("reason"))
+
+
+def stamp(rows: DataFrame, newer: DataFrame) -> DataFrame:
+    """(path, superseded_by): rows whose path is in ``newer`` (path, by) point to what replaces them, unless they point already."""
+    by = newer.groupBy("path").agg(F.min("by").alias("by"))
+    own = F.when(F.col("superseded_by") != "", F.col("superseded_by"))
+    return rows.join(by, "path", "left").select("path", F.coalesce(own, "by", F.lit("")).alias("superseded_by"))

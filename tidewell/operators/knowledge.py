@@ -103,3 +103,15 @@ def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85) -> Da
 def isolate(text: Column, tag: str) -> Column:
     """Text wrapped in an element whose closing tag inside is escaped."""
     return F.concat(F.lit(f"<{tag}>\n"), F.regexp_replace(text, f"(?i)</{tag}>", f"&lt;/{tag}&gt;"), F.lit(f"\n</{tag}>"))
+
+
+def session_date(meta: Column) -> Column:
+    """session_date, else observed_on, else modified, of a frontmatter map."""
+    return F.coalesce(*[F.try_element_at(meta, F.lit(k)) for k in ("session_date", "observed_on", "modified")])
+
+
+def render(hits: DataFrame, k: int) -> DataFrame:
+    """(query_no, passages): the best ``k`` hits of each question as numbered lines with date, session and role."""
+    line = F.concat(F.col("rank"), F.lit(". ["), F.coalesce(F.col("modified").cast("string"), F.lit("undated")), F.lit("] ("), "session_id", F.lit(", "), "source_role", F.lit(") "), F.substring("text", 1, 80))
+    lines = hits.where(F.col("rank") <= k).groupBy("query_no").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))  # k lines a question
+    return lines.select("query_no", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("passages"))

@@ -52,3 +52,13 @@ def cluster_by_session(hits: DataFrame) -> DataFrame:
     """Hits (chunk_id, session_id, rank) regrouped: sessions as they first appear, hits in their order."""
     first = F.min("rank").over(Window.partitionBy("session_id"))
     return hits.withColumn("_first", first).select("chunk_id", F.row_number().over(Window.orderBy("_first", "rank")).alias("pos"))  # a query's hits
+
+
+def neighbour_scores(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(chunk_id, score) of the other rows of the seeds' sessions: the best of 0.72 of a seed's score (0.55 for rows
+    after it), a little more for the same role and day, and no more than 0.95 of it."""
+    s = seeds.select("session_id", F.col("chunk_id").alias("s_id"), F.col("score").alias("s_score"), F.col("source_role").alias("s_role"), F.col("modified").alias("s_day"))
+    others = rows.join(seeds.select("chunk_id"), "chunk_id", "left_anti").join(s, "session_id")
+    factor = F.when(F.col("chunk_id") > F.col("s_id"), 0.55).otherwise(0.72) * F.when(F.col("source_role") == F.col("s_role"), 1.05).otherwise(1.0)
+    factor = factor * F.when(F.col("modified") == F.col("s_day"), 1.08).otherwise(1.0)
+    return others.groupBy("chunk_id").agg(F.round(F.max(F.least(0.95 * F.col("s_score"), F.col("s_score") * factor)), 9).alias("score"))

@@ -69,3 +69,15 @@ def recall_at(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(question, passed): any of the wanted ids among the first k hits."""
     found = wanted.join(hits.where(F.col("rank") <= k).withColumn("found", F.lit(True)), ["question", "id"], "left")
     return found.groupBy("question").agg(F.bool_or(F.coalesce("found", F.lit(False))).alias("passed"))
+
+
+def select_some(rows: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
+    """The ``k`` rows of each group that a hash of seed and key puts first: the same at any partitioning; Spark keeps k rows a group before the shuffle."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    order = Window.partitionBy(group).orderBy("_draw", key)
+    return rows.withColumn("_draw", draw).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(group, key)
+
+
+def tool_calls(rows: DataFrame, group: str, tool: str, order: str) -> DataFrame:
+    """(group, tool, n, first): uses of each tool and where it came first."""
+    return rows.groupBy(group, F.col(tool).alias("tool")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
