@@ -5,6 +5,9 @@ import math
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidewell.operators import stats
 from tidewell.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +45,17 @@ def test_against_sql(spark, duck, name):
 def test_bootstrap_interval(spark):
     row = registry.QUERIES["a5_bootstrap"](spark, SF).first()
     assert row["lo"] <= row["mean"] <= row["hi"] and 0 < row["hi"] - row["lo"] < 0.5
+
+
+def test_bootstrap_by_category(spark):
+    """About as wide as the normal approximation says, and the same at any partitioning."""
+    rows = registry.QUERIES["a6_bootstrap_by_category"](spark, SF).collect()
+    counts = {r.event_type: (r["count"], r.m) for r in spark.read.parquet(f"{SF}/events.parquet").where("value is not null").groupBy("event_type").agg(F.count("*").alias("count"), F.avg((F.col("value") > 50).cast("int")).alias("m")).collect()}
+    assert {r.category for r in rows} == set(counts)
+    for r in rows:
+        n, mean = counts[r.category]
+        half = 1.96 * math.sqrt(mean * (1 - mean) / n)
+        assert abs(r["mean"] - mean) < 1e-9 and abs(mean - half - r.lo) < 0.3 * half + 0.01 and abs(mean + half - r.hi) < 0.3 * half + 0.01
+    values = spark.range(300).select("id", (F.col("id") % 7).alias("v"))
+    assert stats.bootstrap(values, "v").collect() == stats.bootstrap(values.repartition(5), "v").collect()
+    assert stats.bootstrap(values.limit(0), "v").count() == 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,16 +39,40 @@ def nearest_rank(rows: DataFrame, group: str, value: str, percents: list[float])
     return ranked.groupBy(group).agg(*[at(p).alias(f"p{p:g}") for p in percents])
 
 
-def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and 95% interval by the Poisson bootstrap: each row counts in a resample as often as a
-    Poisson draw of its hash says, so that one pass with partial sums suffices at any size."""
-    draws = F.sequence(F.lit(0), F.lit(resamples - 1))
-    u = lambda r: (F.pmod(F.xxhash64(F.col("id"), r, F.lit(seed)), F.lit(1 << 40)) + 0.5) / (1 << 40)
-    weight = lambda x: F.when(x < 0.367879441, 0).when(x < 0.735758882, 1).when(x < 0.919698603, 2).when(x < 0.981011843, 3).when(x < 0.996340153, 4).otherwise(5)
-    each = rows.select(F.col(value).cast("double").alias("v"), F.explode(F.transform(draws, lambda r: F.struct(r.alias("r"), weight(u(r)).alias("w")))).alias("d"))
-    means = each.groupBy("d.r").agg((F.sum(F.col("v") * F.col("d.w")) / F.sum("d.w")).alias("m"))
-    interval = means.agg(F.expr("percentile_disc(0.025) within group (order by m)").alias("lo"), F.expr("percentile_disc(0.975) within group (order by m)").alias("hi"))
-    return rows.agg(F.avg(value).alias("mean")).join(interval)
+def _poisson(ids: np.ndarray, resample: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson draws with mean 1, one for each id (rows) and resample (columns), from a hash of both."""
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + resample.astype(np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    steps = np.exp(-1.0) * np.cumsum([1.0 / math.factorial(k) for k in range(20)])
+    return np.searchsorted(steps, u, side="right")
+
+
+def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 42, group: str | None = None, key: str = "id") -> DataFrame:
+    """Mean and 95% interval (lo, hi) by the Poisson bootstrap, of all rows or of each ``group``.
+
+    A row counts in a resample as often as a Poisson draw of its key's hash says, at any
+    partitioning. Each batch gives its sums of all resamples, so that what is shuffled is a
+    thousand numbers a batch. Rows with a null value take no part.
+    """
+    named = rows.where(F.col(value).isNotNull()).select((F.col(group) if group else F.lit("all")).cast("string").alias("g"), F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("v"))
+    every = np.arange(resamples)
+
+    def sums(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("g", sort=False, dropna=False):
+                w, wv = np.zeros(resamples), np.zeros(resamples)
+                for a in range(0, len(part), 512):
+                    draws = _poisson(part["k"].to_numpy()[a : a + 512].view(np.uint64), every, seed)
+                    w += draws.sum(axis=0)
+                    wv += part["v"].to_numpy()[a : a + 512] @ draws
+                yield pd.DataFrame({"g": name, "r": every, "w": w, "wv": wv})
+
+    means = named.mapInPandas(sums, "g string, r int, w double, wv double").groupBy("g", "r").agg((F.sum("wv") / F.sum("w")).alias("m")).where("m is not null")
+    interval = means.groupBy("g").agg(F.expr("percentile_disc(0.025) within group (order by m)").alias("lo"), F.expr("percentile_disc(0.975) within group (order by m)").alias("hi"))
+    out = named.groupBy("g").agg(F.avg("v").alias("mean")).join(interval, "g")
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
 def allocate(counts: DataFrame, size: int) -> DataFrame:

@@ -34,6 +34,13 @@ def a5(spark, d):
     return stats.bootstrap(rows, "quality")
 
 
+@query("a6_bootstrap_by_category")
+def a6(spark, d):
+    """Intervals of each event type. No SQL, as with a5: tested against the normal approximation and other partitionings."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"), (F.col("value") > 50).cast("int").alias("hit"))
+    return stats.bootstrap(rows, "hit", group="category")
+
+
 @query("a7_nearest_rank", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, min(value) FILTER (WHERE i >= ceil(n * 0.5)) AS p50, min(value) FILTER (WHERE i >= ceil(n * 0.95)) AS p95 FROM r GROUP BY event_type""")
 def a7(spark, d):

@@ -37,3 +37,13 @@ def w5(spark, d):
     cursors = rows.groupBy("conv_id").agg(F.floor(F.max("turn") / 2).alias("cursor"))
     fresh = rows.join(cursors, "conv_id").where("turn > cursor")
     return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("_n <= 80").select("conv_id", "turn")
+
+
+@query("s8_renames", f"""WITH {EVENTS_SQL}, r AS (SELECT e.seq, path, CASE WHEN ev.event_type = 'click' THEN 'created' ELSE kind END AS kind, checksum FROM e JOIN events ev ON ev.event_id = e.seq
+  UNION ALL SELECT event_id, 'wiki/' || (user_id + 1) || '.md', 'deleted', NULL FROM events WHERE event_type = 'click')
+SELECT path, seq, checksum FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE kind <> 'deleted'""")
+def s8(spark, d):
+    """Clicks rename the next user's page to the user's own."""
+    raw = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("wiki/"), F.col("user_id") + 1, F.lit(".md")).alias("old_path"), (F.col("event_type") == "click").alias("moves"))
+    events = change_events(spark, d).join(raw, "seq").withColumn("kind", F.when(F.col("moves"), "renamed").otherwise(F.col("kind")))
+    return changes.apply(changes.empty(spark), changes.expanded(events)).where("not gone").select("path", "seq", "checksum")

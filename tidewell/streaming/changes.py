@@ -13,6 +13,14 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], INDEX)
 
 
+def expanded(events: DataFrame) -> DataFrame:
+    """Events with renames (kind 'renamed', from old_path to path) as a deletion and a creation."""
+    moved = events.where("kind = 'renamed'")
+    gone = moved.where("old_path <> path").select("seq", F.col("old_path").alias("path"), F.lit("deleted").alias("kind"), F.lit(None).cast("string").alias("checksum"))
+    there = events.select("seq", "path", F.when(F.col("kind") == "renamed", "created").otherwise(F.col("kind")).alias("kind"), "checksum")
+    return there.union(gone)
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each path by its sequence number: (path, seq, kind, checksum)."""
     return events.groupBy("path").agg(F.max(F.struct("seq", "kind", "checksum")).alias("e")).select("path", "e.*")
