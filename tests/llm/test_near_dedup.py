@@ -26,7 +26,8 @@ def classes(rows, threshold=0.8):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+            near = a < b and min(len(sets[a]), len(sets[b])) >= threshold * max(len(sets[a]), len(sets[b]))
+            if near and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
     return {(i, top(first[t]) if t in first else i) for i, t in rows if i is not None}
