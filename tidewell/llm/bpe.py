@@ -259,6 +259,13 @@ class Codec:
         self.cut = re.compile(f"[{_classes()[0]}](?= [{_classes()[0]}])")  # between these two a piece always ends
         self.table = self.transducer.bytes_of
 
+    def forget(self) -> None:
+        """Drop what texts have left: a worker that waits holds the ranks and the pattern only."""
+        self.pieces.clear()
+        for known in (self.transducer.pairs, self.transducer.edges):
+            known.clear()
+        self.transducer._reset()
+
     def segments(self, text: str):
         at = 0
         while len(text) - at > SEGMENT:
@@ -322,7 +329,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids:
         c = codec(path, pattern)
         return lambda texts: list(zip(*[row(c, t) for t in texts]))
 
-    return with_columns(docs, text, added, make, keep_text=keep_text, release=lambda: codec.cache_clear())
+    return with_columns(docs, text, added, make, keep_text=keep_text, release=lambda: codec(path, pattern).forget())
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

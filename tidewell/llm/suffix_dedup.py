@@ -15,21 +15,24 @@ segments is spread by window.
 
 from __future__ import annotations
 
-import hashlib
 import functools
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, null_safe_text
+from .common import cut, null_safe_text, steps
 from .near_dedup import mix
 
 LENGTH, GRAM = 100, 24
 #: Bytes of text that a task hashes, and of segments that it sorts, at once.
-HASH_BYTES, SORT_BYTES = 1_000_000, 2_000_000
+HASH_BYTES, SORT_BYTES = 1_000_000, 1_000_000
 #: An anchor with more segments than these is spread by window.
 HOT = 5_000
 _B = 0x9E3779B97F4A7C15 | 1
@@ -264,22 +267,30 @@ def runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int
 # -- stages -------------------------------------------------------------------
 
 
-def _bodies(batches):
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where each row's list of structs begins (and the last ends) in the arrays of its fields; a null list is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    return np.concatenate([[0], ends]).astype(np.int64), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that must be compared, out of their documents' texts."""
-    for pdf in batches:
-        out, total = [], 0
-        for i, t, segs in zip(pdf["doc_id"], pdf["_text"], pdf["segs"]):
-            data = None
-            for s in segs:
-                if not s["gone"]:
-                    data = t.encode() if data is None else data
-                    out.append((s["k"], s["hot"], i, s["s0"], data[s["s0"] : s["s0"] + s["n"] + LENGTH - 1]))
-                    total += len(out[-1][4])
-            if total > 8 * SORT_BYTES:
-                yield pd.DataFrame(out, columns=["k", "hot", "doc_id", "s0", "body"])
-                out, total = [], 0
-        if out:
-            yield pd.DataFrame(out, columns=["k", "hot", "doc_id", "s0", "body"])
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("_text")
+        at, seg = _lists(batch.column("segs"))
+        row = np.repeat(np.arange(len(ids)), np.diff(at))
+        some = np.flatnonzero(~seg["gone"].astype(bool))
+        sizes = (seg["n"][some] + LENGTH - 1).tolist()
+        for a, b in steps(sizes, sizes, 4 * SORT_BYTES):
+            bodies, last, data = [], -1, b""
+            for i in some[a:b]:
+                if row[i] != last:
+                    last = row[i]
+                    data = texts[int(last)].as_buffer().to_pybytes()
+                bodies.append(data[seg["s0"][i] : seg["s0"][i] + seg["n"][i] + LENGTH - 1])
+            mine = some[a:b]
+            yield pa.RecordBatch.from_pydict({"k": seg["k"][mine], "hot": seg["hot"][mine].astype(bool), "doc_id": ids[row[mine]], "s0": seg["s0"][mine], "body": pa.array(bodies, pa.binary())})
 
 
 def _sorted_groups(batches):
@@ -308,25 +319,31 @@ def _window_rows(batches):
             yield pd.DataFrame(out, columns=["w1", "w2", "doc_id", "start"])
 
 
-def _removed(batches):
-    for pdf in batches:
-        out = []
-        for i, t, segs, spans in zip(pdf["doc_id"], pdf["_text"], pdf["segs"], pdf["spans"]):
-            data = np.frombuffer(t.encode(), dtype=np.uint8)
-            mark = np.zeros(len(data) + 1, dtype=np.int64)
-            for s in segs:
-                mark[s["s0"]] += 1
-                mark[s["s0"] + s["n"] + LENGTH - 1] -= 1
-            for s in spans if spans is not None else ():
-                mark[s["start"]] += 1
-                mark[s["end"]] -= 1
-            gone = np.cumsum(mark[:-1]) > 0
-            if gone.any():
-                # a character that loses a byte goes whole from the text
-                character = np.cumsum((data & 0xC0) != 0x80) - 1
-                text = data[np.bincount(character, weights=gone)[character] == 0].tobytes().decode()
-                out.append((i, hashlib.sha256(data.tobytes()).hexdigest(), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes(), text))
-        yield pd.DataFrame(out, columns=["doc_id", "whole", "n_removed", "n_spans", "kept", "kept_text"])
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
+        at, seg = _lists(batch.column("segs"))
+        near, span = _lists(batch.column("spans"))
+        sizes = pc.binary_length(texts).to_pylist()
+        for a, b in steps(sizes, sizes):
+            out = []
+            for r in range(a, b):
+                data = np.frombuffer(texts[r].as_buffer(), dtype=np.uint8)
+                mark = np.zeros(len(data) + 1, dtype=np.int64)
+                mine, late = slice(at[r], at[r + 1]), slice(near[r], near[r + 1])
+                np.add.at(mark, seg["s0"][mine], 1)
+                np.add.at(mark, seg["s0"][mine] + seg["n"][mine] + LENGTH - 1, -1)
+                np.add.at(mark, span["start"][late], 1)
+                np.add.at(mark, span["end"][late], -1)
+                gone = np.cumsum(mark[:-1]) > 0
+                if gone.any():
+                    # a character that loses a byte goes whole from the text
+                    character = np.cumsum((data & 0xC0) != 0x80) - 1
+                    text = data[np.bincount(character, weights=gone)[character] == 0].tobytes().decode()
+                    spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                    out.append((ids[r], hashlib.sha256(data.tobytes()).hexdigest(), int(gone.sum()), spans, data[~gone].tobytes(), text))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["doc_id", "whole", "n_removed", "n_spans", "kept", "kept_text"])
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -348,7 +365,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = seen.where("gone or lo <> hi").select("doc_id", F.struct("k", "s0", "n", "gone", "hot").alias("s"))
     by_doc = found.groupBy("doc_id").agg(F.collect_list("s").alias("segs"))  # no more than the document's own bytes
     affected = cut(rows.join(by_doc, "doc_id"))
-    bodies = affected.where(F.exists("segs", lambda s: ~s["gone"])).mapInPandas(_bodies, "k long, hot boolean, doc_id long, s0 long, body binary")
+    bodies = affected.where(F.exists("segs", lambda s: ~s["gone"])).mapInArrow(_bodies, "k long, hot boolean, doc_id long, s0 long, body binary")
     cool = bodies.where("not hot").drop("hot").repartition(F.col("k")).sortWithinPartitions("k")
     spans = cool.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
     if not affected.where(F.exists("segs", lambda s: s["hot"] & ~s["gone"])).isEmpty():
@@ -358,7 +375,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         spans = spans.union(late.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     gone = F.transform(F.filter("segs", lambda s: s["gone"]), lambda s: F.struct(s["s0"].alias("s0"), s["n"].alias("n")))
-    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInPandas(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary, kept_text string")
+    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInArrow(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
