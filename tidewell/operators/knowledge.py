@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import jaccard, trigrams
+from ..functions.text import jaccard, strip_html, token_estimate, trigrams
 
 
 def content_type(path: Column, text: Column) -> Column:
@@ -115,3 +115,10 @@ def render(hits: DataFrame, k: int) -> DataFrame:
     line = F.concat(F.col("rank"), F.lit(". ["), F.coalesce(F.col("modified").cast("string"), F.lit("undated")), F.lit("] ("), "session_id", F.lit(", "), "source_role", F.lit(") "), F.substring("text", 1, 80))
     lines = hits.where(F.col("rank") <= k).groupBy("query_no").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))  # k lines a question
     return lines.select("query_no", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("passages"))
+
+
+def ingest(pages: DataFrame) -> DataFrame:
+    """(page_id, kind, text, checksum, tokens) of pages (page_id, url, html): the type, the text that it gives, its hash and about how many tokens it has."""
+    kind = content_type(F.col("url"), F.col("html"))
+    rows = pages.select("page_id", kind.alias("kind"), F.when(kind == "text/html", strip_html(F.col("html"))).otherwise(F.coalesce("html", F.lit(""))).alias("text"))
+    return rows.select("page_id", "kind", "text", F.sha2("text", 256).alias("checksum"), token_estimate(F.col("text")).alias("tokens"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .intent import STOP
+from .intent import STOP, focuses
 
 #: Numbers in words and units of date phrases.
 NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
@@ -74,3 +74,15 @@ def facets(question: Column) -> Column:
 def until(question_day: Column, date_to: Column) -> Column:
     """The last day that may be searched: the question's day if that is earlier than the filter's."""
     return F.least(question_day, date_to)
+
+
+def focus_probes(question: Column) -> Column:
+    """Each focus group as one probe."""
+    return F.transform(focuses(question), lambda w: F.array_join(w, " "))
+
+
+def probes(question: Column, hints: Column, most: int = 8) -> Column:
+    """What is searched for a question: itself, with its dates, its facets and its focus groups, distinct, ``most`` at most."""
+    dated = F.when(F.size(hints) > 0, augmented(question, hints))
+    every = F.array_compact(F.concat(F.array(question, dated), facets(question), focus_probes(question)))
+    return F.slice(F.array_distinct(F.filter(every, lambda p: F.trim(p) != "")), 1, most)

@@ -225,3 +225,37 @@ def snippet(text: Column, terms: list[str], width: int = 64) -> Column:
     body = F.array_join(F.slice(words, start, F.lit(width)), " ")
     marked = F.regexp_replace(body, rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])", "<mark>$1</mark>")
     return F.concat(F.when(start > 1, "… ").otherwise(""), marked, F.when(F.size(words) >= start + width, " …").otherwise(""))
+
+
+def knn_many(vecs: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, id, similarity, rank): the ``k`` nearest of every query by cosine, itself left out.
+
+    Blocks of queries meet blocks of vectors, each pair in a task of its own, which gives its
+    best ``k``; only these are ranked. Vectors of another dimension or without a length
+    have similarity 0, and those of another dimension take no part.
+    """
+    deal = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    n_v, n_q = (max(1, -(-df.count() // block)) for df in (vecs, queries))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vecs.select("id", "embedding", deal(vecs, n_v).alias("vb"), spread(n_q).alias("qb"))
+    right = queries.select("id", "embedding", deal(queries, n_q).alias("qb"), spread(n_v).alias("vb"))
+
+    def nearest(_, v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size, some in q.groupby(q["embedding"].map(len)):
+            mine = v[v["embedding"].map(len) == size]
+            if not len(mine) or not size:
+                continue
+            ids = mine["id"].to_numpy()
+            a, b = (np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (mine, some))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = np.round(np.nan_to_num((b @ a.T) / (np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :])), 9)
+            for qid, s in zip(some["id"], near):
+                order = np.lexsort((ids, -s))
+                order = order[ids[order] != qid][:k]
+                out += [(qid, i, x) for i, x in zip(ids[order].tolist(), s[order].tolist())]
+        return pd.DataFrame(out, columns=["query_id", "id", "similarity"])
+
+    lists = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(nearest, "query_id long, id long, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -169,3 +169,19 @@ def i7(spark, d):
     rows = corpus(spark, d)
     new = rows.where("chunk_id % 10 = 3").select("path", F.concat(F.lit("new/"), "chunk_id").alias("by"))
     return intervals.stamp(rows.select("path", "superseded_by"), new)
+
+
+@query("v2_knn_many", f"""SELECT q.vec_id AS query_id, e.vec_id AS id, {COS.format('e.embedding', 'q.embedding')} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format('e.embedding', 'q.embedding')} DESC, e.vec_id) AS INT) AS rank
+FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 20""")
+def v2_many(spark, d):
+    v = vectors(spark, d).select("id", "embedding")
+    return search.knn_many(v, v.where("id % 100 = 0"), 20)
+
+
+@query("s20_ingest", """WITH t AS (SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)), '^(md|markdown)$') THEN 'text/markdown' WHEN regexp_matches(lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)), '^html?$') THEN 'text/html' WHEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'pdf' OR starts_with(html, '%PDF') THEN 'application/pdf'
+  WHEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'json' THEN 'application/json' WHEN regexp_matches(lower(left(html, 400)), '<(!doctype html|html)\\b') THEN 'text/html' ELSE 'text/plain' END AS kind, html FROM pages),
+x AS (SELECT page_id, kind, CASE WHEN kind = 'text/html' THEN trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\r\\n\\f]+', ' ', 'g')) ELSE coalesce(html, '') END AS text FROM t)
+SELECT page_id, kind, text, sha256(text) AS checksum, (strlen(text) + 3) // 4 AS tokens FROM x""")
+def s20(spark, d):
+    return knowledge.ingest(table(spark, d, "pages"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import access, episodes, questions
 from ..session import table
 from ..sources.hits import HITS_SQL, TALK_SQL, hits, talk
-from .intent_queries import STOP_SQL, rx
+from .intent_queries import FOCUSES, STOP_SQL, rx
 from .registry import query
 from .search_queries import TOK
 
@@ -162,3 +162,52 @@ def acl(spark, d):
     asked = F.element_at(F.array(*[F.lit(x) for x in ("read", "write", "admin", "fly")]), (e % 4 + 1).cast("int"))
     requests = table(spark, d, "events").select(e.alias("request"), F.concat(F.lit("u"), F.col("user_id") % 40).alias("subject"), asked.alias("action"), F.concat(F.lit("d"), e % 90).alias("resource"))
     return access.check(requests, tuples, up("d", "c", 90, 30).union(up("c", "b", 30, 5)))
+
+
+FOCUS_PROBES = f"list_transform({FOCUSES}, lambda w: array_to_string(w, ' '))"
+
+
+def in_order(values: str) -> str:
+    """Distinct values where they come first."""
+    return f"list_filter({values}, lambda t, i: list_position({values}, t) = i)"
+
+
+FACETS = in_order("list_concat(regexp_extract_all(question, '\"([^\"]+)\"', 1), regexp_extract_all(regexp_replace(question, '^\\S+\\s*', ''), '\\b([A-Z][\\p{L}]+(?: [A-Z][\\p{L}]+)*)', 1))") + "[1:4]"
+
+
+@query("q17_focus_probes", f"{ASKED} SELECT query_no, {FOCUS_PROBES} AS probes FROM q")
+def q17(spark, d):
+    return _asked(spark, d).select("query_no", questions.focus_probes(F.col("question")).alias("probes"))
+
+
+@query("q18_facets", f"{ASKED}, f AS (SELECT query_no, question || ' in New York or \"old town\"' AS question FROM q) SELECT query_no, {FACETS} AS facets FROM f")
+def q18(spark, d):
+    return _asked(spark, d).select("query_no", questions.facets(F.concat("question", F.lit(' in New York or "old town"'))).alias("facets"))
+
+
+@query("q13_probes", f"""{ASKED}, h AS (SELECT query_no, question, {HINTS} AS hints FROM q),
+p AS (SELECT query_no, list_filter(list_concat([question, CASE WHEN len(hints) > 0 THEN array_to_string(list_concat([question], flatten(list_transform(hints, lambda x: ['"' || strftime(x, '%Y/%m/%d') || '"', '"' || strftime(x, '%Y-%m-%d') || '"']))), ' ') END], {FACETS}, {FOCUS_PROBES}), lambda x: x IS NOT NULL AND trim(x) <> '') AS p FROM h)
+SELECT query_no, {in_order('p')}[1:8] AS probes FROM p""")
+def q13(spark, d):
+    q = F.col("question")
+    return _asked(spark, d).select("query_no", questions.probes(q, questions.date_hints(q, F.col("day"))).alias("probes"))
+
+
+def _fits(*patterns: str) -> str:
+    return "(" + " AND ".join(rx("s", p) for p in patterns) + ")"
+
+
+KINDS = [
+    ("milestone", f"({_fits(episodes.MILESTONE)} AND ({_fits(episodes.MILESTONE_WHEN)} OR {_fits(episodes.MILESTONE_WHAT)}))", 2),
+    ("event", _fits(episodes.EVENT, episodes.ATTENDED), 2),
+    ("preference", _fits(episodes.LIKES), 2),
+    ("pending", _fits(episodes.PENDING), 3),
+]
+MORE = ["I just finished my thesis at last. I also like long walks by the sea.", "I went to a jazz concert and a workshop. I need to pick up the coat!", "Remember to call Ann. I must renew the pass. I have to pay the bill. I should post it."]
+
+
+@query("m4_extracted", f"""WITH t AS (SELECT conv_id, turn, ['{"', '".join(MORE)}'][1 + turn % 3] || ' ' || coalesce(text, '') AS text FROM conversations WHERE role = 'user'), s AS (SELECT conv_id, turn, {SENTENCES} AS every FROM t)
+""" + " UNION ALL ".join(f"SELECT conv_id, turn, '{kind}' AS kind, unnest({in_order(f'list_filter(every, lambda s: {fits}' + ''.join(f' AND NOT {f}' for _, f, _ in KINDS[:i]) + ')')}[1:{most}]) AS fact FROM s" for i, (kind, fits, most) in enumerate(KINDS)))
+def m4(spark, d):
+    said = F.element_at(F.array(*[F.lit(x) for x in MORE]), (F.col("turn") % 3 + 1).cast("int"))
+    return episodes.extracted(table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(said, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text")))

@@ -81,11 +81,6 @@ def a11(spark, d):
     return stats.recall_at(hits, orders.where("o_orderpriority = '1-URGENT'").select("question", "id"), 3)
 
 
-@query("a12_evidence_groups", "SELECT conv_id, count(DISTINCT role) AS n_groups FROM conversations GROUP BY conv_id")
-def a12(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct("role").alias("n_groups"))
-
-
 @query("a13_confidence", "SELECT user_id, event_type, CASE WHEN count(*) >= 4 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY ALL")
 def a13(spark, d):
     n = F.count("*")
@@ -100,12 +95,6 @@ def a14(spark, d):
     )
 
 
-@query("a16_chunk_relevance", "SELECT doc_id, " + " + ".join(f"CAST(strpos(lower(text), '{t}') > 0 AS INT)" for t in ("licensed", "under", "apache")) + " AS score FROM documents WHERE text IS NOT NULL")
-def a16(spark, d):
-    has = lambda t: F.lower("text").contains(t).cast("int")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", (has("licensed") + has("under") + has("apache")).alias("score"))
-
-
 @query("a17_duplicate_titles", C + " SELECT lower(trim(title)) AS title, count(*) AS n FROM corpus GROUP BY 1 HAVING count(*) >= 2")
 def a17(spark, d):
     return corpus(spark, d).groupBy(F.lower(F.trim("title")).alias("title")).agg(F.count("*").alias("n")).where("n >= 2")

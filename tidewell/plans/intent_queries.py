@@ -38,7 +38,8 @@ R4 = " * ".join([
     case((rx("question", I.MONEY_EVENT), case((rx("text", I.NOTE_CURRENCY), 1.45), (VAGUE, 0.62)))),
     case((f"{QUESTION} AND {GENERIC}", 0.45)), case((ROLLUP, 0.45)), case((f"NOT {FACT} AND NOT {SHARED} AND {GENERIC}", 0.75)),
 ])
-FOCUSES = "list_transform(list_filter(list_transform(regexp_split_to_array(lower(question), '\\b(?:and|or|plus)\\b'), lambda p: " + WORDS.format("p") + "), lambda w: len(w) > 0), lambda w: w[greatest(1, len(w) - 3) : len(w)])"
+KEPT = "list_filter(" + TOK.format("p") + f", lambda t: length(t) >= 3 AND t NOT IN {STOP_SQL})"
+FOCUSES = "list_transform(list_filter(list_transform(regexp_split_to_array(lower(question), '\\b(?:and|or|plus)\\b'), lambda p: " + f"list_filter({KEPT}, lambda t, i: list_position({KEPT}, t) = i)" + "), lambda w: len(w) > 0), lambda w: w[greatest(1, len(w) - 3) : len(w)])"
 ALIGN = f"coalesce(list_max(list_transform({FOCUSES}, lambda w: len(list_intersect(w, {TOK.format('text')})) / len(w))), 0)"
 R5 = case((f"{ALIGN} >= 0.99", 1.6), (f"{ALIGN} >= 0.66", 1.25))
 ROUTINE = f"{rx(Q, I.DURATION)} AND {rx(Q, I.ROUTINE)}"
@@ -157,3 +158,43 @@ def i6(spark, d):
     start = F.when(F.col("o_orderkey") % 5 == 0, "open").otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
     end = F.date_format(F.date_add(F.to_date("o_orderdate"), 90), "yyyy-MM-dd")
     return table(spark, d, "orders").select("o_orderkey", I.valid_at(F.lit("1996-06-30").cast("date"), start, end).alias("valid"))
+
+
+def any_of(column: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(rx(column, p) for p in patterns) + ")"
+
+
+SIGNALS = {"timeline": any_of("question", I.TIMELINE), "recent": any_of("question", I.RECENT)}
+SIGNALS["temporal"] = f"({SIGNALS['timeline']} OR {SIGNALS['recent']})"
+SIGNALS["aggregate"] = f"({SIGNALS['timeline']} OR {any_of('question', I.SEVERAL)})"
+SIGNALS["concrete"] = f"({SIGNALS['temporal']} OR {any_of('question', I.CONCRETE)})"
+
+
+@query("r30_signals", f"{H} SELECT DISTINCT query_no, " + ", ".join(f"{c} AS {n}" for n, c in SIGNALS.items()) + " FROM hits")
+def r30(spark, d):
+    return hits(spark, d).select("query_no", *[c.alias(n) for n, c in I.signals(F.col("question")).items()]).distinct()
+
+
+EVIDENT = "CASE WHEN modified IS NOT NULL THEN 1.0 ELSE 0.0 END + " + " + ".join(f"CASE WHEN {rx('text', p)} THEN 0.35 ELSE 0.0 END" for p in I.EVIDENT)
+ADVISED = f"CASE WHEN {rx('text', I.ADVICE)} THEN CASE WHEN modified IS NOT NULL THEN 0.25 ELSE 1.0 END ELSE 0.0 END"
+
+
+@query("r29_base_scores", f"""{H}, w AS (SELECT *, {WORDS.format('question')} AS asked, min(modified) OVER (PARTITION BY query_no) AS lo, max(modified) OVER (PARTITION BY query_no) AS hi FROM hits),
+m AS (SELECT *, greatest(1, len(asked)) AS n, len(list_intersect(asked, {WORDS.format('text')})) AS t, len(list_intersect(asked, {WORDS.format('path')})) AS p, CASE WHEN modified IS NULL THEN 0.0 WHEN hi > lo THEN date_diff('day', lo, modified)::DOUBLE / date_diff('day', lo, hi) ELSE 1.0 END AS r FROM w)
+SELECT query_no, chunk_id, round(CAST(1.35 + t / n * 1.4 + p / n * 0.8 + least(t, 3) * 0.15 + CASE WHEN {SIGNALS['temporal']} AND modified IS NOT NULL THEN 0.8 ELSE 0 END + CASE WHEN {SIGNALS['recent']} THEN r * 0.8 ELSE 0 END
+  + CASE WHEN {SIGNALS['concrete']} THEN ({EVIDENT}) * 0.55 - ({ADVISED}) * 0.75 ELSE -0.1 * ({ADVISED}) END AS DOUBLE), 9) AS base FROM m""")
+def r29(spark, d):
+    return I.analysed(hits(spark, d))
+
+
+@query("a12_evidence_groups", f"{EVIDENCE} SELECT query_no, count(DISTINCT kind || '/' || action) AS n_groups FROM e WHERE kind <> 'unknown' GROUP BY query_no")
+def a12(spark, d):
+    found = I.evidence(F.col("text"))
+    rows = hits(spark, d).select("query_no", found["kind"].alias("kind"), found["action"].alias("action")).where("kind <> 'unknown'")
+    return rows.groupBy("query_no").agg(F.count_distinct(F.concat_ws("/", "kind", "action")).alias("n_groups"))
+
+
+@query("a16_chunk_relevance", f"{H} SELECT chunk_id, round(CAST(len(list_intersect({WORDS.format('question')}, {WORDS.format('text')})) AS DOUBLE) / greatest(1, len({WORDS.format('question')})), 9) AS relevance FROM hits")
+def a16(spark, d):
+    asked = I.focus_words(F.col("question"))
+    return hits(spark, d).select("chunk_id", F.round(F.size(F.array_intersect(asked, I.focus_words(F.col("text")))) / F.greatest(F.lit(1), F.size(asked)), 9).alias("relevance"))
