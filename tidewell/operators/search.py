@@ -20,20 +20,25 @@ K1, B, RRF_K = 1.2, 0.75, 60
 FIELDS = {"path": 3.0, "title": 10.0, "summary": 5.0, "tag_text": 4.0, "content": 1.0}
 
 
+def fields_of(rows: DataFrame, fields: dict[str, float] = FIELDS) -> dict[str, float]:
+    """The fields that ``rows`` has, with their weights."""
+    return {f: w for f, w in fields.items() if f in rows.columns}
+
+
 def postings(rows: DataFrame, fields: dict[str, float] = FIELDS, terms: list[str] | None = None) -> DataFrame:
     """(chunk_id, field, weight, pos, term) of every token, or of ``terms`` only; the filter runs inside the explode's stage."""
 
     def part(f: str, w: float) -> Column:
         return F.transform(tokens(F.col(f)), lambda t, i: F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), i.alias("pos"), t.alias("term")))
 
-    parts = [part(f, w) for f, w in fields.items()]
+    parts = [part(f, w) for f, w in fields_of(rows, fields).items()]
     out = rows.select("chunk_id", F.inline(F.concat(*parts)))
     return out.where(F.col("term").isin(terms)) if terms is not None else out
 
 
 def match(rows: DataFrame, must: list[str] = (), any_of: list[str] = (), must_not: list[str] = ()) -> DataFrame:
     """Rows with all of ``must``, one of ``any_of`` if there are any, and none of ``must_not``, in any field."""
-    have = F.array_distinct(F.flatten(F.array(*[tokens(F.col(f)) for f in FIELDS])))
+    have = F.array_distinct(F.flatten(F.array(*[tokens(F.col(f)) for f in fields_of(rows)])))
     lits = lambda ts: F.array(*[F.lit(t) for t in ts])
     tests = [F.array_contains(have, t) for t in must]
     if any_of:
@@ -43,14 +48,14 @@ def match(rows: DataFrame, must: list[str] = (), any_of: list[str] = (), must_no
     return rows.where(functools.reduce(operator.and_, tests)) if tests else rows
 
 
-def phrase(rows: DataFrame, words: list[str], fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+def phrase(rows: DataFrame, words: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
     """Rows where the words stand next to each other in one field."""
     space = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    return rows.where(functools.reduce(operator.or_, [space(F.col(f)).contains(f" {' '.join(words)} ") for f in fields]))
+    return rows.where(functools.reduce(operator.or_, [space(F.col(f)).contains(f" {' '.join(words)} ") for f in fields_of(rows, fields)]))
 
 
 def prefix(rows: DataFrame, start: str) -> DataFrame:
-    return rows.where(functools.reduce(operator.or_, [F.exists(tokens(F.col(f)), lambda t: t.startswith(start)) for f in FIELDS]))
+    return rows.where(functools.reduce(operator.or_, [F.exists(tokens(F.col(f)), lambda t: t.startswith(start)) for f in fields_of(rows)]))
 
 
 def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str, float] = FIELDS, variants: DataFrame | None = None) -> DataFrame:
@@ -61,6 +66,7 @@ def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str,
     document frequency is floored at 1e-6. ``variants`` (token, term) maps tokens to the
     terms they stand for, such as stems; without it tokens are terms.
     """
+    fields = fields_of(rows, fields)
     terms = sorted({t for q in queries.values() for t in q})
     wanted = rows.sparkSession.createDataFrame([(n, t) for n, q in queries.items() for t in sorted(set(q))], "query_no int, term string")
     toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields])
@@ -87,9 +93,9 @@ def bm25(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -
     return bm25_many(rows, {0: terms}, fields).drop("query_no")
 
 
-def stem_variants(rows: DataFrame, terms: list[str], fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+def stem_variants(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
     """(token, term): the distinct tokens of ``rows`` whose Porter stem is that of a term, with the stem."""
-    vocabulary = rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[tokens(F.col(f)) for f in fields])))).alias("token")).distinct()
+    vocabulary = rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[tokens(F.col(f)) for f in fields_of(rows, fields)])))).alias("token")).distinct()
     return vocabulary.withColumn("term", porter(F.col("token"))).where(F.col("term").isin(sorted({porter_stem(t) for t in terms})))
 
 

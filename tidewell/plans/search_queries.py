@@ -209,7 +209,7 @@ def f1_stemmed(spark, d):
 
 @query("f9_snippet", C + """, w AS (SELECT chunk_id, regexp_split_to_array(trim(coalesce(content, '')), '\\s+') AS w FROM corpus),
 h AS (SELECT chunk_id, w, greatest(1, coalesce(list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g') IN ('licensed', 'mit')), true), 0) - 16) AS s FROM w)
-SELECT chunk_id, CASE WHEN s > 1 THEN '… ' ELSE '' END || regexp_replace(regexp_replace(' ' || array_to_string(w[s : s + 63], ' ') || ' ', '(?i)([^\\p{L}\\p{N}])(licensed|mit)([^\\p{L}\\p{N}])', '\\1<mark>\\2</mark>\\3', 'g'), '^ | $', '', 'g') || CASE WHEN len(w) >= s + 64 THEN ' …' ELSE '' END AS snippet FROM h""")
+SELECT chunk_id, CASE WHEN s > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(w[s : s + 63], lambda x: regexp_replace(regexp_replace(' ' || x || ' ', '(?i)([^\\p{L}\\p{N}])(licensed|mit)([^\\p{L}\\p{N}])', '\\1<mark>\\2</mark>\\3', 'g'), '^ | $', '', 'g')), ' ') || CASE WHEN len(w) >= s + 64 THEN ' …' ELSE '' END AS snippet FROM h""")
 def f9(spark, d):
     return corpus(spark, d).select("chunk_id", search.snippet(F.col("content"), ["licensed", "mit"]).alias("snippet"))
 
