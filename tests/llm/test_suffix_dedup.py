@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidewell.llm import suffix_dedup as S
@@ -43,8 +44,8 @@ def test_small_pieces(monkeypatch):
     monkeypatch.setattr(S, "HASH_BYTES", 400)
     monkeypatch.setattr(S, "SORT_BYTES", 3000)
     rows = [(i, t) for i, t in corpus() if t and i < 306]
-    pdf = pd.DataFrame(rows, columns=["doc_id", "_text"])
-    segs = pd.concat(list(S._segment_rows([pdf])))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "_text": t} for i, t in rows])
+    segs = pd.concat([b.to_pandas() for b in S._segment_rows([batch])])
     data = {i: t.encode() for i, t in rows}
     assert segs["n"].sum() == sum(max(0, len(b) - 99) for b in data.values())
     gone = {i: np.zeros(len(b) + 1, dtype=bool) for i, b in data.items()}

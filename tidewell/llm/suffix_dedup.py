@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ from .near_dedup import mix
 
 LENGTH, GRAM = 100, 24
 #: Bytes of text that a task hashes, and of segments that it sorts, at once.
-HASH_BYTES, SORT_BYTES = 1_000_000, 1_000_000
+HASH_BYTES, SORT_BYTES = 500_000, 1_000_000
 #: An anchor with more segments than these is spread by window.
 HOT = 5_000
 _B = 0x9E3779B97F4A7C15 | 1
@@ -104,11 +104,10 @@ def segments(pieces: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     return {"k": grams[anchor[head]].view(np.int64), "c": c.view(np.int64), "doc_id": ids[piece], "s0": s - base[piece] + offsets[piece], "n": n}
 
 
-def _pieces(ids, texts):
+def _pieces(rows: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (doc_id, offset, bytes) of about HASH_BYTES; a long text is cut, its pieces sharing LENGTH - 1 bytes."""
     got, total = [], 0
-    for i, t in zip(ids, texts):
-        data = t.encode()
+    for i, data in rows:
         for at in range(0, max(0, len(data) - LENGTH + 1), HASH_BYTES):
             part = data[at : at + HASH_BYTES + LENGTH - 1]
             got.append((i, at, part))
@@ -120,9 +119,10 @@ def _pieces(ids, texts):
         yield got
 
 
-def _segment_rows(batches):
-    for pdf in batches:
-        for pieces in _pieces(pdf["doc_id"], pdf["_text"]):
+def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
+        for pieces in _pieces((i, texts[r].as_buffer().to_pybytes()) for r, i in enumerate(ids)):
             s = segments(pieces)
             order = np.lexsort((s["s0"], s["doc_id"], s["c"], s["k"]))
             s = {k: x[order] for k, x in s.items()}
@@ -130,7 +130,7 @@ def _segment_rows(batches):
             again[1:] = (s["k"][1:] == s["k"][:-1]) & (s["c"][1:] == s["c"][:-1])
             # a repeated segment needs no anchor any more: it goes anywhere
             own = mix(s["doc_id"].astype(np.uint64) * np.uint64(_B) + s["s0"].astype(np.uint64)).view(np.int64)
-            yield pd.DataFrame({"k": np.where(again, own, s["k"]), "c": s["c"], "doc_id": s["doc_id"], "s0": s["s0"], "n": s["n"].astype(np.int32), "again": again})
+            yield pa.RecordBatch.from_pydict({"k": np.where(again, own, s["k"]), "c": s["c"], "doc_id": s["doc_id"], "s0": s["s0"], "n": s["n"].astype(np.int32), "again": again})
 
 
 # -- two-stage suffix sorting -------------------------------------------------
@@ -274,23 +274,40 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.concatenate([[0], ends]).astype(np.int64), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 
 
+def _parts(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """k, doc_id, s0 and bytes of the segments of hot or of other anchors that must be compared, some at a time."""
+    ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("_text")
+    at, seg = _lists(batch.column("segs"))
+    row = np.repeat(np.arange(len(ids)), np.diff(at))
+    some = np.flatnonzero(~seg["gone"].astype(bool) & (seg["hot"].astype(bool) == hot))
+    sizes = (seg["n"][some] + LENGTH - 1).tolist()
+    for a, b in steps(sizes, sizes, SORT_BYTES // 8 if hot else 4 * SORT_BYTES):
+        bodies, last, data = [], -1, b""
+        for i in some[a:b]:
+            if row[i] != last:
+                last = row[i]
+                data = texts[int(last)].as_buffer().to_pybytes()
+            bodies.append(data[seg["s0"][i] : seg["s0"][i] + seg["n"][i] + LENGTH - 1])
+        mine = some[a:b]
+        yield seg["k"][mine], ids[row[mine]], seg["s0"][mine], bodies
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that must be compared, out of their documents' texts."""
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("_text")
-        at, seg = _lists(batch.column("segs"))
-        row = np.repeat(np.arange(len(ids)), np.diff(at))
-        some = np.flatnonzero(~seg["gone"].astype(bool))
-        sizes = (seg["n"][some] + LENGTH - 1).tolist()
-        for a, b in steps(sizes, sizes, 4 * SORT_BYTES):
-            bodies, last, data = [], -1, b""
-            for i in some[a:b]:
-                if row[i] != last:
-                    last = row[i]
-                    data = texts[int(last)].as_buffer().to_pybytes()
-                bodies.append(data[seg["s0"][i] : seg["s0"][i] + seg["n"][i] + LENGTH - 1])
-            mine = some[a:b]
-            yield pa.RecordBatch.from_pydict({"k": seg["k"][mine], "hot": seg["hot"][mine].astype(bool), "doc_id": ids[row[mine]], "s0": seg["s0"][mine], "body": pa.array(bodies, pa.binary())})
+        for k, doc_id, s0, bodies in _parts(batch, False):
+            yield pa.RecordBatch.from_pydict({"k": k, "doc_id": doc_id, "s0": s0, "body": pa.array(bodies, pa.binary())})
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each window of hot anchors' segments: a 128-bit hash and its place."""
+    for batch in batches:
+        for _, doc_id, s0, bodies in _parts(batch, True):
+            n = np.array([len(x) - LENGTH + 1 for x in bodies], dtype=np.int64)
+            digests = b"".join([hashlib.blake2b(x[j : j + LENGTH], digest_size=16).digest() for x in bodies for j in range(len(x) - LENGTH + 1)])
+            w = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s0, n)
+            yield pa.RecordBatch.from_pydict({"w1": w[:, 0].copy(), "w2": w[:, 1].copy(), "doc_id": np.repeat(doc_id, n), "start": start})
 
 
 def _sorted_groups(batches):
@@ -307,18 +324,6 @@ def _sorted_groups(batches):
         yield pd.DataFrame(repeated_windows(rows), columns=["doc_id", "start", "end"])
 
 
-def _window_rows(batches):
-    """One row for each window of hot anchors' segments: a 128-bit hash and its place."""
-    for pdf in batches:
-        for a in range(0, len(pdf), 2000):
-            out = []
-            for i, s0, body in zip(pdf["doc_id"][a : a + 2000], pdf["s0"][a : a + 2000], pdf["body"][a : a + 2000]):
-                for j in range(len(body) - LENGTH + 1):
-                    h = hashlib.blake2b(body[j : j + LENGTH], digest_size=16).digest()
-                    out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), i, s0 + j))
-            yield pd.DataFrame(out, columns=["w1", "w2", "doc_id", "start"])
-
-
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
@@ -358,18 +363,19 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         rows = rows.groupBy("doc_id").agg(F.min("_text").alias("_text"))
     rows = rows.where(F.octet_length("_text") >= LENGTH)
-    segs = rows.mapInPandas(_segment_rows, "k long, c long, doc_id long, s0 long, n int, again boolean")
+    segs = rows.mapInArrow(_segment_rows, "k long, c long, doc_id long, s0 long, n int, again boolean")
     anchor, ordered = Window.partitionBy("k"), Window.partitionBy("k").orderBy("c", "doc_id", "s0")
     seen = segs.withColumn("gone", F.col("again") | F.coalesce(F.lag("c").over(ordered) == F.col("c"), F.lit(False)))
     seen = seen.withColumns({"lo": F.min("c").over(anchor), "hi": F.max("c").over(anchor), "hot": F.count("*").over(anchor) > HOT})
     found = seen.where("gone or lo <> hi").select("doc_id", F.struct("k", "s0", "n", "gone", "hot").alias("s"))
     by_doc = found.groupBy("doc_id").agg(F.collect_list("s").alias("segs"))  # no more than the document's own bytes
     affected = cut(rows.join(by_doc, "doc_id"))
-    bodies = affected.where(F.exists("segs", lambda s: ~s["gone"])).mapInArrow(_bodies, "k long, hot boolean, doc_id long, s0 long, body binary")
-    cool = bodies.where("not hot").drop("hot").repartition(F.col("k")).sortWithinPartitions("k")
+    compared = affected.where(F.exists("segs", lambda s: ~s["gone"]))
+    cool = compared.mapInArrow(_bodies, "k long, doc_id long, s0 long, body binary").repartition(F.col("k")).sortWithinPartitions("k")
     spans = cool.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
-    if not affected.where(F.exists("segs", lambda s: s["hot"] & ~s["gone"])).isEmpty():
-        windows = cut(bodies.where("hot").mapInPandas(_window_rows, "w1 long, w2 long, doc_id long, start long"))
+    crowded = compared.where(F.exists("segs", lambda s: s["hot"] & ~s["gone"]))
+    if not crowded.isEmpty():
+        windows = cut(crowded.mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, start long"))
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
         late = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
         spans = spans.union(late.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
