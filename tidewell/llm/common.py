@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,13 +23,15 @@ HELD = "__held"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests in local mode) a temporary folder
-    of this machine is set and used.
+    Only in local mode, as in tests, a temporary folder of this machine is set and used
+    where the session names none; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = got.get() if got.isDefined() else None
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(base)
