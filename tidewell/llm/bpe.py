@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import with_columns
 
-#: Bounds of a worker's memory: states of the transducer, its transitions, pairs and edges of tokens, and pieces whose ids are kept;
+#: Bounds of a worker's RAM: states of the transducer, its transitions, pairs and edges of tokens, and pieces whose ids are kept;
 #: code points of a piece that is kept and of a segment.
 MAX_STATES, MAX_MOVES, MAX_PAIRS, MAX_EDGES, MAX_PIECES = 160_000, 400_000, 300_000, 60_000, 400_000
 KEPT_PIECE, SEGMENT = 64, 1_000_000

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Text bytes that one vectorised step works on; bounds a worker's memory.
+#: Text bytes that one vectorised step works on; bounds a worker's RAM.
 STEP_BYTES = 4_000_000
 #: Column that carries an operator's texts.
 HELD = "__held"

@@ -25,7 +25,7 @@ from .common import steps, with_columns
 
 #: Bound of the labelled sample, in rows for each language.
 SAMPLE_ROWS = 400
-#: Bytes that are scored at once; bounds a worker's memory.
+#: Bytes that are scored at once; bounds a worker's RAM.
 PIECE = 250_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")

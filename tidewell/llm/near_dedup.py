@@ -35,7 +35,7 @@ from .common import cut, null_safe_text, steps
 WORDS, THRESHOLD = 5, 0.8
 #: At similarity 0.8, one pair in 38,000 shares none of 20 bands of four registers.
 BANDS, ROWS = 20, 4
-#: Characters of one text that are hashed at once, and shingles that a worker keeps; bound its memory.
+#: Characters of one text that are hashed at once, and shingles that a worker keeps; bound its RAM.
 PIECE, KEPT = 1_000_000, 2_000_000
 #: Columns with the bits of what a text has lost of its leader.
 LOST = ["lost0", "lost1", "lost2", "lost3"]
