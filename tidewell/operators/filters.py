@@ -47,7 +47,7 @@ def compile(wanted: dict) -> Column:
 
 
 def project_at_index(project: str, scope: str) -> Column:
-    """The index layer's rule: global rows pass only if memory is asked for."""
+    """The index layer's rule: global rows pass only if notes are asked for."""
     own = F.col("project") == project
     return own | (F.col("scope") == "global_memory") if scope == "memory" else own
 

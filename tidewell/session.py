@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, ram: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -13,7 +13,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", memory)
+        .config("spark.driver.memory", ram)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
