@@ -184,7 +184,11 @@ def _size(text: str) -> int:
 
 def labelled(page: str) -> list[tuple[str, bool]]:
     """(text, kept) of each block."""
-    found = blocks(page)
+    return decided(blocks(page))
+
+
+def decided(found: list[tuple[str, bool, bool, bool, float]]) -> list[tuple[str, bool]]:
+    """(text, kept) of each block of blocks(): labels by themselves first, then by the nearest decided neighbours."""
     has_main = any(main and not bad for _, bad, main, _, _ in found)
     open_blocks = [not (bad or main or has_main or links > MAX_LINKS) for _, bad, main, _, links in found]
     density = [_density(text) if x and _size(text) >= SHORT else 0.0 for (text, *_), x in zip(found, open_blocks)]
