@@ -102,10 +102,10 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def scaled(embeddings: DataFrame, column: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id and v = floor(scale * component); without vectors that are null or hold null or non-finite components."""
+def scaled(embeddings: DataFrame, column: str = "embedding", scale: int = 1024, keep: tuple = ()) -> DataFrame:
+    """vec_id, the columns ``keep`` and v = floor(scale * component); without vectors that are null or hold null or non-finite components."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embeddings.where(F.col(column).isNotNull() & finite).select("vec_id", F.transform(column, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return embeddings.where(F.col(column).isNotNull() & finite).select("vec_id", *keep, F.transform(column, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
