@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 #: Names under which a scope may be asked for.
 ALIASES = {
-    "memory": ("global_memory", "project_memory"),
-    "global": ("global_memory",),
-    "project": ("project_memory",),
-    "raw": ("raw_document", "raw_lme"),
+    "notes": ("global_notes", "project_notes"),
+    "global": ("global_notes",),
+    "project": ("project_notes",),
+    "raw": ("raw_document", "raw_eval"),
     "wiki": ("wiki",),
     "sources": ("sources",),
 }
@@ -38,7 +38,7 @@ def compile(wanted: dict) -> Column:
         test = F.col("scope").isin(*ALIASES.get(scope, (scope,)))
         tests.append(test | (F.coalesce("scope", F.lit("")) == "") if known else test)  # a row without scope passes a known name
     if wanted.get("project"):
-        tests.append((F.col("scope") == "global_memory") | (F.col("project") == wanted["project"]))
+        tests.append((F.col("scope") == "global_notes") | (F.col("project") == wanted["project"]))
     if wanted.get("date_from"):
         tests.append(F.coalesce(F.col("modified") >= F.lit(wanted["date_from"]).cast("date"), F.lit(False)))
     if wanted.get("date_to"):
@@ -49,7 +49,7 @@ def compile(wanted: dict) -> Column:
 def project_at_index(project: str, scope: str) -> Column:
     """The index layer's rule: global rows pass only if notes are asked for."""
     own = F.col("project") == project
-    return own | (F.col("scope") == "global_memory") if scope == "memory" else own
+    return own | (F.col("scope") == "global_notes") if scope == "notes" else own
 
 
 def superseded() -> Column:

@@ -111,8 +111,8 @@ def session_date(meta: Column) -> Column:
 
 
 def render(hits: DataFrame, k: int) -> DataFrame:
-    """(query_no, passages): the best ``k`` hits of each question as numbered lines with date, session and role."""
-    line = F.concat(F.col("rank"), F.lit(". ["), F.coalesce(F.col("modified").cast("string"), F.lit("undated")), F.lit("] ("), "session_id", F.lit(", "), "source_role", F.lit(") "), F.substring("text", 1, 80))
+    """(query_no, passages): the best ``k`` hits of each question as numbered passages with date, session and role, whole."""
+    line = F.concat(F.col("rank"), F.lit(". ["), F.coalesce(F.col("modified").cast("string"), F.lit("undated")), F.lit("] ("), "session_id", F.lit(", "), "source_role", F.lit(") "), "text")
     lines = hits.where(F.col("rank") <= k).groupBy("query_no").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))  # k lines a question
     return lines.select("query_no", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("passages"))
 

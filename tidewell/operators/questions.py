@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .intent import STOP, focuses
+from ..functions import words as W
+from .intent import focuses
 
 #: Numbers in words and units of date phrases.
 NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
@@ -26,7 +27,7 @@ def normalised(question: Column) -> Column:
 
 def significant(question: Column) -> Column:
     """Words of three bytes or more that are no stop words, in order."""
-    return F.filter(tokens(question), lambda t: (F.octet_length(t) > 2) & ~t.isin(STOP))
+    return F.filter(tokens(question), lambda t: (F.octet_length(t) > 2) & ~t.isin(W.STOP_EN + W.STOP_NL))
 
 
 def sanitised(question: Column) -> Column:

@@ -88,6 +88,30 @@ def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str,
     return tf.join(F.broadcast(weights), "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
 
 
+def bm25_table(rows: DataFrame, wanted: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
+    """(query_no, chunk_id, score) as bm25_many, for a table of any number of queries: ``wanted`` has a row (query_no, term) for each.
+
+    Occurrences meet the distinct terms before they are counted; Spark broadcasts the terms if they are few.
+    """
+    fields = fields_of(rows, fields)
+    wanted = wanted.select("query_no", "term").distinct()
+    toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields])
+    length = functools.reduce(operator.add, [F.size(f) for f in fields])
+    stats = toks.agg(F.count("*").alias("n_rows"), F.avg(length).alias("avg_len"))  # one row
+
+    def part(f: str, w: float) -> Column:
+        return F.transform(f, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    every = F.concat(*[part(f, w) for f, w in fields.items()])
+    found = toks.select("chunk_id", length.alias("len"), F.inline(every)).join(wanted.select("term").distinct(), "term")
+    tf = found.groupBy("chunk_id", "len", "term").agg(F.sum("w").alias("f"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    one = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    weights = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len").join(wanted, "term")
+    return tf.join(weights, "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
+
+
 def bm25(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
     """(chunk_id, score) of the rows that hold any of ``terms``; higher is better."""
     return bm25_many(rows, {0: terms}, fields).drop("query_no")

@@ -65,7 +65,7 @@ def t18(spark, d):
     return table(spark, d, "part").select("p_partkey", knowledge.session_date(m).alias("day"))
 
 
-@query("t26_rendered", f"WITH {HITS_SQL} SELECT query_no, string_agg(rank || '. [' || coalesce(CAST(modified AS VARCHAR), 'undated') || '] (' || session_id || ', ' || source_role || ') ' || left(text, 80), chr(10) ORDER BY rank) AS passages FROM hits WHERE rank <= 20 GROUP BY query_no")
+@query("t26_rendered", f"WITH {HITS_SQL} SELECT query_no, string_agg(rank || '. [' || coalesce(CAST(modified AS VARCHAR), 'undated') || '] (' || session_id || ', ' || source_role || ') ' || text, chr(10) ORDER BY rank) AS passages FROM hits WHERE rank <= 20 GROUP BY query_no")
 def t26(spark, d):
     return knowledge.render(hits(spark, d), 20)
 
@@ -90,11 +90,11 @@ def j3(spark, d):
     return search.rrf(search.ranked(search.bm25(corpus(spark, d), TERMS), 30))
 
 
-@query("j8_hydrated", bm25_sql(TERMS) + " SELECT chunk_id, title, left(content, 50) AS head FROM (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 30) JOIN corpus USING (chunk_id)")
+@query("j8_hydrated", bm25_sql(TERMS) + " SELECT chunk_id, title, content FROM (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 30) JOIN corpus USING (chunk_id)")
 def j8(spark, d):
     rows = corpus(spark, d)
     top = search.ranked(search.bm25(rows, TERMS), 30).select("chunk_id")
-    return rows.join(F.broadcast(top), "chunk_id").select("chunk_id", "title", F.substring("content", 1, 50).alias("head"))  # thirty ids
+    return rows.join(F.broadcast(top), "chunk_id").select("chunk_id", "title", "content")  # thirty ids
 
 
 @query("j11_sorted", bm25_sql(TERMS) + " SELECT chunk_id, row_number() OVER (ORDER BY score DESC, modified DESC NULLS LAST, chunk_id) AS pos FROM (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 50) JOIN corpus USING (chunk_id)")

@@ -51,9 +51,9 @@ def m23(spark, d):
     return conversations.similar_names(table(spark, d, "part"), "p_partkey", words)
 
 
-@query("m25_index_lines", C + " SELECT project, '- ' || path AS line, row_number() OVER (PARTITION BY project ORDER BY path) AS pos FROM corpus WHERE scope = 'project_memory'")
+@query("m25_index_lines", C + " SELECT project, '- ' || path AS line, row_number() OVER (PARTITION BY project ORDER BY path) AS pos FROM corpus WHERE scope = 'project_notes'")
 def m25(spark, d):
-    rows = corpus(spark, d).where("scope = 'project_memory'")
+    rows = corpus(spark, d).where("scope = 'project_notes'")
     return conversations.index_lines(rows, "project", "path")
 
 
@@ -66,8 +66,8 @@ LINKS_SQL = """l AS (SELECT doc_id, source AS project, unnest(CASE WHEN doc_id %
 
 
 @query("m27_wikilinks", f"""WITH {LINKS_SQL}, t AS (SELECT DISTINCT doc_id, project, 'page-' || regexp_extract(raw, '(\\d+)', 1) AS target, starts_with(raw, 'global:') AS is_global FROM l),
-own AS (SELECT 'src' || s AS project, 'page-' || n AS target, 'memory/project/src' || s || '/page-' || n AS path FROM range(20) a(s), range(6) b(n)),
-sh AS (SELECT 'page-' || n AS target, 'memory/global/page-' || n AS path FROM range(3, 9) b(n))
+own AS (SELECT 'src' || s AS project, 'page-' || n AS target, 'notes/project/src' || s || '/page-' || n AS path FROM range(20) a(s), range(6) b(n)),
+sh AS (SELECT 'page-' || n AS target, 'notes/global/page-' || n AS path FROM range(3, 9) b(n))
 SELECT doc_id, t.project, t.target, is_global, CASE WHEN is_global THEN sh.path ELSE coalesce(own.path, sh.path) END AS path FROM t LEFT JOIN own ON t.project = own.project AND t.target = own.target LEFT JOIN sh ON t.target = sh.target""")
 def m27(spark, d):
     n = F.col("doc_id")
@@ -76,8 +76,8 @@ def m27(spark, d):
     links = conversations.wikilinks(docs, "doc_id", "text").join(docs.select("doc_id", "project"), "doc_id")
     slug = F.concat(F.lit("page-"), F.col("id") % 10)
     own = spark.range(200).where("id % 10 < 6").select(F.concat(F.lit("src"), F.floor(F.col("id") / 10)).alias("project"), slug.alias("slug"))
-    own = own.select("project", "slug", F.concat_ws("/", F.lit("memory/project"), "project", "slug").alias("path"))
-    shared = spark.range(3, 9).select(F.lit(None).cast("string").alias("project"), slug.alias("slug"), F.concat(F.lit("memory/global/"), slug).alias("path"))
+    own = own.select("project", "slug", F.concat_ws("/", F.lit("notes/project"), "project", "slug").alias("path"))
+    shared = spark.range(3, 9).select(F.lit(None).cast("string").alias("project"), slug.alias("slug"), F.concat(F.lit("notes/global/"), slug).alias("path"))
     return conversations.resolve(links, own.union(shared)).select("doc_id", "project", "target", "is_global", "path")
 
 

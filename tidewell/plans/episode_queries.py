@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators import access, episodes, questions
 from ..session import table
-from ..sources.hits import HITS_SQL, TALK_SQL, hits, talk
-from .intent_queries import FOCUSES, STOP_SQL, rx
+from ..functions import words as W
+from ..sources.hits import ASKED_SQL, TALK_SQL, any_word, asked, talk
+from .intent_queries import FOCUSES, rx
+from .probe_queries import PROBES_SQL, bm25_probes, ordered
+from .question_sql import HINTS
 from .registry import query
 from .search_queries import TOK
 
 T = "WITH " + TALK_SQL
-H = "WITH " + HITS_SQL
 OUTCOME = f"""o AS (SELECT conv_id, coalesce(max_by(said, turn) FILTER (said IS NOT NULL), 'partial') AS outcome FROM (SELECT conv_id, turn,
   CASE WHEN role = 'user' THEN CASE WHEN {rx('lower(text)', episodes.SUCCESS)} THEN 'success' WHEN {rx('lower(text)', episodes.FAILURE)} THEN 'failure' END END AS said
   FROM talk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id)"""
@@ -91,13 +93,13 @@ def w6(spark, d):
     return episodes.rolling(talk(spark, d), 600)
 
 
-@query("q2_operators", f"{H} SELECT DISTINCT query_no, contains(q, '\"') OR regexp_matches(q, '(^|\\s)(AND|OR|NOT)(\\s|$)') AS has FROM (SELECT query_no, CASE WHEN query_no % 3 = 0 THEN question || ' AND more' ELSE question END AS q FROM hits)")
+@query("q2_operators", f"WITH {ASKED_SQL} SELECT query_no, contains(q, '\"') OR regexp_matches(q, '(^|\\s)(AND|OR|NOT)(\\s|$)') AS has FROM (SELECT query_no, CASE WHEN query_no % 3 = 0 THEN question || ' AND more' ELSE question END AS q FROM asked)")
 def q2(spark, d):
     q = F.when(F.col("query_no") % 3 == 0, F.concat("question", F.lit(" AND more"))).otherwise(F.col("question"))
-    return hits(spark, d).select("query_no", questions.has_operators(q).alias("has")).distinct()
+    return asked(spark, d).select("query_no", questions.has_operators(q).alias("has"))
 
 
-SIGNIFICANT = "list_filter(" + TOK + f", lambda t: strlen(t) > 2 AND t NOT IN {STOP_SQL})"
+SIGNIFICANT = "list_filter(" + TOK + f", lambda t: strlen(t) > 2 AND t NOT IN {any_word(W.STOP_EN + W.STOP_NL)})"
 
 
 @query("q8_sanitised", f"SELECT conv_id, turn, CASE WHEN len({SIGNIFICANT.format('text')}) > 0 THEN array_to_string({SIGNIFICANT.format('text')}, ' ') ELSE trim(regexp_replace(regexp_replace(text, '[\\p{{P}}\\p{{S}}]+', ' ', 'g'), '\\s+', ' ', 'g')) END AS q FROM conversations WHERE text IS NOT NULL")
@@ -112,34 +114,23 @@ def q1(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", questions.normalised(marked).alias("q"))
 
 
-NUMBER = "CASE lower(regexp_extract(p, '{a}', 1)) {w} ELSE try_cast(regexp_extract(p, '{a}', 1) AS INT) END".format(a=questions.AGO, w=" ".join(f"WHEN '{k}' THEN {v}" for k, v in questions.NUMBERS.items()))
-UNIT = f"lower(regexp_extract(p, '{questions.AGO}', 2))"
-AGO_SQL = f"list_transform(regexp_extract_all(question, '{questions.AGO}'), lambda p: CASE WHEN starts_with({UNIT}, 'day') THEN day - {NUMBER} WHEN starts_with({UNIT}, 'week') THEN day - 7 * {NUMBER} ELSE CAST(day - to_months({NUMBER}) AS DATE) END)"
-LAST = "list_position({}, lower(regexp_extract(question, '(?i)\\blast\\s+({})\\b', 1)))".format(questions.WEEKDAYS, "|".join(questions.WEEKDAYS))
-HINTS = f"""list_sort(list_distinct(list_filter(list_concat({AGO_SQL}, [CASE WHEN regexp_matches(question, '(?i)\\btoday\\b') THEN day END, CASE WHEN regexp_matches(question, '(?i)\\byesterday\\b') THEN day - 1 END,
-  CASE WHEN regexp_matches(question, '(?i)\\blast\\s+week\\b') THEN day - 7 END, CASE WHEN {LAST} > 0 THEN day - CAST((isodow(day) - 1 - ({LAST} - 1) + 6 + 7) % 7 + 1 AS INT) END]), lambda x: x IS NOT NULL)))"""
-ASKED = f"{H}, q AS (SELECT DISTINCT query_no, question, DATE '2024-01-01' + CAST(query_no % 300 AS INT) AS day FROM hits)"
-
-
-def _asked(spark, d):
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("query_no") % 300).cast("int"))
-    return hits(spark, d).select("query_no", "question", day.alias("day")).distinct()
+ASKED = f"WITH {ASKED_SQL}, q AS (SELECT * FROM asked)"
 
 
 @query("q9_date_hints", f"{ASKED} SELECT query_no, list_transform({HINTS}, lambda x: CAST(x AS VARCHAR)) AS hints FROM q")
 def q9(spark, d):
     hints = questions.date_hints(F.col("question"), F.col("day"))
-    return _asked(spark, d).select("query_no", F.transform(hints, lambda x: x.cast("string")).alias("hints"))
+    return asked(spark, d).select("query_no", F.transform(hints, lambda x: x.cast("string")).alias("hints"))
 
 
 @query("q10_augmented", f"{ASKED} SELECT query_no, array_to_string(list_concat([question], flatten(list_transform({HINTS}, lambda x: ['\"' || strftime(x, '%Y/%m/%d') || '\"', '\"' || strftime(x, '%Y-%m-%d') || '\"']))), ' ') AS q FROM q")
 def q10(spark, d):
-    return _asked(spark, d).select("query_no", questions.augmented(F.col("question"), questions.date_hints(F.col("question"), F.col("day"))).alias("q"))
+    return asked(spark, d).select("query_no", questions.augmented(F.col("question"), questions.date_hints(F.col("question"), F.col("day"))).alias("q"))
 
 
 @query("p9_question_date", f"{ASKED} SELECT query_no, CAST(least(day, DATE '2024-01-06') AS VARCHAR) AS until FROM q")
 def p9(spark, d):
-    return _asked(spark, d).select("query_no", questions.until(F.col("day"), F.lit("2024-01-06").cast("date")).cast("string").alias("until"))
+    return asked(spark, d).select("query_no", questions.until(F.col("day"), F.lit("2024-01-06").cast("date")).cast("string").alias("until"))
 
 
 TUPLES_SQL = """t AS (SELECT 'u' || (vec_id % 40) AS subject, CASE vec_id % 6 WHEN 0 THEN 'admin' WHEN 1 THEN 'deny:writer' WHEN 2 THEN 'writer' ELSE 'reader' END AS relation,
@@ -177,20 +168,19 @@ FACETS = in_order("list_concat(regexp_extract_all(question, '\"([^\"]+)\"', 1),
 
 @query("q17_focus_probes", f"{ASKED} SELECT query_no, {FOCUS_PROBES} AS probes FROM q")
 def q17(spark, d):
-    return _asked(spark, d).select("query_no", questions.focus_probes(F.col("question")).alias("probes"))
+    return asked(spark, d).select("query_no", questions.focus_probes(F.col("question")).alias("probes"))
 
 
 @query("q18_facets", f"{ASKED}, f AS (SELECT query_no, question || ' in New York or \"old town\"' AS question FROM q) SELECT query_no, {FACETS} AS facets FROM f")
 def q18(spark, d):
-    return _asked(spark, d).select("query_no", questions.facets(F.concat("question", F.lit(' in New York or "old town"'))).alias("facets"))
+    return asked(spark, d).select("query_no", questions.facets(F.concat("question", F.lit(' in New York or "old town"'))).alias("facets"))
 
 
-@query("q13_probes", f"""{ASKED}, h AS (SELECT query_no, question, {HINTS} AS hints FROM q),
-p AS (SELECT query_no, list_filter(list_concat([question, CASE WHEN len(hints) > 0 THEN array_to_string(list_concat([question], flatten(list_transform(hints, lambda x: ['"' || strftime(x, '%Y/%m/%d') || '"', '"' || strftime(x, '%Y-%m-%d') || '"']))), ' ') END], {FACETS}, {FOCUS_PROBES}), lambda x: x IS NOT NULL AND trim(x) <> '') AS p FROM h)
-SELECT query_no, {in_order('p')}[1:8] AS probes FROM p""")
+@query("q13_probes", f"""WITH {ASKED_SQL}, {PROBES_SQL}, h AS (SELECT *, {HINTS} AS hints FROM probes)
+SELECT query_no, {ordered("""list_concat([question, CASE WHEN len(hints) > 0 THEN array_to_string(list_concat([question], flatten(list_transform(hints, lambda x: ['"' || strftime(x, '%Y/%m/%d') || '"', '"' || strftime(x, '%Y-%m-%d') || '"']))), ' ') ELSE question END], facets, priority,
+  CASE WHEN len(action_context) > 0 AND len(priority) >= 2 THEN phrases ELSE sub_queries END)""", 8)} AS probes FROM h""")
 def q13(spark, d):
-    q = F.col("question")
-    return _asked(spark, d).select("query_no", questions.probes(q, questions.date_hints(q, F.col("day"))).alias("probes"))
+    return bm25_probes(spark, d).select("query_no", "probes")
 
 
 def _fits(*patterns: str) -> str:

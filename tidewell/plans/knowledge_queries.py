@@ -59,14 +59,14 @@ def t16(spark, d):
     return table(spark, d, "part").select("p_partkey", knowledge.frontmatter(text).alias("m")).where("m is not null").select("p_partkey", m["name"].alias("name"), m["brand"].alias("brand"), m["size"].alias("size"))
 
 
-@query("t19_lint", C + """, r AS (SELECT path, CASE WHEN chunk_id % 29 = 0 THEN '' ELSE title END AS title, coalesce(content, '') || CASE WHEN chunk_id % 4 = 0 THEN ' [[memory/global/' || (chunk_id + 4) || '.md]]' ELSE '' END AS body, chunk_id FROM corpus)
+@query("t19_lint", C + """, r AS (SELECT path, CASE WHEN chunk_id % 29 = 0 THEN '' ELSE title END AS title, coalesce(content, '') || CASE WHEN chunk_id % 4 = 0 THEN ' [[notes/global/' || (chunk_id + 4) || '.md]]' ELSE '' END AS body, chunk_id FROM corpus)
 SELECT path, 'missing_field' AS issue FROM r WHERE trim(title) = '' UNION ALL SELECT path, 'empty_body' FROM r WHERE NOT regexp_matches(body, '\\S')
 UNION ALL SELECT path, 'stub' FROM r WHERE len(regexp_extract_all(body, '\\S+')) BETWEEN 1 AND 199 UNION ALL SELECT path, 'zero_links' FROM r WHERE strpos(body, '[[') = 0
-UNION ALL SELECT path, 'broken_link' FROM r WHERE chunk_id % 4 = 0 AND 'memory/global/' || (chunk_id + 4) || '.md' NOT IN (SELECT path FROM r)
+UNION ALL SELECT path, 'broken_link' FROM r WHERE chunk_id % 4 = 0 AND 'notes/global/' || (chunk_id + 4) || '.md' NOT IN (SELECT path FROM r)
 UNION ALL SELECT path, 'duplicate_title' FROM r WHERE lower(trim(title)) IN (SELECT lower(trim(title)) FROM r WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) > 1)""")
 def t19(spark, d):
     n = F.col("chunk_id")
-    link = F.when(n % 4 == 0, F.concat(F.lit(" [[memory/global/"), n + 4, F.lit(".md]]"))).otherwise("")
+    link = F.when(n % 4 == 0, F.concat(F.lit(" [[notes/global/"), n + 4, F.lit(".md]]"))).otherwise("")
     rows = corpus(spark, d).select("path", F.when(n % 29 == 0, "").otherwise(F.col("title")).alias("title"), F.concat(F.coalesce("content", F.lit("")), link).alias("body"))
     return knowledge.lint(rows)
 

@@ -27,10 +27,10 @@ def s2(spark, d):
     return filters.walk(corpus(spark, d), "wiki/").select("path")
 
 
-@query("s3_list_flat", C + """, r AS (SELECT substr(path, 8) AS rest FROM corpus WHERE starts_with(path, 'memory/'))
-SELECT 'memory/' || split_part(rest, '/', 1) AS path, bool_or(strpos(rest, '/') > 0) AS is_dir, count(*) AS n FROM r GROUP BY 1""")
+@query("s3_list_flat", C + """, r AS (SELECT substr(path, 7) AS rest FROM corpus WHERE starts_with(path, 'notes/'))
+SELECT 'notes/' || split_part(rest, '/', 1) AS path, bool_or(strpos(rest, '/') > 0) AS is_dir, count(*) AS n FROM r GROUP BY 1""")
 def s3(spark, d):
-    return filters.list_flat(corpus(spark, d), "memory/")
+    return filters.list_flat(corpus(spark, d), "notes/")
 
 
 @query("s4_glob", C + " SELECT path FROM corpus WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '^[12].[^/]*\\.md$')")
@@ -272,11 +272,11 @@ def v12(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.round(T.jaccard(F.array_distinct(T.tokens(F.col("text"))), words, 1.0), 9).alias("similarity"))
 
 
-FILTER = {"path_prefix": "memory/", "tags": ["en"], "session_ids": ["s1", "s2", "s4", "s5", "s8"], "scope": "memory", "date_from": "2024-02-01", "date_to": "2024-11-30"}
+FILTER = {"path_prefix": "notes/", "tags": ["en"], "session_ids": ["s1", "s2", "s4", "s5", "s8"], "scope": "notes", "date_from": "2024-02-01", "date_to": "2024-11-30"}
 
 
-@query("p_filters", C + """ SELECT chunk_id FROM corpus WHERE starts_with(path, 'memory/') AND list_has_all(tags, ['en']) AND session_id IN ('s1', 's2', 's4', 's5', 's8')
-AND scope IN ('global_memory', 'project_memory') AND modified >= DATE '2024-02-01' AND modified <= DATE '2024-11-30'""")
+@query("p_filters", C + """ SELECT chunk_id FROM corpus WHERE starts_with(path, 'notes/') AND list_has_all(tags, ['en']) AND session_id IN ('s1', 's2', 's4', 's5', 's8')
+AND scope IN ('global_notes', 'project_notes') AND modified >= DATE '2024-02-01' AND modified <= DATE '2024-11-30'""")
 def p_filters(spark, d):
     return corpus(spark, d).where(filters.compile(FILTER)).select("chunk_id")
 
@@ -286,7 +286,7 @@ def p1(spark, d):
     return corpus(spark, d).where(filters.compile({"path_prefix": "wiki/", "paths": ["wiki/src2/2.md", "wiki/src6/6.md", "raw/documents/3.md"]})).select("chunk_id")
 
 
-@query("p3_project", C + " SELECT chunk_id FROM corpus WHERE scope = 'global_memory' OR project = 'src5'")
+@query("p3_project", C + " SELECT chunk_id FROM corpus WHERE scope = 'global_notes' OR project = 'src5'")
 def p3(spark, d):
     return corpus(spark, d).where(filters.compile({"project": "src5"})).select("chunk_id")
 
@@ -296,9 +296,9 @@ def p4(spark, d):
     return corpus(spark, d).where(filters.project_at_index("src5", "wiki")).select("chunk_id")
 
 
-@query("p8_superseded", C + " SELECT chunk_id FROM corpus WHERE NOT (superseded_by <> '' AND scope IN ('global_memory', 'project_memory'))")
+@query("p8_superseded", C + " SELECT chunk_id FROM corpus WHERE NOT (superseded_by <> '' AND scope IN ('global_notes', 'project_notes'))")
 def p8(spark, d):
-    return corpus(spark, d).where(~(filters.superseded() & F.col("scope").isin("global_memory", "project_memory"))).select("chunk_id")
+    return corpus(spark, d).where(~(filters.superseded() & F.col("scope").isin("global_notes", "project_notes"))).select("chunk_id")
 
 
 @query("p10_metadata_operators", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INT) >= 20 AND CAST(json_extract(props, '$.k') AS INT) < 60 AND CAST(json_extract(props, '$.k') AS INT) NOT IN (30, 31)")

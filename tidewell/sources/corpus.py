@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 
 #: Scopes by path prefix, first match wins; other paths are not indexed.
-SCOPES = [("memory/global/", "global_memory"), ("memory/project/", "project_memory"), ("wiki/", "wiki"), ("raw/documents/", "raw_document"), ("raw/.sources/", "sources"), ("raw/lme/", "raw_lme")]
+SCOPES = [("notes/global/", "global_notes"), ("notes/project/", "project_notes"), ("wiki/", "wiki"), ("raw/documents/", "raw_document"), ("raw/.sources/", "sources"), ("raw/eval/", "raw_eval")]
 
 
 def scope_of(path: Column) -> Column:
@@ -20,7 +20,7 @@ def scope_of(path: Column) -> Column:
 
 
 def project_of(path: Column) -> Column:
-    return F.coalesce(F.regexp_extract(path, r"^memory/project/([^/]+)/", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(path, r"^notes/project/([^/]+)/", 1), F.lit(""))
 
 
 def corpus(spark, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def corpus(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     path = (
-        F.when(n % 4 == 0, F.concat(F.lit("memory/global/"), n, F.lit(".md")))
-        .when(n % 4 == 1, F.concat(F.lit("memory/project/"), F.col("source"), F.lit("/"), n, F.lit(".md")))
+        F.when(n % 4 == 0, F.concat(F.lit("notes/global/"), n, F.lit(".md")))
+        .when(n % 4 == 1, F.concat(F.lit("notes/project/"), F.col("source"), F.lit("/"), n, F.lit(".md")))
         .when(n % 4 == 2, F.concat(F.lit("wiki/"), F.col("source"), F.lit("/"), n, F.lit(".md")))
         .otherwise(F.concat(F.lit("raw/documents/"), n, F.lit(".md")))
     )
@@ -53,9 +53,9 @@ CORPUS_SQL = """corpus AS (
   SELECT doc_id AS chunk_id, path, split_part(text, '.', 1) AS title, split_part(text, '.', 2) AS summary, concat_ws(' ', lang, source) AS tag_text, text AS content, [lang, source] AS tags, 's' || (doc_id % 50) AS session_id,
     CASE WHEN doc_id % 11 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 365 AS INT) END AS modified,
     CASE WHEN doc_id % 13 = 0 THEN (doc_id + 1) || '.md' ELSE '' END AS superseded_by, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS source_role,
-    CASE doc_id % 4 WHEN 0 THEN 'global_memory' WHEN 1 THEN 'project_memory' WHEN 2 THEN 'wiki' ELSE 'raw_document' END AS scope,
+    CASE doc_id % 4 WHEN 0 THEN 'global_notes' WHEN 1 THEN 'project_notes' WHEN 2 THEN 'wiki' ELSE 'raw_document' END AS scope,
     CASE WHEN doc_id % 4 = 1 THEN source ELSE '' END AS project
-  FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'memory/global/' || doc_id || '.md' WHEN 1 THEN 'memory/project/' || source || '/' || doc_id || '.md'
+  FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'notes/global/' || doc_id || '.md' WHEN 1 THEN 'notes/project/' || source || '/' || doc_id || '.md'
     WHEN 2 THEN 'wiki/' || source || '/' || doc_id || '.md' ELSE 'raw/documents/' || doc_id || '.md' END AS path FROM documents))"""
 
 

@@ -1,24 +1,191 @@
-"""Hits of English questions over the corpus: each forty rows answer one question, each text begins with a note."""
+"""Questions, notes and what a search finds: the best rows of the corpus and of the notes for each question, by BM25.
+
+Notes are sentences about orders, one for each order that has lines; questions ask about parts,
+one for each supplier. Both grow with the tables, and each hit holds its row's whole text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import CORPUS_SQL, corpus
+from ..functions import words as W
+from ..functions.text import tokens
+from ..operators import search
+from ..session import table
+from .corpus import CORPUS_SQL, corpus, scope_of
 
+#: Hits of a question.
+K = 60
 QUESTIONS = [
-    "How many dollars did I spend on bikes and on books in total?",
-    "Can you recommend a quiet hotel? I want some ideas",
-    "When did I visit the museum, three weeks ago or last week?",
-    "Remind me of the exact recipe you suggested yesterday",
-    "How long is my daily commute to work?",
-    "Where do I currently take yoga classes?",
-    "What should I cook tonight? Any tips",
-    "How much did I earn at the market and at the fair last Saturday?",
-    "Tell me about the garden",
+    "How many dollars did I spend on the {a} and on the {b} in total?",
+    "Can you recommend a {a}? I want some ideas",
+    "When did I order the {a}, three weeks ago or last week?",
+    "Remind me of the exact {a} you suggested in our previous conversation",
+    "How long is my daily commute with the {a}?",
+    "Which {a} am I using now?",
+    "What should I do with the {a} or the {b}? Any tips",
+    "How much did I earn with the {a} and with the {b} last Saturday?",
+    "Tell me about the {a}",
+    "How many days ago did I buy a {a} when I sold the {b}?",
+    "How many different types of {a} have I bought for my workshop?",
+    "How many items of the list did I complete, including pieces of the {a}, the {b} and tasks of the garden?",
+    "I am stuck with my {a}, where do I find inspiration from Old Town Gallery of Paris or 'quiet {b}'?",
+    "What transport did I take with the {a} between March and June?",
+    "What is the latest price of the {a} AND the {b} yesterday?",
+    "How many days passed between the {a} order and the {b} donation?",
+    "What was the second recipe for the {a} you gave me in our previous chat?",
+    "Did I donate or sell the {b}, and how many hours did the {a} take overall?",
+    "How often do I use the cross-platform {a} products and Second Hand Market tools? It is 2 years old",
 ]
 NOTES = [
+    "I bought {qty} {item}s for ${price} on {month} {day}.",
+    "We spent ${price} on the {item} and sold {n} of them.",
+    "Summary: overall I spent ${price} in total on {item}s.",
+    "The user prefers the {item} and likes quick delivery.",
+    "Here are some tips and options for a guide to the {item}.",
+    "[date: {iso}]\nI picked up the {item} with customer {cust}.",
+    "My daily commute with the {item} is {qty} minutes each way every weekday.",
+    "The morning commute is often around {n} hours with the {item}.",
+    "I plan to budget ${price} for a new {item}.",
+    "What should I do about the {item}? Any advice would help.",
+    "I no longer use the {item}; it was replaced by customer {cust}.",
+    "I currently use the {item} and still own {n} of them.",
+    "Recap of the ledger: ${price} for the {item}.",
+    "We donated {qty} {item}s and raised ${price} on {month} {day}.",
+    "Superseded by a later note on the {item}.",
+    "I spent ${price} on a {item} and {n} hours on the recipe.",
+]
+KINDS = ["user-fact", "user-fact", "summary", "user-preference", "guide", "milestone", "user-fact", "note", "plan", "question", "note", "user-fact", "ledger", "milestone", "note", "user-fact"]
+#: Columns that hits carry besides question, score and rank.
+ROW = ["chunk_id", "path", "title", "summary", "tag_text", "content", "scope", "session_id", "source_role", "modified", "superseded_by", "state_key", "state_kind", "state_subject", "valid_from", "valid_to"]
+
+
+def _pick(values: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+
+
+def _filled(template: Column, values: dict[str, Column]) -> Column:
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
+    return template
+
+
+def notes(spark, sf_dir: str) -> DataFrame:
+    """One row of the corpus for each order that has lines: a sentence about its first part, with state metadata."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("qty"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("item"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(part, "part")
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    values = {"qty": F.col("qty"), "item": F.col("item"), "price": F.format_string("%.2f", "o_totalprice"), "n": F.col("n"), "month": F.date_format(day, "MMMM"), "day": F.dayofmonth(day), "iso": day, "cust": F.col("o_custkey")}
+    global_ = F.col("o_custkey") % 3 != 0
+    path = F.concat(F.when(global_, "notes/global/").otherwise("notes/project/work/"), _pick(KINDS, k), F.lit("-"), k, F.lit(".md"))
+    state = k % len(NOTES) == NOTES.index("I currently use the {item} and still own {n} of them.")
+    return rows.select(
+        (-1 - k).alias("chunk_id"),
+        path.alias("path"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("summary"),
+        F.lit(None).cast("string").alias("tag_text"),
+        _filled(_pick(NOTES, k), values).alias("content"),
+        F.when(global_, "global_notes").otherwise("project_notes").alias("scope"),
+        F.concat(F.lit("c"), "o_custkey").alias("session_id"),
+        F.when(k % 5 < 3, "user").when(k % 5 == 3, "assistant").otherwise("").alias("source_role"),
+        day.alias("modified"),
+        F.when((F.col("o_orderstatus") == "F") & (k % 4 == 0), F.concat(k + 1, F.lit(".md"))).otherwise("").alias("superseded_by"),
+        F.when(state & (k % 3 > 0), F.concat(F.lit("use."), F.replace("item", F.lit(" "), F.lit(".")))).otherwise("").alias("state_key"),
+        F.when(state, "use").otherwise("").alias("state_kind"),
+        F.when(state, F.col("item")).otherwise("").alias("state_subject"),
+        F.when(state, F.date_format(day, "yyyy-MM-dd")).otherwise("").alias("valid_from"),
+        F.when(state & (k % 2 == 0), F.date_format(F.date_add(day, 400), "yyyy/MM/dd")).otherwise("").alias("valid_to"),
+    )
+
+
+def searched(spark, sf_dir: str) -> DataFrame:
+    """The rows that are searched: the corpus and the notes."""
+    none = {c: F.lit("") for c in ("state_key", "state_kind", "state_subject", "valid_from", "valid_to")}
+    return corpus(spark, sf_dir).withColumns(none).select(*ROW).unionByName(notes(spark, sf_dir).select(*ROW))
+
+
+def asked(spark, sf_dir: str) -> DataFrame:
+    """(query_no, question, day): one question for each supplier, about two parts, and the day on which it is asked."""
+    s = F.col("s_suppkey")
+    part = lambda name: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(name + "_key"), F.col("p_name").alias(name))
+    rows = table(spark, sf_dir, "supplier").join(part("a"), F.col("a_key") == s).join(part("b"), F.col("b_key") == 2 * s + 1)
+    day = F.date_add(F.lit("1999-01-01").cast("date"), (s * 13 % 900).cast("int"))
+    return rows.select(s.cast("int").alias("query_no"), _filled(_pick(QUESTIONS, s), {"a": F.col("a"), "b": F.col("b")}).alias("question"), day.alias("day"))
+
+
+def query_terms(question: Column) -> Column:
+    """The distinct words that a question is searched by: three bytes or more, no stop words."""
+    return F.array_distinct(F.filter(tokens(question), lambda t: (F.octet_length(t) > 2) & ~t.isin(W.RETRY_STOP)))
+
+
+def hits(spark, sf_dir: str, k: int = K) -> DataFrame:
+    """The ``k`` best rows of each question: query_no, question, day, the row's columns, text (path, title, summary and content, lower-cased), score and rank."""
+    rows, questions = searched(spark, sf_dir), asked(spark, sf_dir)
+    wanted = questions.select("query_no", F.explode(query_terms(F.col("question"))).alias("term"))
+    best = search.best_of_each(search.bm25_table(rows, wanted), k)
+    return best.join(questions, "query_no").join(rows, "chunk_id").withColumn("text", F.lower(F.concat_ws("\n", "path", "title", "summary", "content")))
+
+
+def _literals(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+
+
+def _filled_sql(template: str, values: dict[str, str]) -> str:
+    for name, value in values.items():
+        template = f"replace({template}, '{{{name}}}', CAST({value} AS VARCHAR))"
+    return template
+
+
+def _pick_sql(values: list[str], i: str) -> str:
+    return f"{_literals(values)}[1 + {i} % {len(values)}]"
+
+
+_STATE = f"o_orderkey % {len(NOTES)} = {NOTES.index('I currently use the {item} and still own {n} of them.')}"
+_NOTE = _filled_sql(_pick_sql(NOTES, "o_orderkey"), {"qty": "qty", "item": "p_name", "price": "printf('%.2f', o_totalprice)", "n": "n", "month": "strftime(o_orderdate, '%B')", "day": "day(o_orderdate)", "iso": "CAST(o_orderdate AS DATE)", "cust": "o_custkey"})
+#: The notes, and the rows that are searched, in SQL.
+SEARCHED_SQL = f"""{CORPUS_SQL},
+notes AS (SELECT -1 - o_orderkey AS chunk_id, CASE WHEN o_custkey % 3 <> 0 THEN 'notes/global/' ELSE 'notes/project/work/' END || {_pick_sql(KINDS, "o_orderkey")} || '-' || o_orderkey || '.md' AS path,
+    CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS tag_text, {_NOTE} AS content, CASE WHEN o_custkey % 3 <> 0 THEN 'global_notes' ELSE 'project_notes' END AS scope,
+    'c' || o_custkey AS session_id, CASE WHEN o_orderkey % 5 < 3 THEN 'user' WHEN o_orderkey % 5 = 3 THEN 'assistant' ELSE '' END AS source_role, CAST(o_orderdate AS DATE) AS modified,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN (o_orderkey + 1) || '.md' ELSE '' END AS superseded_by,
+    CASE WHEN {_STATE} AND o_orderkey % 3 > 0 THEN 'use.' || replace(p_name, ' ', '.') ELSE '' END AS state_key, CASE WHEN {_STATE} THEN 'use' ELSE '' END AS state_kind, CASE WHEN {_STATE} THEN p_name ELSE '' END AS state_subject,
+    CASE WHEN {_STATE} THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS valid_from, CASE WHEN {_STATE} AND o_orderkey % 2 = 0 THEN strftime(CAST(o_orderdate AS DATE) + 400, '%Y/%m/%d') ELSE '' END AS valid_to
+  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS part, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey JOIN part ON p_partkey = part),
+searched AS (SELECT chunk_id, path, title, summary, tag_text, content, scope, session_id, source_role, modified, superseded_by, '' AS state_key, '' AS state_kind, '' AS state_subject, '' AS valid_from, '' AS valid_to FROM corpus
+  UNION ALL SELECT * FROM notes)"""
+ASKED_SQL = f"""asked AS (SELECT CAST(s_suppkey AS INT) AS query_no, {_filled_sql(_pick_sql(QUESTIONS, "s_suppkey"), {"a": "a.p_name", "b": "b.p_name"})} AS question, DATE '1999-01-01' + CAST(s_suppkey * 13 % 900 AS INT) AS day
+  FROM supplier JOIN part a ON a.p_partkey = s_suppkey JOIN part b ON b.p_partkey = 2 * s_suppkey + 1)"""
+TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def any_word(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+TERMS_SQL = f"list_distinct(list_filter({TOK.format('question')}, lambda t: strlen(t) > 2 AND t NOT IN {any_word(W.RETRY_STOP)}))"
+
+
+def bm25_table_sql(rows: str, wanted: str, name: str) -> str:
+    """WITH entries down to ``name`` (query_no, chunk_id, score): BM25 of the rows of ``rows`` for the (query_no, term) of ``wanted``."""
+    length = " + ".join(f"len({TOK.format(f)})" for f in search.FIELDS)
+    every = " UNION ALL ".join(f"SELECT chunk_id, unnest({TOK.format(f)}) AS term, {w} AS w FROM {rows}" for f, w in search.FIELDS.items())
+    return f"""{name}_st AS (SELECT count(*) AS n, avg({length}) AS avg_len FROM {rows}), {name}_ln AS (SELECT chunk_id, {length} AS len FROM {rows}),
+{name}_tf AS (SELECT chunk_id, term, sum(w) AS f FROM ({every}) WHERE term IN (SELECT term FROM {wanted}) GROUP BY ALL), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name} AS (SELECT query_no, chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+  FROM {name}_tf JOIN {name}_df USING (term) JOIN {name}_ln USING (chunk_id) JOIN {wanted} USING (term), {name}_st GROUP BY query_no, chunk_id)"""
+
+
+#: The hits in SQL, to stand behind WITH.
+HITS_SQL = f"""{SEARCHED_SQL}, {ASKED_SQL}, wanted AS (SELECT query_no, unnest({TERMS_SQL}) AS term FROM asked), {bm25_table_sql("searched", "wanted", "bm")},
+hits AS MATERIALIZED (SELECT b.query_no, question, day, s.*, lower(concat_ws(chr(10), path, title, summary, content)) AS text, score, CAST(rank AS INT) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, chunk_id) AS rank FROM bm QUALIFY rank <= {K}) b JOIN asked USING (query_no) JOIN searched s USING (chunk_id))"""
+
+
+#: What turns of the conversations begin with.
+TOLD = [
     "I bought a bike for $120.50 at the market on March 3rd.",
     "We spent $30 on books and $12 on tea.",
     "Summary: overall I spent $162.50 in total this month.",
@@ -37,41 +204,12 @@ NOTES = [
 ]
 
 
-def _literals(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def hits(spark, sf_dir: str) -> DataFrame:
-    """(query_no, question, chunk_id, path, source_role, session_id, modified, superseded_by, text, score, rank)."""
-    n = F.col("chunk_id")
-    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
-    number = F.floor(n / 40)
-    return corpus(spark, sf_dir).select(
-        number.alias("query_no"),
-        pick(QUESTIONS, number).alias("question"),
-        "chunk_id",
-        "path",
-        "source_role",
-        "session_id",
-        "modified",
-        "superseded_by",
-        F.concat(pick(NOTES, n), F.lit(" "), F.coalesce("title", F.lit(""))).alias("text"),
-        (1.0 / (1 + n % 40)).alias("score"),
-        (n % 40 + 1).cast("int").alias("rank"),
-    )
-
-
-#: The same view in SQL, to stand behind WITH.
-HITS_SQL = f"""{CORPUS_SQL}, hits AS (SELECT chunk_id // 40 AS query_no, {_literals(QUESTIONS)}[1 + (chunk_id // 40) % {len(QUESTIONS)}] AS question, chunk_id, path, source_role, session_id, modified, superseded_by,
-  {_literals(NOTES)}[1 + chunk_id % {len(NOTES)}] || ' ' || coalesce(title, '') AS text, 1.0::DOUBLE / (1 + chunk_id % 40) AS score, CAST(chunk_id % 40 + 1 AS INT) AS rank FROM corpus)"""
-
-
 def talk(spark, sf_dir: str) -> DataFrame:
     """Turns (conv_id, turn, role, text) whose texts begin with a note."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    note = F.element_at(F.array(*[F.lit(v) for v in NOTES + SAID]), ((F.col("conv_id") * 7 + F.col("turn")) % len(NOTES + SAID) + 1).cast("int"))
+    c = table(spark, sf_dir, "conversations")
+    note = F.element_at(F.array(*[F.lit(v) for v in TOLD + SAID]), ((F.col("conv_id") * 7 + F.col("turn")) % len(TOLD + SAID) + 1).cast("int"))
     return c.select("conv_id", "turn", "role", F.concat(note, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 SAID = ["Thanks, that looks good.", "That's wrong, please revert it.", "I have run 12 miles on Monday at 7:30.", "Error: the build failed. Let me retry", "Yesterday I paid £5 for tea."]
-TALK_SQL = f"talk AS (SELECT conv_id, turn, role, {_literals(NOTES + SAID)}[1 + (conv_id * 7 + turn) % {len(NOTES + SAID)}] || chr(10) || coalesce(text, '') AS text FROM conversations)"
+TALK_SQL = f"talk AS (SELECT conv_id, turn, role, {_literals(TOLD + SAID)}[1 + (conv_id * 7 + turn) % {len(TOLD + SAID)}] || chr(10) || coalesce(text, '') AS text FROM conversations)"
