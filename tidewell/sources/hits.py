@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.text import tokens
 from ..operators import search
+from ..operators.retry import first_terms
 from ..session import table
 from .corpus import CORPUS_SQL, corpus, scope_of
 
@@ -116,15 +116,10 @@ def asked(spark, sf_dir: str) -> DataFrame:
     return rows.select(s.cast("int").alias("query_no"), _filled(_pick(QUESTIONS, s), {"a": F.col("a"), "b": F.col("b")}).alias("question"), day.alias("day"))
 
 
-def query_terms(question: Column) -> Column:
-    """The distinct words that a question is searched by: three bytes or more, no stop words."""
-    return F.array_distinct(F.filter(tokens(question), lambda t: (F.octet_length(t) > 2) & ~t.isin(W.RETRY_STOP)))
-
-
 def hits(spark, sf_dir: str, k: int = K) -> DataFrame:
     """The ``k`` best rows of each question: query_no, question, day, the row's columns, text (path, title, summary and content, lower-cased), score and rank."""
     rows, questions = searched(spark, sf_dir), asked(spark, sf_dir)
-    wanted = questions.select("query_no", F.explode(query_terms(F.col("question"))).alias("term"))
+    wanted = questions.select("query_no", F.explode(first_terms(F.col("question"))).alias("term"))
     best = search.best_of_each(search.bm25_table(rows, wanted), k)
     return best.join(questions, "query_no").join(rows, "chunk_id").withColumn("text", F.lower(F.concat_ws("\n", "path", "title", "summary", "content")))
 
