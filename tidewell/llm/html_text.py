@@ -2,12 +2,17 @@
 
 A page is cut into blocks at block-level tags. The first pass decides each block by
 itself: boilerplate containers (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) are bad, link-heavy blocks are bad, blocks of an article or main
-element are good, and elsewhere stop-word density and length decide; short blocks and
-blocks of middling density stay open. Stop words are known of English, French, German
-and Spanish; where none of these reaches the densities on a page, length and link
-density alone decide. The second pass gives open blocks the labels of their nearest
-decided neighbours.
+forms, comments) are bad, the other blocks of an article or main element are good, and
+elsewhere link density, stop-word density and length decide; short blocks and blocks of
+middling density or length stay open. Stop words are known of
+English, French, German and Spanish; where none of these reaches the densities on a page,
+length and link density alone decide. The second pass gives open blocks the labels of
+their nearest decided neighbours; on a page without a good block, those of middling
+length or density that the page's own density lets stand are good.
+
+Inside an article the class words that make a container bad must be all that its name says
+('related-posts', not 'related-work'), and a paragraph, heading or list item is dropped
+for adverts, reader comments and hiding only.
 """
 
 from __future__ import annotations
@@ -42,6 +47,10 @@ BAD_NAMES = frozenset(
     widget toolbar pagination pager skip hidden copyright legal disclaimer teaser""".split()
 )
 GOOD_NAMES = frozenset("content article main post entry story".split())
+#: Words beside which a bad word is all that a name says, and bad words that count for a text element of an article too.
+NEUTRAL = frozenset("box block section container wrapper wrap list bar button buttons link links posts articles stories area inner outer panel unit slot top bottom left right item items row col form".split())
+TEXT_TAGS = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption span em strong b i a".split())
+TEXT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments disqus hidden cookie cookies".split())
 #: An open element of the key is closed by a start tag of the values.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article main section div body aside nav header footer form blockquote".split())
@@ -59,11 +68,11 @@ def _is_bad(name: str, attrs: str, in_main: bool) -> bool:
     if name in BAD_TAGS or (name == "header" and not in_main):
         return True
     if not attrs or name in ("html", "body", "article", "main"):
-        return bool(attrs) and name == "article" and _bad_names(attrs)
-    return _bad_names(attrs) or bool(re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attrs.lower()))
+        return bool(attrs) and name == "article" and _bad_names(attrs, "article", False)
+    return _bad_names(attrs, name, in_main) or bool(re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attrs.lower()))
 
 
-def _bad_names(attrs: str) -> bool:
+def _bad_names(attrs: str, tag: str, in_main: bool) -> bool:
     got = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(attrs)}
     if got.get("role", "").lower() in BAD_ROLES or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I):
         return True
@@ -72,7 +81,13 @@ def _bad_names(attrs: str) -> bool:
         return False
     for n in names:
         parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", n)]
-        if parts and parts[0] not in ("has", "no", "with", "without", "is") and BAD_NAMES.intersection(parts):
+        if not parts or parts[0] in ("has", "no", "with", "without", "is"):
+            continue
+        if in_main:
+            words = TEXT_NAMES if tag in TEXT_TAGS else BAD_NAMES
+            if words.intersection(parts) and all(x in BAD_NAMES or x in NEUTRAL or x.isdigit() for x in parts):
+                return True
+        elif BAD_NAMES.intersection(parts):
             return True
     return False
 
@@ -198,7 +213,7 @@ def decided(found: list[tuple[str, bool, bool, bool, float]]) -> list[tuple[str,
     first: list[str] = []
     for (text, bad, main, heading, links), d in zip(found, density):
         size = len(text) if listed else _size(text)
-        if bad or (has_main and not main) or links > (0.9 if main else MAX_LINKS):
+        if bad or (has_main and not main) or (links > MAX_LINKS and not main):
             first.append("bad")
         elif main:
             first.append("good")
@@ -208,6 +223,8 @@ def decided(found: list[tuple[str, bool, bool, bool, float]]) -> list[tuple[str,
             first.append(("good" if size > LONG else "near") if d >= DENSE else "near" if d >= SPARSE else "bad")
         else:
             first.append("good" if size > LONG else "near")
+    if "good" not in first:
+        first = ["good" if x == "near" else x for x in first]
     n = len(found)
     before, after = ["bad"] * n, ["bad"] * n  # the nearest decided label on each side; the page's ends are bad
     for i in range(1, n):
