@@ -29,10 +29,10 @@ from .common import cut, null_safe_text, shared_dir
 LEAST_DOCS, TERM_RANKS = 10, 10
 #: Seats of a language; the tournament has one round less, and one at home.
 SEATS = 8
-#: Counts (groups x terms) of a seat's slice: bounds a meeting's memory.
-CELLS = 1_000_000
+#: Counts (groups x terms) of a seat's slice: bounds what a meeting holds.
+CELLS = 131_072
 #: Different terms that a task counts before it passes them on, and bytes of a text that it splits at once.
-HELD_TERMS, PIECE = 300_000, 4_000_000
+HELD_TERMS, PIECE = 1_000_000, 4_000_000
 SHARE = 1_000_000_000
 #: A byte of a term as itself, A-Z lower-cased, every other byte as a space.
 _BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
