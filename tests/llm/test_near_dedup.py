@@ -46,8 +46,24 @@ def test_against_brute_force(spark):
             rows.append((100 * g + c, " ".join(copy)))
     rows += [(9000, rows[3][1]), (9001, rows[3][1].upper()), (9002, None), (9003, ""), (9004, "!!"), (9005, "!!"), (9006, "one"), (9007, "one"), (9008, "same " * 5000), (9009, "same " * 4000)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, class_id int")
-    got = N.near_duplicates(df)
-    assert {(x.doc_id, x.class_id) for x in got.collect()} == classes(rows)
+    got = N.near_duplicates(df).collect()
+    assert {(x.doc_id, x.class_id) for x in got} == classes(rows)
+    links_connect(rows, got)
+
+
+def links_connect(rows, got):
+    """Every link is one by its texts, and the links connect each class: as many trees as classes."""
+    text = dict(rows)
+    sets = {i: set(zip(*[w[j : max(0, len(w) - n + 1) + j] for j in range(n)])) for i, t in rows if t and (w := re.findall(r"\w+", t.lower())) and (n := min(5, len(w)))}
+    for x in got:
+        if x.copy_of != x.doc_id:
+            assert x.linked_to == x.copy_of and x.similarity == 1.0 and text[x.doc_id] == text[x.copy_of]
+        elif x.linked_to is not None:
+            a, b = sets[x.doc_id], sets[x.linked_to]
+            assert x.linked_to < x.doc_id and abs(len(a & b) / len(a | b) - x.similarity) < 1e-9 and x.similarity >= 0.8
+    of = {x.doc_id: x.class_id for x in got}
+    assert all(of[x.linked_to] == x.class_id for x in got if x.linked_to is not None)
+    assert any(x.linked_to is not None and x.similarity < 1 for x in got)
 
 
 def test_repeated_rows_and_empty(spark):

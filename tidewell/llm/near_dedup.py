@@ -331,8 +331,12 @@ def near_links(rows: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class) and copy_of
-    (the smallest doc_id with the same text).
+    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class), copy_of
+    (the smallest doc_id with the same text), and linked_to and similarity, the link by which it belongs to its class.
+
+    That link is, for a copy, to copy_of (1.0); for the first of a text the most similar smaller id among the links that
+    were verified, ties to the smallest; null where its links lead to larger ids only, or it has none. The links of a class connect it; they
+    are not all of its pairs, whose number grows with the square of a class.
 
     Equal texts are one text with the smallest of their ids; only distinct texts are
     compared. Texts without a word, and nulls, are classes of their own, and so are rows
@@ -349,9 +353,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     member = keyed.join(copies, ["key", "salt"], "left").select("doc_id", F.when(F.col("wordy"), F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("copy_of"))
     member = cut(member)
     firsts = member.where("copy_of = doc_id").select(F.col("doc_id").alias("id")).distinct()
-    _, labels = near_links(rows.where("doc_id is not null").withColumnRenamed("doc_id", "id"), firsts, threshold)
-    found = member.join(labels.select(F.col("id").alias("copy_of"), "label"), "copy_of", "left")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "copy_of")).alias("class_id"), "copy_of")
+    links, labels = near_links(rows.where("doc_id is not null").withColumnRenamed("doc_id", "id"), firsts, threshold)
+    best = links.groupBy(F.greatest("a", "b").alias("id")).agg(F.max(F.struct("similarity", (-F.least("a", "b")).alias("other"))).alias("best"))
+    known = labels.join(best, "id", "left").select(F.col("id").alias("copy_of"), "label", "best")
+    found = member.join(known, "copy_of", "left")
+    copy = F.col("copy_of") != F.col("doc_id")
+    return found.select(
+        "doc_id",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "copy_of")).alias("class_id"),
+        "copy_of",
+        F.when(copy, F.col("copy_of")).otherwise(-F.col("best.other")).alias("linked_to"),
+        F.when(copy, 1.0).otherwise(F.col("best.similarity")).alias("similarity"),
+    )
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
