@@ -1,28 +1,37 @@
 """Benchmark decontamination with a positional inverted index.
 
-Documents are the shards of the index: each task stores the positions of every test
-term of its documents, takes for each test window the term with the shortest list in
-the shard, and intersects its list, shifted by the term's offset, with the lists of
-the other terms from the rarest up. What remains are exact phrase occurrences. Only
-the test windows travel, in blocks of a checked size; all blocks are
-searched in one pass over the documents.
+While the test items are small (BROADCAST_BYTES, which is checked), their windows travel to
+the documents, which are the shards of the index: each task stores the positions of every
+test term of its documents, takes for each test window the term with the shortest list
+in the shard, and intersects its list, shifted by the term's offset, with the lists of
+the other terms from the rarest up. What remains are exact phrase occurrences.
+
+Beyond that size nothing is collected or broadcast: the postings of all documents are stored as a table
+keyed by term, each window meets the postings of its rarest term of all documents by a
+join, which Spark splits where a term is hot, and the places that are left are read in their documents.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import pickle
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text, with_columns
+from .common import cut, null_safe_text, with_columns
 
 WINDOW = 13
-#: Text bytes of test items that are broadcast at once.
-BLOCK_BYTES = 16_000_000
+#: Text bytes of test items that are broadcast; larger ones are joined by term.
+BROADCAST_BYTES = 16_000_000
+#: Different words that a task counts before it passes them on.
+HELD_WORDS = 500_000
 #: Word bytes are digits, letters (A-Z lower-cased) and all bytes from 0x80; others separate.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PAD = -2
@@ -53,10 +62,11 @@ class TestWindows:
             self.terms[i, : len(k)] = k
 
 
-def search(docs: list[list[bytes]], test: TestWindows, near: int | None = None):
+def search(docs: list[list[bytes]], test: TestWindows, near: int | None = None, everywhere: dict[bytes, int] | None = None):
     """Exact occurrences in a shard: (start, window) arrays in positions of the joined
     documents, the documents' starts, and, if ``near`` is given, windows whose three
-    rarest terms occur within that many words of each other: (position, window) arrays."""
+    rarest terms occur within that many words of the rarest: (position, window) arrays.
+    ``everywhere`` says how often a term occurs in all documents; without it terms are as rare as in this shard."""
     width = test.terms.shape[1] if test.terms.size else 1
     pad = max(width, 1)
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
@@ -74,6 +84,9 @@ def search(docs: list[list[bytes]], test: TestWindows, near: int | None = None):
     offset = np.concatenate([[0], np.cumsum(count)])
     size = np.where(test.terms >= 0, count[np.maximum(test.terms, 0)], np.iinfo(np.int64).max)
     alive = np.flatnonzero((size > 0).all(axis=1))
+    if everywhere is not None:
+        whole = np.array([everywhere.get(w, 0) for w in test.vocabulary] or [0], dtype=np.int64)
+        size = np.where(test.terms >= 0, whole[np.maximum(test.terms, 0)], np.iinfo(np.int64).max)
     by_rarity = np.argsort(size[alive], axis=1, kind="stable")
     rarest = test.terms[alive, by_rarity[:, 0]]
     n = count[rarest]
@@ -114,44 +127,161 @@ def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
     return merged
 
 
-def _hits(docs: list[list[bytes]], blocks: list[TestWindows], near: int | None) -> list[tuple]:
+def _hits(docs: list[list[bytes]], windows: TestWindows, near: int | None, everywhere: dict[bytes, int] | None) -> list[tuple]:
     """Of each document its words, its runs of hit words, and the items whose windows occur (and are near)."""
     spans, items, beside = ([[] for _ in docs] for _ in range(3))
-    for windows in blocks:
-        found, which, starts, close = search(docs, windows, near)
-        doc = np.searchsorted(starts, found, side="right") - 1
-        for d, f, w in zip(doc.tolist(), (found - starts[doc]).tolist(), which.tolist()):
-            items[d] += windows.items[w]
-            spans[d].append((f, f + int(windows.lengths[w])))
-        for d, w in zip((np.searchsorted(starts, close[0], side="right") - 1).tolist(), close[1].tolist()):
-            beside[d] += windows.items[w]
+    found, which, starts, close = search(docs, windows, near, everywhere)
+    doc = np.searchsorted(starts, found, side="right") - 1
+    for d, f, w in zip(doc.tolist(), (found - starts[doc]).tolist(), which.tolist()):
+        items[d] += windows.items[w]
+        spans[d].append((f, f + int(windows.lengths[w])))
+    for d, w in zip((np.searchsorted(starts, close[0], side="right") - 1).tolist(), close[1].tolist()):
+        beside[d] += windows.items[w]
     runs = [_joined(x) for x in spans]
     return [(len(d), [x[0] for x in r], [x[1] for x in r], sorted(set(i)), sorted(set(n))) for d, r, i, n in zip(docs, runs, items, beside)]
 
 
+def _broadcast(docs: DataFrame, tests: DataFrame, window: int, near: int | None, text: str, keep_text: bool) -> DataFrame:
+    spark = docs.sparkSession
+    windows = TestWindows([tuple(r) for r in tests.collect()], window)  # BROADCAST_BYTES at most
+    everywhere = None
+    if near is not None:
+        known = spark.createDataFrame([(w,) for w in windows.vocabulary], "term binary")
+        everywhere = {bytes(r["term"]): r["n"] for r in _term_counts(docs, text).join(known, "term", "left_semi").collect()}  # as many as the items' words
+    shared = spark.sparkContext.broadcast(pickle.dumps((windows, everywhere)))
+
+    def make():
+        known, whole = pickle.loads(shared.value)
+        return lambda texts: [list(c) for c in zip(*_hits([words(t) for t in texts], known, near, whole))][: 4 + (near is not None)]
+
+    return with_columns(docs, text, _ADDED + ", near_items array<string>" * (near is not None), make, keep_text=keep_text)
+
+
+# -- the stored index ----------------------------------------------------------
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found.update(words(text))
+            if len(found) > HELD_WORDS:
+                yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+                found.clear()
+    yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+
+
+def _term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, n) of all documents."""
+    return docs.select(null_safe_text(text).alias("_text")).mapInArrow(_counted, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _windows(window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """item_id and text -> key (of the words), item_id and the words of each distinct window of an item."""
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                w = words(text)
+                seen = {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
+                keys = [hashlib.blake2b(b" ".join(x), digest_size=16).digest() for x in seen]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "item_id": pa.array([item] * len(seen), pa.string()), "words": pa.array([list(x) for x in seen], pa.list_(pa.binary()))})
+
+    return rows
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and _text -> one row for each different word of a document, with its places."""
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("_text").to_pylist()):
+            places: dict[bytes, list[int]] = {}
+            for i, w in enumerate(words(text)):
+                places.setdefault(w, []).append(i)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(places), pa.binary()), "row": pa.array([row] * len(places), pa.int64()), "places": pa.array(list(places.values()), pa.list_(pa.int32()))})
+
+
+def _read(window: int, near: int | None):
+    """A document and its candidates (key, rare, offset, words, place of the rarest) -> what occurs."""
+
+    def found(docs: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, text in zip(docs["row"], docs["_text"]):
+            w = words(text)
+            at: dict[bytes, np.ndarray] = {}
+            for key, rare, offset, phrase, places in zip(candidates["key"], candidates["rare"], candidates["offset"], candidates["words"], candidates["places"]):
+                phrase = [bytes(x) for x in phrase]
+                starts = [p - offset for p in places if p >= offset and w[p - offset : p - offset + len(phrase)] == phrase]
+                close = False
+                if near is not None:
+                    ok = np.ones(len(places), dtype=bool)
+                    for term in rare[1:3]:
+                        if term not in at:
+                            at[term] = np.array([i for i, x in enumerate(w) if x == term], dtype=np.int64)
+                        ok &= (np.abs(at[term][None, :] - np.asarray(places)[:, None]) <= near).any(axis=1)
+                    close = bool(ok.any())
+                if starts or close:
+                    out.append((row, key, starts, len(phrase), close))
+        return pd.DataFrame(out, columns=["row", "key", "starts", "size", "close"])
+
+    return found
+
+
+def _by_term(docs: DataFrame, tests: DataFrame, window: int, near: int | None, text: str, keep_text: bool) -> DataFrame:
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    texts = rows.select(F.col("__row").alias("row"), null_safe_text(text).alias("_text"))
+    each = cut(tests.mapInArrow(_windows(window), "key binary, item_id string, words array<binary>"))
+    windows = each.groupBy("key").agg(F.any_value("words").alias("words"))
+    terms = windows.select("key", F.posexplode("words").alias("offset", "term")).join(_term_counts(docs, text), "term")
+    # a window none of whose words is missing, by its rarest words, the first of equal ones
+    rare = terms.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))), 1, window).alias("rare"))  # a window's words
+    chosen = windows.join(rare, "key").where(F.size("rare") == F.size("words"))
+    chosen = cut(chosen.select("key", "words", F.col("rare")[0]["term"].alias("term"), F.col("rare")[0]["offset"].alias("offset"), F.slice(F.col("rare.term"), 1, 3).alias("rare")))
+    index = texts.mapInArrow(_postings, "term binary, row long, places array<int>").join(chosen.select("term").distinct(), "term", "left_semi")
+    candidates = index.join(chosen, "term").select("row", "key", "rare", "offset", "words", "places")
+    read = texts.groupBy("row").cogroup(candidates.groupBy("row")).applyInPandas(_read(window, near), "row long, key binary, starts array<int>, size int, close boolean")
+    read = cut(read)
+
+    def names(which: str, name: str) -> DataFrame:
+        return read.where(which).select("row", "key").join(each.select("key", "item_id"), "key").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias(name))  # a document's items
+
+    spans = F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("size")).alias("e")))
+    hits = read.where("size(starts) > 0").groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))  # a document's own words
+    empty = F.expr("cast(array() as array<string>)")
+    out = rows.join(hits, F.col("__row") == F.col("row"), "left").drop("row").join(names("size(starts) > 0", "items"), F.col("__row") == F.col("row"), "left").drop("row")
+    if near is not None:
+        out = out.join(names("close", "near_items"), F.col("__row") == F.col("row"), "left").drop("row")
+
+    def make():
+        return lambda found: [[len(words(t)) for t in found]]
+
+    kept = with_columns(out, text, "n_words long", make, keep_text=keep_text)
+    merged = kept.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<s: int, e: int>>)")))
+    # sorted spans become runs: a span that begins within the run before it lengthens that
+    start = F.expr("cast(array() as array<struct<s: int, e: int>>)")
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    grow = lambda a, x: F.when(
+        (F.size(a) > 0) & (x["s"] <= last(a)["e"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["s"].alias("s"), F.greatest(last(a)["e"], x["e"]).alias("e"))))
+    ).otherwise(F.concat(a, F.array(x)))
+    merged = merged.withColumn("spans", F.aggregate("spans", start, grow))
+    merged = merged.withColumns({"hit_starts": F.col("spans.s"), "hit_ends": F.col("spans.e"), "items": F.coalesce("items", empty)})
+    if near is not None:
+        merged = merged.withColumn("near_items", F.coalesce("near_items", empty))
+    return merged.drop("__row", "spans")
+
+
 def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add n_words, n_hit, hit_starts and hit_ends (maximal runs of hit words), items,
     n_items and contaminated to ``docs``; ``near`` adds near_items, items with a window
-    whose three rarest terms stand within that many words.
+    whose three rarest terms (of all documents; the first of equal ones) stand within that many words of the rarest.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not
     none, is one window. A document is contaminated if n_hit > 0 and 20 n_hit >= n_words.
     Null texts have no words; a null item_id counts as ''; repeated items count once. An
     empty table of items hits nothing. Columns of the names above are replaced.
     """
-    spark = docs.sparkSession
     tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), null_safe_text().alias("text")).distinct()
-    blocks = max(1, math.ceil((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
-    shared = []
-    for i in range(blocks):
-        mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about BLOCK_BYTES
-        shared.append(spark.sparkContext.broadcast(pickle.dumps(TestWindows([(r[0], r[1]) for r in mine], window))))
-
-    def make():
-        known = [pickle.loads(b.value) for b in shared]
-        return lambda texts: [list(c) for c in zip(*_hits([words(t) for t in texts], known, near))][: 4 + (near is not None)]
-
-    got = with_columns(docs.drop("near_items", "n_hit", "n_items", "contaminated"), text, _ADDED + ", near_items array<string>" * (near is not None), make, keep_text=keep_text)
+    docs = docs.drop("near_items", "n_hit", "n_items", "contaminated", "n_words", "hit_starts", "hit_ends", "items")
+    small = (tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
+    got = (_broadcast if small else _by_term)(docs, tests, window, near, text, keep_text)
     hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     got = got.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
     return got.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
