@@ -9,8 +9,12 @@ directly, the others are induced from them by scans of the buckets; windows that
 100 bytes with their neighbour in that order are equal, and all but the first of them
 are gone. Only segments whose anchor occurs twice are moved with their bytes. Tasks
 drop their own repeated segments first, so that a passage of very many documents
-reaches its anchor's task a few times; an anchor that still has very many different
-segments is spread by window.
+reaches its anchor's task a few times.
+
+Segments of a frequent anchor are dealt by their contents instead, and what must be compared is
+dealt by more of its bytes than the anchor: a window holds 62 bytes from the anchor's
+start on, or 63 up to its end, and equal windows hold the same. A sample of the documents says
+which anchors are frequent; that decides where rows go, not what is found.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ from .near_dedup import mix
 LENGTH, GRAM = 100, 24
 #: Bytes of text that a task hashes, and of segments that it sorts, at once.
 HASH_BYTES, SORT_BYTES = 1_000_000, 1_000_000
-#: An anchor with more segments than these is spread by window.
-HOT = 5_000
+#: One of so many documents is looked at for frequent anchors: those with more segments than these there, the most frequent first, so many at most.
+SAMPLED, FREQUENT, HELD_ANCHORS = 16, 60, 200_000
+#: Bytes that a window holds from its anchor's start on at least, or else up to its end (one more).
+FROM_START = (LENGTH + GRAM) // 2
 _B = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -79,7 +85,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(pieces: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
-    """The segments of (doc_id, offset, bytes) pieces: k (anchor hash), c (content hash), doc_id, s0 (first window's start), n (windows)."""
+    """The segments of (doc_id, offset, bytes) pieces: k (anchor hash), c (content hash), doc_id, s0 (first window's start), n (windows), o (the anchor's offset from s0)."""
     sizes = np.array([len(b) for _, _, b in pieces], dtype=np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     buf = np.frombuffer(b"".join(b for _, _, b in pieces), dtype=np.uint8)
@@ -101,7 +107,7 @@ def segments(pieces: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     c = mix((prefix[s + n + LENGTH - 1] - prefix[s]) * _powers(size, True)[s] + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     piece = np.searchsorted(base, s, side="right") - 1
     ids, offsets = np.array([p[0] for p in pieces], dtype=np.int64), np.array([p[1] for p in pieces], dtype=np.int64)
-    return {"k": grams[anchor[head]].view(np.int64), "c": c.view(np.int64), "doc_id": ids[piece], "s0": s - base[piece] + offsets[piece], "n": n}
+    return {"k": grams[anchor[head]].view(np.int64), "c": c.view(np.int64), "doc_id": ids[piece], "s0": s - base[piece] + offsets[piece], "n": n, "o": anchor[head] - s}
 
 
 def _pieces(rows: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -119,18 +125,46 @@ def _pieces(rows: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int,
         yield got
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segment_rows(frequent):
+    """doc_id and _text -> the segments, each with g, by which it is dealt."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: np.ndarray = frequent.value
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
+            for pieces in _pieces((i, texts[r].as_buffer().to_pybytes()) for r, i in enumerate(ids)):
+                s = segments(pieces)
+                order = np.lexsort((s["s0"], s["doc_id"], s["c"], s["k"]))
+                s = {k: x[order] for k, x in s.items()}
+                again = np.zeros(len(order), dtype=bool)
+                again[1:] = (s["k"][1:] == s["k"][:-1]) & (s["c"][1:] == s["c"][:-1])
+                often = known[np.minimum(np.searchsorted(known, s["k"]), len(known) - 1)] == s["k"] if len(known) else np.zeros(len(order), dtype=bool)
+                # a repeated segment needs no anchor any more: it goes anywhere; that of a frequent one goes by its contents
+                own = mix(s["doc_id"].astype(np.uint64) * np.uint64(_B) + s["s0"].astype(np.uint64)).view(np.int64)
+                contents = mix(s["c"].view(np.uint64) + s["k"].view(np.uint64)).view(np.int64)
+                g = np.where(again, own, np.where(often, contents, s["k"]))
+                yield pa.RecordBatch.from_pydict({"g": g, "c": s["c"], "doc_id": s["doc_id"], "s0": s["s0"], "no": (s["n"] * 128 + s["o"]).astype(np.int32), "again": again, "often": often})
+
+    return rows
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
         for pieces in _pieces((i, texts[r].as_buffer().to_pybytes()) for r, i in enumerate(ids)):
             s = segments(pieces)
-            order = np.lexsort((s["s0"], s["doc_id"], s["c"], s["k"]))
-            s = {k: x[order] for k, x in s.items()}
-            again = np.zeros(len(order), dtype=bool)
-            again[1:] = (s["k"][1:] == s["k"][:-1]) & (s["c"][1:] == s["c"][:-1])
-            # a repeated segment needs no anchor any more: it goes anywhere
-            own = mix(s["doc_id"].astype(np.uint64) * np.uint64(_B) + s["s0"].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"k": np.where(again, own, s["k"]), "c": s["c"], "doc_id": s["doc_id"], "s0": s["s0"], "n": s["n"].astype(np.int32), "again": again})
+            order = np.lexsort((s["c"], s["k"]))
+            k, c = s["k"][order], s["c"][order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            k, n = np.unique(k[new], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"k": k, "n": n})
+
+
+def frequent_anchors(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of anchors that have many different segments in the sampled documents."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0)
+    counts = some.mapInArrow(_anchors, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+    return np.sort(np.array([r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(HELD_ANCHORS).collect()], dtype=np.int64))
 
 
 # -- two-stage suffix sorting -------------------------------------------------
@@ -274,40 +308,43 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.concatenate([[0], ends]).astype(np.int64), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 
 
-def _parts(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """k, doc_id, s0 and bytes of the segments of hot or of other anchors that must be compared, some at a time."""
-    ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("_text")
-    at, seg = _lists(batch.column("segs"))
-    row = np.repeat(np.arange(len(ids)), np.diff(at))
-    some = np.flatnonzero(~seg["gone"].astype(bool) & (seg["hot"].astype(bool) == hot))
-    sizes = (seg["n"][some] + LENGTH - 1).tolist()
-    for a, b in steps(sizes, sizes, SORT_BYTES // 8 if hot else 4 * SORT_BYTES):
-        bodies, last, data = [], -1, b""
-        for i in some[a:b]:
-            if row[i] != last:
-                last = row[i]
-                data = texts[int(last)].as_buffer().to_pybytes()
-            bodies.append(data[seg["s0"][i] : seg["s0"][i] + seg["n"][i] + LENGTH - 1])
-        mine = some[a:b]
-        yield seg["k"][mine], ids[row[mine]], seg["s0"][mine], bodies
-
-
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments that must be compared, out of their documents' texts."""
-    for batch in batches:
-        for k, doc_id, s0, bodies in _parts(batch, False):
-            yield pa.RecordBatch.from_pydict({"k": k, "doc_id": doc_id, "s0": s0, "body": pa.array(bodies, pa.binary())})
+    """The bytes of the segments that must be compared, out of their documents' texts.
 
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of hot anchors' segments: a 128-bit hash and its place."""
+    Of a frequent anchor's segment the windows that hold FROM_START bytes from the anchor on go by these, the others by the
+    FROM_START + 1 bytes up to the anchor's end; other segments go by the anchor.
+    """
     for batch in batches:
-        for _, doc_id, s0, bodies in _parts(batch, True):
-            n = np.array([len(x) - LENGTH + 1 for x in bodies], dtype=np.int64)
-            digests = b"".join([hashlib.blake2b(x[j : j + LENGTH], digest_size=16).digest() for x in bodies for j in range(len(x) - LENGTH + 1)])
-            w = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s0, n)
-            yield pa.RecordBatch.from_pydict({"w1": w[:, 0].copy(), "w2": w[:, 1].copy(), "doc_id": np.repeat(doc_id, n), "start": start})
+        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("_text")
+        at, seg = _lists(batch.column("segs"))
+        row = np.repeat(np.arange(len(ids)), np.diff(at))
+        some = np.flatnonzero(~seg["gone"].astype(bool))
+        n, o = seg["no"] // 128, seg["no"] % 128
+        sizes = (n[some] + LENGTH - 1).tolist()
+        for a, b in steps(sizes, sizes, 2 * SORT_BYTES):
+            keys, docs, starts, bodies, last, data = [], [], [], [], -1, b""
+            for i in some[a:b].tolist():
+                if row[i] != last:
+                    last = row[i]
+                    data = texts[int(last)].as_buffer().to_pybytes()
+                s0, end = int(seg["s0"][i]), int(seg["s0"][i] + n[i])
+                if not seg["often"][i]:
+                    parts = [(int(seg["g"][i]), s0, end)]
+                else:
+                    p = s0 + int(o[i])
+                    split = min(max(s0, p + FROM_START - LENGTH), end)
+                    parts = [(_context(data[p : p + FROM_START], 1), split, end), (_context(data[p + GRAM - FROM_START - 1 : p + GRAM], 2), s0, split)]
+                for key, x, y in parts:
+                    if x < y:
+                        keys.append(key)
+                        docs.append(ids[last])
+                        starts.append(x)
+                        bodies.append(data[x : y + LENGTH - 1])
+            yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "s0": pa.array(starts, pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+
+def _context(data: bytes, side: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=bytes([side])).digest(), "little", signed=True)
 
 
 def _sorted_groups(batches):
@@ -337,7 +374,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mark = np.zeros(len(data) + 1, dtype=np.int64)
                 mine, late = slice(at[r], at[r + 1]), slice(near[r], near[r + 1])
                 np.add.at(mark, seg["s0"][mine], 1)
-                np.add.at(mark, seg["s0"][mine] + seg["n"][mine] + LENGTH - 1, -1)
+                np.add.at(mark, seg["s0"][mine] + seg["no"][mine] // 128 + LENGTH - 1, -1)
                 np.add.at(mark, span["start"][late], 1)
                 np.add.at(mark, span["end"][late], -1)
                 gone = np.cumsum(mark[:-1]) > 0
@@ -363,24 +400,19 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         rows = rows.groupBy("doc_id").agg(F.min("_text").alias("_text"))
     rows = rows.where(F.octet_length("_text") >= LENGTH)
-    segs = rows.mapInArrow(_segment_rows, "k long, c long, doc_id long, s0 long, n int, again boolean")
-    anchor, ordered = Window.partitionBy("k"), Window.partitionBy("k").orderBy("c", "doc_id", "s0")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_anchors(rows))  # HELD_ANCHORS numbers at most
+    segs = rows.mapInArrow(_segment_rows(shared), "g long, c long, doc_id long, s0 long, no int, again boolean, often boolean")
+    group, ordered = Window.partitionBy("g"), Window.partitionBy("g").orderBy("c", "doc_id", "s0")
     seen = segs.withColumn("gone", F.col("again") | F.coalesce(F.lag("c").over(ordered) == F.col("c"), F.lit(False)))
-    seen = seen.withColumns({"lo": F.min("c").over(anchor), "hi": F.max("c").over(anchor), "hot": F.count("*").over(anchor) > HOT})
-    found = seen.where("gone or lo <> hi").select("doc_id", F.struct("k", "s0", "n", "gone", "hot").alias("s"))
+    seen = seen.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)})
+    found = seen.where("gone or often or lo <> hi").select("doc_id", F.struct("g", "s0", "no", "gone", "often").alias("s"))
     by_doc = found.groupBy("doc_id").agg(F.collect_list("s").alias("segs"))  # no more than the document's own bytes
     affected = cut(rows.join(by_doc, "doc_id"))
     compared = affected.where(F.exists("segs", lambda s: ~s["gone"]))
-    cool = compared.mapInArrow(_bodies, "k long, doc_id long, s0 long, body binary").repartition(F.col("k")).sortWithinPartitions("k")
-    spans = cool.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
-    crowded = compared.where(F.exists("segs", lambda s: s["hot"] & ~s["gone"]))
-    if not crowded.isEmpty():
-        windows = cut(crowded.mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, start long"))
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-        late = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
-        spans = spans.union(late.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
+    bodies = compared.mapInArrow(_bodies, "k long, doc_id long, s0 long, body binary").repartition(F.col("k")).sortWithinPartitions("k")
+    spans = bodies.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    gone = F.transform(F.filter("segs", lambda s: s["gone"]), lambda s: F.struct(s["s0"].alias("s0"), s["n"].alias("n")))
+    gone = F.transform(F.filter("segs", lambda s: s["gone"]), lambda s: F.struct(s["s0"].alias("s0"), s["no"].alias("no")))
     return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInArrow(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary, kept_text string")
 
 
