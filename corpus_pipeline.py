@@ -75,15 +75,16 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go, by the contamination rule of op4."""
+    """Documents that hold benchmark passages go, by the contamination rule of op4; null and empty texts hold none and stay."""
     found = decontaminate.find_benchmark(_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _back(found.where("not contaminated"), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as token ids (little-endian unsigned 32-bit), with their number and digests."""
+    """Every text as token ids (little-endian unsigned 32-bit), with their number and digests, beside doc_id and, where the documents
+    have them, lang and source; other columns stay behind. A null text has no tokens."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.bpe(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN, with_ids=True, keep_text=False)
+    return bpe.bpe(docs.select("doc_id", "text", *[c for c in ("lang", "source") if c in docs.columns]), path, public_tokenizers.PATTERN, with_ids=True, keep_text=False)
 
 
 STAGES = [
