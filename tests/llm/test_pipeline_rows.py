@@ -52,3 +52,28 @@ def test_extra_columns_and_marks_stay(spark, tmp_path):
     got = {r.doc_id: r for r in docs.collect()}
     assert set(got) == {1, 2**60 + 1} and got[1]["text"] == rows[0][1] and got[1]["_kept"] == [1] and got[1]["score"] == 1.5
     assert got[2**60 + 1]["text"] == words("b") + " \ufffd ü " and got[2**60 + 1]["lang_pred"] is None
+
+
+def test_empty_tables_and_missing_columns(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+    bare = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in C.tokenize(spark, bare, str(tmp_path)).collect()}
+    assert got[1] > 0 and got[2] == 0
+    assert C.drop_contaminated(spark, bare, str(tmp_path)).count() == 2
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of some megabytes pass all stages: a long run of one letter, many words, one that holds the other."""
+    long = words("long", 200_000)
+    rows = [(1, long, "en", "s", len(long)), (2, "x" * 2_000_000, "en", "s", 1), (3, "before " + words("short"), "en", "s", 1), (4, "y" * 50 + long[:500_000], "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words("bench"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = C.cut(stage(spark, docs, str(tmp_path)))
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert kept[1] == long and kept[3] == rows[2][1] and kept[2] == "x" * 100
+    assert kept[4].startswith("y" * 50) and len(kept[4]) < 200
+    assert C.tokenize(spark, docs, str(tmp_path)).count() == 4
