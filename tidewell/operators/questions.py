@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from ..functions import words as W
@@ -87,3 +88,38 @@ def probes(question: Column, hints: Column, most: int = 8) -> Column:
     dated = F.when(F.size(hints) > 0, augmented(question, hints))
     every = F.array_compact(F.concat(F.array(question, dated), facets(question), focus_probes(question)))
     return F.slice(F.array_distinct(F.filter(every, lambda p: F.trim(p) != "")), 1, most)
+
+
+def alias_text(text: Column) -> Column:
+    """An alternative as it is searched: letters and digits in lower case, other characters as spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "))
+
+
+def expand_aliases(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(query_no, pos, kind, text): what is searched for each question once its words and phrases that are triggers of ``aliases``
+    (trigger, alternative) give way to their alternatives.
+
+    Triggers of several words are taken before shorter ones, from left to right. An alternative of one word is a term, one of several a phrase; what
+    a question holds twice by kind and text counts once, where it comes first. Empty triggers and alternatives say nothing. Grams of
+    the questions meet the triggers by a join, all questions at once; a question's own words are all that a group holds.
+    """
+    known = aliases.select(F.trim(F.lower("trigger")).alias("trigger"), alias_text(F.col("alternative")).alias("text")).where("trigger <> '' and text <> ''").distinct()
+    longest = known.agg(F.max(F.size(F.split("trigger", " ")))).first()[0] or 0
+    toks = questions.select("query_no", tokens(F.col("question")).alias("toks"))
+    grams = toks.select("query_no", "toks", F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("n")).select(
+        "query_no", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("toks") - F.col("n") + 1)), lambda i: F.array_join(F.slice("toks", i, F.col("n")), " "))).alias("at", "gram")
+    )
+    found = grams.join(known.select(F.col("trigger").alias("gram")).distinct(), "gram")
+    by_place = found.groupBy("query_no").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "gram"))).alias("m"))  # a question's words
+    start = F.struct(F.lit(0).alias("next"), F.expr("cast(array() as array<struct<at: int, n: int, gram: string>>)").alias("taken"))
+    step = lambda a, m: F.when(m["at"] >= a["next"], F.struct((m["at"] - m["n"]).alias("next"), F.concat(a["taken"], F.array(m)).alias("taken"))).otherwise(a)
+    taken = by_place.select("query_no", F.aggregate("m", start, step)["taken"].alias("taken"))
+    rows = toks.join(taken, "query_no", "left").withColumn("taken", F.coalesce("taken", F.expr("cast(array() as array<struct<at: int, n: int, gram: string>>)")))
+    covered = lambda i: F.exists("taken", lambda m: (i >= m["at"]) & (i < m["at"] - m["n"]))
+    own = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("at"), F.when(covered(i), F.lit(None).cast("string")).otherwise(t).alias("text"))), lambda x: x["text"].isNotNull())
+    kept = rows.select("query_no", F.inline(own))
+    given = rows.select("query_no", F.inline("taken")).join(known.withColumnRenamed("trigger", "gram"), "gram").select("query_no", "at", "text")
+    every = kept.unionByName(given).withColumn("kind", F.when(F.col("text").contains(" "), "phrase").otherwise("term"))
+    first = every.groupBy("query_no", "kind", "text").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("query_no").orderBy("at", "text", "kind")  # a question's words and their alternatives
+    return first.select("query_no", F.row_number().over(order).alias("pos"), "kind", "text")

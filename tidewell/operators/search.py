@@ -112,6 +112,47 @@ def bm25_table(rows: DataFrame, wanted: DataFrame, fields: dict[str, float] = FI
     return tf.join(weights, "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
 
 
+#: Weights of the fields whose positions make a cover, in their order.
+COVER_FIELDS = {"title": 1.0, "summary": 0.4, "tag_text": 0.2, "content": 0.1}
+
+
+def cover_density(rows: DataFrame, wanted: DataFrame, fields: dict[str, float] = COVER_FIELDS) -> DataFrame:
+    """(query_no, chunk_id, covers, score) of the rows that hold all terms of a query; ``wanted`` has a row (query_no, term) for each.
+
+    A cover is a shortest run of a row's words (all fields in order) that holds all of the query's terms. It adds the harmonic mean of its
+    term occurrences' weights, over one more than the number of its other words. Only occurrences of query terms are shuffled; the places
+    that a row has of a query's terms are swept once, in order. Queries without terms, and null texts, find nothing.
+    """
+    fields = fields_of(rows, fields)
+    wanted = wanted.select("query_no", "term").distinct()
+    needed = wanted.groupBy("query_no").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # a query's terms
+    toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields])
+
+    def part(f: str, w: float, before: list[str]) -> Column:
+        shift = functools.reduce(operator.add, [F.size(b) for b in before], F.lit(0))
+        return F.transform(f, lambda t, i: F.struct(t.alias("term"), (i + shift).alias("at"), F.lit(1 / w).alias("inverse")))
+
+    every = F.concat(*[part(f, w, list(fields)[:n]) for n, (f, w) in enumerate(fields.items())])
+    found = toks.select("chunk_id", F.inline(every)).join(wanted, "term")
+    places = found.groupBy("query_no", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("at", "term", "inverse"))).alias("p"), F.count_distinct("term").alias("n"))  # a row's own words
+    places = places.join(needed, "query_no").where(F.col("n") == F.size("terms"))
+    # seen: for each term the last place so far, as a number in p (-1: none); begun: where the last cover began
+    start = F.struct(F.transform("terms", lambda t: F.lit(-1)).alias("seen"), F.lit(-1).alias("begun"), F.lit(0).alias("i"), F.lit(0).alias("covers"), F.lit(0.0).alias("score"))
+
+    def step(a: Column, x: Column) -> Column:
+        seen = F.zip_with(a["seen"], "terms", lambda s, t: F.when(t == x["term"], a["i"]).otherwise(s))
+        low = F.array_min(seen)
+        size = a["i"] - low
+        noise = x["at"] - F.element_at("p", F.greatest(low, F.lit(0)) + 1)["at"] - size
+        weights = F.aggregate(F.slice("p", F.greatest(low, F.lit(0)) + 1, size + 1), F.lit(0.0), lambda s, y: s + y["inverse"])
+        new = (low >= 0) & (low > a["begun"])
+        gain = F.when(new, (size + 1) / weights / (1 + noise)).otherwise(0.0)
+        return F.struct(seen.alias("seen"), F.when(new, low).otherwise(a["begun"]).alias("begun"), (a["i"] + 1).alias("i"), (a["covers"] + new.cast("int")).alias("covers"), (a["score"] + gain).alias("score"))
+
+    swept = places.select("query_no", "chunk_id", F.aggregate("p", start, step).alias("r"))
+    return swept.select("query_no", "chunk_id", F.col("r.covers").alias("covers"), F.round("r.score", 9).alias("score"))
+
+
 def bm25(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
     """(chunk_id, score) of the rows that hold any of ``terms``; higher is better."""
     return bm25_many(rows, {0: terms}, fields).drop("query_no")

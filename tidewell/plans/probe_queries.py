@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..operators import probes as P
-from ..operators import questions
-from ..sources.hits import ASKED_SQL, any_word, asked
+from ..operators import questions, search
+from ..session import table
+from ..sources.hits import ASKED_SQL, SEARCHED_SQL, TOK, any_word, asked, searched
 from .registry import query
 
 _fresh = (f"v{i}" for i in itertools.count())
@@ -228,3 +229,49 @@ def q19(spark, d):
 def bm25_probes(spark, d):
     rows = asked(spark, d)
     return P.bm25_probes(rows, questions.date_hints(F.col("question"), F.col("day")))
+
+
+def aliases(spark, d):
+    """Part names stand for their brands and types, the last word of each for its type with a hyphen."""
+    part = table(spark, d, "part")
+    last = F.split_part("p_name", F.lit(" "), F.lit(2))
+    one = part.select(F.col("p_name").alias("trigger"), F.col("p_brand").alias("alternative"))
+    two = part.select(F.upper("p_name").alias("trigger"), F.concat(F.lit(" "), F.col("p_type")).alias("alternative"))
+    three = part.select(last.alias("trigger"), F.concat_ws("-", last, "p_type").alias("alternative"))
+    return one.unionByName(two).unionByName(three).unionByName(part.select(F.lit(" ").alias("trigger"), F.col("p_type").alias("alternative"))).distinct()
+
+
+ALIASES_SQL = """aliases AS (SELECT DISTINCT trim(lower(trigger)) AS trigger, trim(regexp_replace(lower(alternative), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS text FROM (
+  SELECT p_name AS trigger, p_brand AS alternative FROM part UNION ALL SELECT upper(p_name), ' ' || p_type FROM part UNION ALL SELECT split_part(p_name, ' ', 2), split_part(p_name, ' ', 2) || '-' || p_type FROM part) WHERE trim(trigger) <> '')"""
+
+
+@query("q5_aliases", f"""WITH RECURSIVE {ASKED_SQL}, {ALIASES_SQL}, tk AS (SELECT query_no, {TOK.format('question')} AS toks FROM asked),
+lens AS (SELECT DISTINCT len(string_split(trigger, ' ')) AS n FROM aliases), tr AS (SELECT DISTINCT trigger FROM aliases),
+g AS (SELECT query_no, i, max(n) AS n FROM tk, lens, unnest(range(1, len(toks) + 1)) AS u(i) JOIN tr ON trigger = array_to_string(toks[i : i + n - 1], ' ') WHERE i + n - 1 <= len(toks) GROUP BY ALL),
+w AS (SELECT tk.query_no, 1 AS i, coalesce(g.n, 1) AS n, g.n IS NOT NULL AS hit FROM tk LEFT JOIN g ON g.query_no = tk.query_no AND g.i = 1
+  UNION ALL SELECT w.query_no, w.i + w.n, coalesce(g.n, 1), g.n IS NOT NULL FROM w JOIN tk ON tk.query_no = w.query_no LEFT JOIN g ON g.query_no = w.query_no AND g.i = w.i + w.n WHERE w.i + w.n <= len(toks)),
+e AS (SELECT w.query_no, i, CASE WHEN hit THEN a.text ELSE toks[i] END AS text FROM w JOIN tk ON tk.query_no = w.query_no LEFT JOIN aliases a ON hit AND a.trigger = array_to_string(toks[i : i + n - 1], ' ')),
+f AS (SELECT query_no, CASE WHEN contains(text, ' ') THEN 'phrase' ELSE 'term' END AS kind, text, min(i) AS i FROM e WHERE text IS NOT NULL AND text <> '' GROUP BY ALL)
+SELECT query_no, CAST(row_number() OVER (PARTITION BY query_no ORDER BY i, text, kind) AS INT) AS pos, kind, text FROM f""")
+def q5(spark, d):
+    return questions.expand_aliases(asked(spark, d), aliases(spark, d))
+
+
+COVERED = ("title", "summary", "tag_text", "content")
+
+
+def cover_sql(source: str, wanted: str) -> str:
+    """Covers by windows: at each occurrence the least of the last places of all terms; a new least ends a cover."""
+    parts = [f"SELECT chunk_id, unnest({TOK.format(f)}) AS term, unnest(range(len({TOK.format(f)}))) + {' + '.join(f'len({TOK.format(b)})' for b in COVERED[:n]) or '0'} AS place, {1 / search.COVER_FIELDS[f]} AS inverse FROM {source}" for n, f in enumerate(COVERED)]
+    return f"""o AS (SELECT query_no, chunk_id, term, place, inverse FROM ({' UNION ALL '.join(parts)}) JOIN {wanted} USING (term)),
+i AS (SELECT *, row_number() OVER w AS i, sum(inverse) OVER w AS upto FROM o WINDOW w AS (PARTITION BY query_no, chunk_id ORDER BY place)), nt AS (SELECT query_no, count(DISTINCT term) AS n FROM {wanted} GROUP BY ALL),
+t AS (SELECT DISTINCT query_no, term FROM {wanted}), l AS (SELECT i.query_no, i.chunk_id, i.i, t.term, max(j.i) AS last FROM i JOIN t ON t.query_no = i.query_no ASOF JOIN i j ON j.query_no = i.query_no AND j.chunk_id = i.chunk_id AND j.term = t.term AND i.i >= j.i GROUP BY ALL),
+m AS (SELECT query_no, chunk_id, i, min(last) AS low FROM l JOIN nt USING (query_no) GROUP BY query_no, chunk_id, i, n HAVING count(*) = n), f AS (SELECT *, coalesce(lag(low) OVER (PARTITION BY query_no, chunk_id ORDER BY i), 0) AS before FROM m),
+c AS (SELECT f.query_no, f.chunk_id, (f.i - f.low + 1) / (e.upto - b.upto + b.inverse) / (1 + e.place - b.place - (f.i - f.low)) AS gain FROM f JOIN i e ON e.query_no = f.query_no AND e.chunk_id = f.chunk_id AND e.i = f.i JOIN i b ON b.query_no = f.query_no AND b.chunk_id = f.chunk_id AND b.i = f.low WHERE low > before)
+SELECT query_no, chunk_id, CAST(count(*) AS INT) AS covers, round(sum(gain), 9) AS score FROM c GROUP BY ALL"""
+
+
+@query("f10_cover_density", f"WITH {SEARCHED_SQL}, {ASKED_SQL}, {PROBES_SQL}, sought AS (SELECT DISTINCT query_no, unnest(string_split(phrases[1], ' ')) AS term FROM probes), " + cover_sql("searched", "sought"))
+def f10(spark, d):
+    first = _derived(spark, d).select("query_no", F.explode(F.split(F.try_element_at("phrases", F.lit(1)), " ")).alias("term"))
+    return search.cover_density(searched(spark, d), first)
