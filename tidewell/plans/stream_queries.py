@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import table
+from ..operators import ingest, knowledge
+from ..session import shared_dir, table
+from ..sources.corpus import CORPUS_SQL, corpus
 from ..streaming import changes
 from .registry import query
 
@@ -47,3 +49,50 @@ def s8(spark, d):
     raw = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("wiki/"), F.col("user_id") + 1, F.lit(".md")).alias("old_path"), (F.col("event_type") == "click").alias("moves"))
     events = change_events(spark, d).join(raw, "seq").withColumn("kind", F.when(F.col("moves"), "renamed").otherwise(F.col("kind")))
     return changes.apply(changes.empty(spark), changes.expanded(events)).where("not gone").select("path", "seq", "checksum")
+
+
+def _files(spark, d):
+    return corpus(spark, d).select("path", "title", F.col("content").alias("body"))
+
+
+def _stats(spark, found: list[dict]):
+    names = ["step", "rows_before", "files_scanned", "files_indexed", "files_removed", "rows_after"]
+    return spark.createDataFrame([(i, *[x[n] for n in names[1:]]) for i, x in enumerate(found)], "step int, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+FILES_SQL = f"{CORPUS_SQL}, f AS (SELECT path, title, coalesce(content, '') AS body FROM corpus), half AS (SELECT path, title, body FROM f WHERE length(body) % 2 = 0), n AS (SELECT (SELECT count(*) FROM f) AS a, (SELECT count(*) FROM half) AS h, (SELECT count(*) FROM half WHERE starts_with(path, 'wiki/')) AS w)"
+
+
+@query("s5_rebuild", f"WITH {FILES_SQL} SELECT 0 AS step, 0 AS rows_before, h AS files_scanned, h AS files_indexed, 0 AS files_removed, h AS rows_after FROM n UNION ALL SELECT 1, h, a, a - h + w, 0, a FROM n UNION ALL SELECT 2, a, h, w, a - h, h FROM n UNION ALL SELECT 3, h, a, a, h, a FROM n")
+def s5(spark, d):
+    """Statistics of an index over four steps: built from the files of even length, brought up to date with all files (wiki pages with a new title), back with the old ones, rebuilt from all."""
+    files = _files(spark, d)
+    half = files.where(F.length(F.coalesce("body", F.lit(""))) % 2 == 0)
+    renamed = files.withColumn("title", F.when(F.col("path").startswith("wiki/"), F.concat(F.lit("new "), F.coalesce("title", F.lit("")))).otherwise(F.col("title")))
+    index = ingest.index_table(spark, shared_dir(spark))
+    return _stats(spark, [ingest.rebuild(index, half), ingest.update(index, renamed), ingest.update(index, half), ingest.rebuild(index, files)])
+
+
+@query("s5_index_rows", f"WITH {FILES_SQL} SELECT path, sha256(concat_ws(chr(10), coalesce(title, ''), body)) AS checksum, CAST(length(body) AS INT) AS n FROM f")
+def s5_rows(spark, d):
+    """The rows of an index after an update that removes, changes and adds files."""
+    files = _files(spark, d)
+    index = ingest.index_table(spark, shared_dir(spark))
+    ingest.rebuild(index, files.where(F.length(F.coalesce("body", F.lit(""))) % 2 == 0).withColumn("title", F.lit("old")))
+    ingest.update(index, files)
+    return index.read().select("path", "checksum", F.length("body").alias("n"))
+
+
+INGESTED = """e AS (SELECT sha256(coalesce(text, '')) AS hash, min((coalesce(source, ''), coalesce(lang, ''), coalesce(text, ''))) AS r, bool_or(lang = 'en') AS en, bool_or(lang = 'fr') AS fr FROM documents GROUP BY 1)"""
+
+
+@query("s21_ingest", f"WITH {INGESTED} SELECT r[1] || ':' || left(hash, 16) AS document_id, 'raw/documents/' || hash || '.md' AS path, CAST(CASE WHEN length(r[3]) = 0 THEN 0 ELSE greatest(0, ceil((length(r[3]) - 2048) / 1792)) + 1 END AS INT) AS chunk_count, coalesce(en AND length(r[3]) > 0, false) AS reused FROM e")
+def s21(spark, d):
+    """Documents in a run after others: English ones were ingested, French ones stored or chunked only."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("title"), "text", F.col("source").alias("owner"), "lang")
+    chunked = lambda rows: knowledge.windows(rows, "hash", "text").withColumnRenamed("chunk", "content")
+    folder = shared_dir(spark)
+    ingest.ingest(spark, docs.where("lang = 'en'"), folder, chunked)
+    ingest.ingest(spark, docs.where("lang = 'fr'"), folder, chunked, upto="stored")
+    ingest.ingest(spark, docs.where("lang = 'fr' and length(text) % 2 = 0"), folder, chunked, upto="chunked")
+    return ingest.ingest(spark, docs, folder, chunked)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import StoredTable
+
 SCHEMA = "seq long, path string, kind string, checksum string"
 INDEX = "path string, seq long, checksum string, gone boolean"
 
@@ -34,23 +36,26 @@ def apply(index: DataFrame, events: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.max(F.struct("seq", "gone", "checksum")).alias("e")).select("path", "e.seq", "e.checksum", "e.gone")
 
 
-def follow(spark: SparkSession, events: DataFrame, folder: str, checkpoint: str):
-    """Start a query that writes one version of the index per batch under ``folder`` and marks it as current;
-    a batch that runs again writes the same version."""
+def stored(spark: SparkSession, folder: str) -> StoredTable:
+    """The index that a stream keeps under ``folder``."""
+    return StoredTable(spark, folder, INDEX, "path")
+
+
+def follow(spark: SparkSession, events: DataFrame, folder: str, checkpoint: str, keep: int | None = None):
+    """Start a query that brings the index under ``folder`` up to date with each batch: only buckets of paths with events are written.
+
+    A batch that runs again writes the same. ``keep`` removes what the newest so many batches do not need.
+    """
 
     def batch(rows: DataFrame, n: int) -> None:
-        before = current(spark, folder, n)
-        apply(before, rows).write.mode("overwrite").parquet(f"{folder}/v={n}")
+        index = stored(spark, folder)
+        index.merge(rows, n, apply)
+        if keep:
+            index.compact(keep)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The newest version of the index (older than ``before``, if given); empty if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(hadoop) else []
-    versions = [int(v[2:]) for v in done if v.startswith("v=") and (before is None or int(v[2:]) < before)]
-    if not versions:
-        return empty(spark)
-    return spark.read.schema(INDEX).parquet(f"{folder}/v={max(versions)}")
+    """The index as of the newest batch (older than ``before``, if given); empty if there is none."""
+    return stored(spark, folder).read(before)
