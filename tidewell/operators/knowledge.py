@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, strip_html, token_estimate, trigrams
+from ..session import cut
 
 
 def content_type(path: Column, text: Column) -> Column:
@@ -81,11 +83,11 @@ def lint(rows: DataFrame, stub: int = 200) -> DataFrame:
     return functools.reduce(DataFrame.union, [alone, broken, doubled])
 
 
-def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85) -> DataFrame:
+def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85, grams_of: Callable[[Column], Column] = trigrams) -> DataFrame:
     """Pairs (a, b, similarity) of distinct titles by trigram Jaccard similarity: candidates share one of the few
     rarest trigrams that two such titles must share (prefix filtering). Only ids and sizes go through the
     candidates' join; the sets come to the distinct pairs."""
-    each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).select("id", trigrams(F.col("t")).alias("g")).where(F.size("g") > 0)
+    each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).select("id", grams_of(F.col("t")).alias("g")).where(F.size("g") > 0)
     grams = each.select("id", F.size("g").alias("n"), F.explode("g").alias("w"))
     rarity = grams.groupBy("w").agg(F.count("*").alias("df"))
     placed = grams.join(rarity, "w").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))  # a title's own grams
@@ -100,6 +102,51 @@ def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85) -> Da
     return pairs.select("a", "b", F.round(jaccard(F.col("g_a"), F.col("g_b")), 9).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def title_key(title: Column) -> Column:
+    """Lower case, runs of other than letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def plain_trigrams(text: Column) -> Column:
+    """Distinct 3-grams of a text as it stands; a shorter text is one."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+
+def keep_first(rows: DataFrame, key: str, title: str, body: str, least: float = 0.85) -> DataFrame:
+    """(id, keep, score, reason): one row for each row of ``rows``, by distinct whole-number ids: each stays (keep is its own id) unless an earlier one that stays has
+    the same body (trimmed), the same title key, or a title with ``least`` trigram similarity; then keep is the first such one.
+
+    The rule is one after the other; here rounds decide all rows at once whose earlier rows are decided: a row is kept if the first row
+    that is alike and not yet merged is itself, and merged if that one is kept. Equal bodies and titles are looked up by group (their least ids, which
+    combine before the shuffle), only similar titles by pairs of distinct titles. Null titles and bodies are empty; empty titles are like none.
+    """
+    own = rows.select(F.col(key).cast("long").alias("id"), title_key(F.col(title)).alias("t"), F.sha2(F.trim(F.coalesce(body, F.lit(""))), 256).alias("h"))
+    state = cut(own.withColumn("status", F.lit(0)).withColumn("keep", F.lit(None).cast("long")))
+    names = state.where("t <> ''").groupBy("t").agg(F.min("id").alias("n"))
+    pairs = title_pairs(names, "n", "t", least, plain_trigrams)
+    of = lambda side: names.select(F.col("n").alias(side), F.col("t").alias(f"t_{side}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b")
+    near = cut(near.select(F.col("t_a").alias("t"), F.col("t_b").alias("other"), "similarity").union(near.select("t_b", "t_a", "similarity")))
+    while True:
+        live = state.where("status < 2")
+        least_of = lambda by: live.groupBy(by).agg(F.min(F.struct("id", "status")).alias(f"m_{by}"))  # noqa: E731, B023
+        by_title = least_of("t").where("t <> ''")
+        beside = near.join(by_title.select(F.col("t").alias("other"), "m_t"), "other").groupBy("t").agg(F.min("m_t").alias("m_near"))
+        open_ = state.where("status = 0").join(least_of("h"), "h").join(by_title, "t", "left").join(beside, "t", "left")
+        first = F.array_min(F.array_compact(F.array("m_h", "m_t", "m_near")))
+        decided = open_.withColumn("m", first).select("id", F.when(F.col("m.id") == F.col("id"), 1).when(F.col("m.status") == 1, 2).otherwise(0).alias("now"), F.col("m.id").alias("into")).where("now > 0")
+        if decided.isEmpty():
+            break
+        state = cut(state.join(decided, "id", "left").select("id", "t", "h", F.coalesce("now", "status").alias("status"), F.when(F.col("now").isNotNull(), F.col("into")).otherwise(F.col("keep")).alias("keep")))
+    kept = state.select(F.col("id").alias("keep"), F.col("t").alias("kt"), F.col("h").alias("kh"))
+    both = state.select("id", "t", "h", "keep").join(kept, "keep").join(near.select("t", F.col("other").alias("kt"), "similarity"), ["t", "kt"], "left")
+    same, titled = F.col("h") == F.col("kh"), ((F.col("t") == F.col("kt")) & (F.col("t") != "")) | F.col("similarity").isNotNull()
+    score = F.when(F.col("id") == F.col("keep"), F.lit(None)).when(same | ((F.col("t") == F.col("kt")) & (F.col("t") != "")), 1.0).otherwise(F.col("similarity"))
+    reason = F.when(F.col("id") == F.col("keep"), F.lit(None)).when(same & titled, "both").when(same, "content_hash").otherwise("title")
+    return both.select("id", "keep", score.alias("score"), reason.alias("reason"))
+
+
 def isolate(text: Column, tag: str) -> Column:
     """Text wrapped in an element whose closing tag inside is escaped."""
     return F.concat(F.lit(f"<{tag}>\n"), F.regexp_replace(text, f"(?i)</{tag}>", f"&lt;/{tag}&gt;"), F.lit(f"\n</{tag}>"))

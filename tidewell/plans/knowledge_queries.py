@@ -79,6 +79,13 @@ def t20(spark, d):
     return knowledge.title_pairs(rows, "doc_id", "title")
 
 
+@query("t20_keep_first")
+def t20_keep(spark, d):
+    """Which document each one merges into. No SQL, as what is kept depends on what was kept before: tested by brute force."""
+    rows = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.substring_index("text", ".", 1).alias("title"), F.substring(F.coalesce("text", F.lit("")), F.length(F.substring_index("text", ".", 1)) + 1, F.length("text")).alias("body"))
+    return knowledge.keep_first(rows, "doc_id", "title", "body")
+
+
 def _redacted(text: str, n: int) -> str:
     for _, pattern, replacement in T.REDACTIONS[:n]:
         text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
