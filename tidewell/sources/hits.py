@@ -37,6 +37,8 @@ QUESTIONS = [
     "What was the second recipe for the {a} you gave me in our previous chat?",
     "Did I donate or sell the {b}, and how many hours did the {a} take overall?",
     "How often do I use the cross-platform {a} products and Second Hand Market tools? It is 2 years old",
+    "Looking back at our previous chat, what was the chorus of the song about the {a} you wrote?",
+    "In our last conversation you gave me instructions for the {b}, what were the first steps?",
 ]
 NOTES = [
     "I bought {qty} {item}s for ${price} on {month} {day}.",
@@ -208,3 +210,23 @@ def talk(spark, sf_dir: str) -> DataFrame:
 
 SAID = ["Thanks, that looks good.", "That's wrong, please revert it.", "I have run 12 miles on Monday at 7:30.", "Error: the build failed. Let me retry", "Yesterday I paid £5 for tea."]
 TALK_SQL = f"talk AS (SELECT conv_id, turn, role, {_literals(TOLD + SAID)}[1 + (conv_id * 7 + turn) % {len(TOLD + SAID)}] || chr(10) || coalesce(text, '') AS text FROM conversations)"
+
+
+#: What turns of the transcripts begin with.
+RECITED = [
+    "Here is the first recipe:\nIngredients: two eggs and a red widget\nInstructions: stir well\nsteps: one, two",
+    "Please go on.",
+    "Chorus: sing of the blue bolt\nand of the sea\nVerse 2: again",
+    "I wrote a poem about the hot gear.",
+    "Thanks for the schedule and the email draft.",
+    "Second recipe:\ninstructions for the old plate: bake it\n\nOption 2: leave it",
+    "No idea.",
+]
+
+
+def transcripts(spark, sf_dir: str) -> DataFrame:
+    """(chunk_id, path, content): one row for each session, its turns as '[role]: text' blocks that begin with a line of RECITED."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat(F.lit("["), F.coalesce("role", F.lit("user")), F.lit("]: "), _pick(RECITED, F.col("conv_id") * 3 + F.col("turn")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("said")))).alias("t"))  # a session's turns
+    return turns.select(F.col("conv_id").alias("chunk_id"), F.concat(F.lit("raw/eval/"), "conv_id", F.lit(".md")).alias("path"), F.array_join(F.transform("t", lambda x: x["said"]), "\n").alias("content"))
