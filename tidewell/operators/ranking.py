@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: Amounts of money and counted things in running text.
 MONEY = r"([$£€])\s?(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)"
 QUANTITY = r"(?i)\b(\d{1,6}(?:\.\d+)?)\s+(hours?|hrs?|days?|weeks?|months?|items?|books?|issues?|sessions?|classes?|lessons?|rides?|trips?|events?|songs?|recipes?|gifts?|donations?)\b"
@@ -15,9 +17,10 @@ def temporal(scored: DataFrame, day: str, hint: str, key: str = "chunk_id") -> D
     """Rows modified after ``day`` go; the others' scores are multiplied by how near they are to ``hint``
     (1, 7 or 30 days) and by up to a quarter for recency; undated rows count 0.95."""
     at = lambda x: F.lit(x).cast("date")
-    rows = scored.where(F.col("modified").isNull() | (F.col("modified") <= at(day)))
+    rows = cut(scored.where(F.col("modified").isNull() | (F.col("modified") <= at(day))))  # read twice, scored once
     span = rows.agg(F.min("modified").alias("lo"), F.max("modified").alias("hi"))  # one row
     days = F.abs(F.datediff("modified", at(hint)))
+    # fixed values: the factors
     near = F.when(days <= 1, 1.35).when(days <= 7, 1.20).when(days <= 30, 1.08).otherwise(0.92)
     recent = F.when(F.col("hi") > F.col("lo"), F.datediff("modified", "lo") / F.datediff("hi", "lo")).otherwise(0.0)
     weight = F.when(F.col("modified").isNull(), F.lit(0.95)).otherwise(near * (1 + 0.25 * recent))
@@ -59,6 +62,7 @@ def neighbour_scores(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     after it), a little more for the same role and day, and no more than 0.95 of it."""
     s = seeds.select("session_id", F.col("chunk_id").alias("s_id"), F.col("score").alias("s_score"), F.col("source_role").alias("s_role"), F.col("modified").alias("s_day"))
     others = rows.join(seeds.select("chunk_id"), "chunk_id", "left_anti").join(s, "session_id")
+    # fixed values: the factors
     factor = F.when(F.col("chunk_id") > F.col("s_id"), 0.55).otherwise(0.72) * F.when(F.col("source_role") == F.col("s_role"), 1.05).otherwise(1.0)
     factor = factor * F.when(F.col("modified") == F.col("s_day"), 1.08).otherwise(1.0)
     return others.groupBy("chunk_id").agg(F.round(F.max(F.least(0.95 * F.col("s_score"), F.col("s_score") * factor)), 9).alias("score"))

@@ -187,9 +187,11 @@ def admitted(lists: DataFrame, queries: dict[int, list[str]], primary: int = 0)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
+    """Cosine similarity in one pass over both; 0 where one has no length. What one has beyond the other's length makes it null."""
+    pairs = F.zip_with(a, b, lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q")))
+    start = F.struct(F.lit(0.0).alias("pq"), F.lit(0.0).alias("pp"), F.lit(0.0).alias("qq"))
+    sums = F.aggregate(pairs, start, lambda s, x: F.struct((s["pq"] + x["p"] * x["q"]).alias("pq"), (s["pp"] + x["p"] * x["p"]).alias("pp"), (s["qq"] + x["q"] * x["q"]).alias("qq")), lambda s: F.when((s["pp"] > 0) & (s["qq"] > 0), s["pq"] / F.sqrt(s["pp"]) / F.sqrt(s["qq"])).otherwise(0.0))
+    return sums
 
 
 def knn(vecs: DataFrame, query: list[float], k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -197,13 +199,17 @@ def knn(vecs: DataFrame, query: list[float], k: int, allowed: DataFrame | None =
     v = vecs.where(F.size("embedding") == len(query))
     if allowed is not None:
         v = v.join(allowed.select("id").distinct(), "id", "left_semi")
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return v.select("id", F.round(cosine(F.col("embedding"), q), 9).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+    norm = float(np.sqrt(sum(float(x) * float(x) for x in query)))
+    q = F.array(*[F.lit(float(x) / norm if norm else 0.0) for x in query])  # of length one, so that a row's own length is all that is left
+    pairs = F.zip_with("embedding", q, lambda p, x: F.struct(p.cast("double").alias("p"), x.alias("x")))
+    start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("own"))
+    near = F.aggregate(pairs, start, lambda s, y: F.struct((s["dot"] + y["p"] * y["x"]).alias("dot"), (s["own"] + y["p"] * y["p"]).alias("own")), lambda s: F.when(s["own"] > 0, s["dot"] / F.sqrt(s["own"])).otherwise(0.0))
+    return v.select("id", F.round(near, 9).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
 
 def vector_of(vecs: DataFrame, vec_id: int) -> list[float]:
-    """A query vector by id (one row)."""
-    row = vecs.where(F.col("id") == vec_id).select("embedding").first()
+    """A query vector by id (one row): that id's, else the next larger one's, else the smallest one's; none of an empty table."""
+    row = vecs.where("embedding is not null").orderBy(F.col("id") < vec_id, "id").select("embedding").first()
     return list(row[0]) if row else []
 
 
@@ -249,20 +255,17 @@ def hash_embed(words: Column, dim: int = 1024) -> Column:
 @F.pandas_udf(ArrayType(DoubleType()))
 def _hash_embed(words: pd.Series, dim: pd.Series) -> pd.Series:
     n = int(dim.iloc[0]) if len(dim) else 1
-    known: dict[str, tuple[int, float]] = {}
-
-    def one(tokens) -> np.ndarray:
-        out = np.zeros(n)
-        for w in tokens if tokens is not None else ():
-            at = known.get(w)
-            if at is None:
-                h = fnv1a64(w.encode())
-                at = known[w] = ((h >> 1) % n, 1.0 if h & 1 else -1.0)
-            out[at[0]] += at[1]
-        norm = np.sqrt((out * out).sum())
-        return out / norm if norm else out
-
-    return words.map(one)
+    out: list[np.ndarray] = []
+    for a in range(0, len(words), 512):  # rows whose vectors are built at once; each different word of theirs is hashed once
+        some = [list(x) if x is not None else [] for x in words.iloc[a : a + 512]]
+        different, which = np.unique(np.array([w for x in some for w in x], dtype=object), return_inverse=True)
+        hashes = np.array([fnv1a64(w.encode()) for w in different], dtype=np.uint64)
+        place, sign = ((hashes >> np.uint64(1)) % np.uint64(n)).astype(np.int64), np.where(hashes & np.uint64(1), 1.0, -1.0)
+        rows = np.zeros((len(some), n))
+        np.add.at(rows, (np.repeat(np.arange(len(some)), [len(x) for x in some]), place[which]), sign[which])
+        norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        out += list(np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0))
+    return pd.Series(out, index=words.index)
 
 
 def fallback_score(text: Column, query: str, similarity: Column) -> Column:

@@ -20,15 +20,24 @@ OUTCOME = f"""o AS (SELECT conv_id, coalesce(max_by(said, turn) FILTER (said IS
   FROM talk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id)"""
 
 
-@query("m15_outcome", f"{T}, {OUTCOME} SELECT * FROM o")
+@query("m15_outcome", f"{T}, {OUTCOME} SELECT user_id AS conv_id, coalesce(outcome, 'unknown') AS outcome FROM (SELECT DISTINCT user_id FROM events UNION SELECT DISTINCT conv_id FROM talk) LEFT JOIN o ON conv_id = user_id")
 def m15(spark, d):
-    return episodes.outcome(talk(spark, d))
+    """Outcomes of the sessions that have turns and of those that events speak of."""
+    turns = talk(spark, d)
+    return episodes.outcome(turns, table(spark, d, "events").select(F.col("user_id").alias("conv_id")).union(turns.select("conv_id")))
 
 
-@query("m13_signals", f"""{T} SELECT *, messages >= 8 AND corrections > 0 AS reflect, messages >= 4 AND answers > 0 AS record FROM (SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user' AND {rx('lower(text)', episodes.CORRECTION)}) AS corrections,
-  count(*) FILTER ({rx('lower(text)', episodes.ERROR)}) AS errors, count(*) FILTER (role = 'assistant') AS answers FROM talk GROUP BY conv_id)""".replace("SELECT *,", "SELECT conv_id, messages, corrections, errors,", 1))
+TOOLS = "tools AS (SELECT user_id AS conv_id, event_id // 7 AS turn, event_type IN ('purchase', 'signup') AS writes FROM events WHERE event_type <> 'view')"
+
+
+@query("m13_signals", f"""{T}, {TOOLS}, m AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user' AND {rx('lower(text)', episodes.CORRECTION)}) AS corrections, count(*) FILTER (role <> 'user' AND {rx('lower(text)', episodes.ERROR)}) AS errors FROM talk GROUP BY conv_id),
+c AS (SELECT conv_id, count(*) FILTER (writes) AS writes, count(DISTINCT turn) AS rounds FROM tools GROUP BY conv_id)
+SELECT m.*, coalesce(writes, 0) AS writes, coalesce(rounds, 0) AS rounds, messages >= 8 AND (coalesce(writes, 0) > 0 OR coalesce(rounds, 0) >= 10 OR corrections > 0) AS reflect, messages >= 4 AND coalesce(writes, 0) > 0 AS record FROM m LEFT JOIN c USING (conv_id)""")
 def m13(spark, d):
-    return episodes.signals(talk(spark, d))
+    """Events other than views are the sessions' tool calls."""
+    kind = F.col("event_type")
+    tools = table(spark, d, "events").where(kind != "view").select(F.col("user_id").alias("conv_id"), F.floor(F.col("event_id") / 7).alias("turn"), kind.isin("purchase", "signup").alias("writes"))
+    return episodes.signals(talk(spark, d), tools)
 
 
 def _every(pattern: str) -> str:

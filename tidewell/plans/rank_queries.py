@@ -63,7 +63,8 @@ def i2(spark, d):
     return claims(spark, d).where(intervals.overlaps(F.col("lo"), F.col("hi"), lo, hi)).select("id")
 
 
-@query("i3_supersession", f"""WITH {CLAIMS_SQL}, p AS (SELECT *, lag(id) OVER w AS p_id, lag(value) OVER w AS p_value, lag(lo) OVER w AS p_lo, lag(hi) OVER w AS p_hi FROM claims WINDOW w AS (PARTITION BY key ORDER BY seq))
+@query("i3_supersession", f"""WITH {CLAIMS_SQL}, g AS (SELECT *, CASE WHEN coalesce(lo <= hi, true) AND trim(value) <> '' THEN id END AS ok FROM claims), b AS (SELECT *, coalesce(last_value(ok IGNORE NULLS) OVER w, lag(id) OVER (PARTITION BY key ORDER BY seq)) AS p_id FROM g WINDOW w AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT b.*, c.value AS p_value, c.lo AS p_lo, c.hi AS p_hi FROM b JOIN claims c ON c.id = b.p_id)
 SELECT id, p_id AS old_id, CASE WHEN NOT coalesce(lo <= hi, true) OR NOT coalesce(p_lo <= p_hi, true) THEN 'invalid-window' WHEN NOT (coalesce(lo <= p_hi, true) AND coalesce(p_lo <= hi, true)) THEN 'disjoint-validity'
   WHEN trim(value) = '' OR trim(p_value) = '' THEN 'empty-value' WHEN lower(trim(value)) = lower(trim(p_value)) THEN 'same-value' ELSE 'same-key-different-value' END AS reason FROM p WHERE p_id IS NOT NULL""")
 def i3(spark, d):
