@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import chunk_queries, conversation_queries, episode_queries, evaluation_queries, intent_queries, knowledge_queries, probe_queries, rank_queries, recall_queries, retry_queries, search_queries, stream_queries  # noqa: E402, F401
+from . import chunk_queries, conversation_queries, episode_queries, evaluation_queries, extraction_queries, intent_queries, knowledge_queries, probe_queries, rank_queries, recall_queries, retry_queries, search_queries, stream_queries  # noqa: E402, F401
