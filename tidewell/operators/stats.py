@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -109,3 +111,74 @@ def select_some(rows: DataFrame, group: str, key: str, k: int, seed: int) -> Dat
 def tool_calls(rows: DataFrame, group: str, tool: str, order: str) -> DataFrame:
     """(group, tool, n, first): uses of each tool and where it came first."""
     return rows.groupBy(group, F.col(tool).alias("tool")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+
+
+# The generator's factor and increment.
+_FACTOR, _STEP, _WORD = 6364136223846793005, 1442695040888963407, 1 << 64
+_BLOCK = 1 << 15
+
+
+def _state(seed: int, t: int) -> int:
+    """The generator's state after ``t`` steps, by doubling."""
+    a, c, factor, step = 1, 0, _FACTOR, _STEP
+    while t:
+        if t & 1:
+            a, c = a * factor % _WORD, (c * factor + step) % _WORD
+        factor, step, t = factor * factor % _WORD, (factor + 1) * step % _WORD, t >> 1
+    return (a * seed + c) % _WORD
+
+
+def drawn(total: int, n: int, seed: int) -> list[int]:
+    """Which of ``total`` items a seeded shuffle puts first, ``n`` of them in order; all, in their order, if there are no more.
+
+    The shuffle swaps places from the last down, each with one that the generator draws; what ends at the first places is
+    followed back through the swaps, so that only ``n`` places are held, and the generator is entered anywhere.
+    """
+    if n >= total:
+        return list(range(total))
+    places = np.arange(n, dtype=np.int64)
+    power = np.full(_BLOCK, _FACTOR, dtype=np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(power, dtype=np.uint64)[:-1]])
+    for first in range(1, total, _BLOCK):
+        size = min(_BLOCK, total - first)
+        start = _state(seed % _WORD, total - (first + size - 1))  # the swap of the block's last place is drawn first
+        states = power[:size] * np.uint64(start) + sums[:size] * np.uint64(_STEP)
+        i = np.arange(first, first + size, dtype=np.int64)
+        j = (states >> np.uint64(33)).astype(np.int64)[::-1] % (i + 1)
+        at = 0
+        while at < size:
+            hits = np.flatnonzero(np.isin(j[at:], places) | (i[at:] < n))
+            if not len(hits):
+                break
+            at += int(hits[0])
+            with_i, with_j = places == i[at], places == j[at]
+            places[with_i], places[with_j] = j[at], i[at]
+            at += 1
+    return places.tolist()
+
+
+def numbered(rows: DataFrame, category: str, key: str) -> DataFrame:
+    """``rows`` with place, from 0 in the order of ``key`` within each category, however large one is: ranges of the order are numbered apart, and each
+    begins where those before it end."""
+    ranged = cut(rows.repartitionByRange(category, key).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(category, "_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(category).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    begins = counts.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(category, "_p").orderBy(key))
+    return ranged.withColumn("_i", own).join(begins, [category, "_p"]).withColumn("place", F.col("_b") + F.col("_i") - 1).drop("_p", "_b", "_i")
+
+
+def seeded_sample(rows: DataFrame, category: str, key: str, takes: DataFrame, seed: int) -> DataFrame:
+    """(category, key, pos): of each category as many rows as ``takes`` (category, n, take) says, drawn by a seeded shuffle of its rows in the order of ``key``; pos is the
+    order in which they are drawn. The same rows come at any partitioning. Only numbers of places reach a category's task; categories without a row to take give none.
+    """
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen = drawn(int(pdf["n"].iloc[0]), int(pdf["take"].iloc[0]), seed)
+        return pd.DataFrame({"category": pdf["category"].iloc[0], "place": chosen, "pos": range(len(chosen))})
+
+    kind = takes.schema["category"].dataType.simpleString()
+    places = takes.where("take > 0").groupBy("category").applyInPandas(draw, f"category {kind}, place long, pos int")
+    return numbered(rows.select(F.col(category).alias("category"), F.col(key).alias("key")), "category", "key").join(places, ["category", "place"]).select("category", "key", "pos")

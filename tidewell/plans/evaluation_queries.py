@@ -57,6 +57,21 @@ def a8(spark, d):
     return stats.allocate(table(spark, d, "events").groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n")), 101)
 
 
+@query("a8_sample")
+def a8_sample(spark, d):
+    """101 events by stratified allocation and seeded draws. No SQL: the allocation has some, the draws are tested against the shuffle itself."""
+    events = table(spark, d, "events")
+    return stats.seeded_sample(events, "event_type", "event_id", stats.allocate(events.groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n")), 101), 7)
+
+
+@query("a9_draws")
+def a9_draws(spark, d):
+    """Five orders of each priority by a seeded draw. No SQL, as above."""
+    orders = table(spark, d, "orders")
+    takes = orders.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n")).withColumn("take", F.lit(5))
+    return stats.seeded_sample(orders, "o_orderpriority", "o_orderkey", takes, 42)
+
+
 @query("a18_equal_allocation", ALLOC_SQL + " SELECT category, n, CAST(least(n, 103 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY category) <= 103 % count(*) OVER () THEN 1 ELSE 0 END) AS BIGINT) AS take FROM c")
 def a18(spark, d):
     return stats.allocate_equal(table(spark, d, "events").groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n")), 103)
