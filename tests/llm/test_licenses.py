@@ -73,7 +73,7 @@ def brute_force(text):
             return "spdx", X.spdx(line[1])
         if hits and not (hits[0].startswith("copyright") and names):
             return hits[0], []
-        return ("name", names) if names else None
+        return ("name", names) if names else ("title", X.title(norm)) if X.title(norm) else None
 
     for options in X.sentences(text):
         found = [known(a, b) for a, b in options]
@@ -86,13 +86,13 @@ def brute_force(text):
         fits = []
         for k, (licence, sequence) in enumerate(X.RULES):
             part = ids[at : at + len(sequence)]
-            if [x[1] for x in part] == list(sequence) and max((y[0] - x[0] for x, y in zip(part, part[1:])), default=0) <= X.BETWEEN + 1:
+            if [x[1] for x in part] == list(sequence):
                 fits.append((k, licence, len(sequence)))
         if at > taken and fits:
             _, licence, n = min(fits)
-            out += ids[at][2] if licence.startswith("{") else [licence]
+            out += [(x, 0, 0, licence == "{title}") for x in (ids[at][2] if licence.startswith("{") else [licence])]
             taken = at + n - 1
-    return out
+    return [x[0] for x in X.untitled(out)]
 
 
 def test_against_brute_force():
@@ -104,7 +104,7 @@ def test_against_brute_force():
 
 
 def test_every_rule_names_known_sentences():
-    names = {n for n, _ in X.SENTENCES} | {"name", "spdx"}
+    names = {n for n, _ in X.SENTENCES} | {"name", "spdx", "title"}
     assert all(s in names for _, sequence in X.RULES for s in sequence)
     assert names - {"copyright"} == {s for _, sequence in X.RULES for s in sequence} - {"copyright"}
     first = {}
@@ -123,3 +123,19 @@ def test_frame_and_whole_corpus(spark):
     lines["This work is licensed under the GNU General Public License, version 3."] = "GPL-3.0-only"
     want = {r.doc_id: ",".join(sorted({n for line, n in lines.items() if line in r.text})) for r in docs.collect()}
     assert {r.doc_id: r.licenses for r in X.op6_license_scan(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_names_alone_denials_and_wide_gaps():
+    for text, want in (
+        ("Released under the terms of the GNU GPL v3 or later.", ["GPL-3.0-or-later"]),
+        ("Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+        ("The MIT License", ["MIT"]),
+        ("Apache License, Version 2.0", ["Apache-2.0"]),
+        ("We never licensed under the MIT license anything.", []),
+        ("This is not released under the GNU GPL v2.", []),
+        ("A license was mentioned.", []),
+    ):
+        assert [x[0] for x in X.find_licenses(text)] == want, text
+    mit = [s.replace("…", " ").strip() for n, s in X.SENTENCES if n in next(seq for lic, seq in X.RULES if lic == "MIT" and len(seq) > 1)]
+    far = ". ".join(x.capitalize() + ". " + "An unknown sentence stands here. " * 30 for x in mit)
+    assert "MIT" in [x[0] for x in X.find_licenses(far)]

@@ -71,7 +71,7 @@ SENTENCES = [
 #: Names of licences as normalised by normalise() and their identifiers; {v} is a version.
 NAMES = [
     (r"(?:gnu )?(?:(?P<kind>lesser|library|affero) )?(?:gnu )?general public license(?: as published by the free software foundation)?(?: a?l?gpl)?(?:(?: either)? (?:version|v) ?(?P<v1>[123](?:\.[01])?)| ?v?(?P<v2>[123](?:\.[01])?)\b)?(?: of the license)?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?(?P<only> only)?", "gpl"),
-    (r"(?P<short>a|l)?gpl ?(?:version |v)?(?P<v3>[123](?:\.[01])?)(?P<plus>\+| or (?:any )?later(?: version)?)?", "gpl"),
+    (r"(?:gnu )?(?P<short>a|l)?gpl ?(?:version |v)?(?P<v3>[123](?:\.[01])?)(?P<plus>\+| or (?:any )?later(?: version)?)?", "gpl"),
     (r"apache(?: software)?(?: license)?,?(?: version| v)? ?(?P<va>2\.0|1\.1|1\.0|2)(?: license)?", "Apache-{v}"),
     (r"mozilla public license(?: version| v)? ?(?P<vm>[12]\.[01])", "MPL-{v}"),
     (r"mpl ?(?:v|version )?(?P<vm2>[12]\.[01])", "MPL-{v}"),
@@ -152,12 +152,11 @@ RULES = [
     ("Beerware", ("beerware",)),
     ("MS-PL", ("ms-pl",)),
     ("{spdx}", ("spdx",)),
+    ("{title}", ("title",)),
     ("Proprietary", ("copyright", "all-rights")),
     ("Proprietary", ("copyright-all-rights",)),
     ("Proprietary", ("all-rights",)),
 ]
-#: Sentences of a rule may have so many unknown ones between them (headings, list marks, lines that were cut).
-BETWEEN = 6
 #: Each known sentence holds one of these (after normalise()); texts without any are passed over.
 KEYWORDS = ("licens", "copyright", "rights reserved", "permission", "redistribut", "warrant", "endorse", "public", "cc0", "cc by", "as is", "gpl", "mpl", "odbl", "advertising", "origin of", "altered", "notice", "under", "waived", "anyone", "person", "do what", "distribut", "subject to")
 _RAW_KEYWORDS = ("licens", "licenc", "copyright", "©", "rights", "permission", "redistribut", "warrant", "endorse", "public", "cc0", "cc", "commons", "as is", "\"as", "gpl", "mpl", "odbl", "advertising", "origin", "altered", "notice", "under", "waived", "anyone", "person", "do what", "distribut", "subject")
@@ -181,6 +180,9 @@ _MATCHERS = [(name, _pattern(s)) for name, s in SENTENCES]
 _NAMED = [re.compile(p) for p, _ in NAMES]
 _FIRST = re.compile(rf"{_LEAD} (?=(?:{_alternatives('n')})(?: |$))", re.S)
 _FIRST_USE = re.compile(rf"{_USES} (?=(?:{_alternatives('n')})(?: |$))", re.S)
+#: What may follow a name that stands alone, and what says that a name does not hold.
+_REST = re.compile(r"(?: (?:international|unported|public))?(?: licensed?)?(?: (?:text|file|agreement))?")
+_DENIED = re.compile(r"\b(?:not|never|no longer|neither|nor|cannot|can t|isn t|aren t|wasn t|weren t|without being)\b")
 _NEXT = re.compile(r" (?:or|and|and or) (?:the |a |later )*")
 # a sentence ends at a line end that closes a paragraph or follows [.!?:;], or at [.!?] before white space and no small letter
 _ENDS = re.compile(r"(?<=[.!?])[ \t]+(?=[^\sa-z])|(?<=[.!?:;])[ \t]*\n|\n[ \t]*(?:[*#/;-]+[ \t]*)?\n")
@@ -284,6 +286,8 @@ def named(sentence: str) -> list[str]:
     uses = None if lead else _FIRST_USE.match(sentence)
     found: list[str] = []
     at = (lead or uses).end() if lead or uses else None
+    if at is not None and _DENIED.search(sentence, 0, at):
+        return []
     while at is not None:
         # the longest name that stands here
         best = max(((m.end(), -i, m) for i, p in enumerate(_NAMED) if (m := p.match(sentence, at)) and sentence[m.end() : m.end() + 1] in ("", " ")), default=None)
@@ -295,6 +299,13 @@ def named(sentence: str) -> list[str]:
     return found
 
 
+def title(sentence: str) -> list[str]:
+    """The licence that a normalised sentence is nothing but the name of: a heading or a badge."""
+    bare = sentence.removeprefix("the ")
+    whole = [(i, m) for i, p in enumerate(_NAMED) if (m := p.match(bare)) and _REST.fullmatch(bare, m.end())] if "license" in bare or "gpl" in bare else []
+    return [_named(*max(whole, key=lambda x: x[1].end()))] if whole else []
+
+
 def identify(sentence: str) -> tuple[str, list[str]] | None:
     """Identifier of a normalised sentence, with the licences it names."""
     if not any(k in sentence for k in KEYWORDS):
@@ -305,7 +316,16 @@ def identify(sentence: str) -> tuple[str, list[str]] | None:
                 return "name", got
             return name, []
     got = named(sentence)
-    return ("name", got) if got else None
+    if got:
+        return "name", got
+    got = title(sentence)
+    return ("title", got) if got else None
+
+
+def untitled(found: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, int]]:
+    """Matches without the headings (marked true) that the next match, a licence of the same family, belongs to."""
+    family = lambda x: x[0].split("-")[0]
+    return [x[:3] for x, y in zip(found, [*found[1:], None]) if not (x[3] and y and family(x) == family(y))]
 
 
 def find_licenses(text: str) -> list[tuple[str, int, int]]:
@@ -331,14 +351,14 @@ def find_licenses(text: str) -> list[tuple[str, int, int]]:
     while at < len(known):
         for licence, sequence in RULES:
             part = known[at : at + len(sequence)]
-            if tuple(x[0] for x in part) == sequence and all(y[2] - x[2] <= BETWEEN + 1 for x, y in zip(part, part[1:])):
-                names = part[0][1] if licence in ("{name}", "{spdx}") else [licence]
-                out += [(n, part[0][3], part[-1][4]) for n in names]
+            if tuple(x[0] for x in part) == sequence:  # whatever unknown sentences stand between them
+                names = part[0][1] if licence.startswith("{") else [licence]
+                out += [(n, part[0][3], part[-1][4], licence == "{title}") for n in names]
                 at += len(sequence)
                 break
         else:
             at += 1
-    return out
+    return untitled(out)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
