@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,3 +126,60 @@ def similar_names(rows: DataFrame, key: str, words: Column, least: float = 0.3)
     links = alike.select(F.inline(F.array(*[F.struct(F.col(s).alias("class_id"), F.col(f"rows_{o}").alias("rows")) for s, o in ("ab", "ba")]))).groupBy("class_id").agg(F.sum("rows").alias("links"))
     counted = sets.join(links, "class_id", "left").select("set", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     return named.join(counted, "set", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+# Tokens of a buffer that call for compaction, and the share of its newest observations that stays.
+BUDGET, KEPT_PERCENT = 8192, 50
+
+
+def buffered(turns: DataFrame, key: str, order: str, text: str, budget: int = BUDGET, percent: int = KEPT_PERCENT) -> DataFrame:
+    """(key, order) of the observations that a rolling buffer of each key holds after the last one: each is appended in order, and
+    where the buffer's bytes make ``budget`` tokens (four bytes each) only its newest ``percent`` stay, one at least. A session's turns are all that a group holds; null texts are empty.
+    """
+    size = F.octet_length(F.coalesce(text, F.lit("")))
+    rows = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("b")))).alias("x"))
+
+    def append(a: Column, y: Column) -> Column:
+        more = F.concat(a, F.array(y))
+        total = F.aggregate(more, F.lit(0).cast("long"), lambda s, z: s + z["b"])
+        keep = F.greatest(F.floor(F.size(more) * percent / 100).cast("int"), F.lit(1))
+        return F.when((F.floor(total / 4) >= budget) & (F.size(more) > 1), F.slice(more, F.size(more) - keep + 1, keep)).otherwise(more)
+
+    none = F.slice("x", 1, 0)
+    return rows.select(key, F.explode(F.aggregate("x", none, append)).alias("e")).select(key, F.col("e.o").alias(order))
+
+
+def observed_confidence(sections: Column) -> Column:
+    """From the number of observations: four make it high, two medium."""
+    return F.when(sections >= 4, "high").when(sections >= 2, "medium").otherwise("low")
+
+
+def section_count(body: Column) -> Column:
+    """Lines of a body that begin a section of the second level."""
+    return F.coalesce(F.regexp_count(body, F.lit(r"(?m)^[ \t]*## ")), F.lit(0))
+
+
+def reinforced(notes: DataFrame, now: Column) -> DataFrame:
+    """(id, was, confidence, updated) of the heuristic notes (id, tags, body, confidence, created, observed): the confidence that their observations
+    make, by how long ago the last one was and how long they went on; notes without the tag 'heuristic' are left out."""
+    own = notes.where(F.exists("tags", lambda t: F.lower(t) == "heuristic"))
+    now_is = confidence(observed_confidence(section_count(F.col("body"))), F.col("created"), F.col("observed"), now)
+    return own.select("id", F.col("confidence").alias("was"), now_is.alias("confidence")).withColumn("updated", ~F.col("confidence").eqNullSafe(F.col("was")))
+
+
+# Points of a record's fields for the whole query and for each of its words: name, tags, context, tool calls, tier or outcome.
+PHRASE_POINTS, WORD_POINTS = (12, 10, 8, 8, 4), (5, 4, 2, 3, 2)
+
+
+def procedural_score(query: str, name: Column, tags: Column, context: Column, calls: Column, tier: Column, outcome: Column) -> Column:
+    """How well a procedural record answers a query: points for its fields that hold the query, and each of its words; nothing for an empty query."""
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")))
+    phrase = " ".join(query.split()).lower()
+    words = list(dict.fromkeys(w for w in re.split(r"[^a-z0-9._-]+", phrase) if w))
+
+    def points(what: str, each: tuple[int, ...]) -> Column:
+        among = lambda xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), lambda x: plain(x).contains(what))
+        tests = [plain(name).contains(what), among(tags), plain(context).contains(what), among(calls), (tier == what) | (outcome == what)]
+        return functools.reduce(operator.add, [F.when(t, p).otherwise(0) for t, p in zip(tests, each)])
+
+    return functools.reduce(operator.add, [points(phrase, PHRASE_POINTS), *[points(w, WORD_POINTS) for w in words]]) if phrase else F.lit(0)

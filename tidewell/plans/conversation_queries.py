@@ -97,3 +97,45 @@ def m31(spark, d):
 def m20(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("user_turn"))
+
+
+@query("w6_buffer", """WITH x AS (SELECT conv_id, list({'o': turn, 'b': strlen(coalesce(text, ''))} ORDER BY turn) AS x FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN list_sum(list_transform(list_concat(a, b), lambda z: z.b)) // 4 >= 150 AND len(list_concat(a, b)) > 1
+  THEN list_concat(a, b)[-greatest(len(list_concat(a, b)) * 50 // 100, 1):] ELSE list_concat(a, b) END) AS kept FROM x)
+SELECT conv_id, e.o AS turn FROM (SELECT conv_id, unnest(kept) AS e FROM r)""")
+def w6_buffer(spark, d):
+    """What rolling buffers of 150 tokens hold after each session."""
+    return conversations.buffered(table(spark, d, "conversations"), "conv_id", "turn", "text", 150)
+
+
+@query("m24_reinforced", f"""WITH {AGES_SQL}, n AS (SELECT x.*, coalesce(c, 0) AS c FROM x LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = id WHERE id % 5 > 0),
+o AS (SELECT *, CASE WHEN c >= 4 THEN 'high' WHEN c >= 2 THEN 'medium' ELSE 'low' END AS oc, date_diff('day', observed, DATE '{NOW}') AS age, date_diff('day', created, observed) AS span FROM n),
+f AS (SELECT id, cur, CASE WHEN age >= 180 THEN 'low' WHEN age >= 90 THEN CASE WHEN oc = 'high' THEN 'medium' ELSE 'low' END WHEN span >= 45 THEN 'high' WHEN span >= 14 THEN CASE WHEN oc = 'high' THEN 'high' ELSE 'medium' END ELSE oc END AS confidence FROM o)
+SELECT id, cur AS was, confidence, confidence <> cur AS updated FROM f""")
+def m24(spark, d):
+    """Orders as heuristic notes with a section for each line."""
+    n, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("c"))
+    rows = table(spark, d, "orders").join(lines, n == F.col("l_orderkey"), "left")
+    body = F.concat(F.lit("A rule\n"), F.array_join(F.array_repeat(F.lit("## seen\nagain"), F.coalesce("c", F.lit(0))), "\n"))
+    cur = F.when(n % 3 == 0, "low").when(n % 3 == 1, "medium").otherwise("high")
+    tags = F.when(n % 5 > 0, F.array(F.lit("x"), F.lit("Heuristic"))).otherwise(F.array(F.lit("x")))
+    notes = rows.select(n.alias("id"), tags.alias("tags"), body.alias("body"), cur.alias("confidence"), day.alias("created"), F.date_add(day, (n % 70).cast("int")).alias("observed"))
+    return conversations.reinforced(notes, F.lit(NOW).cast("date"))
+
+
+_WORDS = ["red", "widget", "economy"]
+_CALLS = "['open ' || lower(p_type), 'read brand']"
+
+
+def _points(what: str, each: tuple) -> str:
+    held = [f"contains(p_name, '{what}')", f"(contains(lower(p_brand), '{what}') OR contains('small tools', '{what}'))", f"contains('made for ' || lower(p_type) || ' use', '{what}')", f"len(list_filter({_CALLS}, lambda c: contains(c, '{what}'))) > 0", f"(lower(p_type) = '{what}' OR 'ok' = '{what}')"]
+    return " + ".join(f"CASE WHEN {h} THEN {p} ELSE 0 END" for h, p in zip(held, each))
+
+
+@query("m19_procedural", f"SELECT p_partkey, CAST({_points('red widget economy', conversations.PHRASE_POINTS)} + {' + '.join(_points(w, conversations.WORD_POINTS) for w in _WORDS)} AS INT) AS score FROM part")
+def m19(spark, d):
+    kind = F.lower("p_type")
+    calls = F.array(F.concat(F.lit("open "), kind), F.lit("read brand"))
+    score = conversations.procedural_score("Red  widget economy", F.col("p_name"), F.array("p_brand", F.lit("small tools")), F.concat(F.lit("Made for "), "p_type", F.lit(" use")), calls, kind, F.lit("ok"))
+    return table(spark, d, "part").select("p_partkey", score.cast("int").alias("score"))
