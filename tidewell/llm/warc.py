@@ -85,8 +85,11 @@ def _write(pages: DataFrame, path: str, date: str, min_revisit_bytes: int, recor
         .withColumn("size", F.octet_length("payload").cast("long"))
         .withColumn("rid", _id(F.col("page_id"), F.col("url"), F.col("key"), F.lit("response")))
     )
-    firsts = p.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "rid")).alias("first"))
-    p = p.join(firsts, "key").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("size") >= min_revisit_bytes))
+    # which rows revisit is found without their payloads; these meet the answer by their own ids, so that a common payload makes no key hot
+    small = p.where(F.col("size") >= min_revisit_bytes).select("key", "page_id", "rid")
+    firsts = small.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "rid")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    again = small.join(firsts, "key").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select("rid", "first").distinct()
+    p = p.join(again, "rid", "left").withColumn("revisit", F.col("first").isNotNull())
     uri = F.regexp_replace("url", "[\r\n]", " ")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_NL}Content-Type: text/html; charset=utf-8{_NL}Content-Length: "), F.col("size").cast("string"), F.lit(_END))
     get = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{_END}"))
