@@ -101,6 +101,14 @@ def recall_at(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.groupBy("question").agg(F.bool_or(F.coalesce("found", F.lit(False))).alias("passed"))
 
 
+def recall_of(hits: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """(query_no, wanted, found, passed_any, passed_all) of every question in ``wanted`` (query_no, chunk_id, must): how many of its rows, and how many of the best ``k``
+    hits are among them; whether any is, and whether all that must be are (true where none must)."""
+    best = hits.where(F.col("rank") <= k).select("query_no", "chunk_id").distinct().withColumn("_hit", F.lit(True))
+    rows = wanted.join(best, ["query_no", "chunk_id"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    return rows.groupBy("query_no").agg(F.count("*").alias("wanted"), F.count_if("_hit").alias("found"), F.bool_or("_hit").alias("passed_any"), F.bool_and(F.col("_hit") | ~F.col("must")).alias("passed_all"))
+
+
 def select_some(rows: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
     """The ``k`` rows of each group that a hash of seed and key puts first: the same at any partitioning; Spark keeps k rows a group before the shuffle."""
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

@@ -100,6 +100,7 @@ def notes(spark, sf_dir: str) -> DataFrame:
         F.when(state, F.col("item")).otherwise("").alias("state_subject"),
         F.when(state, F.date_format(day, "yyyy-MM-dd")).otherwise("").alias("valid_from"),
         F.when(state & (k % 2 == 0), F.date_format(F.date_add(day, 400), "yyyy/MM/dd")).otherwise("").alias("valid_to"),
+        "item",
     )
 
 
