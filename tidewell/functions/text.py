@@ -99,3 +99,8 @@ def web_url(text: Column) -> Column:
 def plain(text: pd.Series) -> pd.Series:
     """NFKC without format characters (zero-width marks, soft hyphens, direction marks)."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf"), na_action="ignore")
+
+
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries beside ASCII letters, digits and underscores only, whatever letters Java takes for those of a word."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")

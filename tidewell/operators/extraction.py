@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import metadata_key
+from ..functions.text import ascii_bounds, metadata_key
 from .conversations import sentences
 
 # Messages of a session that are read, and what each rule stores at most.
@@ -186,3 +186,40 @@ def enriched(facts: DataFrame, role: Column | None = None) -> DataFrame:
             "state_value": F.when(is_state, value),
         }
     )
+
+
+# What facts are tagged by, and the characters of a text that are read for tags.
+READ_FOR_TAGS = 4096
+WEEKDAY = r"(?i)\b(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
+RELATIVE = r"(?i)\b(?:today|tomorrow|tonight|this morning|this afternoon|this evening|this weekend|next weekend|next week|next month|coming week|next\s+(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)|this\s+(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)|coming\s+(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday))\b"
+CLOCK = r"(?i)\b\d{1,2}(?::\d{2})?\s?(?:am|pm)\b|\b\d{1,2}:\d{2}\b"
+MONEY = r"[\$£€]\s?\d{1,3}(?:,\d{3})*(?:\.\d+)?"
+UNIT_NUMBER = r"(?i)\b(\d{1,6}(?:\.\d+)?)\s+(minutes?|mins?|hours?|hrs?|seconds?|secs?|days?|weeks?|months?|years?|km|kilometres?|miles?|metres?|meters?|kg|kilograms?|pounds?|lbs?|grams?|percent|%|kbps|mbps|gbps|tbps|kb/s|mb/s|gb/s|tb/s)\b"
+PROPER = r"\b[A-Z][a-zA-Z]+\b"
+ERRAND = r"(?i)\b(?:pick\s+up|drop\s+off|return|exchange|collect|book|schedule|renew|cancel|follow\s+up)\b"
+MEDICAL = r"(?i)\b(?:appointment|check-?up|consultation|follow-?up|doctor|gp|dentist|dermatologist|orthodontist|hygienist|therapist|physio(?:therapist)?|optometrist|ophthalmologist|paediatrician|pediatrician|gynaecologist|gynecologist|cardiologist|neurologist|oncologist|surgeon|vet|veterinarian|clinic|hospital|prescription)\b"
+HAPPENING = r"(?i)\b(?:workshop|conference|concert|gig|show|screening|play|musical|exhibition|festival|meetup|class|course|webinar|lecture|seminar|tournament)\b"
+ENTERTAINMENT = r"(?i)\b(?:film|movie|show|series|book|novel|game|podcast|cinema)\b"
+APPOINTMENT = r"(?i)\b(?:appointment|check-?up|consultation|follow-?up|therapy session|scan|surgery|dentist|doctor|gp|dermatologist|orthodontist|hygienist|therapist|counsellor|counselor|psychiatrist|psychologist|physio(?:therapist)?|optometrist|ophthalmologist|paediatrician|pediatrician|gynaecologist|gynecologist|cardiologist|neurologist|oncologist|surgeon|vet|veterinarian)\b"
+HEALER = r"(?i)\b(?:gp|doctor|dentist|dermatologist|orthodontist|hygienist|therapist|counsellor|counselor|psychiatrist|psychologist|physio(?:therapist)?|optometrist|ophthalmologist|paediatrician|pediatrician|gynaecologist|gynecologist|cardiologist|neurologist|oncologist|surgeon|vet|veterinarian|clinic|hospital|prescription)\b"
+RECOMMENDED = r"(?i)\b(?:recommend|suggest|looking for|look for|what should i|which should i|where should i stay|what to watch|what to read|what to serve)\b"
+TAG_SKIP = "the this that these those when where what who why how observed date mon tue wed thu fri sat sun user assistant".split()
+
+
+def fact_tags(text: Column) -> Column:
+    """Sorted distinct tags of the first READ_FOR_TAGS characters of a text: dates with their weekdays and months, weekdays, relative days, clock times, money, amounts
+    with and without units, names, errands, and words of health, events and entertainment with the kinds they stand for."""
+    body = F.substring(F.coalesce(text, F.lit("")), 1, READ_FOR_TAGS)
+    every = lambda p, g=0: F.regexp_extract_all(body, F.lit(ascii_bounds(p)), F.lit(g))
+    low = lambda p: F.transform(every(p), lambda x: F.lower(x))
+    days = F.filter(F.transform(every(DATE), lambda x: F.try_to_date(F.replace(x, F.lit("/"), F.lit("-")), "yyyy-MM-dd")), lambda x: x.isNotNull())
+    named = F.flatten(F.transform(days, lambda x: F.array(F.date_format(x, "EEEE"), F.date_format(x, "MMMM"))))
+    units = F.zip_with(every(UNIT_NUMBER, 1), every(UNIT_NUMBER, 2), lambda n, u: F.concat_ws(" ", n, u))
+    names = F.filter(every(PROPER), lambda x: (F.length(x) >= 3) & ~F.lower(x).isin(TAG_SKIP))
+    mark = lambda test, *tags: F.when(test, F.array(*[F.lit(t) for t in tags])).otherwise(F.array().cast("array<string>"))
+    kinds = [
+        mark(body.rlike(ascii_bounds(PENDING)) | body.rlike(ascii_bounds(ERRAND)), "pending", "task"), mark(body.rlike(ascii_bounds(APPOINTMENT)), "appointment"), mark(body.rlike(ascii_bounds(HEALER)), "medical"),
+        mark(body.rlike(ascii_bounds(EVENT)), "event"), mark(body.rlike(ascii_bounds(RECOMMENDED)), "recommendation"), mark(body.rlike(ascii_bounds(ENTERTAINMENT)), "entertainment"),
+    ]
+    found = F.concat(every(DATE), named, F.transform(every(WEEKDAY), lambda x: F.initcap(x)), low(RELATIVE), low(CLOCK), every(MONEY), units, every(NUMBER), names, low(ERRAND), low(MEDICAL), low(HAPPENING), low(ENTERTAINMENT), *kinds)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")))

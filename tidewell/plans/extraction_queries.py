@@ -126,3 +126,34 @@ SELECT conv_id, pos, CASE WHEN len(ws) > 0 THEN {key(f"'claim.user.' || {joined(
   CASE WHEN st2 THEN kd END AS state_kind, CASE WHEN st2 THEN {joined('su')} END AS state_subject, CASE WHEN st2 THEN CASE WHEN length({_LINE}) > {X.VALUE} THEN left({_LINE}, {X.VALUE}) || '...' ELSE {_LINE} END END AS state_value FROM s""")
 def m12(spark, d):
     return X.enriched(X.extracted(diary(spark, d))).drop("kind", "fact")
+
+
+def _every(p: str, g: int = 0) -> str:
+    return f"regexp_extract_all(b, {lit(p)}, {g})"
+
+
+def _low(p: str) -> str:
+    return each(_every(p), lambda x: f"lower({x})")
+
+
+def _mark(test: str, *tags: str) -> str:
+    return f"CASE WHEN {test} THEN [{', '.join(map(lit, tags))}] ELSE {NONE} END"
+
+
+_DAYS = f"list_filter({each(_every(X.DATE), lambda x: f'try_cast(replace({x}, {lit("/")}, {lit("-")}) AS DATE)')}, lambda x: x IS NOT NULL)"
+_TAGS = [
+    _every(X.DATE), f"flatten(list_transform({_DAYS}, lambda x: [strftime(x, '%A'), strftime(x, '%B')]))", each(_every(X.WEEKDAY), lambda x: f"upper({x}[1]) || lower({x}[2:])"), _low(X.RELATIVE), _low(X.CLOCK), _every(X.MONEY),
+    f"list_transform({_every(X.UNIT_NUMBER, 1)}, lambda n, i: n || ' ' || {_every(X.UNIT_NUMBER, 2)}[i])", _every(X.NUMBER), keep(_every(X.PROPER), lambda x: f"length({x}) >= 3 AND lower({x}) NOT IN {any_word(X.TAG_SKIP)}"),
+    _low(X.ERRAND), _low(X.MEDICAL), _low(X.HAPPENING), _low(X.ENTERTAINMENT), _mark(some("b", X.PENDING, X.ERRAND), "pending", "task"), _mark(match("b", X.APPOINTMENT), "appointment"), _mark(match("b", X.HEALER), "medical"),
+    _mark(match("b", X.EVENT), "event"), _mark(match("b", X.RECOMMENDED), "recommendation"), _mark(match("b", X.ENTERTAINMENT), "entertainment"),
+]
+TAGGED = [
+    "Book the dentist for 2024-02-29 at 9am, it costs £1,200.50 and 3 weeks.", "Ann and the Old Club meet next Friday at 18:30 for a film. Drop off the book!", "The clinic said 5 km on MONDAY, twice a week, 20 percent.",
+    "Can you recommend a concert this weekend? Observed on 2024/13/40.",
+]
+
+
+@query("m10_fact_tags", f"WITH {DIARY_SQL}, t AS (SELECT conv_id, turn, left([{', '.join(map(lit, TAGGED))}][1 + turn % {len(TAGGED)}] || ' ' || text, {X.READ_FOR_TAGS}) AS b FROM diary) SELECT conv_id, turn, list_sort(list_distinct({keep(each(f'flatten([{", ".join(_TAGS)}])', lambda x: f'trim({x})'), lambda x: f'{x} <> {lit("")}')})) AS tags FROM t")
+def m10_fact(spark, d):
+    first = F.element_at(F.array(*[F.lit(x) for x in TAGGED]), (F.col("turn") % len(TAGGED) + 1).cast("int"))
+    return diary(spark, d).select("conv_id", "turn", X.fact_tags(F.concat(first, F.lit(" "), "text")).alias("tags"))
