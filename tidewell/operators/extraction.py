@@ -61,12 +61,12 @@ KEY_WORDS, SUBJECT_WORDS, VALUE = 6, 5, 220
 
 
 def _any(s: Column, *patterns: str) -> Column:
-    return functools.reduce(operator.or_, [s.rlike(p) for p in patterns])
+    return functools.reduce(operator.or_, [s.rlike(ascii_bounds(p)) for p in patterns])
 
 
 def application(s: Column) -> Column:
     """Tells how long an application of one's own took or what became of it."""
-    return s.rlike(OWN) & s.rlike(DURATION) & s.rlike(APPLICATION) & s.rlike(APPLICATION_STEP)
+    return s.rlike(ascii_bounds(OWN)) & s.rlike(ascii_bounds(DURATION)) & s.rlike(ascii_bounds(APPLICATION)) & s.rlike(ascii_bounds(APPLICATION_STEP))
 
 
 def quantified(s: Column) -> Column:
@@ -80,17 +80,17 @@ def concrete(s: Column) -> Column:
 def user_fact(s: Column) -> Column:
     """Speaks of oneself with a number, a habit, a place where something is kept or what was got, and is no request."""
     clause = F.regexp_extract(s, r"(?s)^([^.!?]*[.!?]?)", 1)
-    request = (clause.rlike(REQUEST) & ~concrete(clause)) | ((s.rlike(REQUEST) | s.endswith("?")) & ~concrete(s))
+    request = (clause.rlike(ascii_bounds(REQUEST)) & ~concrete(clause)) | ((s.rlike(ascii_bounds(REQUEST)) | s.endswith("?")) & ~concrete(s))
     signal = quantified(s) | _any(s, CADENCE, STORED, SETUP, CREATIVE) | application(s)
-    return s.rlike(OWN) & signal & ~request
+    return s.rlike(ascii_bounds(OWN)) & signal & ~request
 
 
 def milestone(s: Column) -> Column:
-    return s.rlike(OWN) & ~quantified(s) & s.rlike(MILESTONE_WHAT) & _any(s, MILESTONE, MILESTONE_WHEN)
+    return s.rlike(ascii_bounds(OWN)) & ~quantified(s) & s.rlike(ascii_bounds(MILESTONE_WHAT)) & _any(s, MILESTONE, MILESTONE_WHEN)
 
 
 def event(s: Column) -> Column:
-    return s.rlike(EVENT) & s.rlike(ATTENDED) & ~s.rlike(ASPIRED)
+    return s.rlike(ascii_bounds(EVENT)) & s.rlike(ascii_bounds(ATTENDED)) & ~s.rlike(ascii_bounds(ASPIRED))
 
 
 def pending(s: Column) -> Column:
@@ -99,16 +99,16 @@ def pending(s: Column) -> Column:
     parts = F.filter(F.transform(F.split(rest, r"(?i)\s*(?:,|;|\bthen\b|\band\b)\s*"), lambda p: F.trim(p)), lambda p: p != "")
     none = F.array().cast("array<string>")
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    grow = lambda a, p: F.when(p.rlike(PENDING_START), F.concat(a, F.array(p))).when(F.size(a) > 0, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", last(a), p)))).otherwise(a)
+    grow = lambda a, p: F.when(p.rlike(ascii_bounds(PENDING_START)), F.concat(a, F.array(p))).when(F.size(a) > 0, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", last(a), p)))).otherwise(a)
     found = F.aggregate(parts, none, grow)
-    return F.when(s.rlike(PENDING) & ~F.trim(s).endswith("?") & (rest != ""), F.when(F.size(found) > 0, found).otherwise(F.array(rest))).otherwise(none)
+    return F.when(s.rlike(ascii_bounds(PENDING)) & ~F.trim(s).endswith("?") & (rest != ""), F.when(F.size(found) > 0, found).otherwise(F.array(rest))).otherwise(none)
 
 
 def preference(s: Column) -> Column:
     """'The user prefers ...', of a sentence that says what one likes; null of others."""
     part = lambda p, i: F.trim(F.regexp_extract(s, p, i))
     both = F.concat(F.lit("The user prefers "), part(BESIDES, 1), F.lit(" and "), part(BESIDES, 2), F.lit("."))
-    return F.when(s.rlike(BESIDES), both).when(s.rlike(LIKES) & (part(LIKES, 1) != ""), F.concat(F.lit("The user prefers "), part(LIKES, 1), F.lit(".")))
+    return F.when(s.rlike(ascii_bounds(BESIDES)), both).when(s.rlike(ascii_bounds(LIKES)) & (part(LIKES, 1) != ""), F.concat(F.lit("The user prefers "), part(LIKES, 1), F.lit(".")))
 
 
 def slug(text: Column) -> Column:
@@ -137,7 +137,7 @@ def extracted(turns: DataFrame) -> DataFrame:
     broad = F.when(_any(whole, CADENCE, STORED, SETUP), F.array(whole)).otherwise(F.array().cast("array<string>"))
     told = {
         "application": F.filter(F.concat(two, short), application),
-        "creative": F.filter("s", lambda x: x.rlike(CREATIVE)),
+        "creative": F.filter("s", lambda x: x.rlike(ascii_bounds(CREATIVE))),
         "fact": F.filter(F.concat("s", broad), user_fact),
         "milestone": F.filter("s", milestone),
         "pending": F.transform(F.flatten(F.transform("s", pending)), lambda a: F.concat(F.lit("Pending task: "), a)),
@@ -172,8 +172,8 @@ def enriched(facts: DataFrame, role: Column | None = None) -> DataFrame:
     fact, role = F.col("fact"), role if role is not None else F.lit("user")
     words, subject = key_words(fact, KEY_WORDS), key_words(F.try_element_at(F.split(F.trim(fact), r"[\n.!?]+"), F.lit(1)), SUBJECT_WORDS)
     claim = F.when(F.size(words) > 0, metadata_key(F.concat(F.lit("claim.user."), F.array_join(words, "."))))
-    kind = functools.reduce(lambda rest, k: F.when(fact.rlike(k[1]), k[0]).otherwise(rest), reversed(STATE_KINDS), F.lit("current_state"))
-    is_state = fact.rlike(STATE) & (F.size(subject) > 0) & ((role != "assistant") | F.lower(fact).contains("user"))
+    kind = functools.reduce(lambda rest, k: F.when(fact.rlike(ascii_bounds(k[1])), k[0]).otherwise(rest), reversed(STATE_KINDS), F.lit("current_state"))
+    is_state = fact.rlike(ascii_bounds(STATE)) & (F.size(subject) > 0) & ((role != "assistant") | F.lower(fact).contains("user"))
     one_line = F.trim(F.regexp_replace(fact, r"\s+", " "))
     value = F.when(F.length(one_line) > VALUE, F.concat(F.substring(one_line, 1, VALUE), F.lit("..."))).otherwise(one_line)
     return facts.withColumns(
