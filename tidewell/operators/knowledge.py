@@ -169,3 +169,42 @@ def ingest(pages: DataFrame) -> DataFrame:
     kind = content_type(F.col("url"), F.col("html"))
     rows = pages.select("page_id", kind.alias("kind"), F.when(kind == "text/html", strip_html(F.col("html"))).otherwise(F.coalesce("html", F.lit(""))).alias("text"))
     return rows.select("page_id", "kind", "text", F.sha2("text", 256).alias("checksum"), token_estimate(F.col("text")).alias("tokens"))
+
+
+def note_fields(text: Column, names: list[str]) -> Column:
+    """A struct of the fields ``names``, tags and body of a text that begins with a block between lines of '---'; without a closing line the whole text is the body.
+
+    A field's last non-empty value counts, one pair of quotes goes. Tags stand behind their key, set apart by commas, or as '- ' lines below it; other lists are not read.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    fence = F.transform(lines, lambda x, i: (F.trim(x) == "---") & (i > 0))
+    close = F.array_position(fence, True).cast("int")
+    opened = (F.trim(lines[0]) == "---") & (close > 0)
+    block = F.when(opened, F.slice(lines, 2, F.greatest(close - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    key = lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_]+)\s*:", 1)
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"^\s*[A-Za-z_]+\s*:(.*)$", 1)), r"^([\"'])(.*)\1$", "$2")
+    start = F.struct(F.lit("").alias("at"), F.array().cast("array<string>").alias("tags"))
+
+    def read(a: Column, x: Column) -> Column:
+        item = (a["at"] != "") & F.trim(x).startswith("- ")
+        own = F.when(item & (a["at"] == "tags"), F.array(F.trim(F.regexp_replace(F.trim(x), "^- ", "")))).when(~item & (key(x) == "tags"), F.filter(F.transform(F.split(value(x), ","), lambda t: F.trim(t)), lambda t: t != ""))
+        at = F.when(item, a["at"]).when(value(x) == "", key(x)).otherwise("")
+        return F.struct(at.alias("at"), F.concat(a["tags"], F.coalesce(own, F.array().cast("array<string>"))).alias("tags"))
+
+    def field(n: str) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(F.transform(F.filter(block, lambda x: key(x) == n), value), lambda v: v != ""), F.lit(-1)), F.lit(""))
+
+    rest = F.when(opened, F.regexp_replace(F.array_join(F.slice(lines, close + 1, F.size(lines)), "\n"), r"^\s+|\s+$", "")).otherwise(F.coalesce(text, F.lit("")))
+    return F.struct(*[field(n).alias(n) for n in names], F.aggregate(block, start, read)["tags"].alias("tags"), rest.alias("body"))
+
+
+def lint_sources(articles: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, issue, about) of articles (path, sources, modified): 'stale_source' for each source among ``files`` (path, modified) that changed after an article of the wiki,
+    and 'orphan_draft' for drafts without a wiki article of their name. Unknown and empty sources, and files or articles without a date, say nothing."""
+    wiki = articles.where(F.col("path").startswith("wiki/"))
+    used = wiki.select("path", F.col("modified").alias("_own"), F.explode(F.transform("sources", lambda s: F.trim(s))).alias("about")).where("about <> ''")
+    stale = used.join(files.select(F.col("path").alias("about"), F.col("modified").alias("_then")), "about").where(F.col("_then") > F.col("_own")).select("path", F.lit("stale_source").alias("issue"), "about")
+    name = F.regexp_extract("path", r"^(?:wiki|drafts)/(.*?)(?:\.md)?$", 1)
+    drafts = articles.where(F.col("path").startswith("drafts/")).select("path", name.alias("about"))
+    orphans = drafts.join(wiki.select(name.alias("about")).distinct(), "about", "left_anti").select("path", F.lit("orphan_draft").alias("issue"), "about")
+    return stale.unionByName(orphans)

@@ -106,3 +106,31 @@ def t23(spark, d):
 @query("t24_checksum", "SELECT doc_id, sha256(text) AS checksum FROM documents WHERE text IS NOT NULL")
 def t24(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("checksum"))
+
+
+@query("t17_note_fields", """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END AS description,
+  CASE WHEN p_partkey % 7 = 0 THEN [] WHEN p_partkey % 2 = 0 THEN [lower(p_brand), 'size ' || p_size, 'x: y'] ELSE [p_brand, p_type] END AS tags,
+  CASE WHEN p_partkey % 7 = 0 THEN concat_ws(chr(10), '---', 'name: "' || p_name || '"', 'body') ELSE 'body of' || chr(10) || p_name END AS body FROM part""")
+def t17(spark, d):
+    """Notes made of parts: tags as a list or behind their key, a list of another key, a repeated field, and every seventh without a closing line."""
+    n = F.col("p_partkey")
+    listed = F.concat(F.lit("tags:\n  - "), F.lower("p_brand"), F.lit("\n- size "), "p_size", F.lit("\n- x: y\nlinks:\n- not a tag\nname: \n"))
+    behind = F.concat(F.lit("tags: "), "p_brand", F.lit(", ,"), "p_type", F.lit("\n"))
+    whole = F.concat(F.lit('---\nname: wrong\nname: "'), "p_name", F.lit("\"\ndescription: '"), "p_type", F.lit("'\n"), F.when(n % 2 == 0, listed).otherwise(behind), F.lit("---\n\nbody of\n"), "p_name", F.lit("\n"))
+    text = F.when(n % 7 == 0, F.concat(F.lit('---\nname: "'), "p_name", F.lit('"\nbody'))).otherwise(whole)
+    return table(spark, d, "part").select("p_partkey", knowledge.note_fields(text, ["name", "description"]).alias("f")).select("p_partkey", "f.*")
+
+
+@query("t19_sources", """WITH a AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'drafts/' || (o_orderkey // 2) ELSE 'wiki/' || o_orderkey END || '.md' AS path, 'raw/' || o_custkey || '.md' AS source, CAST(o_orderdate AS DATE) AS modified FROM orders),
+f AS (SELECT 'raw/' || o_custkey || '.md' AS source, max(CAST(o_orderdate AS DATE)) AS latest FROM orders WHERE o_custkey % 4 > 0 GROUP BY 1)
+SELECT path, 'stale_source' AS issue, source AS about FROM a JOIN f USING (source) WHERE starts_with(path, 'wiki/') AND latest > modified
+UNION ALL SELECT path, 'orphan_draft', regexp_extract(path, '^drafts/(.*)\\.md$', 1) FROM a WHERE starts_with(path, 'drafts/') AND 'wiki/' || regexp_extract(path, '^drafts/(.*)\\.md$', 1) || '.md' NOT IN (SELECT path FROM a)""")
+def t19_sources(spark, d):
+    """Orders as articles whose source is their customer's file, last changed with the customer's newest order."""
+    n, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    orders = table(spark, d, "orders")
+    source = F.concat(F.lit("raw/"), "o_custkey", F.lit(".md"))
+    path = F.concat(F.when(n % 9 == 0, F.concat(F.lit("drafts/"), F.floor(n / 2))).otherwise(F.concat(F.lit("wiki/"), n)), F.lit(".md"))
+    articles = orders.select(path.alias("path"), F.array(source, F.lit(" "), F.lit("raw/none.md")).alias("sources"), day.alias("modified"))
+    files = orders.where("o_custkey % 4 > 0").groupBy(source.alias("path")).agg(F.max(day).alias("modified"))
+    return knowledge.lint_sources(articles, files)
