@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, null_safe_text, steps
+from .common import cut_by, null_safe_text, steps
 from .near_dedup import mix
 
 LENGTH, GRAM = 100, 24
@@ -407,13 +407,13 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     seen = seen.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)})
     found = seen.where("gone or often or lo <> hi").select("doc_id", F.struct("g", "s0", "no", "gone", "often").alias("s"))
     by_doc = found.groupBy("doc_id").agg(F.collect_list("s").alias("segs"))  # no more than the document's own bytes
-    affected = cut(rows.join(by_doc, "doc_id"))
+    affected = cut_by(rows.join(by_doc.hint("merge"), "doc_id"), "doc_id")
     compared = affected.where(F.exists("segs", lambda s: ~s["gone"]))
     bodies = compared.mapInArrow(_bodies, "k long, doc_id long, s0 long, body binary").repartition(F.col("k")).sortWithinPartitions("k")
     spans = bodies.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     gone = F.transform(F.filter("segs", lambda s: s["gone"]), lambda s: F.struct(s["s0"].alias("s0"), s["no"].alias("no")))
-    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans, "doc_id", "left").mapInArrow(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary, kept_text string")
+    return affected.select("doc_id", "_text", gone.alias("segs")).join(spans.hint("merge"), "doc_id", "left").mapInArrow(_removed, "doc_id long, whole string, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
