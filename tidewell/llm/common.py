@@ -46,15 +46,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """As cut, in buckets of ``key``: a later join by it moves only the other side. ``df`` should be partitioned by the key already, as after a merge join."""
-    spark = df.sparkSession
-    name = f"kept_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 def null_safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
