@@ -126,13 +126,13 @@ def a20(spark, d):
     return a.join(b, "question", "full").select("question", change.alias("change"))
 
 
-@query("a11_question_recall", f"""WITH {HITS_SQL}, about AS (SELECT CAST(s_suppkey AS INT) AS query_no, p_name FROM supplier JOIN part ON p_partkey = s_suppkey),
+@query("a11_question_recall", f"""WITH {HITS_SQL}, about AS (SELECT CAST(n_nationkey AS INT) AS query_no, p_name FROM nation JOIN part ON p_partkey = n_nationkey),
 w AS (SELECT query_no, chunk_id, source_role = 'user' AND state_key <> '' AS must FROM about JOIN notes ON contains(content, ' ' || p_name) WHERE contains(path, 'user-fact')),
 h AS (SELECT w.*, rank IS NOT NULL AS hit FROM w LEFT JOIN (SELECT query_no, chunk_id, rank FROM hits WHERE rank <= 10) USING (query_no, chunk_id))
 SELECT query_no, count(*) AS wanted, count(*) FILTER (hit) AS found, bool_or(hit) AS passed_any, bool_and(hit OR NOT must) AS passed_all FROM h GROUP BY query_no""")
 def a11_questions(spark, d):
     """Recall at ten of the search: of each question the notes of facts about its part, of which the user's keyed states must be found."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name")
-    about = table(spark, d, "supplier").join(part, "s_suppkey").select(F.col("s_suppkey").cast("int").alias("query_no"), "p_name")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("n_nationkey"), "p_name")
+    about = table(spark, d, "nation").join(part, "n_nationkey").select(F.col("n_nationkey").cast("int").alias("query_no"), "p_name")
     facts = notes(spark, d).where(F.col("path").contains("user-fact")).select("chunk_id", "item", ((F.col("source_role") == "user") & (F.col("state_key") != "")).alias("must"))
     return stats.recall_of(hits(spark, d), about.join(facts, F.col("item") == F.col("p_name")).select("query_no", "chunk_id", "must"))

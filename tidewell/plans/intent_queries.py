@@ -8,7 +8,7 @@ from ..functions import words as W
 from ..operators import intent as I
 from ..operators import probes as P
 from ..operators import questions
-from ..sources.hits import ASKED_SQL, HITS_SQL, any_word, asked, hits
+from ..sources.hits import ASKED_SQL, HITS_SQL, any_word, asked, hits, posed
 from .probe_queries import PROBES_SQL, TYPES, bare, each, keep, lit, ordered, past, singular
 from .question_sql import HINTS
 from .registry import query
@@ -89,7 +89,7 @@ rw AS MATERIALIZED (SELECT * EXCLUDE (score, rank, s), s AS score, row_number()
 
 
 def probes(spark, d):
-    return P.derived(asked(spark, d))
+    return P.derived(posed(spark, d))
 
 
 def reweighted(spark, d):
@@ -283,7 +283,7 @@ def hints():
 
 @query("r26_quality", f"{H}, {quality_sql('hits', 'ql')} SELECT * FROM ql")
 def r26(spark, d):
-    return I.quality(asked(spark, d), hits(spark, d), hints())
+    return I.quality(posed(spark, d), hits(spark, d), hints())
 
 
 @query("r16_distinct_hits")

@@ -10,7 +10,7 @@ from ..functions import words as W
 from ..operators import probes as P
 from ..operators import questions, search
 from ..session import table
-from ..sources.hits import ASKED_SQL, SEARCHED_SQL, TOK, any_word, asked, searched
+from ..sources.hits import ASKED_SQL, POSED_SQL, SEARCHED_SQL, TOK, any_word, asked, posed, searched
 from .registry import query
 
 _fresh = (f"v{i}" for i in itertools.count())
@@ -271,7 +271,7 @@ c AS (SELECT f.query_no, f.chunk_id, (f.i - f.low + 1) / (e.upto - b.upto + b.in
 SELECT query_no, chunk_id, CAST(count(*) AS INT) AS covers, round(sum(gain), 9) AS score FROM c GROUP BY ALL"""
 
 
-@query("f10_cover_density", f"WITH {SEARCHED_SQL}, {ASKED_SQL}, {PROBES_SQL}, sought AS (SELECT DISTINCT query_no, unnest(string_split(phrases[1], ' ')) AS term FROM probes), " + cover_sql("searched", "sought"))
+@query("f10_cover_density", f"WITH {SEARCHED_SQL}, {POSED_SQL}, {PROBES_SQL}, sought AS (SELECT DISTINCT query_no, unnest(string_split(phrases[1], ' ')) AS term FROM probes), " + cover_sql("searched", "sought"))
 def f10(spark, d):
-    first = _derived(spark, d).select("query_no", F.explode(F.split(F.try_element_at("phrases", F.lit(1)), " ")).alias("term"))
+    first = P.derived(posed(spark, d)).select("query_no", F.explode(F.split(F.try_element_at("phrases", F.lit(1)), " ")).alias("term"))
     return search.cover_density(searched(spark, d), first)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..operators import probes as P
 from ..operators import questions, recall
-from ..sources.hits import ASKED_SQL, HITS_SQL, any_word, asked, hits, searched, transcripts
+from ..sources.hits import ASKED_SQL, HITS_SQL, any_word, asked, hits, posed, searched, transcripts
 from .probe_queries import keep, match, ordered, words
 from .registry import query
 
@@ -17,7 +17,7 @@ GROUPS = 97
 
 def _requests(spark, d):
     n = F.col("query_no")
-    return asked(spark, d).select(n.alias("request"), (n % GROUPS).cast("int").alias("grp"), (n % 3).alias("w_global"), (n % 2 + 0.5).alias("w_project"), "question")
+    return posed(spark, d).select(n.alias("request"), (n % GROUPS).cast("int").alias("grp"), (n % 3).alias("w_global"), (n % 2 + 0.5).alias("w_project"), "question")
 
 
 def _topics(spark, d):
@@ -75,4 +75,4 @@ def i10_profile(spark, d):
 def i10(spark, d):
     """Hits and snippets of transcripts. No SQL: its profile has SQL, the snippets and their scores are tested against plain Python."""
     hint = lambda rows: P.bm25_probes(rows, questions.date_hints(F.col("question"), F.col("day")))
-    return recall.episodic(asked(spark, d), hits(spark, d), transcripts(spark, d), hint).select("query_no", "chunk_id", "path", "score", "rank", "expanded", F.sha2("text", 256).alias("text_sha256"))
+    return recall.episodic(posed(spark, d), hits(spark, d), transcripts(spark, d), hint).select("query_no", "chunk_id", "path", "score", "rank", "expanded", F.sha2("text", 256).alias("text_sha256"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..operators import questions, retry
-from ..sources.hits import ASKED_SQL, K, SEARCHED_SQL, TOK, TERMS_SQL, any_word, asked, bm25_table_sql, searched
+from ..sources.hits import K, POSED_SQL, SEARCHED_SQL, TOK, TERMS_SQL, any_word, bm25_table_sql, posed, searched
 from .intent_queries import STRONGEST, WORDS_SQL, quality_sql
 from .registry import query
 from .search_queries import GRAMS
@@ -17,7 +17,7 @@ BUILT = "1996-06-30"
 
 def _cascade(spark, d):
     rows = searched(spark, d)
-    return retry.cascade(asked(spark, d), rows.where(F.col("modified") <= F.lit(BUILT).cast("date")), rows, lambda: questions.date_hints(F.col("question"), F.col("day")))
+    return retry.cascade(posed(spark, d), rows.where(F.col("modified") <= F.lit(BUILT).cast("date")), rows, lambda: questions.date_hints(F.col("question"), F.col("day")))
 
 
 def _found(name: str, rows: str, terms: str, bounded: bool = True) -> str:
@@ -37,7 +37,7 @@ h5_c AS (SELECT query_no, chunk_id, round(count(*) / (n + m - count(*)), 9) AS s
 h5_b AS (SELECT query_no, chunk_id, max(score) AS score FROM h5_c WHERE score >= 0.3 GROUP BY ALL),
 h5 AS MATERIALIZED (SELECT query_no, chunk_id, score, lower(concat_ws(chr(10), path, title, summary, content)) AS text, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, chunk_id) AS rank FROM h5_b JOIN searched USING (chunk_id) QUALIFY rank <= {K})"""
 HAS = {0: "true", 1: f"{OTHER} IS NOT NULL", 3: f"len({WORD}) > 0", 4: f"{STRONGEST} IS NOT NULL", 5: f"len({WORD}) > 0", 6: "true"}
-CASCADE = f"""WITH {SEARCHED_SQL}, {ASKED_SQL}, built AS (SELECT * FROM searched WHERE modified <= DATE '{BUILT}'), {_found("h0", "built", TERMS_SQL)}, {_found("h1", "built", OTHER)}, {_found("h3", "searched", WORD)},
+CASCADE = f"""WITH {SEARCHED_SQL}, {POSED_SQL}, built AS (SELECT * FROM searched WHERE modified <= DATE '{BUILT}'), {_found("h0", "built", TERMS_SQL)}, {_found("h1", "built", OTHER)}, {_found("h3", "searched", WORD)},
 {_found("h4", "searched", ONE)}, {ALIKE}, {_found("h6", "built", TERMS_SQL, False)}, {", ".join(quality_sql(f"h{r}", f"q{r}") for r in HAS)},
 tried AS ({" UNION ALL ".join(f"SELECT q{r}.query_no, {r} AS rung, '{retry.REASONS[r]}' AS reason, coalesce(n, 0) AS n_hits, label, q{r}.score, retry FROM q{r} JOIN asked USING (query_no) LEFT JOIN (SELECT query_no, count(*) AS n FROM h{r} GROUP BY ALL) USING (query_no) WHERE {has}" for r, has in HAS.items())}),
 base AS (SELECT query_no, label AS b_label, score AS b_score, n_hits AS b_hits FROM tried WHERE rung = 0),

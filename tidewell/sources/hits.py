@@ -1,7 +1,8 @@
 """Questions, notes and what a search finds: the best rows of the corpus and of the notes for each question, by BM25.
 
-Notes are sentences about orders, one for each order that has lines; questions ask about parts,
-one for each supplier. Both grow with the tables, and each hit holds its row's whole text.
+Notes are sentences about orders, one for each order that has lines; questions ask about parts, one for
+each supplier. What is searched for is a stated set of questions, one for each nation, against all rows, so that a
+search grows with these; each hit holds its row's whole text.
 """
 
 from __future__ import annotations
@@ -110,18 +111,27 @@ def searched(spark, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).withColumns(none).select(*ROW).unionByName(notes(spark, sf_dir).select(*ROW))
 
 
+def _questions(spark, sf_dir: str, name: str, key: str) -> DataFrame:
+    k = F.col(key)
+    part = lambda x: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(x + "_key"), F.col("p_name").alias(x))
+    rows = table(spark, sf_dir, name).join(part("a"), F.col("a_key") == k).join(part("b"), F.col("b_key") == 2 * k + 1)
+    day = F.date_add(F.lit("1999-01-01").cast("date"), (k * 13 % 900).cast("int"))
+    return rows.select(k.cast("int").alias("query_no"), _filled(_pick(QUESTIONS, k), {"a": F.col("a"), "b": F.col("b")}).alias("question"), day.alias("day"))
+
+
 def asked(spark, sf_dir: str) -> DataFrame:
     """(query_no, question, day): one question for each supplier, about two parts, and the day on which it is asked."""
-    s = F.col("s_suppkey")
-    part = lambda name: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(name + "_key"), F.col("p_name").alias(name))
-    rows = table(spark, sf_dir, "supplier").join(part("a"), F.col("a_key") == s).join(part("b"), F.col("b_key") == 2 * s + 1)
-    day = F.date_add(F.lit("1999-01-01").cast("date"), (s * 13 % 900).cast("int"))
-    return rows.select(s.cast("int").alias("query_no"), _filled(_pick(QUESTIONS, s), {"a": F.col("a"), "b": F.col("b")}).alias("question"), day.alias("day"))
+    return _questions(spark, sf_dir, "supplier", "s_suppkey")
+
+
+def posed(spark, sf_dir: str) -> DataFrame:
+    """The questions that are searched for, a stated set against all rows: one for each nation, as asked() has them."""
+    return _questions(spark, sf_dir, "nation", "n_nationkey")
 
 
 def hits(spark, sf_dir: str, k: int = K) -> DataFrame:
     """The ``k`` best rows of each question: query_no, question, day, the row's columns, text (path, title, summary and content, lower-cased), score and rank."""
-    rows, questions = searched(spark, sf_dir), asked(spark, sf_dir)
+    rows, questions = searched(spark, sf_dir), posed(spark, sf_dir)
     wanted = questions.select("query_no", F.explode(first_terms(F.col("question"))).alias("term"))
     best = search.best_of_each(search.bm25_table(rows, wanted), k)
     return best.join(questions, "query_no").join(rows, "chunk_id").withColumn("text", F.lower(F.concat_ws("\n", "path", "title", "summary", "content")))
@@ -154,8 +164,15 @@ notes AS (SELECT -1 - o_orderkey AS chunk_id, CASE WHEN o_custkey % 3 <> 0 THEN
   FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS part, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey JOIN part ON p_partkey = part),
 searched AS (SELECT chunk_id, path, title, summary, tag_text, content, scope, session_id, source_role, modified, superseded_by, '' AS state_key, '' AS state_kind, '' AS state_subject, '' AS valid_from, '' AS valid_to FROM corpus
   UNION ALL SELECT * FROM notes)"""
-ASKED_SQL = f"""asked AS (SELECT CAST(s_suppkey AS INT) AS query_no, {_filled_sql(_pick_sql(QUESTIONS, "s_suppkey"), {"a": "a.p_name", "b": "b.p_name"})} AS question, DATE '1999-01-01' + CAST(s_suppkey * 13 % 900 AS INT) AS day
-  FROM supplier JOIN part a ON a.p_partkey = s_suppkey JOIN part b ON b.p_partkey = 2 * s_suppkey + 1)"""
+
+
+def _questions_sql(name: str, key: str) -> str:
+    return f"""asked AS (SELECT CAST({key} AS INT) AS query_no, {_filled_sql(_pick_sql(QUESTIONS, key), {"a": "a.p_name", "b": "b.p_name"})} AS question, DATE '1999-01-01' + CAST({key} * 13 % 900 AS INT) AS day
+  FROM {name} JOIN part a ON a.p_partkey = {key} JOIN part b ON b.p_partkey = 2 * {key} + 1)"""
+
+
+#: The questions as ``asked``: those of all suppliers, and those that are searched for.
+ASKED_SQL, POSED_SQL = _questions_sql("supplier", "s_suppkey"), _questions_sql("nation", "n_nationkey")
 TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -177,7 +194,7 @@ def bm25_table_sql(rows: str, wanted: str, name: str) -> str:
 
 
 #: The hits in SQL, to stand behind WITH.
-HITS_SQL = f"""{SEARCHED_SQL}, {ASKED_SQL}, wanted AS (SELECT query_no, unnest({TERMS_SQL}) AS term FROM asked), {bm25_table_sql("searched", "wanted", "bm")},
+HITS_SQL = f"""{SEARCHED_SQL}, {POSED_SQL}, wanted AS (SELECT query_no, unnest({TERMS_SQL}) AS term FROM asked), {bm25_table_sql("searched", "wanted", "bm")},
 hits AS MATERIALIZED (SELECT b.query_no, question, day, s.*, lower(concat_ws(chr(10), path, title, summary, content)) AS text, score, CAST(rank AS INT) AS rank
   FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, chunk_id) AS rank FROM bm QUALIFY rank <= {K}) b JOIN asked USING (query_no) JOIN searched s USING (chunk_id))"""
 
