@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, null_safe_text, steps
+from .common import cut, null_safe_text, release, steps
 from .near_dedup import mix
 
 LENGTH, GRAM = 100, 24
@@ -408,6 +408,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = seen.where("gone or often or lo <> hi").select("doc_id", F.struct("g", "s0", "no", "gone", "often").alias("s"))
     by_doc = found.groupBy("doc_id").agg(F.collect_list("s").alias("segs"))  # no more than the document's own bytes
     affected = cut(rows.join(by_doc, "doc_id"))
+    del segs, seen, found, by_doc  # what they shuffled is written
+    release(docs.sparkSession)
     compared = affected.where(F.exists("segs", lambda s: ~s["gone"]))
     bodies = compared.mapInArrow(_bodies, "k long, doc_id long, s0 long, body binary").repartition(F.col("k")).sortWithinPartitions("k")
     spans = bodies.mapInPandas(_sorted_groups, "doc_id long, start long, end long")
