@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import ascii_words
+
 #: What a user says to confirm or to correct a note.
 POSITIVE = [
     r"(?i)\b(perfect|exactly|great|thanks|correct|right|yes)\b",
@@ -34,7 +36,7 @@ DEEP_STALE, STALE, STRONG, REINFORCED = 180, 90, 45, 14
 
 def reaction(text: Column) -> tuple[Column, Column]:
     """(reaction, confidence): the side with more matching patterns, 0.3 for each; ties are neutral with 0.2, none with 0."""
-    count = lambda ps: functools.reduce(operator.add, [text.rlike(p).cast("int") for p in ps])
+    count = lambda ps: functools.reduce(operator.add, [text.rlike(ascii_words(p)).cast("int") for p in ps])
     up, down = count(POSITIVE), count(NEGATIVE)
     kind = F.when(up > down, "reinforced").when(down > up, "corrected").otherwise("neutral")
     sure = F.when(up == down, F.when(up > 0, 0.2).otherwise(0.0)).otherwise(F.round(F.least(F.lit(1.0), 0.3 * F.greatest(up, down)), 9))
