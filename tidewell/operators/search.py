@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stem import fnv1a64, porter, porter_stem
 from ..functions.text import jaccard, tokens, trigrams
+from ..session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Weight of an occurrence in each field.
@@ -64,7 +65,8 @@ def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str,
     All queries share two passes over ``rows``: one counts rows and tokens, the other
     gathers the occurrences of all their terms; only those are shuffled. The inverse
     document frequency is floored at 1e-6. ``variants`` (token, term) maps tokens to the
-    terms they stand for, such as stems; without it tokens are terms.
+    terms they stand for, such as stems; it is few rows, which are broadcast, so that
+    other tokens are not shuffled. Without it tokens are terms.
     """
     fields = fields_of(rows, fields)
     terms = sorted({t for q in queries.values() for t in q})
@@ -79,7 +81,7 @@ def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str,
 
     found = toks.select("chunk_id", length.alias("len"), F.inline(F.concat(*[part(f, w) for f, w in fields.items()])))
     if variants is not None:
-        found = found.withColumnRenamed("term", "token").join(variants, "token")
+        found = found.withColumnRenamed("term", "token").join(F.broadcast(variants), "token")
     tf = found.groupBy("chunk_id", "len", "term").agg(F.sum("w").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -159,9 +161,16 @@ def bm25(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -
 
 
 def stem_variants(rows: DataFrame, terms: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
-    """(token, term): the distinct tokens of ``rows`` whose Porter stem is that of a term, with the stem."""
-    vocabulary = rows.select(F.explode(F.array_distinct(F.flatten(F.array(*[tokens(F.col(f)) for f in fields_of(rows, fields)])))).alias("token")).distinct()
-    return vocabulary.withColumn("term", porter(F.col("token"))).where(F.col("term").isin(sorted({porter_stem(t) for t in terms})))
+    """(token, term): the distinct tokens of ``rows`` whose Porter stem is that of a term, with the stem.
+
+    The stemmer changes no more than a word's end: all but the last two letters of a stem begin its words. Other tokens go before any is set apart.
+    What is found is written, as a filter by the stem would else move into the joins that it serves, to every token beside its row.
+    """
+    stems = sorted({porter_stem(t) for t in terms})
+    begins = lambda t: functools.reduce(operator.or_, [t.startswith(s[:-2]) for s in stems], F.lit(False))
+    every = F.flatten(F.array(*[F.filter(tokens(F.col(f)), begins) for f in fields_of(rows, fields)]))
+    vocabulary = rows.select(F.explode(F.array_distinct(every)).alias("token")).distinct()
+    return cut(vocabulary.withColumn("term", porter(F.col("token"))).where(F.col("term").isin(stems)))
 
 
 def best_of_each(scored: DataFrame, k: int, group: str = "query_no", key: str = "chunk_id") -> DataFrame:
