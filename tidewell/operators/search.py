@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -90,28 +93,99 @@ def bm25_many(rows: DataFrame, queries: dict[int, list[str]], fields: dict[str,
     return tf.join(F.broadcast(weights), "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
 
 
+#: As many (query, term) are collected and broadcast; beyond them tokens meet the terms by a join.
+FEW_TERMS = 50_000
+#: Most queries times terms whose scores are a product of matrices.
+FEW_CELLS = 1_000_000
+
+
 def bm25_table(rows: DataFrame, wanted: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
     """(query_no, chunk_id, score) as bm25_many, for a table of any number of queries: ``wanted`` has a row (query_no, term) for each.
 
-    Occurrences meet the distinct terms before they are counted; Spark broadcasts the terms if they are few.
+    Up to FEW_TERMS of these, rows are read once: their lengths and their occurrences of the terms are written, dealt by row, and neither other
+    tokens nor (query, row) pairs are shuffled. Beyond, occurrences meet the distinct terms before they are counted.
     """
+    return _scored(*_held(rows, wanted, fields))
+
+
+def _held(rows: DataFrame, wanted: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (chunk_id, len, held: their tokens with weights), what is wanted, and whether this is few; if so, the rows are written and hold only wanted terms."""
     fields = fields_of(rows, fields)
-    wanted = wanted.select("query_no", "term").distinct()
+    wanted = cut(wanted.select("query_no", "term").where("term is not null").distinct())
+    few = len(wanted.limit(FEW_TERMS + 1).select(F.lit(1)).collect()) <= FEW_TERMS
+    terms = sorted(r.term for r in wanted.select("term").distinct().collect()) if few else []
     toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields])
     length = functools.reduce(operator.add, [F.size(f) for f in fields])
-    stats = toks.agg(F.count("*").alias("n_rows"), F.avg(length).alias("avg_len"))  # one row
 
     def part(f: str, w: float) -> Column:
-        return F.transform(f, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+        own = F.filter(f, lambda t: t.isin(terms)) if few else F.col(f)
+        return F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    every = F.concat(*[part(f, w) for f, w in fields.items()])
-    found = toks.select("chunk_id", length.alias("len"), F.inline(every)).join(wanted.select("term").distinct(), "term")
-    tf = found.groupBy("chunk_id", "len", "term").agg(F.sum("w").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    held = toks.select("chunk_id", length.alias("len"), F.concat(*[part(f, w) for f, w in fields.items()]).alias("held"))
+    return (cut(held) if few else held), wanted, few
+
+
+def _idf(held: DataFrame, df: DataFrame) -> DataFrame:
+    """(term, idf, avg_len) of document frequencies (term, df)."""
+    stats = held.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")
+
+
+def _scored(held: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    if few:
+        found = held.where(F.size("held") > 0).repartition("chunk_id").select("chunk_id", "len", F.inline("held"))
+    else:
+        found = held.select("chunk_id", "len", F.inline("held")).join(wanted.select("term").distinct(), "term")
+    tf = found.groupBy("chunk_id", "len", "term").agg(F.sum("w").alias("f"))
+    weights = _idf(held, tf.groupBy("term").agg(F.count("*").alias("df"))).join(F.broadcast(wanted) if few else wanted, "term")
     one = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weights = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len").join(wanted, "term")
-    return tf.join(weights, "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
+    return tf.join(F.broadcast(weights) if few else weights, "term").groupBy("query_no", "chunk_id").agg(F.round(F.sum(F.col("idf") * one), 9).alias("score"))
+
+
+def bm25_best(rows: DataFrame, wanted: DataFrame, k: int, fields: dict[str, float] = FIELDS) -> DataFrame:
+    """(query_no, chunk_id, score, rank): the best ``k`` of each query, as best_of_each of bm25_table.
+
+    Where queries times terms are at most FEW_CELLS and no chunk_id repeats or is null, each task scores its rows as a matrix product and gives k rows a query.
+    """
+    held, wanted, few = _held(rows, wanted, fields)
+    asks = wanted.collect() if few else []  # FEW_TERMS at most
+    queries, terms = sorted({r.query_no for r in asks}), sorted({r.term for r in asks})
+    if not few or len(queries) * len(terms) > FEW_CELLS or not held.groupBy("chunk_id").count().where("count > 1 or chunk_id is null").isEmpty():
+        return best_of_each(_scored(held, wanted, few), k)
+    some = held.where(F.size("held") > 0)
+    known = _idf(held, some.select(F.explode(F.array_distinct(F.transform("held", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))).collect()
+    idf, avg_len = np.zeros(len(terms)), known[0].avg_len if known else 1.0
+    idf[[terms.index(r.term) for r in known]] = [r.idf for r in known]
+    asked = np.zeros((len(terms), len(queries)))
+    asked[[terms.index(r.term) for r in asks], [queries.index(r.query_no) for r in asks]] = 1.0
+    step = max(1, 4_000_000 // max(1, len(terms)))  # rows that are scored at once
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in queries]
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, held = part.column(0).to_numpy(zero_copy_only=False), part.column(2)
+                flat, sizes = held.flatten(), pc.list_value_length(held).to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(len(ids)), sizes) * len(terms) + pc.index_in(flat.field(0), value_set=pa.array(terms)).to_numpy(zero_copy_only=False)
+                f = np.bincount(cell, flat.field(1).to_numpy(zero_copy_only=False), len(ids) * len(terms)).reshape(len(ids), -1)
+                own = K1 * (1 - B + B * part.column(1).to_numpy(zero_copy_only=False) / avg_len)
+                scores = (idf * (f * (K1 + 1) / (f + own[:, None]))) @ asked
+                for q in range(len(queries)):
+                    s, i = top[q]
+                    new = np.flatnonzero((scores[:, q] > 0) & (scores[:, q] >= (s[-1] - 1e-8 if len(s) == k else 0)))
+                    if len(new):
+                        s, i = np.concatenate([s, np.round(scores[new, q], 9)]), np.concatenate([i, ids[new]])
+                        order = np.lexsort((i, -s))[:k]
+                        top[q] = s[order], i[order]
+        for q, (s, i) in zip(queries, top):
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(s), numbers), pa.array(i, pa.int64()), pa.array(s)], names=["query_no", "chunk_id", "score"])
+
+    kind = wanted.schema["query_no"].dataType
+    numbers = pa.int32() if kind.simpleString() == "int" else pa.int64()
+    scored = some.select(F.col("chunk_id").cast("long").alias("chunk_id"), "len", "held").mapInArrow(best, f"query_no {kind.simpleString()}, chunk_id long, score double")
+    return best_of_each(scored, k)
 
 
 #: Weights of the fields whose positions make a cover, in their order.

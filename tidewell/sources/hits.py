@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..operators import search
 from ..operators.retry import first_terms
-from ..session import table
+from ..session import cut, table
 from .corpus import CORPUS_SQL, corpus, scope_of
 
 #: Hits of a question.
@@ -74,11 +74,15 @@ def _filled(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-def notes(spark, sf_dir: str) -> DataFrame:
-    """One row of the corpus for each order that has lines: a sentence about its first part, with state metadata."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("qty"))
+def notes(spark, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """One row of the corpus for each order that has lines: a sentence about its first part, with state metadata. ``only`` (chunk_id, few rows) are made, if it is given."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    if only is not None:
+        keys = F.broadcast(only.select((-1 - F.col("chunk_id")).alias("_key")))
+        orders, lines = orders.join(keys, F.col("o_orderkey") == F.col("_key"), "left_semi"), lines.join(keys, F.col("l_orderkey") == F.col("_key"), "left_semi")
+    lines = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("qty"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("item"))
-    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(part, "part")
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(part, "part")
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     values = {"qty": F.col("qty"), "item": F.col("item"), "price": F.format_string("%.2f", "o_totalprice"), "n": F.col("n"), "month": F.date_format(day, "MMMM"), "day": F.dayofmonth(day), "iso": day, "cust": F.col("o_custkey")}
     global_ = F.col("o_custkey") % 3 != 0
@@ -105,10 +109,10 @@ def notes(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def searched(spark, sf_dir: str) -> DataFrame:
-    """The rows that are searched: the corpus and the notes."""
+def searched(spark, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The rows that are searched: the corpus and the notes; of the notes those of ``only`` (chunk_id, few rows), if it is given."""
     none = {c: F.lit("") for c in ("state_key", "state_kind", "state_subject", "valid_from", "valid_to")}
-    return corpus(spark, sf_dir).withColumns(none).select(*ROW).unionByName(notes(spark, sf_dir).select(*ROW))
+    return corpus(spark, sf_dir).withColumns(none).select(*ROW).unionByName(notes(spark, sf_dir, only).select(*ROW))
 
 
 def _questions(spark, sf_dir: str, name: str, key: str) -> DataFrame:
@@ -133,8 +137,9 @@ def hits(spark, sf_dir: str, k: int = K) -> DataFrame:
     """The ``k`` best rows of each question: query_no, question, day, the row's columns, text (path, title, summary and content, lower-cased), score and rank."""
     rows, questions = searched(spark, sf_dir), posed(spark, sf_dir)
     wanted = questions.select("query_no", F.explode(first_terms(F.col("question"))).alias("term"))
-    best = search.best_of_each(search.bm25_table(rows, wanted), k)
-    return best.join(questions, "query_no").join(rows, "chunk_id").withColumn("text", F.lower(F.concat_ws("\n", "path", "title", "summary", "content")))
+    best = cut(search.bm25_best(rows, wanted, k))  # k rows a question
+    rows = searched(spark, sf_dir, best.select("chunk_id").distinct())
+    return F.broadcast(best.join(questions, "query_no")).join(rows, "chunk_id").withColumn("text", F.lower(F.concat_ws("\n", "path", "title", "summary", "content")))
 
 
 def _literals(values: list[str]) -> str:
