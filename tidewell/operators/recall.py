@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import words as W
+from ..session import cut
 from . import probes as P
 from . import search
 from .intent import diverse
@@ -47,8 +48,9 @@ def recall(requests: DataFrame, topics: DataFrame, surfaced: DataFrame, k: int =
 
     requests also have question; topics the columns of hits (chunk_id, title, summary, tag_text, content, modified).
     """
-    chosen = recall_candidates(requests, topics, surfaced)
-    rows = chosen.join(topics.dropDuplicates(["path"]), "path").join(requests.select("request", "question"), "request")
+    chosen = cut(recall_candidates(requests, topics, surfaced))  # SCANNED rows a request
+    own = topics.join(chosen.select("path").distinct(), "path", "left_semi").dropDuplicates(["path"])
+    rows = chosen.join(own, "path").join(requests.select("request", "question"), "request")
     return diverse(rows.withColumnsRenamed({"request": "query_no", "pos": "rank"}), k)
 
 
