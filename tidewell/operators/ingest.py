@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.stored import StoredTable
 
 INDEX = "path string, checksum string, title string, body string"
@@ -69,40 +70,47 @@ def ingest(spark: SparkSession, docs: DataFrame, folder: str, chunk: Callable[[D
     rows = docs.select(F.sha2(text, 256).alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("title", F.lit("")).alias("title"), text.alias("text"))
     rows = rows.groupBy("hash").agg(F.min(F.struct("owner", "title", "text")).alias("r")).select("hash", "r.*")
     named = rows.select("hash", F.concat_ws(":", "owner", F.substring("hash", 1, 16)).alias("document_id"), F.concat(F.lit("raw/documents/"), "hash", F.lit(".md")).alias("path"), "title", "text")
-    reused = states.read().where(f"stage = '{STAGES[-1]}'").select("hash", F.lit(True).alias("reused"))
-    first = named.join(reused, "hash", "left")
+    was = states.read().select("hash", F.col("stage").alias("was"))
+    # texts are shuffled once here, and written where they are needed; what is to do at a stage follows from how far each came before
+    known = F.coalesce(F.col("was") == STAGES[-1], F.lit(False))
+    named = cut(named.join(was, "hash", "left").withColumn("text", F.when(~known, F.col("text"))))
 
     def at(stage: str, more: DataFrame) -> None:
         """States of ``more`` (hash, document_id, path, chunk_count) as of this stage."""
         new = more.select("hash", "document_id", "path", F.lit(stage).alias("stage"), "chunk_count")
-        states.merge(new, _next(states), lambda old, r: old.join(r.select("hash"), "hash", "left_anti").unionByName(r))
+        states.merge(new, _next(states), _replaced)
 
     def todo(stage: str) -> DataFrame:
         """Documents of this run that have not come to ``stage``."""
-        done = states.read().where(F.col("stage").isin(STAGES[STAGES.index(stage) :])).select("hash")
-        return named.join(done, "hash", "left_anti")
+        return named.where(~F.coalesce(F.col("was").isin(STAGES[STAGES.index(stage) :]), F.lit(False)))
 
-    known = first.select("hash", "document_id", "path", F.coalesce("reused", F.lit(False)).alias("reused"))
-    known.write.mode("overwrite").parquet(f"{folder}/run")  # what this run found
     some = todo("stored")
     if not some.isEmpty():
-        stored.merge(some.select("hash", "title", "text"), _next(stored), lambda old, r: old.join(r.select("hash"), "hash", "left_anti").unionByName(r))
+        stored.merge(some.select("hash", "title", "text"), _next(stored), _replaced)
         at("stored", some.withColumn("chunk_count", F.lit(0)))
     if upto != "stored":
         some = todo("chunked")
         if not some.isEmpty():
             parts = chunk(some.select("hash", "text")).select("hash", F.concat_ws(":", F.substring("hash", 1, 16), "ordinal").alias("chunk_id"), "ordinal", "content")
             if not parts.isEmpty():
-                chunks.merge(parts, _next(chunks), lambda old, r: old.join(r.select("hash").distinct(), "hash", "left_anti").unionByName(r))
+                chunks.merge(parts, _next(chunks), _replaced)
             counts = chunks.read().groupBy("hash").agg(F.count("*").cast("int").alias("chunk_count"))
-            found = some.join(counts, "hash", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+            found = some.select("hash", "document_id", "path").join(counts, "hash", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
             at("chunked", found)
         if upto != "chunked":
             some = todo("indexed").select("hash").join(states.read(), "hash")
             if not some.isEmpty():
                 at("indexed", some.where("chunk_count > 0"))
     counts = states.read().select("hash", "chunk_count")
-    return spark.read.schema("hash string, document_id string, path string, reused boolean").parquet(f"{folder}/run").join(counts, "hash").select("document_id", "path", "chunk_count", "reused")
+    return named.select("hash", "document_id", "path", known.alias("reused")).join(counts, "hash").select("document_id", "path", "chunk_count", "reused")
+
+
+def _replaced(old: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` in place of the old ones of their hashes; where they have none, as in a run that was not killed, no old text is shuffled to find that out."""
+    hashes = rows.select("hash").distinct()
+    if not old.select("hash").join(hashes, "hash", "left_semi").isEmpty():
+        old = old.join(hashes, "hash", "left_anti")
+    return old.unionByName(rows)
 
 
 def _next(table: StoredTable) -> int:

@@ -73,7 +73,7 @@ class StoredTable:
     def _write(self, rows: DataFrame, version: int, others: dict[int, int]) -> None:
         names = [f.name for f in StructType.fromDDL(self.schema)]
         out = f"{self.folder}/v={version}"
-        rows.select(*names, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
+        rows.select(*names, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(out)
         path, fs = self._paths()
         written = [int(s.getPath().getName()[7:]) for s in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(out)) if s.getPath().getName().startswith("bucket=")]
         manifest = [(b, v, self.buckets) for b, v in {**others, **dict.fromkeys(written, version)}.items()]
