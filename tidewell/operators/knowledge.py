@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -83,18 +84,29 @@ def lint(rows: DataFrame, stub: int = 200) -> DataFrame:
     return functools.reduce(DataFrame.union, [alone, broken, doubled])
 
 
+#: Words of 64 bits that stand for a title's grams.
+SLOTS = 8
+
+
 def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85, grams_of: Callable[[Column], Column] = trigrams) -> DataFrame:
     """Pairs (a, b, similarity) of distinct titles by trigram Jaccard similarity: candidates share one of the few
-    rarest trigrams that two such titles must share (prefix filtering). Only ids and sizes go through the
-    candidates' join; the sets come to the distinct pairs."""
+    rarest trigrams that two such titles must share (prefix filtering). Only ids, sizes and bits of hashed grams go through the
+    candidates' join; bits that one has and the other lacks are grams that they do not share, so that most
+    candidates end there, none of them alike. The sets come to the distinct pairs that are left."""
     each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).select("id", grams_of(F.col("t")).alias("g")).where(F.size("g") > 0)
     grams = each.select("id", F.size("g").alias("n"), F.explode("g").alias("w"))
     rarity = grams.groupBy("w").agg(F.count("*").alias("df"))
-    placed = grams.join(rarity, "w").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))  # a title's own grams
+    bit = F.pmod(F.xxhash64("w"), F.lit(64 * SLOTS))
+    hashed = grams.join(rarity, "w").withColumn("_slot", F.floor(bit / 64)).withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
+    own = Window.partitionBy("id")  # a title's own grams
+    bits = F.array(*[F.coalesce(F.bit_or(F.when(F.col("_slot") == i, F.col("_bit"))).over(own), F.lit(0).cast("long")) for i in range(SLOTS)])
+    placed = hashed.withColumn("bits", bits).withColumn("place", F.row_number().over(own.orderBy("df", "w")))
     rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    x, y = (rare.select("w", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}")) for s in "ab")
+    x, y = (rare.select("w", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
     # what stands before and after the shared gram bounds what two titles can share
     most = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    lacks = lambda s, t: functools.reduce(operator.add, [F.bit_count(F.col(f"bits_{s}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{t}")[i]))) for i in range(SLOTS)])
+    most = F.least(most, F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
     enough = most >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
     pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
     for side in "ab":
