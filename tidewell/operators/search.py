@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import operator
 from collections.abc import Iterator
@@ -108,20 +109,20 @@ def bm25_table(rows: DataFrame, wanted: DataFrame, fields: dict[str, float] = FI
     return _scored(*_held(rows, wanted, fields))
 
 
-def _held(rows: DataFrame, wanted: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, DataFrame, bool]:
-    """Rows (chunk_id, len, held: their tokens with weights), what is wanted, and whether this is few; if so, the rows are written and hold only wanted terms."""
+def _held(rows: DataFrame, wanted: DataFrame, fields: dict[str, float], beside: list[str] = ()) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (chunk_id, len, held: their tokens with weights, and the columns ``beside``), what is wanted, and whether this is few; if so, the rows are written and hold only wanted terms."""
     fields = fields_of(rows, fields)
     wanted = cut(wanted.select("query_no", "term").where("term is not null").distinct())
     few = len(wanted.limit(FEW_TERMS + 1).select(F.lit(1)).collect()) <= FEW_TERMS
     terms = sorted(r.term for r in wanted.select("term").distinct().collect()) if few else []
-    toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields])
+    toks = rows.select("chunk_id", *[tokens(F.col(f)).alias(f) for f in fields], *beside)
     length = functools.reduce(operator.add, [F.size(f) for f in fields])
 
     def part(f: str, w: float) -> Column:
         own = F.filter(f, lambda t: t.isin(terms)) if few else F.col(f)
         return F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    held = toks.select("chunk_id", length.alias("len"), F.concat(*[part(f, w) for f, w in fields.items()]).alias("held"))
+    held = toks.select("chunk_id", length.alias("len"), F.concat(*[part(f, w) for f, w in fields.items()]).alias("held"), *beside)
     return (cut(held) if few else held), wanted, few
 
 
@@ -148,13 +149,27 @@ def bm25_best(rows: DataFrame, wanted: DataFrame, k: int, fields: dict[str, floa
 
     Where queries times terms are at most FEW_CELLS and no chunk_id repeats or is null, each task scores its rows as a matrix product and gives k rows a query.
     """
-    held, wanted, few = _held(rows, wanted, fields)
+    return best_held(*_held(rows, wanted, fields), k)
+
+
+def best_held(held: DataFrame, wanted: DataFrame, few: bool, k: int, until: DataFrame | None = None) -> DataFrame:
+    """bm25_best of rows that _held gave, for those (query_no, term) that are ``wanted`` of them.
+
+    The queries of ``until`` (query_no, day: one row each) find only rows that are ``modified`` no later than their day; all rows count for the frequencies.
+    """
     asks = wanted.collect() if few else []  # FEW_TERMS at most
     queries, terms = sorted({r.query_no for r in asks}), sorted({r.term for r in asks})
     if not few or len(queries) * len(terms) > FEW_CELLS or not held.groupBy("chunk_id").count().where("count > 1 or chunk_id is null").isEmpty():
-        return best_of_each(_scored(held, wanted, few), k)
+        scored = _scored(held, wanted, few)
+        if until is not None:
+            dated = scored.join(held.select("chunk_id", "modified"), "chunk_id").join(until.withColumn("_bound", F.lit(True)), "query_no", "left")
+            scored = dated.where(F.col("_bound").isNull() | (F.col("modified") <= F.col("day"))).select(scored.columns)
+        return best_of_each(scored, k)
+    days = F.datediff("modified", F.lit("1970-01-01").cast("date")).cast("double") if until is not None else F.lit(0.0)
+    last = {r.query_no: np.nan if r.day is None else (r.day - datetime.date(1970, 1, 1)).days for r in until.collect()} if until is not None else {}  # one row a query
     some = held.where(F.size("held") > 0)
-    known = _idf(held, some.select(F.explode(F.array_distinct(F.transform("held", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))).collect()
+    df = some.select(F.explode(F.array_distinct(F.transform("held", lambda x: x["term"]))).alias("term")).where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("df"))
+    known = _idf(held, df).collect()
     idf, avg_len = np.zeros(len(terms)), known[0].avg_len if known else 1.0
     idf[[terms.index(r.term) for r in known]] = [r.idf for r in known]
     asked = np.zeros((len(terms), len(queries)))
@@ -168,13 +183,17 @@ def bm25_best(rows: DataFrame, wanted: DataFrame, k: int, fields: dict[str, floa
                 part = batch.slice(at, step)
                 ids, held = part.column(0).to_numpy(zero_copy_only=False), part.column(2)
                 flat, sizes = held.flatten(), pc.list_value_length(held).to_numpy(zero_copy_only=False)
-                cell = np.repeat(np.arange(len(ids)), sizes) * len(terms) + pc.index_in(flat.field(0), value_set=pa.array(terms)).to_numpy(zero_copy_only=False)
-                f = np.bincount(cell, flat.field(1).to_numpy(zero_copy_only=False), len(ids) * len(terms)).reshape(len(ids), -1)
+                at_term = pc.fill_null(pc.index_in(flat.field(0), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+                mine = at_term >= 0  # rows may hold terms of other queries
+                cell = np.repeat(np.arange(len(ids)), sizes)[mine] * len(terms) + at_term[mine]
+                f = np.bincount(cell, flat.field(1).to_numpy(zero_copy_only=False)[mine], len(ids) * len(terms)).reshape(len(ids), len(terms))
+                day = part.column(3).to_numpy(zero_copy_only=False)  # of rows without one: nan
                 own = K1 * (1 - B + B * part.column(1).to_numpy(zero_copy_only=False) / avg_len)
                 scores = (idf * (f * (K1 + 1) / (f + own[:, None]))) @ asked
                 for q in range(len(queries)):
                     s, i = top[q]
-                    new = np.flatnonzero((scores[:, q] > 0) & (scores[:, q] >= (s[-1] - 1e-8 if len(s) == k else 0)))
+                    ok = day <= last[queries[q]] if queries[q] in last else True
+                    new = np.flatnonzero(ok & (scores[:, q] > 0) & (scores[:, q] >= (s[-1] - 1e-8 if len(s) == k else 0)))
                     if len(new):
                         s, i = np.concatenate([s, np.round(scores[new, q], 9)]), np.concatenate([i, ids[new]])
                         order = np.lexsort((i, -s))[:k]
@@ -184,7 +203,7 @@ def bm25_best(rows: DataFrame, wanted: DataFrame, k: int, fields: dict[str, floa
 
     kind = wanted.schema["query_no"].dataType
     numbers = pa.int32() if kind.simpleString() == "int" else pa.int64()
-    scored = some.select(F.col("chunk_id").cast("long").alias("chunk_id"), "len", "held").mapInArrow(best, f"query_no {kind.simpleString()}, chunk_id long, score double")
+    scored = some.select(F.col("chunk_id").cast("long").alias("chunk_id"), "len", "held", days.alias("days")).mapInArrow(best, f"query_no {kind.simpleString()}, chunk_id long, score double")
     return best_of_each(scored, k)
 
 

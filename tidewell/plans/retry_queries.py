@@ -16,8 +16,8 @@ BUILT = "1996-06-30"
 
 
 def _cascade(spark, d):
-    rows = searched(spark, d)
-    return retry.cascade(posed(spark, d), rows.where(F.col("modified") <= F.lit(BUILT).cast("date")), rows, lambda: questions.date_hints(F.col("question"), F.col("day")))
+    built = F.col("modified") <= F.lit(BUILT).cast("date")
+    return retry.cascade(posed(spark, d), searched(spark, d), built, lambda: questions.date_hints(F.col("question"), F.col("day")), lambda ids: searched(spark, d, ids))
 
 
 def _found(name: str, rows: str, terms: str, bounded: bool = True) -> str:
