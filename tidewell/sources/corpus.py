@@ -23,9 +23,11 @@ def project_of(path: Column) -> Column:
     return F.coalesce(F.regexp_extract(path, r"^notes/project/([^/]+)/", 1), F.lit(""))
 
 
-def corpus(spark, sf_dir: str) -> DataFrame:
-    """Documents as indexed rows: a path by doc_id, title, content, and the metadata that filters and ranks need."""
+def corpus(spark, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Documents as indexed rows: a path by doc_id, title, content, and the metadata that filters and ranks need. ``only`` (chunk_id, few rows) are made, if it is given."""
     d = table(spark, sf_dir, "documents")
+    if only is not None:
+        d = d.join(F.broadcast(only.select(F.col("chunk_id").alias("doc_id"))), "doc_id", "left_semi")
     n = F.col("doc_id")
     path = (
         F.when(n % 4 == 0, F.concat(F.lit("notes/global/"), n, F.lit(".md")))

@@ -110,9 +110,9 @@ def notes(spark, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
 
 
 def searched(spark, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """The rows that are searched: the corpus and the notes; of the notes those of ``only`` (chunk_id, few rows), if it is given."""
+    """The rows that are searched: the corpus and the notes; those of ``only`` (chunk_id, few rows), if it is given."""
     none = {c: F.lit("") for c in ("state_key", "state_kind", "state_subject", "valid_from", "valid_to")}
-    return corpus(spark, sf_dir).withColumns(none).select(*ROW).unionByName(notes(spark, sf_dir, only).select(*ROW))
+    return corpus(spark, sf_dir, only).withColumns(none).select(*ROW).unionByName(notes(spark, sf_dir, only).select(*ROW))
 
 
 def _questions(spark, sf_dir: str, name: str, key: str) -> DataFrame:
