@@ -85,33 +85,69 @@ def lint(rows: DataFrame, stub: int = 200) -> DataFrame:
 
 
 #: Words of 64 bits that stand for a title's grams.
-SLOTS = 8
+SLOTS = 4
+
+
+def _parts(total: Column, least: float) -> Column:
+    """Into how many parts the grams of two sets are dealt, by the sum of their sizes: more parts than alike sets have grams
+    that only one of them holds. Large numbers are rounded up, by an eighth at most, so that a set is dealt few times."""
+    more = F.floor(total * ((1 - least) / (1 + least)) + 1e-3) + 1
+    step = F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(more)) - 3).cast("int"))
+    return (F.ceil(more / step) * step).cast("int")
+
+
+def _bits(hashes: str, slot: int) -> Column:
+    """One word of the bits that stand for hashed grams."""
+    none, bit = F.lit(0).cast("long"), lambda w: F.pmod(w, F.lit(64 * SLOTS)).cast("int")
+    return F.aggregate(hashes, none, lambda a, w: a.bitwiseOR(F.when(bit(w).between(64 * slot, 64 * slot + 63), F.call_function("shiftleft", F.lit(1).cast("long"), bit(w) % 64)).otherwise(none)))
+
+
+def _signatures(titles: DataFrame, least: float, grams_of: Callable[[Column], Column]) -> DataFrame:
+    """(key, m, k, n, bits): for each number m of parts that a title may share with one alike, the contents of each part, hashed; empty parts, too."""
+    parts, bits = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), [f"bits_{i}" for i in range(SLOTS)]
+    own = titles.repartition(parts, "k").select("k", F.transform(grams_of(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))  # in tasks by number, as each title makes many rows
+    n = F.coalesce(F.size("h"), F.lit(0))  # never null, else grams are made once more to see whether it is
+    partners = F.sequence((n + F.ceil(n * least - 1e-3)).cast("int"), (n + F.floor(n / F.lit(least) + 1e-3)).cast("int"))  # sums of sizes
+    counts = F.when(n > 0, F.array_distinct(F.transform(partners, lambda s: _parts(s, least))))
+    wide = own.select("k", n.alias("n"), *[_bits("h", i).alias(b) for i, b in enumerate(bits)], "h", F.explode_outer(counts).alias("m"))  # outer for the same reason
+    # one row without a gram for each part, then the grams
+    dealt = wide.select("k", "n", *bits, "m", F.posexplode(F.concat(F.sequence(F.lit(0), F.col("m") - 1).cast("array<long>"), "h")).alias("at", "w"))
+    mark = F.col("at") < F.col("m")
+    part = F.when(mark, F.col("at").cast("long")).otherwise(F.pmod("w", F.col("m").cast("long")))
+    held = F.bit_xor(F.when(mark, F.lit(0).cast("long")).otherwise(F.col("w")))
+    each = dealt.groupBy("k", "n", *bits, "m", part.alias("part")).agg(held.alias("held"))
+    return each.select(F.xxhash64("m", "part", "held").alias("key"), "m", "k", "n", *bits)
+
+
+def _alike(titles: DataFrame, least: float, grams_of: Callable[[Column], Column]) -> DataFrame:
+    """Pairs (a, b, similarity) of stored titles (k, id, t), k and t being distinct, a and b their ids.
+
+    The grams are dealt, by their hash, into more parts than two titles that are alike may have grams that only one of them holds; so
+    one part at least is the same in both, and titles meet by what their parts hold. How many meet by chance hardly depends on how
+    frequent single grams are. Only keys, sizes and bits of hashed grams go through the candidates' join; bits that one has and the other lacks
+    are grams that they do not share, so that most candidates end there, none of them alike. The texts come to the distinct pairs that are left.
+    """
+    signed = _signatures(titles, least, grams_of)
+    x, y = (signed.select("key", "m", *[F.col(c).alias(f"{c}_{s}") for c in signed.columns[2:]]) for s in "ab")
+    lacks = lambda s, t: functools.reduce(operator.add, [F.bit_count(F.col(f"bits_{i}_{s}").bitwiseAND(F.bitwise_not(F.col(f"bits_{i}_{t}")))) for i in range(SLOTS)])
+    total = F.col("n_a") + F.col("n_b")
+    most = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
+    enough = most >= least / (1 + least) * total - 1e-9
+    met = x.join(y.hint("merge"), ["key", "m"]).where((F.col("k_a") < F.col("k_b")) & enough & (F.col("m") == _parts(total, least)))
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as a pair is small and its sets are not
+    pairs = met.select("k_a", "k_b").repartition(parts, "k_a", "k_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(titles.select(*[F.col(c).alias(f"{c}_{side}") for c in ("k", "id", "t")]), f"k_{side}")
+    least_id, greatest_id = F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")
+    sets = pairs.repartition(parts, "k_a", "k_b").select("k_a", "k_b", least_id, greatest_id, grams_of(F.col("t_a")).alias("g_a"), grams_of(F.col("t_b")).alias("g_b"))
+    found = sets.where("a < b").groupBy("k_a", "k_b", "a", "b").agg(F.max(F.round(jaccard(F.col("g_a"), F.col("g_b")), 9)).alias("similarity"))  # a group is one pair, judged where it was sent
+    return found.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
 def title_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85, grams_of: Callable[[Column], Column] = trigrams) -> DataFrame:
-    """Pairs (a, b, similarity) of distinct titles by trigram Jaccard similarity: candidates share one of the few
-    rarest trigrams that two such titles must share (prefix filtering). Only ids, sizes and bits of hashed grams go through the
-    candidates' join; bits that one has and the other lacks are grams that they do not share, so that most
-    candidates end there, none of them alike. The sets come to the distinct pairs that are left."""
-    each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).select("id", grams_of(F.col("t")).alias("g")).where(F.size("g") > 0)
-    grams = each.select("id", F.size("g").alias("n"), F.explode("g").alias("w"))
-    rarity = grams.groupBy("w").agg(F.count("*").alias("df"))
-    bit = F.pmod(F.xxhash64("w"), F.lit(64 * SLOTS))
-    hashed = grams.join(rarity, "w").withColumn("_slot", F.floor(bit / 64)).withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
-    own = Window.partitionBy("id")  # a title's own grams
-    bits = F.array(*[F.coalesce(F.bit_or(F.when(F.col("_slot") == i, F.col("_bit"))).over(own), F.lit(0).cast("long")) for i in range(SLOTS)])
-    placed = hashed.withColumn("bits", bits).withColumn("place", F.row_number().over(own.orderBy("df", "w")))
-    rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    x, y = (rare.select("w", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"p_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-    # what stands before and after the shared gram bounds what two titles can share
-    most = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    lacks = lambda s, t: functools.reduce(operator.add, [F.bit_count(F.col(f"bits_{s}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{t}")[i]))) for i in range(SLOTS)])
-    most = F.least(most, F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
-    enough = most >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
-    for side in "ab":
-        pairs = pairs.join(each.select(F.col("id").alias(side), F.col("g").alias(f"g_{side}")), side)
-    return pairs.select("a", "b", F.round(jaccard(F.col("g_a"), F.col("g_b")), 9).alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs (a, b, similarity) of distinct titles by trigram Jaccard similarity, each title under its least key."""
+    each = rows.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id"))
+    return _alike(cut(each.select(F.monotonically_increasing_id().alias("k"), "id", "t")), least, grams_of)
 
 
 def title_key(title: Column) -> Column:
