@@ -85,7 +85,7 @@ def lint(rows: DataFrame, stub: int = 200) -> DataFrame:
 
 
 #: Words of 64 bits that stand for a title's grams.
-SLOTS = 4
+SLOTS = 8
 
 
 def _parts(total: Column, least: float) -> Column:
@@ -96,20 +96,21 @@ def _parts(total: Column, least: float) -> Column:
     return (F.ceil(more / step) * step).cast("int")
 
 
-def _bits(hashes: str, slot: int) -> Column:
-    """One word of the bits that stand for hashed grams."""
-    none, bit = F.lit(0).cast("long"), lambda w: F.pmod(w, F.lit(64 * SLOTS)).cast("int")
-    return F.aggregate(hashes, none, lambda a, w: a.bitwiseOR(F.when(bit(w).between(64 * slot, 64 * slot + 63), F.call_function("shiftleft", F.lit(1).cast("long"), bit(w) % 64)).otherwise(none)))
+def _bits(places: str, slot: int) -> Column:
+    """One word of the bits that stand for hashed grams, of the places of all their bits."""
+    own = lambda p: (F.shiftright(p, 6) == slot).cast("long")
+    return F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", own(p), p % 64)))
 
 
 def _signatures(titles: DataFrame, least: float, grams_of: Callable[[Column], Column]) -> DataFrame:
     """(key, m, k, n, bits): for each number m of parts that a title may share with one alike, the contents of each part, hashed; empty parts, too."""
     parts, bits = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), [f"bits_{i}" for i in range(SLOTS)]
     own = titles.repartition(parts, "k").select("k", F.transform(grams_of(F.col("t")), lambda w: F.xxhash64(w)).alias("h"))  # in tasks by number, as each title makes many rows
+    own = own.select("k", "h", F.transform("h", lambda w: F.pmod(w, F.lit(64 * SLOTS)).cast("int")).alias("places"))
     n = F.coalesce(F.size("h"), F.lit(0))  # never null, else grams are made once more to see whether it is
     partners = F.sequence((n + F.ceil(n * least - 1e-3)).cast("int"), (n + F.floor(n / F.lit(least) + 1e-3)).cast("int"))  # sums of sizes
     counts = F.when(n > 0, F.array_distinct(F.transform(partners, lambda s: _parts(s, least))))
-    wide = own.select("k", n.alias("n"), *[_bits("h", i).alias(b) for i, b in enumerate(bits)], "h", F.explode_outer(counts).alias("m"))  # outer for the same reason
+    wide = own.select("k", n.alias("n"), *[_bits("places", i).alias(b) for i, b in enumerate(bits)], "h", F.explode_outer(counts).alias("m"))  # outer for the same reason
     # one row without a gram for each part, then the grams
     dealt = wide.select("k", "n", *bits, "m", F.posexplode(F.concat(F.sequence(F.lit(0), F.col("m") - 1).cast("array<long>"), "h")).alias("at", "w"))
     mark = F.col("at") < F.col("m")
@@ -157,8 +158,10 @@ def title_key(title: Column) -> Column:
 
 def plain_trigrams(text: Column) -> Column:
     """Distinct 3-grams of a text as it stands; a shorter text is one."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    every = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - 3)), lambda i: F.concat(at(c, i), at(c, i + 1), at(c, i + 2)))
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))  # once a text, as a substring counts characters from its start
+    return F.when(text == "", F.array().cast("array<string>")).when(text != "", F.array_distinct(F.transform(F.array(chars), every)[0]))
 
 
 def keep_first(rows: DataFrame, key: str, title: str, body: str, least: float = 0.85) -> DataFrame:
@@ -166,32 +169,33 @@ def keep_first(rows: DataFrame, key: str, title: str, body: str, least: float =
     the same body (trimmed), the same title key, or a title with ``least`` trigram similarity; then keep is the first such one.
 
     The rule is one after the other; here rounds decide all rows at once whose earlier rows are decided: a row is kept if the first row
-    that is alike and not yet merged is itself, and merged if that one is kept. Equal bodies and titles are looked up by group (their least ids, which
-    combine before the shuffle), only similar titles by pairs of distinct titles. Null titles and bodies are empty; empty titles are like none.
+    that is alike and not yet merged is itself, and merged if that one is kept. Equal bodies and titles are groups, looked up by the least ids in them
+    (which combine before the shuffle), only similar titles are pairs of distinct titles; texts go no further than to these numbers. Null titles and bodies are empty; empty titles are like none.
     """
-    own = rows.select(F.col(key).cast("long").alias("id"), title_key(F.col(title)).alias("t"), F.sha2(F.trim(F.coalesce(body, F.lit(""))), 256).alias("h"))
-    state = cut(own.withColumn("status", F.lit(0)).withColumn("keep", F.lit(None).cast("long")))
-    names = state.where("t <> ''").groupBy("t").agg(F.min("id").alias("n"))
-    pairs = title_pairs(names, "n", "t", least, plain_trigrams)
-    of = lambda side: names.select(F.col("n").alias(side), F.col("t").alias(f"t_{side}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b")
-    near = cut(near.select(F.col("t_a").alias("t"), F.col("t_b").alias("other"), "similarity").union(near.select("t_b", "t_a", "similarity")))
-    while True:
+    own = cut(rows.select(F.col(key).cast("long").alias("id"), title_key(F.col(title)).alias("t"), F.unhex(F.sha2(F.trim(F.coalesce(body, F.lit(""))), 256)).alias("h")))
+    names = cut(own.where("t <> ''").groupBy("t").agg(F.min("id").alias("id")).select(F.col("id").alias("k"), "id", "t"))
+    bodies = own.groupBy("h").agg(F.min("id").alias("same"))
+    found = own.join(bodies, "h").join(names.select("t", F.col("id").alias("named")), "t", "left")
+    state = cut(found.select("id", "same", "named", F.lit(0).alias("status"), F.lit(None).cast("long").alias("keep")))
+    pairs = _alike(names, least, plain_trigrams)
+    near = cut(pairs.select(F.col("a").alias("named"), F.col("b").alias("other"), "similarity").union(pairs.select("b", "a", "similarity")))
+    while not state.where("status = 0").isEmpty():
         live = state.where("status < 2")
-        least_of = lambda by: live.groupBy(by).agg(F.min(F.struct("id", "status")).alias(f"m_{by}"))  # noqa: E731, B023
-        by_title = least_of("t").where("t <> ''")
-        beside = near.join(by_title.select(F.col("t").alias("other"), "m_t"), "other").groupBy("t").agg(F.min("m_t").alias("m_near"))
-        open_ = state.where("status = 0").join(least_of("h"), "h").join(by_title, "t", "left").join(beside, "t", "left")
-        first = F.array_min(F.array_compact(F.array("m_h", "m_t", "m_near")))
-        decided = open_.withColumn("m", first).select("id", F.when(F.col("m.id") == F.col("id"), 1).when(F.col("m.status") == 1, 2).otherwise(0).alias("now"), F.col("m.id").alias("into")).where("now > 0")
-        if decided.isEmpty():
-            break
-        state = cut(state.join(decided, "id", "left").select("id", "t", "h", F.coalesce("now", "status").alias("status"), F.when(F.col("now").isNotNull(), F.col("into")).otherwise(F.col("keep")).alias("keep")))
-    kept = state.select(F.col("id").alias("keep"), F.col("t").alias("kt"), F.col("h").alias("kh"))
-    both = state.select("id", "t", "h", "keep").join(kept, "keep").join(near.select("t", F.col("other").alias("kt"), "similarity"), ["t", "kt"], "left")
-    same, titled = F.col("h") == F.col("kh"), ((F.col("t") == F.col("kt")) & (F.col("t") != "")) | F.col("similarity").isNotNull()
-    score = F.when(F.col("id") == F.col("keep"), F.lit(None)).when(same | ((F.col("t") == F.col("kt")) & (F.col("t") != "")), 1.0).otherwise(F.col("similarity"))
-    reason = F.when(F.col("id") == F.col("keep"), F.lit(None)).when(same & titled, "both").when(same, "content_hash").otherwise("title")
+        # of a group the first row that is not merged, and the first that is kept
+        firsts = lambda by: live.groupBy(by).agg(F.min("id").alias(f"first_{by}"), F.min(F.when(F.col("status") == 1, F.col("id"))).alias(f"kept_{by}"))  # noqa: E731, B023
+        named = firsts("named").where("named is not null")
+        beside = near.join(named.withColumnRenamed("named", "other"), "other").groupBy("named").agg(F.min("first_named").alias("first_near"), F.min("kept_named").alias("kept_near"))
+        open_ = state.where("status = 0").join(firsts("same"), "same").join(named, "named", "left").join(beside, "named", "left")
+        first, kept = (F.least(*[F.col(f"{x}_{by}") for by in ("same", "named", "near")]) for x in ("first", "kept"))
+        now = F.when(first == F.col("id"), 1).when(first == kept, 2).otherwise(0)
+        decided = open_.select("id", "same", "named", now.alias("status"), F.when(now > 0, first).alias("keep"))
+        state = cut(state.where("status > 0").union(decided))
+    kept = state.select(F.col("id").alias("keep"), F.col("same").alias("kept_same"), F.col("named").alias("kept_named"))
+    both = state.drop("status").join(kept, "keep").join(near.withColumnRenamed("other", "kept_named"), ["named", "kept_named"], "left")
+    same, equal = F.col("same") == F.col("kept_same"), F.coalesce(F.col("named") == F.col("kept_named"), F.lit(False))
+    merged = F.col("id") != F.col("keep")
+    score = F.when(merged, F.when(same | equal, 1.0).otherwise(F.col("similarity")))
+    reason = F.when(merged, F.when(same & (equal | F.col("similarity").isNotNull()), "both").when(same, "content_hash").otherwise("title"))
     return both.select("id", "keep", score.alias("score"), reason.alias("reason"))
 
 
